@@ -1,16465 +1,189 @@
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+"""Housing register clean-up: date standardisation, address fill from
+sibling parcels, address splitting, flag recoding and the duplicate report.
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+Statements of the original script run in order against one mutable table;
+here every step is a function returning a new DataFrame, and the steps are
+chained in the same order (``cleaned``).
+"""
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+from __future__ import annotations
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-;    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+from orchard.functions.text import after_first, before_first, part_from_right, recode
+from orchard.operators.clean import fill_from_siblings, fill_preview
+from orchard.operators.ranking import first_copies, split_row_number
+from orchard.sources import views as V
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-`    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-`    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-`    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-`    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+DUP_KEYS = ["parcelid", "propertyaddress", "saleprice", "saledate", "legalreference"]
+# fixed values: the Y/N flag spelled out
+SOLD_FLAG = {"Y": "Yes", "N": "No"}
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def standardise_date(h: DataFrame) -> DataFrame:
+    return h.withColumn("saledate2", F.to_date("saledate"))
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def fill_address(h: DataFrame) -> DataFrame:
+    return fill_from_siblings(h, "parcelid", "propertyaddress", "uniqueid")
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def split_property(h: DataFrame) -> DataFrame:
+    a = F.col("propertyaddress")
+    return (h.withColumn("propertysplitaddress", before_first(a))
+            .withColumn("propertysplitcity", after_first(a)))
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-x    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def split_owner(h: DataFrame) -> DataFrame:
+    a = F.col("owneraddress")
+    return (h.withColumn("ownersplitaddress", part_from_right(a, 3))
+            .withColumn("ownersplitcity", part_from_right(a, 2))
+            .withColumn("ownersplitstate", part_from_right(a, 1)))
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def recode_sold(h: DataFrame) -> DataFrame:
+    return h.withColumn("soldasvacant", recode(F.col("soldasvacant"), SOLD_FLAG))
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def cleaned(h: DataFrame) -> DataFrame:
+    """All update steps in script order, before the final column drop."""
+    return recode_sold(split_owner(split_property(fill_address(standardise_date(h)))))
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-K    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-[    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-]    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-#    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-x    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-/    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def dropped(h: DataFrame) -> DataFrame:
+    return h.drop("saledate", "owneraddress", "taxdistrict", "propertyaddress")
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-G    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def surplus_copies(h: DataFrame) -> DataFrame:
+    """Rows after the first of every 5-key group (row_num > 1)."""
+    return split_row_number(h, DUP_KEYS, "uniqueid", "row_num").where(F.col("row_num") > 1)
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+# ------------------------------------------------------------------ queries
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-2    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def q_housing_sale_date(spark, d):
+    return standardise_date(V.housing(spark, d)).select("uniqueid", "saledate2")
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def q_housing_fill_preview(spark, d):
+    return fill_preview(V.housing(spark, d), "parcelid", "propertyaddress", "uniqueid")
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def q_housing_fill_address(spark, d):
+    return fill_address(V.housing(spark, d)).select("uniqueid", "parcelid", "propertyaddress")
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def q_housing_split_property(spark, d):
+    return split_property(fill_address(V.housing(spark, d))).select(
+        "uniqueid", "propertysplitaddress", "propertysplitcity")
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-3    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-2    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-G    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-x    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-5    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-K    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-#    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-2    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-G    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-x    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-K    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-#    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-*    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-G    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-W    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-G    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-*    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-J    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-W    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-<    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-4    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-[    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-+    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-]    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-W    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-0    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-+    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-W    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-W    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-[    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-x    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-\    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-]    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-\    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-\    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-*    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-G    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-2    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
--    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-b    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-J    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-J    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-W    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-3    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-2    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-G    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-2    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-V    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-x    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-*    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-W    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-\    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-.    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-*    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-W    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-*    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-W    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
->    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-x    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-B    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-W    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-U    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-N    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-*    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-k    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-W    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-H    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-m    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-=    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-x    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-:    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-h    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-q    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-u    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-g    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-L    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-v    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-E    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-2    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-D    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def q_housing_split_owner(spark, d):
+    return split_owner(V.housing(spark, d)).select(
+        "uniqueid", "ownersplitaddress", "ownersplitcity", "ownersplitstate")
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-P    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-C    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-I    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-T    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-Y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-3    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-2    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-c    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-y    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-{    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-_    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-(    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-'    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-1    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-A    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-S    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-o    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-w    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-n    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-r    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-p    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-s    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-a    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-t    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def q_housing_flag_counts(spark, d):
+    h = V.housing(spark, d)
+    return (h.groupBy("soldasvacant").agg(F.count("soldasvacant").alias("n"))
+            .orderBy("n", "soldasvacant"))
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-F    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-R    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-O    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-M    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-f    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-i    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-l    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-e    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-d    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-"    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-)    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-,    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
 
-    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
-}    "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
-        SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+def q_housing_sold_flag(spark, d):
+    h = V.housing(spark, d)
+    return h.select("uniqueid", "soldasvacant",
+                    recode(F.col("soldasvacant"), SOLD_FLAG).alias("soldasvacant_fixed"))
+
+
+def _dup_input(spark, d):
+    return cleaned(V.housing(spark, d)).select(
+        "uniqueid", "parcelid", "propertyaddress", "saleprice", F.to_date("saledate").alias("saledate"),
+        "legalreference")
+
+
+def q_housing_duplicates(spark, d):
+    return surplus_copies(_dup_input(spark, d)).orderBy("propertyaddress")
+
+
+def q_housing_dedup(spark, d):
+    return first_copies(_dup_input(spark, d), DUP_KEYS, "uniqueid")
+
+
+def q_housing_clean(spark, d):
+    return dropped(cleaned(V.housing(spark, d)))
+
+
+QUERIES = {
+    "housing_sale_date": q_housing_sale_date,
+    "housing_fill_preview": q_housing_fill_preview,
+    "housing_fill_address": q_housing_fill_address,
+    "housing_split_property": q_housing_split_property,
+    "housing_split_owner": q_housing_split_owner,
+    "housing_flag_counts": q_housing_flag_counts,
+    "housing_sold_flag": q_housing_sold_flag,
+    "housing_duplicates": q_housing_duplicates,
+    "housing_dedup": q_housing_dedup,
+    "housing_clean": q_housing_clean,
+}
+
+# ------------------------------------------------------------- DuckDB oracle
+
+_DONORS = """donors AS (SELECT parcelid, arg_min(propertyaddress, uniqueid) AS fill, count(*) AS n_rows
+  FROM housing GROUP BY parcelid),
+nn AS (SELECT parcelid, arg_min(propertyaddress, uniqueid) AS fill FROM housing
+  WHERE propertyaddress IS NOT NULL GROUP BY parcelid),
+filled AS (SELECT h.* REPLACE (coalesce(h.propertyaddress, nn.fill) AS propertyaddress)
+  FROM housing h LEFT JOIN nn ON h.parcelid = nn.parcelid)"""
+
+
+def _part(col: str, n: int) -> str:
+    lst = f"string_split(replace({col}, ',', '.'), '.')"
+    return (f"CASE WHEN len({lst}) <= 4 AND len({lst}) >= {n} "
+            f"THEN nullif({lst}[len({lst}) - {n} + 1], '') END")
+
+
+_PROP_ADDR = "CASE WHEN instr(propertyaddress, ',') > 0 THEN split_part(propertyaddress, ',', 1) END"
+_PROP_CITY = "substr(propertyaddress, instr(propertyaddress, ',') + 1)"
+_SOLD = "CASE WHEN soldasvacant = 'Y' THEN 'Yes' WHEN soldasvacant = 'N' THEN 'No' ELSE soldasvacant END"
+
+
+def _h(sql: str) -> str:
+    body = V.with_views("SELECT 1", "housing")
+    head = body[: body.rindex("\nSELECT 1")]
+    return f"{head},\n{_DONORS}\n{sql}"
+
+
+_DUP_IN = """dup_in AS (SELECT uniqueid, parcelid, propertyaddress, saleprice, CAST(saledate AS DATE) AS saledate,
+  legalreference FROM filled),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY parcelid, propertyaddress, saleprice, saledate, legalreference
+  ORDER BY uniqueid) AS INTEGER) AS row_num FROM dup_in)"""
 
+ORACLE = {
+    "housing_sale_date": V.with_views("SELECT uniqueid, CAST(saledate AS DATE) AS saledate2 FROM housing", "housing"),
+    "housing_fill_preview": _h(
+        """SELECT h.uniqueid, h.parcelid, h.propertyaddress, nn.fill AS fill_propertyaddress,
+             d.n_rows - 1 AS sibling_count
+           FROM housing h JOIN donors d ON h.parcelid = d.parcelid LEFT JOIN nn ON h.parcelid = nn.parcelid
+           WHERE h.propertyaddress IS NULL AND d.n_rows > 1"""),
+    "housing_fill_address": _h("SELECT uniqueid, parcelid, propertyaddress FROM filled"),
+    "housing_split_property": _h(
+        f"SELECT uniqueid, {_PROP_ADDR} AS propertysplitaddress, {_PROP_CITY} AS propertysplitcity FROM filled"),
+    "housing_split_owner": V.with_views(
+        f"""SELECT uniqueid, {_part('owneraddress', 3)} AS ownersplitaddress, {_part('owneraddress', 2)} AS ownersplitcity,
+            {_part('owneraddress', 1)} AS ownersplitstate FROM housing""", "housing"),
+    "housing_flag_counts": V.with_views(
+        "SELECT soldasvacant, count(soldasvacant) AS n FROM housing GROUP BY soldasvacant ORDER BY 2", "housing"),
+    "housing_sold_flag": V.with_views(
+        f"SELECT uniqueid, soldasvacant, {_SOLD} AS soldasvacant_fixed FROM housing", "housing"),
     "housing_duplicates": _h(f"""SELECT * FROM (WITH {_DUP_IN}
         SELECT * FROM ranked WHERE row_num > 1) x ORDER BY propertyaddress"""),
+    "housing_dedup": _h(f"""SELECT uniqueid, parcelid, propertyaddress, saleprice, saledate, legalreference FROM (
+        WITH {_DUP_IN} SELECT * FROM ranked WHERE row_num = 1) x"""),
+    "housing_clean": _h(
+        f"""SELECT uniqueid, parcelid, saleprice, legalreference, {_SOLD} AS soldasvacant,
+             CAST(saledate AS DATE) AS saledate2, {_PROP_ADDR} AS propertysplitaddress,
+             {_PROP_CITY} AS propertysplitcity, {_part('owneraddress', 3)} AS ownersplitaddress,
+             {_part('owneraddress', 2)} AS ownersplitcity, {_part('owneraddress', 1)} AS ownersplitstate
+           FROM filled"""),
+}
