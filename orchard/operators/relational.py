@@ -79,3 +79,36 @@ def keep_existing(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
     """Select those of ``wanted`` that exist (schema metadata only)."""
     have = set(df.columns)
     return df.select(*[c for c in wanted if c in have])
+
+
+def global_dense_rank(df: DataFrame, col: str, out: str = "_rank") -> DataFrame:
+    """(value, rank) for the distinct non-NULL values of ``col``, rank 1 for
+    the smallest.  The distinct set is range-partitioned and checkpointed
+    (fixing which range each value fell in), numbered within each range, and
+    shifted by the sizes of the ranges before it: no single-task sort of the
+    whole set."""
+    spark = df.sparkSession
+    from orchard.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = df.select(col).where(F.col(col).isNotNull()).distinct()
+    r = d.repartitionByRange(n, col).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    sizes = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range partition: bounded by the partition count
+    offsets = sizes.select("_pid", F.coalesce(
+        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_pid").orderBy(col)
+    return (r.withColumn("_rn", F.row_number().over(within)).join(F.broadcast(offsets), "_pid")
+            .select(col, (F.col("_rn") + F.col("_off")).alias(out)))
+
+
+def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
+    """Index of each value in the sorted distinct values of its column
+    (0-based); NULL becomes -1."""
+    out = df
+    for c in cols:
+        ranks = global_dense_rank(df, c, "_r")
+        out = (out.join(ranks, c, "left")
+               .withColumn(c + suffix, F.coalesce(F.col("_r") - 1, F.lit(-1)).cast("int")).drop("_r"))
+    return out
