@@ -44,3 +44,37 @@ def fit_logistic_accuracy(split_df: DataFrame, features: Sequence[str], label: s
     train = data.where(F.col(split) == "train")
     model = logistic(features, label, train.count()).fit(train)
     return accuracy_by_split(model.transform(data), label, split)
+
+
+def price_model_scores(homes: DataFrame, seed: int = 10) -> DataFrame:
+    """Train (or reuse) the linear price model and score the held-out rows.
+
+    Location is one-hot encoded with the alphabetically first level
+    dropped (``alphabetDesc`` + ``dropLast``).  The fitted PipelineModel is
+    written to the shared scratch folder and read back, as a stored model
+    would be on later runs."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.regression import LinearRegression
+
+    from orchard.operators.sampling import hash_split
+    from orchard.session import scratch_path
+
+    data = hash_split(homes, "home_id", seed).withColumn("bhk", F.col("bhk").cast("double"))
+    train = data.where(F.col("split") == "train")
+    # dummy columns come from all locations of the cleaned table (they are
+    # made before the split); dropLast on a descending order drops the
+    # alphabetically first level
+    indexer = StringIndexer(inputCol="location", outputCol="loc_idx",
+                            stringOrderType="alphabetDesc").fit(data)
+    pipe = Pipeline(stages=[
+        indexer,
+        OneHotEncoder(inputCols=["loc_idx"], outputCols=["loc_vec"], dropLast=True),
+        VectorAssembler(inputCols=["total_sqft", "bath", "bhk", "loc_vec"], outputCol="features"),
+        LinearRegression(featuresCol="features", labelCol="price", solver="normal", regParam=0.0),
+    ])
+    path = scratch_path(homes.sparkSession, "price-model")
+    pipe.fit(train).write().overwrite().save(path)
+    model = PipelineModel.load(path)
+    scored = model.transform(data.where(F.col("split") == "test"))
+    return scored.select("home_id", "location", "price", F.round("prediction", 2).alias("predicted_price"))

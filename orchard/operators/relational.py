@@ -112,3 +112,14 @@ def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") ->
         out = (out.join(ranks, c, "left")
                .withColumn(c + suffix, F.coalesce(F.col("_r") - 1, F.lit(-1)).cast("int")).drop("_r"))
     return out
+
+
+def attach_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
+    """Per-group aggregates put back on every row of the group.
+
+    Same result as ``agg(...).over(Window.partitionBy(keys))`` but the stats
+    are a map-side-combined aggregate (one row per group) joined back, so a
+    hot group is never buffered whole in one task; AQE broadcasts the stats
+    when small or splits a skewed partition of the big side."""
+    stats = df.groupBy(*keys).agg(*aggs)
+    return df.join(stats, list(keys), "left")
