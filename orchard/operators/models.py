@@ -78,3 +78,80 @@ def price_model_scores(homes: DataFrame, seed: int = 10) -> DataFrame:
     model = PipelineModel.load(path)
     scored = model.transform(data.where(F.col("split") == "test"))
     return scored.select("home_id", "location", "price", F.round("prediction", 2).alias("predicted_price"))
+
+
+def growth_forest_mse(m: DataFrame, seed: int = 42, num_trees: int = 100) -> DataFrame:
+    """Random-forest regression of growth on (2016, 2021, sentiment), 80/20
+    hash split; one row with the test mean squared error."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from orchard.operators.sampling import hash_split
+
+    feats = ["vote_share_2016", "vote_share_2021", "avg_sentiment_score"]
+    data = hash_split(m.withColumn("row_key", F.concat_ws("|", F.col("constituency_no").cast("string"),
+                                                          F.col("party_raw"))), "row_key", seed)
+    rf = RandomForestRegressor(featuresCol="features", labelCol="growth_2016_2021", numTrees=num_trees,
+                               seed=seed, maxDepth=12)
+    model = Pipeline(stages=[assembler(feats), rf]).fit(data.where(F.col("split") == "train"))
+    test = model.transform(data.where(F.col("split") == "test"))
+    mse = RegressionEvaluator(labelCol="growth_2016_2021", metricName="mse").evaluate(test)
+    n = test.count()
+    return m.sparkSession.createDataFrame([(float(mse), int(n))], "mse double, n_test bigint")
+
+
+def _classifiers(label: str, seed: int):
+    from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, NaiveBayes,
+                                           RandomForestClassifier)
+    common = dict(featuresCol="features", labelCol=label)
+    return {
+        "RandomForest": RandomForestClassifier(numTrees=100, seed=seed, maxDepth=12, **common),
+        "LogisticRegression": LogisticRegression(maxIter=1000, **common),
+        "LinearSVC": LinearSVC(maxIter=100, **common),
+        "GradientBoosting": GBTClassifier(maxIter=100, maxDepth=3, seed=seed, stepSize=0.1, **common),
+        "DecisionTree": DecisionTreeClassifier(seed=seed, maxDepth=20, **common),
+        "GaussianNB": NaiveBayes(modelType="gaussian", **common),
+    }
+
+
+def classifier_accuracies(data: DataFrame, features: Sequence[str], label: str, seed: int = 42) -> DataFrame:
+    """Train every member on the 'train' rows and tabulate test accuracy,
+    plus the soft vote of the members that give probabilities."""
+    data = data.withColumn(label, F.col(label).cast("double"))
+    train = data.where(F.col("split") == "train").cache()
+    test = data.where(F.col("split") == "test")
+    rows = []
+    for name, est in _classifiers(label, seed).items():
+        model = Pipeline(stages=[assembler(features), est]).fit(train)
+        acc = accuracy_by_split(model.transform(test), label).collect()[0]["accuracy"]
+        rows.append((name, float(acc)))
+    votes = soft_vote_scores(data, features, label, None, seed)
+    acc = votes.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).collect()[0][0]
+    rows.append(("SoftVote", float(acc)))
+    train.unpersist()
+    return data.sparkSession.createDataFrame(rows, "model string, accuracy double")
+
+
+def soft_vote_scores(data: DataFrame, features: Sequence[str], label: str, key: str | None,
+                     seed: int = 42) -> DataFrame:
+    """Average of the members' class-1 probabilities on the test rows,
+    class 1 when the average is at least one half.  Members score the same
+    rows one after another, so their columns line up without joins."""
+    from pyspark.ml.functions import vector_to_array
+    data = data.withColumn(label, F.col(label).cast("double"))
+    train = data.where(F.col("split") == "train")
+    scored = data.where(F.col("split") == "test")
+    probs = []
+    for name, est in _classifiers(label, seed).items():
+        if name == "LinearSVC":
+            continue  # margins, not probabilities
+        model = Pipeline(stages=[assembler(features), est.copy().setPredictionCol("_pred")
+                                 .setProbabilityCol("_prob").setRawPredictionCol("_raw")]).fit(train)
+        col = f"p_{name}"
+        scored = (model.transform(scored).withColumn(col, vector_to_array("_prob")[1])
+                  .drop("features", "_pred", "_prob", "_raw"))
+        probs.append(col)
+    avg = sum((F.col(c) for c in probs), F.lit(0.0)) / len(probs)
+    out = scored.withColumn("p_vote", avg).withColumn("prediction", (F.col("p_vote") >= 0.5).cast("double"))
+    keep = ([key] if key else []) + [label, "p_vote", "prediction"]
+    return out.select(*keep)
