@@ -98,3 +98,17 @@ def regression_line(df: DataFrame, y: str, x: str, digits: int = 6) -> DataFrame
                   F.round(F.regr_intercept(yy, xx), digits).alias("intercept"),
                   F.round(F.regr_r2(yy, xx), digits).alias("r2"),
                   F.regr_count(yy, xx).alias("n"))
+
+
+def fixed_point_mean_std(v, decimals: int, prefix: str):
+    """Mean and sample std of values that carry ``decimals`` decimal places,
+    from exact integer sums (``decimal(38,0)``): the result does not depend
+    on the order in which partitions are added up."""
+    scale = 10 ** decimals
+    x = F.round(v * scale).cast("decimal(38,0)")
+    n = F.count(v).cast("decimal(38,0)")
+    s1, s2 = F.sum(x), F.sum(x * x)
+    mean = s1.cast("double") / (n.cast("double") * scale)
+    var_num = (n * s2 - s1 * s1).cast("double")
+    std = F.sqrt(var_num / (n * (n - 1)).cast("double")) / scale
+    return [mean.alias(f"mean_{prefix}"), F.when(n > 1, std).alias(f"std_{prefix}")]
