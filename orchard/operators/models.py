@@ -155,3 +155,37 @@ def soft_vote_scores(data: DataFrame, features: Sequence[str], label: str, key:
     out = scored.withColumn("p_vote", avg).withColumn("prediction", (F.col("p_vote") >= 0.5).cast("double"))
     keep = ([key] if key else []) + [label, "p_vote", "prediction"]
     return out.select(*keep)
+
+
+VAR_SMOOTHING = 1e-9
+
+
+def gaussian_nb_params(train: DataFrame, features: Sequence[str], label: str) -> list[dict]:
+    """Class priors, per-feature means and population variances (plus
+    ``1e-9 *`` the largest feature variance), from two aggregates.  The
+    result has one entry per class: model parameters, not data."""
+    overall = train.agg(*[F.var_pop(f).alias(f) for f in features]).collect()[0]
+    eps = VAR_SMOOTHING * max(float(overall[f] or 0.0) for f in features)
+    per = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"),
+                                   *[F.avg(f).alias(f"m_{f}") for f in features],
+                                   *[F.var_pop(f).alias(f"v_{f}") for f in features]).collect()
+    total = sum(r["_n"] for r in per)
+    return [{"label": r[label], "prior": r["_n"] / total,
+             "mean": {f: float(r[f"m_{f}"]) for f in features},
+             "var": {f: float(r[f"v_{f}"]) + eps for f in features}} for r in sorted(per, key=lambda r: r[label])]
+
+
+def gaussian_nb_predict(df: DataFrame, params: list[dict], features: Sequence[str],
+                        out: str = "prediction") -> DataFrame:
+    """Joint log likelihood per class as column expressions; the class with
+    the largest one (the smaller label on ties)."""
+    import math
+    scores = []
+    for p in params:
+        s = F.lit(math.log(p["prior"]))
+        for f in features:
+            var = p["var"][f]
+            s = s - 0.5 * (F.lit(math.log(2 * math.pi * var)) + F.pow(F.col(f) - F.lit(p["mean"][f]), 2) / F.lit(var))
+        scores.append(F.struct(s.alias("ll"), F.lit(-p["label"]).alias("neg_label")))
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    return df.withColumn(out, (-best["neg_label"]).cast("int"))

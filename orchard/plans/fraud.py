@@ -98,7 +98,16 @@ def q_fraud_model_accuracy(spark, d):
     return fit_logistic_accuracy(split, FEATURES, "class")
 
 
+def q_gaussian_nb(spark, d):
+    """Gaussian naive Bayes on the hash split: predictions for the test rows."""
+    from orchard.operators.models import gaussian_nb_params, gaussian_nb_predict
+    t = hash_split(V.transactions(spark, d), "txn_id", SPLIT_SEED)
+    params = gaussian_nb_params(t.where(F.col("split") == "train"), FEATURES, "class")
+    return gaussian_nb_predict(t.where(F.col("split") == "test"), params, FEATURES).select("txn_id", "class", "prediction")
+
+
 QUERIES = {
+    "gaussian_nb": q_gaussian_nb,
     "fraud_null_counts": q_fraud_null_counts,
     "fraud_class_counts": q_fraud_class_counts,
     "fraud_split_counts": q_fraud_split_counts,
@@ -120,7 +129,23 @@ def _h(seed, key="txn_id"):
     return f"md5(concat('{seed}:', CAST({key} AS VARCHAR)))"
 
 
+_NB_SPLIT = f"""sp AS (SELECT *, substr({_h(SPLIT_SEED)}, 1, 8) < '33333333' AS is_test FROM transactions),
+tr AS (SELECT * FROM sp WHERE NOT is_test),
+eps AS (SELECT 1e-9 * greatest(var_pop(v1), var_pop(v2), var_pop(amount)) AS e FROM tr),
+cls AS (SELECT class AS c, count(*) / (SELECT count(*) FROM tr) AS prior, avg(v1) AS m1, avg(v2) AS m2, avg(amount) AS m3,
+  var_pop(v1) + (SELECT e FROM eps) AS s1, var_pop(v2) + (SELECT e FROM eps) AS s2,
+  var_pop(amount) + (SELECT e FROM eps) AS s3 FROM tr GROUP BY class),
+ll AS (SELECT t.txn_id, t.class, cls.c, ln(cls.prior)
+  - 0.5 * (ln(2 * pi() * s1) + (t.v1 - m1) ^ 2 / s1)
+  - 0.5 * (ln(2 * pi() * s2) + (t.v2 - m2) ^ 2 / s2)
+  - 0.5 * (ln(2 * pi() * s3) + (t.amount - m3) ^ 2 / s3) AS score
+  FROM sp t CROSS JOIN cls WHERE t.is_test)"""
+
 ORACLE = {
+    "gaussian_nb": V.with_views("SELECT 1", *_T)[: V.with_views("SELECT 1", *_T).rindex("\nSELECT 1")]
+    + ",\n" + _NB_SPLIT + """
+SELECT txn_id, class, CAST(c AS INTEGER) AS prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, c) AS rn FROM ll) r WHERE rn = 1""",
     "fraud_null_counts": V.with_views(" UNION ALL ".join(
         f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
         f"CAST(count({c}) AS BIGINT) AS non_null_count FROM transactions"
