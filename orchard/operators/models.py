@@ -67,10 +67,12 @@ def price_model_scores(homes: DataFrame, seed: int = 10) -> DataFrame:
     # alphabetically first level
     indexer = StringIndexer(inputCol="location", outputCol="loc_idx",
                             stringOrderType="alphabetDesc").fit(data)
-    pipe = Pipeline(stages=[
-        indexer,
-        OneHotEncoder(inputCols=["loc_idx"], outputCols=["loc_vec"], dropLast=True),
-        VectorAssembler(inputCols=["total_sqft", "bath", "bhk", "loc_vec"], outputCol="features"),
+    # a single level gives no dummy column at all (first level dropped)
+    one_hot = len(indexer.labelsArray[0]) >= 2
+    stages = [indexer, OneHotEncoder(inputCols=["loc_idx"], outputCols=["loc_vec"], dropLast=True)] if one_hot else []
+    pipe = Pipeline(stages=stages + [
+        VectorAssembler(inputCols=["total_sqft", "bath", "bhk"] + (["loc_vec"] if one_hot else []),
+                        outputCol="features"),
         LinearRegression(featuresCol="features", labelCol="price", solver="normal", regParam=0.0),
     ])
     path = scratch_path(homes.sparkSession, "price-model")
