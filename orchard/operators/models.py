@@ -12,7 +12,7 @@ from typing import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -191,3 +191,75 @@ def gaussian_nb_predict(df: DataFrame, params: list[dict], features: Sequence[st
         scores.append(F.struct(s.alias("ll"), F.lit(-p["label"]).alias("neg_label")))
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     return df.withColumn(out, (-best["neg_label"]).cast("int"))
+
+
+def knn_classify(train: DataFrame, test: DataFrame, id_col: str, features: Sequence[str], label: str,
+                 k: int = 5, per_cell: int = 20, max_rounds: int = 30) -> DataFrame:
+    """Exact k-nearest-neighbour majority vote (Euclidean; distance ties
+    broken by train id, vote ties by the smaller label) without comparing
+    every test row with every train row.
+
+    Train rows are put in a uniform grid (about ``per_cell`` rows per cell).
+    A test row looks at the train rows in the cells within radius ``r`` of
+    it, ranks them, and is settled once its k-th distance is at most ``r``
+    (nothing outside the searched cube can be nearer).  Unsettled rows try
+    again with ``r`` doubled; the unsettled set is checkpointed each round.
+    Output: (id, prediction)."""
+    import itertools
+    import math
+
+    from orchard.session import ensure_checkpoint_dir
+
+    spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
+    d = len(features)
+    st = train.agg(F.count(F.lit(1)).alias("n"), *[F.min(f).alias(f"lo_{f}") for f in features],
+                   *[F.max(f).alias(f"hi_{f}") for f in features]).collect()[0]
+    n_train = int(st["n"])
+    spans = [max(float(st[f"hi_{f}"] - st[f"lo_{f}"]), 1e-9) for f in features]
+    width = (math.prod(spans) * per_cell / max(n_train, 1)) ** (1.0 / d)
+    width = max(width, max(spans) / 1e6)
+    # scan cells only in dimensions that actually need more than one cell
+    cells_needed = [max(1, math.ceil(s / width)) for s in spans]
+
+    def cell_of(cols):
+        return F.array(*[F.floor(c / F.lit(width)).cast("long") for c in cols])
+
+    t = train.select(F.col(id_col).alias("_tid"), *[F.col(f).alias(f"_t{i}") for i, f in enumerate(features)],
+                     F.col(label).alias("_y"))
+    t = t.withColumn("_cell", cell_of([F.col(f"_t{i}") for i in range(d)]))
+    q = test.select(F.col(id_col), *[F.col(f).alias(f"_q{i}") for i, f in enumerate(features)])
+    q = q.withColumn("_home", cell_of([F.col(f"_q{i}") for i in range(d)]))
+
+    done = []
+    radius = width
+    pending = q
+    for _ in range(max_rounds):
+        reach = [min(math.ceil(radius / width), c) for c in cells_needed]
+        offsets = [list(o) for o in itertools.product(*[range(-s, s + 1) for s in reach])]
+        probe = pending.withColumn("_cell", F.explode(F.transform(
+            F.lit(offsets), lambda o: F.zip_with(F.col("_home"), o, lambda a, b: a + b))))
+        pairs = probe.join(t, "_cell")
+        dist = F.sqrt(sum(((F.col(f"_q{i}") - F.col(f"_t{i}")) * (F.col(f"_q{i}") - F.col(f"_t{i}"))
+                           for i in range(d)), F.lit(0.0)))
+        w = Window.partitionBy(id_col).orderBy(F.asc("_d"), F.asc("_tid"))
+        near = pairs.select(id_col, "_tid", "_y", dist.alias("_d")) \
+            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+        summary = near.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_dk"),
+                                           F.collect_list("_y").alias("_ys"))   # at most k labels
+        everything = all(r >= c for r, c in zip(reach, cells_needed))
+        settled = F.col("_n") >= min(k, n_train)
+        settled = settled & ((F.col("_dk") <= F.lit(radius)) | F.lit(everything))
+        s = pending.select(id_col).join(summary, id_col, "left").withColumn("_ok", F.coalesce(settled, F.lit(everything)))
+        s = s.checkpoint(eager=True)
+        done.append(s.where("_ok").select(id_col, "_ys"))
+        pending = pending.join(s.where(~F.col("_ok")).select(id_col), id_col, "left_semi").checkpoint(eager=True)
+        if pending.isEmpty():
+            break
+        radius *= 2
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    votes = out.select(id_col, F.explode_outer("_ys").alias("_y")).groupBy(id_col, "_y").agg(F.count(F.lit(1)).alias("_c"))
+    best = votes.groupBy(id_col).agg(F.min_by("_y", F.struct((-F.col("_c")).alias("c"), F.col("_y").alias("y"))).alias("prediction"))
+    return best

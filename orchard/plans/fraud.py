@@ -106,7 +106,19 @@ def q_gaussian_nb(spark, d):
     return gaussian_nb_predict(t.where(F.col("split") == "test"), params, FEATURES).select("txn_id", "class", "prediction")
 
 
+def q_knn_classify(spark, d):
+    """5 nearest neighbours (Euclidean over v1, v2, amount), majority vote,
+    for every test row of the hash split."""
+    from orchard.operators.models import knn_classify
+    t = hash_split(V.transactions(spark, d), "txn_id", SPLIT_SEED)
+    test = t.where(F.col("split") == "test")
+    pred = knn_classify(t.where(F.col("split") == "train"), test, "txn_id", FEATURES, "class", k=5)
+    return test.select("txn_id", "class").join(pred, "txn_id", "left").select(
+        "txn_id", "class", F.col("prediction").cast("int").alias("prediction"))
+
+
 QUERIES = {
+    "knn_classify": q_knn_classify,
     "gaussian_nb": q_gaussian_nb,
     "fraud_null_counts": q_fraud_null_counts,
     "fraud_class_counts": q_fraud_class_counts,
@@ -142,6 +154,14 @@ ll AS (SELECT t.txn_id, t.class, cls.c, ln(cls.prior)
   FROM sp t CROSS JOIN cls WHERE t.is_test)"""
 
 ORACLE = {
+    "knn_classify": V.with_views("SELECT 1", *_T)[: V.with_views("SELECT 1", *_T).rindex("\nSELECT 1")]
+    + ",\n" + f"""sp AS (SELECT *, substr({_h(SPLIT_SEED)}, 1, 8) < '33333333' AS is_test FROM transactions),
+pairs AS (SELECT q.txn_id, q.class, t.txn_id AS tid, t.class AS y,
+  sqrt((q.v1 - t.v1) * (q.v1 - t.v1) + (q.v2 - t.v2) * (q.v2 - t.v2) + (q.amount - t.amount) * (q.amount - t.amount)) AS d
+  FROM sp q JOIN sp t ON q.is_test AND NOT t.is_test),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY d, tid) AS rn FROM pairs) r WHERE rn <= 5),
+votes AS (SELECT txn_id, class, y, count(*) AS c FROM near GROUP BY ALL)
+SELECT txn_id, class, CAST(arg_min(y, (-c, y)) AS INTEGER) AS prediction FROM votes GROUP BY txn_id, class""",
     "gaussian_nb": V.with_views("SELECT 1", *_T)[: V.with_views("SELECT 1", *_T).rindex("\nSELECT 1")]
     + ",\n" + _NB_SPLIT + """
 SELECT txn_id, class, CAST(c AS INTEGER) AS prediction FROM (
