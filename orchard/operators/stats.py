@@ -42,17 +42,29 @@ def missing_percent(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 def describe(df: DataFrame, value: str, groups: Sequence[str] = (), digits: int = 6) -> DataFrame:
     """count, mean, sample std, min, quartiles (linear interpolation), max.
-    Quartiles use Spark's exact ``percentile`` aggregate, whose partial state
-    is a value -> count map merged across mappers."""
+    A first pass measures the group sizes; when every group is small the
+    exact ``percentile`` aggregate runs with the moments in one pass,
+    otherwise the quartiles come from the histogram-refinement selection, so
+    a group holding most rows is never gathered in one task."""
+    from orchard.operators.quantiles import FINAL_MAX, quantile_columns
+    g = list(groups) or ["_g0"]
+    base = df if groups else df.withColumn("_g0", F.lit(0))
     v = F.col(value)
-    q = F.percentile(v, [0.25, 0.5, 0.75])
     r = lambda c: F.round(c, digits)
-    out = df.groupBy(*groups).agg(
-        F.count(v).alias("count"), r(F.avg(v)).alias("mean"), r(F.stddev_samp(v)).alias("std"),
-        F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
-    return out.select(*groups, "count", "mean", "std", "min",
-                      r(F.col("_q")[0]).alias("q25"), r(F.col("_q")[1]).alias("q50"),
-                      r(F.col("_q")[2]).alias("q75"), "max")
+    moments = [F.count(v).alias("count"), r(F.avg(v)).alias("mean"), r(F.stddev_samp(v)).alias("std"),
+               F.min(v).alias("min"), F.max(v).alias("max")]
+    sizes = base.groupBy(*g).agg(F.count(v).alias("_n"))
+    if (sizes.agg(F.max("_n")).collect()[0][0] or 0) <= FINAL_MAX:
+        # all groups small: quartiles by the exact in-memory aggregate, one pass
+        one = base.groupBy(*g).agg(*moments, F.percentile(v.cast("double"), [0.25, 0.5, 0.75]).alias("_q"))
+        out = one.select(*g, "count", "mean", "std", "min", r(F.col("_q")[0]).alias("q25"),
+                         r(F.col("_q")[1]).alias("q50"), r(F.col("_q")[2]).alias("q75"), "max")
+    else:
+        q = quantile_columns(base, value, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], g)
+        out = base.groupBy(*g).agg(*moments).join(q, g, "left").select(
+            *g, "count", "mean", "std", "min", r(F.col("q25")).alias("q25"), r(F.col("q50")).alias("q50"),
+            r(F.col("q75")).alias("q75"), "max")
+    return out if groups else out.drop("_g0")
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
@@ -74,10 +86,9 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame
 def box_stats(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """Box-plot numbers per column: quartiles, IQR, whiskers (most extreme
     values within 1.5 IQR of the box) and the outlier count."""
+    from orchard.operators.quantiles import quantile_columns
     long = df.unpivot([], list(cols), "column_name", "value").withColumn("value", F.col("value").cast("double"))
-    q = long.groupBy("column_name").agg(F.percentile("value", [0.25, 0.5, 0.75]).alias("_q"))
-    q = q.select("column_name", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    q = quantile_columns(long, "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"], ["column_name"])
     # one row per input column: bounded by the schema width
     j = long.join(F.broadcast(q), "column_name")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))

@@ -104,3 +104,30 @@ def test_global_dense_rank_and_codes(spark):
     assert ranks == {v: i + 1 for i, v in enumerate(sorted(vals))}
     codes = category_codes(df, ["c"]).collect()
     assert {r.c_code for r in codes if r.c is None} == {-1}
+
+
+def test_exact_quantiles_match_percentile_with_refinement(spark, monkeypatch):
+    from orchard.operators import quantiles as Q
+    monkeypatch.setattr(Q, "FINAL_MAX", 50)   # force several refinement levels
+    rnd = random.Random(3)
+    rows = [("hot", rnd.choice([1.0, 2.0, 2.0, 5.5]) if i % 2 else rnd.random() * 1e-3) for i in range(8000)] + \
+           [("g%d" % (i % 5), rnd.gauss(0, 100)) for i in range(2000)] + [("one", 7.0), ("nul", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r.g, r.p): r.q for r in Q.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    want = {}
+    for r in df.where(F.col("v").isNotNull()).groupBy("g").agg(F.percentile("v", probs).alias("a")).collect():
+        for p, x in zip(probs, r.a):
+            want[(r.g, p)] = x
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) <= 1e-9 * max(1.0, abs(want[k])) for k in want)
+
+
+def test_describe_large_group_path_equals_small(spark, monkeypatch):
+    from orchard.operators import quantiles as Q
+    from orchard.operators.stats import describe
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000 / 7.0).alias("v"))
+    small = sorted(map(tuple, describe(df, "v", ["g"]).collect()))
+    monkeypatch.setattr(Q, "FINAL_MAX", 40)
+    large = sorted(map(tuple, describe(df, "v", ["g"]).collect()))
+    assert small == large
