@@ -21,7 +21,8 @@ def fill_from_siblings(df: DataFrame, key: str, value: str, order_col: str) -> D
     without the self-join: a NULL ``value`` takes the donor value of its key
     group.  The donor table has one row per key, so the join back never
     fans out; AQE splits a hot key of the big side if needed."""
-    donors = sibling_donors(df, key, value, order_col).select(key, "_fill")
+    from orchard.operators.joins import checked_broadcast
+    donors = checked_broadcast(sibling_donors(df, key, value, order_col).select(key, "_fill"))
     return (df.join(donors, key, "left")
             .withColumn(value, F.coalesce(F.col(value), F.col("_fill"))).drop("_fill")
             .select(*df.columns))

@@ -81,17 +81,25 @@ def keep_existing(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
     return df.select(*[c for c in wanted if c in have])
 
 
-def global_dense_rank(df: DataFrame, col: str, out: str = "_rank") -> DataFrame:
-    """(value, rank) for the distinct non-NULL values of ``col``, rank 1 for
-    the smallest.  The distinct set is range-partitioned and checkpointed
-    (fixing which range each value fell in), numbered within each range, and
-    shifted by the sizes of the ranges before it: no single-task sort of the
-    whole set."""
+SMALL_DISTINCT = 1_000_000
+
+
+def ranked_distinct(df: DataFrame, col: str, out: str = "_rank") -> tuple[DataFrame, int]:
+    """(value, rank) for the distinct non-NULL values of ``col`` (rank 1 for
+    the smallest) and the number of distinct values.  The distinct set (a
+    partially aggregated ``distinct``) is cached and counted first: up to
+    ``SMALL_DISTINCT`` values it is ranked in one ordered pass over that
+    small set; beyond, it is range-partitioned and checkpointed (fixing which
+    range each value fell in), numbered within each range and shifted by the
+    sizes of the ranges before it, so no task sorts the whole set."""
     spark = df.sparkSession
+    d = df.select(col).where(F.col(col).isNotNull()).distinct().cache()
+    n_distinct = d.count()
+    if n_distinct <= SMALL_DISTINCT:
+        return d.select(col, F.dense_rank().over(Window.orderBy(col)).alias(out)), n_distinct
     from orchard.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = df.select(col).where(F.col(col).isNotNull()).distinct()
     r = d.repartitionByRange(n, col).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
     sizes = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range partition: bounded by the partition count
@@ -99,16 +107,24 @@ def global_dense_rank(df: DataFrame, col: str, out: str = "_rank") -> DataFrame:
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
     within = Window.partitionBy("_pid").orderBy(col)
-    return (r.withColumn("_rn", F.row_number().over(within)).join(F.broadcast(offsets), "_pid")
-            .select(col, (F.col("_rn") + F.col("_off")).alias(out)))
+    ranks = (r.withColumn("_rn", F.row_number().over(within)).join(F.broadcast(offsets), "_pid")
+             .select(col, (F.col("_rn") + F.col("_off")).alias(out)))
+    return ranks, n_distinct
+
+
+def global_dense_rank(df: DataFrame, col: str, out: str = "_rank") -> DataFrame:
+    return ranked_distinct(df, col, out)[0]
 
 
 def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
     """Index of each value in the sorted distinct values of its column
-    (0-based); NULL becomes -1."""
+    (0-based); NULL becomes -1.  The value -> code table is broadcast when
+    its (already counted) size is within the broadcast limit."""
+    from orchard.operators.joins import BROADCAST_MAX_ROWS
     out = df
     for c in cols:
-        ranks = global_dense_rank(df, c, "_r")
+        ranks, n = ranked_distinct(df, c, "_r")
+        ranks = F.broadcast(ranks) if n <= BROADCAST_MAX_ROWS else ranks
         out = (out.join(ranks, c, "left")
                .withColumn(c + suffix, F.coalesce(F.col("_r") - 1, F.lit(-1)).cast("int")).drop("_r"))
     return out
@@ -119,7 +135,9 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> Dat
 
     Same result as ``agg(...).over(Window.partitionBy(keys))`` but the stats
     are a map-side-combined aggregate (one row per group) joined back, so a
-    hot group is never buffered whole in one task; AQE broadcasts the stats
-    when small or splits a skewed partition of the big side."""
-    stats = df.groupBy(*keys).agg(*aggs)
+    hot group is never buffered whole in one task.  The stats are broadcast
+    after a row-count check (the big side is then not shuffled at all);
+    beyond the limit the join shuffles and AQE splits skewed partitions."""
+    from orchard.operators.joins import checked_broadcast
+    stats = checked_broadcast(df.groupBy(*keys).agg(*aggs))
     return df.join(stats, list(keys), "left")

@@ -9,7 +9,6 @@ one block plus the context, however long a document is.
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,10 +79,14 @@ def lexicon_scores(tokens: DataFrame, lexicon: DataFrame, word_col: str = "token
     the sum; pos/neg/neu are the shares of (v+1 for v>0), |v-1| for v<0 and
     1 for v=0 in their total."""
     lex = lexicon.select(F.col("word").alias(word_col), "valence")
-    t = any_in_previous(tokens, F.col(word_col).isin(NEGATIONS), 3, "_neg")
-    t = t.join(lex, word_col, "left")
+    # positions negated by a negation word: the three after it.  Negation
+    # words are rare, so this is a small table joined back on (doc, pos)
+    negated = (tokens.where(F.col(word_col).isin(NEGATIONS))
+               .select("doc_id", F.explode(F.array(F.col("pos") + 1, F.col("pos") + 2, F.col("pos") + 3)).alias("pos"))
+               .distinct().withColumn("_neg", F.lit(True)))
     but = tokens.where(F.col(word_col) == "but").groupBy("doc_id").agg(F.min("pos").alias("_but"))
-    t = t.join(but, "doc_id", "left")
+    t = (tokens.join(lex, word_col, "left").join(negated, ["doc_id", "pos"], "left")
+         .join(but, "doc_id", "left").withColumn("_neg", F.coalesce("_neg", F.lit(False))))
     v = F.coalesce(F.col("valence"), F.lit(0.0))
     v = F.when(F.col("_neg") & (v != 0), v * NEGATION_SCALAR).otherwise(v)
     v = (F.when(F.col("_but").isNull(), v)
@@ -142,5 +145,25 @@ def softmax_columns(cols: Sequence[Column], names: Sequence[str], digits: int =
     return [F.round(e / total, digits).alias(n) for e, n in zip(exps, names)]
 
 
-def sqrt_alpha() -> float:
-    return math.sqrt(NORMALISATION_ALPHA)
+# --- in-row form: a document is one row, its tokens one array ------------
+
+def proper_noun_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, start_pos, end_pos, n_tokens, first_token, last_token): maximal
+    runs of proper-noun tokens (rule tagger), found inside each document's
+    row (no shuffle): a run starts at a proper noun whose predecessor is not
+    one and ends at one whose successor is not one."""
+    closed = F.array(*[F.lit(w) for ws in CLOSED_TAGS.values() for w in ws])
+    toks = F.regexp_extract_all(F.col(text_col), F.lit(CASED_PATTERN), 0)
+    base = docs.select(F.col(id_col).alias("doc_id"), toks.alias("_toks"))
+    flags = F.transform("_toks", lambda t, i: (i > 0) & t.rlike("^[A-Z][a-z]")
+                        & ~F.array_contains(closed, F.lower(t)))
+    base = base.withColumn("_nnp", flags)
+    n = F.size("_toks")
+    idx = F.sequence(F.lit(0), n - 1)
+    nnp = lambda i: F.element_at("_nnp", i + 1)
+    starts = F.filter(idx, lambda i: nnp(i) & ((i == 0) | ~nnp(F.greatest(i - 1, F.lit(0)))))
+    ends = F.filter(idx, lambda i: nnp(i) & ((i == n - 1) | ~nnp(F.least(i + 1, n - 1))))
+    runs = base.where(n > 0).select("doc_id", "_toks", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("_r"))
+    s, e = F.col("_r.s"), F.col("_r.e")
+    return runs.select("doc_id", s.alias("start_pos"), e.alias("end_pos"), (e - s + 1).cast("bigint").alias("n_tokens"),
+                       F.element_at("_toks", s + 1).alias("first_token"), F.element_at("_toks", e + 1).alias("last_token"))

@@ -12,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orchard.operators.ranking import split_row_number
 from orchard.operators.stats import fixed_point_mean_std
-from orchard.operators.text import (CASED_PATTERN, CLOSED_TAGS, NEGATIONS, lexicon_scores, rule_tag,
-                                    softmax_columns, tokenize)
+from orchard.operators.text import (CASED_PATTERN, CLOSED_TAGS, NEGATIONS, lexicon_scores, proper_noun_runs,
+                                    rule_tag, softmax_columns, tokenize)
 from orchard.sources import views as V
 
 SCORES = ["neg", "neu", "pos", "compound"]
@@ -106,18 +105,8 @@ def q_text_tags(spark, d):
 
 
 def q_text_entities(spark, d):
-    """Runs of consecutive proper-noun tokens; island id = position minus
-    the token's number among the document's proper nouns (gaps and
-    islands, with the skew-safe row number)."""
-    t = tokenize(V.reviews(spark, d), "id", "text", CASED_PATTERN, lower=False)
-    nnp = t.where(rule_tag(F.col("token"), F.col("pos")) == "NNP")
-    numbered = split_row_number(nnp, ["doc_id"], "pos", "_rn")
-    return (numbered.withColumn("_island", F.col("pos") - F.col("_rn"))
-            .groupBy("doc_id", "_island")
-            .agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"),
-                 F.count(F.lit(1)).alias("n_tokens"), F.min_by("token", "pos").alias("first_token"),
-                 F.max_by("token", "pos").alias("last_token"))
-            .drop("_island"))
+    """Runs of consecutive proper-noun tokens (the rule tagger's NNP)."""
+    return proper_noun_runs(V.reviews(spark, d), "id", "text")
 
 
 def q_model_sentiment(spark, d):
