@@ -116,45 +116,68 @@ def _classifiers(label: str, seed: int):
     }
 
 
-def classifier_accuracies(data: DataFrame, features: Sequence[str], label: str, seed: int = 42) -> DataFrame:
+def _fit_members(train: DataFrame, features: Sequence[str], label: str, seed: int) -> dict:
+    """Fit every MLlib member once; output columns are renamed per member so
+    the fitted models can score the same rows one after another."""
+    members = {}
+    for name, est in _classifiers(label, seed).items():
+        est = est.copy().setPredictionCol(f"_pred_{name}").setRawPredictionCol(f"_raw_{name}")
+        if name != "LinearSVC":
+            est = est.setProbabilityCol(f"_prob_{name}")
+        members[name] = Pipeline(stages=[assembler(features, f"_x_{name}"),
+                                         est.setFeaturesCol(f"_x_{name}")]).fit(train)
+    return members
+
+
+def classifier_accuracies(data: DataFrame, features: Sequence[str], label: str, seed: int = 42,
+                          key_col: str | None = None) -> DataFrame:
     """Train every member on the 'train' rows and tabulate test accuracy,
-    plus the soft vote of the members that give probabilities."""
+    plus the soft vote of the members that give probabilities (the same
+    fitted members, not refitted)."""
     data = data.withColumn(label, F.col(label).cast("double"))
     train = data.where(F.col("split") == "train").cache()
     test = data.where(F.col("split") == "test")
+    members = _fit_members(train, features, label, seed)
     rows = []
-    for name, est in _classifiers(label, seed).items():
-        model = Pipeline(stages=[assembler(features), est]).fit(train)
-        acc = accuracy_by_split(model.transform(test), label).collect()[0]["accuracy"]
-        rows.append((name, float(acc)))
-    votes = soft_vote_scores(data, features, label, None, seed)
+    for name, model in members.items():
+        hit = (F.col(f"_pred_{name}") == F.col(label)).cast("double")
+        rows.append((name, float(model.transform(test).agg(F.avg(hit)).collect()[0][0])))
+    rows.append(("KernelSVC", random_fourier_svc_accuracy(data, features, label, seed)))
+    rows.append(("AdaBoost", adaboost_accuracy(data, features, label)))
+    if key_col:
+        knn = knn_classify(train, test, key_col, features, label, k=5)
+        acc = (test.select(key_col, label).join(knn, key_col)
+               .agg(F.avg((F.col("prediction").cast("double") == F.col(label)).cast("double"))).collect()[0][0])
+        rows.append(("KNN", float(acc)))
+    votes = _soft_vote(test, members, label)
     acc = votes.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).collect()[0][0]
     rows.append(("SoftVote", float(acc)))
     train.unpersist()
     return data.sparkSession.createDataFrame(rows, "model string, accuracy double")
 
 
-def soft_vote_scores(data: DataFrame, features: Sequence[str], label: str, key: str | None,
-                     seed: int = 42) -> DataFrame:
-    """Average of the members' class-1 probabilities on the test rows,
-    class 1 when the average is at least one half.  Members score the same
-    rows one after another, so their columns line up without joins."""
+def _soft_vote(rows: DataFrame, members: dict, label: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
-    data = data.withColumn(label, F.col(label).cast("double"))
-    train = data.where(F.col("split") == "train")
-    scored = data.where(F.col("split") == "test")
-    probs = []
-    for name, est in _classifiers(label, seed).items():
+    scored, probs = rows, []
+    for name, model in members.items():
         if name == "LinearSVC":
             continue  # margins, not probabilities
-        model = Pipeline(stages=[assembler(features), est.copy().setPredictionCol("_pred")
-                                 .setProbabilityCol("_prob").setRawPredictionCol("_raw")]).fit(train)
         col = f"p_{name}"
-        scored = (model.transform(scored).withColumn(col, vector_to_array("_prob")[1])
-                  .drop("features", "_pred", "_prob", "_raw"))
+        scored = (model.transform(scored).withColumn(col, vector_to_array(f"_prob_{name}")[1])
+                  .drop(f"_x_{name}", f"_pred_{name}", f"_prob_{name}", f"_raw_{name}"))
         probs.append(col)
     avg = sum((F.col(c) for c in probs), F.lit(0.0)) / len(probs)
-    out = scored.withColumn("p_vote", avg).withColumn("prediction", (F.col("p_vote") >= 0.5).cast("double"))
+    return scored.withColumn("p_vote", avg).withColumn("prediction", (F.col("p_vote") >= 0.5).cast("double"))
+
+
+def soft_vote_scores(data: DataFrame, features: Sequence[str], label: str, key: str | None,
+                     seed: int = 42) -> DataFrame:
+    """Average of the members' class-1 probabilities on the test rows,
+    class 1 when the average is at least one half.  Members score the same
+    rows one after another, so their columns line up without joins."""
+    data = data.withColumn(label, F.col(label).cast("double"))
+    members = _fit_members(data.where(F.col("split") == "train"), features, label, seed)
+    out = _soft_vote(data.where(F.col("split") == "test"), members, label)
     keep = ([key] if key else []) + [label, "p_vote", "prediction"]
     return out.select(*keep)
 
@@ -263,3 +286,117 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, features: Seque
     votes = out.select(id_col, F.explode_outer("_ys").alias("_y")).groupBy(id_col, "_y").agg(F.count(F.lit(1)).alias("_c"))
     best = votes.groupBy(id_col).agg(F.min_by("_y", F.struct((-F.col("_c")).alias("c"), F.col("_y").alias("y"))).alias("prediction"))
     return best
+
+
+def standardizer(train: DataFrame, features: Sequence[str]):
+    """Mean/std of each feature on the train rows (model parameters, one
+    small aggregate) and a function that standardises columns with them."""
+    st = train.agg(*[F.avg(f).alias(f"m_{f}") for f in features],
+                   *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).collect()[0]
+    params = {f: (float(st[f"m_{f}"] or 0.0), float(st[f"s_{f}"] or 0.0) or 1.0) for f in features}
+
+    def apply(df: DataFrame, prefix: str = "z_") -> DataFrame:
+        return df.select("*", *[((F.col(f) - m) / s).alias(prefix + f) for f, (m, s) in params.items()])
+
+    return apply
+
+
+def random_fourier_svc_accuracy(data: DataFrame, features: Sequence[str], label: str, seed: int = 42,
+                                components: int = 200, reg: float = 0.01) -> float:
+    """RBF-kernel SVM approximated by random Fourier features (Rahimi &
+    Recht 2007): z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2*gamma), gamma =
+    1 / n_features on standardised inputs; then a linear SVM."""
+    import numpy as np
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+
+    d = len(features)
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0.0, np.sqrt(2.0 / d), size=(components, d))
+    b = rng.uniform(0, 2 * np.pi, size=components)
+    proj = F.lit([[float(x) for x in row] + [float(bi)] for row, bi in zip(w, b)])   # [w..., b] per component
+    scale = float(np.sqrt(2.0 / components))
+    train = data.where(F.col("split") == "train")
+    z = standardizer(train, features)
+    x = F.array(*[F.col("z_" + f) for f in features])
+    feats = F.transform(proj, lambda row: F.cos(F.aggregate(
+        F.zip_with(F.slice(row, 1, d), x, lambda a, c: a * c), F.element_at(row, d + 1), lambda acc, t: acc + t)) * scale)
+    out = z(data).select("split", F.col(label).cast("double").alias(label),
+                         array_to_vector(feats).alias("features")).cache()   # the optimiser passes many times
+    model = LinearSVC(featuresCol="features", labelCol=label, regParam=reg, maxIter=30).fit(
+        out.where(F.col("split") == "train"))
+    scored = model.transform(out.where(F.col("split") == "test"))
+    acc = float(scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).collect()[0][0])
+    out.unpersist()
+    return acc
+
+
+def adaboost_accuracy(data: DataFrame, features: Sequence[str], label: str, rounds: int = 50,
+                      bins: int = 32) -> float:
+    """Discrete AdaBoost (SAMME, two classes) with histogram stumps.
+
+    Features are binned once at train quantiles.  Each round is one
+    aggregate of weighted class sums per (feature, bin); the best stump
+    (feature, split, side labels) is chosen from that small table, its
+    weighted error gives alpha.  Row weights are exp(sum of alpha over the
+    stumps that missed the row), an expression of the bins, so rounds do
+    not stack DataFrame lineage."""
+    import math
+
+    import numpy as np
+
+    train = data.where(F.col("split") == "train")
+    test = data.where(F.col("split") == "test")
+    probs = [i / bins for i in range(1, bins)]
+    cuts = [sorted(set(q)) for q in train.approxQuantile(list(features), probs, 0.0005)]
+
+    def binned(df):
+        cols = [sum(((F.col(f) > F.lit(float(t))).cast("int") for t in cs), F.lit(0)).alias(f"_b{i}")
+                for i, (f, cs) in enumerate(zip(features, cuts))]
+        return df.select(F.col(label).cast("int").alias("_y"), *cols)
+
+    tr = binned(train).cache()
+    te = binned(test)
+    stumps = []  # (feature index, split k: bin <= k goes left, left label, right label, alpha)
+
+    def misses(st):
+        i, k, left, right, _ = st
+        pred = F.when(F.col(f"_b{i}") <= k, F.lit(left)).otherwise(F.lit(right))
+        return (pred != F.col("_y")).cast("double")
+
+    for _ in range(rounds):
+        wexpr = F.exp(sum((F.lit(st[4]) * misses(st) for st in stumps), F.lit(0.0)))
+        long = tr.select(wexpr.alias("_w"), "_y", F.explode(F.array(*[
+            F.struct(F.lit(i).alias("f"), F.col(f"_b{i}").alias("b")) for i in range(len(features))])).alias("_fb"))
+        hist = long.groupBy("_fb.f", "_fb.b").agg(
+            F.sum(F.when(F.col("_y") == 1, F.col("_w")).otherwise(0.0)).alias("w1"),
+            F.sum(F.when(F.col("_y") == 0, F.col("_w")).otherwise(0.0)).alias("w0")).collect()
+        best = None
+        for i in range(len(features)):
+            nb = len(cuts[i]) + 1
+            w1 = np.zeros(nb)
+            w0 = np.zeros(nb)
+            for r in hist:
+                if r["f"] == i:
+                    w1[r["b"]] += r["w1"]
+                    w0[r["b"]] += r["w0"]
+            total = w1.sum() + w0.sum()
+            c1, c0 = np.cumsum(w1), np.cumsum(w0)
+            for k in range(nb):
+                l1, l0 = c1[k], c0[k]
+                r1, r0 = c1[-1] - l1, c0[-1] - l0
+                left, right = (1 if l1 > l0 else 0), (1 if r1 > r0 else 0)
+                err = ((l0 if left == 1 else l1) + (r0 if right == 1 else r1)) / total
+                if best is None or err < best[0] - 1e-15:
+                    best = (err, i, k, left, right)
+        err = max(best[0], 1e-10)
+        if err >= 0.5:
+            break
+        stumps.append((best[1], best[2], best[3], best[4], math.log((1 - err) / err)))
+        if best[0] <= 1e-10:
+            break
+    tr.unpersist()
+    score = sum((F.lit(st[4]) * F.when(F.col(f"_b{st[0]}") <= st[1], F.lit(2 * st[2] - 1))
+                 .otherwise(F.lit(2 * st[3] - 1)) for st in stumps), F.lit(0.0))
+    pred = F.when(score > 0, 1).otherwise(0)
+    return float(te.agg(F.avg((pred == F.col("_y")).cast("double"))).collect()[0][0])

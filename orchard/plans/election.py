@@ -241,7 +241,7 @@ CLF_FEATURES = ["vote_share_2016", "vote_share_2021", "avg_sentiment_score", "gr
 
 def q_election_model_accuracy(spark, d):
     from orchard.operators.models import classifier_accuracies
-    return classifier_accuracies(_clf_input(spark, d), CLF_FEATURES, "historical_winner_label")
+    return classifier_accuracies(_clf_input(spark, d), CLF_FEATURES, "historical_winner_label", key_col="row_key")
 
 
 def q_soft_vote(spark, d):
