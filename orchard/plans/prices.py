@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orchard.sources import views as V
-from orchard.streaming.prices import extract_prices, price_history
+from orchard.streaming.prices import daily_price_frame, daily_prices, extract_prices, price_history
 
 COLS = ["page_id", "url", "seen_on", "title", "price"]
 
@@ -24,13 +24,15 @@ def q_price_history(spark, d):
     return price_history(spark, V.price_snapshots(spark, d)).select(*COLS).orderBy("seen_on", "page_id")
 
 
-def q_price_daily(spark, d):
+def price_daily_batch(spark, d):
+    """Batch twin of the daily-window stream."""
     p = extract_prices(V.price_snapshots(spark, d))
-    return (p.groupBy(F.window("seen_at", "1 day").alias("w"), "url")
-            .agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"),
-                 F.max_by("price", "seen_at").alias("last_price"), F.count(F.lit(1)).alias("n_snapshots"))
-            .select("url", F.to_date(F.col("w.start")).alias("day"), "min_price", "max_price", "last_price",
-                    "n_snapshots"))
+    return daily_price_frame(p).select("url", F.to_date(F.col("w.start")).alias("day"), "min_price", "max_price",
+                                       "last_price", "n_snapshots")
+
+
+def q_price_daily(spark, d):
+    return daily_prices(spark, V.price_snapshots(spark, d))
 
 
 QUERIES = {

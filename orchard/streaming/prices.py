@@ -48,3 +48,46 @@ def price_history(spark: SparkSession, snapshots: DataFrame) -> DataFrame:
         snapshots.where(F.col("seen_on") == F.lit(day)).coalesce(1).write.mode("append").parquet(landing)
     run_price_history(spark, landing, history, ckpt, snapshots.schema)
     return spark.read.parquet(history)
+
+
+def daily_price_frame(prices: DataFrame) -> DataFrame:
+    """Daily tumbling window per page: min, max, last price, snapshots."""
+    return (prices.groupBy(F.window("seen_at", "1 day").alias("w"), "url")
+            .agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"),
+                 F.max_by("price", "seen_at").alias("last_price"), F.count(F.lit(1)).alias("n_snapshots")))
+
+
+def run_daily_prices(spark: SparkSession, landing: str, out: str, checkpoint: str, schema,
+                     max_files: int = 1) -> None:
+    """Streaming daily windows in update mode.  Every micro-batch appends the
+    windows it changed, tagged with its batch id; readers keep the latest
+    version of each (url, day).  Re-running a batch after a failure appends
+    the same rows with the same id, so the result does not change."""
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing)
+    agg = daily_price_frame(extract_prices(src).withWatermark("seen_at", "2 days"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def latest_daily(spark: SparkSession, out: str) -> DataFrame:
+    t = spark.read.parquet(out)
+    best = F.max_by(F.struct("min_price", "max_price", "last_price", "n_snapshots"), F.col("_batch"))
+    return (t.groupBy("url", F.col("w.start").alias("start")).agg(best.alias("_r"))
+            .select("url", F.to_date("start").alias("day"), "_r.*"))
+
+
+def daily_prices(spark: SparkSession, snapshots: DataFrame) -> DataFrame:
+    """Land ``snapshots`` one file per day, run the daily-window stream, read
+    the latest window values."""
+    base = scratch_path(spark, "price-daily")
+    landing, out, ckpt = f"{base}/landing", f"{base}/windows", f"{base}/checkpoint"
+    days = [r[0] for r in snapshots.select("seen_on").distinct().orderBy("seen_on").collect()]
+    for day in days:
+        snapshots.where(F.col("seen_on") == F.lit(day)).coalesce(1).write.mode("append").parquet(landing)
+    run_daily_prices(spark, landing, out, ckpt, snapshots.schema)
+    return latest_daily(spark, out)

@@ -45,3 +45,11 @@ def test_stream_equals_batch(spark):
     stream = sorted(tuple(r) for r in Q["price_history"](spark, SMALL_DIR).collect())
     batch = sorted(tuple(r) for r in Q["page_extract"](spark, SMALL_DIR).collect())
     assert stream == batch
+
+
+def test_daily_stream_equals_batch(spark):
+    from orchard.plans.prices import price_daily_batch
+    stream = sorted(tuple(r) for r in Q["price_daily"](spark, SMALL_DIR).collect())
+    batch = sorted(tuple(r) for r in price_daily_batch(spark, SMALL_DIR).select(
+        "url", "day", "min_price", "max_price", "last_price", "n_snapshots").collect())
+    assert stream == batch
