@@ -14,6 +14,7 @@ boundary bucket per group (about 1/65,536 of the group) is ordered.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,3 +86,45 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
     mine = F.struct(row_hash(key, seed).alias("h"), F.col(key).alias("k"))
     return (df.join(thr, label, "left")
             .withColumn(out, F.when(mine <= F.col("_thr"), "test").otherwise("train")).drop("_thr"))
+
+
+def poisson_thresholds(max_k: int = 12) -> list[str]:
+    """Hex thresholds of the Poisson(1) CDF on 8-hex-digit hash prefixes:
+    a prefix below threshold k (and not below k-1) means weight k."""
+    out, cdf, p = [], 0.0, math.exp(-1.0)
+    for k in range(max_k):
+        cdf += p
+        out.append(format(min(int(cdf * 16 ** 8), 16 ** 8 - 1), "08x"))
+        p = p / (k + 1)
+    return out
+
+
+def poisson_weight(key: Column, replicate: Column, seed: int | str) -> Column:
+    """Deterministic Poisson(1) bootstrap weight of a row in a replicate,
+    from ``md5('seed:key:replicate')`` (no RNG state, same on every retry)."""
+    h8 = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(":"),
+                                    replicate.cast("string"))), 1, 8)
+    thresholds = poisson_thresholds()
+    expr = F.when(h8 < F.lit(thresholds[0]), F.lit(0))
+    for k, t in enumerate(thresholds[1:], start=1):
+        expr = expr.when(h8 < F.lit(t), F.lit(k))
+    return expr.otherwise(F.lit(len(thresholds)))
+
+
+def bootstrap_mean_ci(df: DataFrame, key: str, groups: Sequence[str], value: str, decimals: int,
+                      replicates: int = 200, seed: int = 11, level: float = 0.95) -> DataFrame:
+    """Percentile bootstrap interval of the mean per group with Poisson(1)
+    row weights (online bootstrap): every row is expanded to ``replicates``
+    weighted copies, weighted sums per (group, replicate) are exact
+    fixed-point sums, and the interval is taken over the replicate means.
+    Work is linear in rows x replicates; nothing is collected."""
+    g = list(groups)
+    scale = 10 ** decimals
+    rep = df.select(*g, F.col(key).alias("_key"), F.round(F.col(value) * scale).cast("decimal(38,0)").alias("_x"),
+                    F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
+    rep = rep.withColumn("_w", poisson_weight(F.col("_key"), F.col("_rep"), seed).cast("decimal(38,0)"))
+    means = rep.groupBy(*g, "_rep").agg((F.sum(F.col("_w") * F.col("_x")).cast("double") /
+                                         (F.sum("_w").cast("double") * scale)).alias("_m"))
+    lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
+    q = means.where(F.col("_m").isNotNull()).groupBy(*g).agg(F.percentile("_m", [lo, hi]).alias("_q"))
+    return q.select(*g, F.round(F.col("_q")[0], 6).alias("ci_low"), F.round(F.col("_q")[1], 6).alias("ci_high"))

@@ -80,12 +80,20 @@ def q_lexicon_sentiment(spark, d):
     return lexicon_table(spark, d)
 
 
+BOOT_REPLICATES, BOOT_SEED = 200, 11
+
+
 def q_reviews_mean_by_score(spark, d):
+    """Mean and std of each lexicon score per star, plus a 95% bootstrap
+    interval (Poisson weights) for the mean compound score: the numbers
+    behind a bar chart with error bars."""
+    from orchard.operators.sampling import bootstrap_mean_ci
     j = V.reviews(spark, d).select("id", "score").join(lexicon_table(spark, d), "id")
     aggs = []
     for c in SCORES:
         aggs += fixed_point_mean_std(F.col(f"vader_{c}"), 4 if c == "compound" else 3, c)
-    return j.groupBy("score").agg(F.count(F.lit(1)).alias("n_reviews"), *aggs)
+    ci = bootstrap_mean_ci(j, "id", ["score"], "vader_compound", 4, BOOT_REPLICATES, BOOT_SEED)
+    return j.groupBy("score").agg(F.count(F.lit(1)).alias("n_reviews"), *aggs).join(ci, "score", "left")
 
 
 def q_reviews_extreme_text(spark, d):
@@ -195,6 +203,18 @@ def _fp_sql(col: str, decimals: int, prefix: str) -> str:
             f"CASE WHEN {n} > 1 THEN sqrt(CAST({n} * {s2} - {s1} * {s1} AS DOUBLE) / CAST({n} * ({n} - 1) AS DOUBLE)) / {k} END AS std_{prefix}")
 
 
+def _boot_sql() -> str:
+    from orchard.operators.sampling import poisson_thresholds
+    th = poisson_thresholds()
+    h8 = f"substr(md5(concat('{BOOT_SEED}:', CAST(r.id AS VARCHAR), ':', CAST(b.rep AS VARCHAR))), 1, 8)"
+    w = "CASE " + " ".join(f"WHEN {h8} < '{t}' THEN {k}" for k, t in enumerate(th)) + f" ELSE {len(th)} END"
+    return f"""SELECT score, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM (
+      SELECT score, rep, CAST(sum(CAST({w} AS DECIMAL(38,0)) * CAST(round(vader_compound * 10000) AS DECIMAL(38,0))) AS DOUBLE)
+             / (CAST(sum(CAST({w} AS DECIMAL(38,0))) AS DOUBLE) * 10000) AS m
+      FROM reviews r JOIN lexs l ON r.id = l.id CROSS JOIN (SELECT unnest(range(0, {BOOT_REPLICATES})) AS rep) b
+      GROUP BY score, rep) t WHERE m IS NOT NULL GROUP BY score"""
+
+
 def _r(sql, extra):
     body = V.with_views("SELECT 1", "reviews", "lexicon")
     return body[: body.rindex("\nSELECT 1")] + f",\n{extra}\n{sql}"
@@ -208,9 +228,10 @@ ORACLE = {
            FROM (SELECT id, regexp_extract_all(lower(text), '[a-z]+') w FROM reviews) x""", "reviews"),
     "lexicon_sentiment": _r("SELECT * FROM lexs", _LEX),
     "reviews_mean_by_score": _r(
-        "SELECT r.score, count(*) AS n_reviews, " + ", ".join(_fp_sql(f"vader_{c}", 4 if c == "compound" else 3, c)
+        "SELECT * FROM (SELECT r.score, count(*) AS n_reviews, " + ", ".join(_fp_sql(f"vader_{c}", 4 if c == "compound" else 3, c)
                                                               for c in SCORES) +
-        " FROM reviews r JOIN lexs l ON r.id = l.id GROUP BY r.score", _LEX),
+        " FROM reviews r JOIN lexs l ON r.id = l.id GROUP BY r.score) m LEFT JOIN (" + _boot_sql() + ") b USING (score)",
+        _LEX),
     "reviews_extreme_text": _r(
         """SELECT * FROM (SELECT 'most positive 1-star' AS pick, id, text FROM (SELECT r.id, r.text FROM reviews r
              JOIN lexs l ON r.id = l.id WHERE r.score = 1 ORDER BY l.vader_pos DESC, r.id LIMIT 1) a
