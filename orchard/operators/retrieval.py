@@ -153,8 +153,10 @@ def vector_topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFram
     n = queries.count()
     v = vectors.select(F.col(id_col), _as_double_array(F.col(vec_col)).alias("_v"))
     if n <= max_literal:
+        from orchard.functions import json_literal
         rows = queries.select(*qkey, _as_double_array(F.col(qvec_col)).alias("_q")).collect()
-        qmat = F.lit([[float(x) for x in r["_q"]] for r in rows]) if rows else F.array()
+        # all query vectors as one constant-folded literal matrix
+        qmat = json_literal([[float(x) for x in r["_q"]] for r in rows], "array<array<double>>")
         keys = vectors.sparkSession.createDataFrame(
             [tuple([i] + [r[c] for c in qkey]) for i, r in enumerate(rows)],
             queries.select(F.lit(0).alias("_qi"), *qkey).schema) if rows else None
