@@ -48,13 +48,27 @@ def fit_logistic_accuracy(split_df: DataFrame, features: Sequence[str], label: s
     return accuracy_by_split(model.transform(data), label, split)
 
 
-def price_model_scores(homes: DataFrame, seed: int = 10) -> DataFrame:
+def train_or_load(spark, path: str, fit):
+    """Model store: load the PipelineModel at ``path`` if one was saved
+    there, otherwise fit, save and return it."""
+    from pyspark.ml import PipelineModel
+
+    from orchard.sources.files import path_exists
+    if path_exists(spark, f"{path}/metadata"):
+        return PipelineModel.load(path)
+    model = fit()
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+def price_model_scores(homes: DataFrame, seed: int = 10, model_path: str | None = None) -> DataFrame:
     """Train (or reuse) the linear price model and score the held-out rows.
 
     Location is one-hot encoded with the alphabetically first level
     dropped (``alphabetDesc`` + ``dropLast``).  The fitted PipelineModel is
-    written to the shared scratch folder and read back, as a stored model
-    would be on later runs."""
+    kept in a model store: with ``model_path`` an existing model there is
+    reused and a new one is saved there; without it the model goes to a fresh
+    scratch folder and is read back from it."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
     from pyspark.ml.regression import LinearRegression
@@ -77,9 +91,11 @@ def price_model_scores(homes: DataFrame, seed: int = 10) -> DataFrame:
                         outputCol="features"),
         LinearRegression(featuresCol="features", labelCol="price", solver="normal", regParam=0.0),
     ])
-    path = scratch_path(homes.sparkSession, "price-model")
-    pipe.fit(train).write().overwrite().save(path)
-    model = PipelineModel.load(path)
+    model = train_or_load(homes.sparkSession, model_path, lambda: pipe.fit(train)) if model_path else None
+    if model is None:
+        path = scratch_path(homes.sparkSession, "price-model")
+        pipe.fit(train).write().overwrite().save(path)
+        model = PipelineModel.load(path)
     scored = model.transform(data.where(F.col("split") == "test"))
     return scored.select("home_id", "location", "price", F.round("prediction", 2).alias("predicted_price"))
 
@@ -268,6 +284,11 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, features: Seque
 
     t = train.select(F.col(id_col).alias("_tid"), *[F.col(f).alias(f"_t{i}") for i, f in enumerate(features)],
                      F.col(label).alias("_y"))
+    # among identical train points only the k smallest ids can ever be
+    # chosen; keeping just those (partial window limit per point) bounds any
+    # grid cell made hot by duplicates
+    dup = Window.partitionBy(*[f"_t{i}" for i in range(d)]).orderBy("_tid")
+    t = t.withColumn("_dup", F.row_number().over(dup)).where(F.col("_dup") <= k).drop("_dup")
     t = t.withColumn("_cell", cell_of([F.col(f"_t{i}") for i in range(d)]))
     q = test.select(F.col(id_col), *[F.col(f).alias(f"_q{i}") for i, f in enumerate(features)])
     q = q.withColumn("_home", cell_of([F.col(f"_q{i}") for i in range(d)]))

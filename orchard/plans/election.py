@@ -162,11 +162,11 @@ def q_election_winner_label(spark, d):
 
 
 def q_election_named_winners(spark, d):
-    w = winners(base(spark, d))
+    from orchard.operators.relational import keep_existing
+    w = winners(base(spark, d)).withColumn("predicted_vote_share_2026", F.round("predicted_vote_share_2026", 6))
     lookup = V.constituency_lookup(spark, d)
-    return w.join(lookup, "constituency_no", "left").select(
-        "constituency_no", "constituency_name", "predicted_winner",
-        F.round("predicted_vote_share_2026", 6).alias("predicted_vote_share_2026"))
+    shown = ["constituency_no", "constituency_name", "predicted_winner", "predicted_vote_share_2026"]
+    return keep_existing(w.join(lookup, "constituency_no", "left"), shown)
 
 
 def q_election_party_share(spark, d):

@@ -104,8 +104,15 @@ def q_homes_locations(spark, d):
 
 
 def q_homes_price_model(spark, d):
+    """Train once per input folder and reuse the stored model afterwards."""
+    import hashlib
+
     from orchard.operators.models import price_model_scores
-    return price_model_scores(cleaned(V.homes(spark, d)), MODEL_SEED)
+    from orchard.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    store = spark.conf.get("spark.checkpoint.dir")
+    tag = hashlib.md5(f"{d}|{MODEL_SEED}".encode()).hexdigest()[:12]
+    return price_model_scores(cleaned(V.homes(spark, d)), MODEL_SEED, f"{store}/orchard-models/price-{tag}")
 
 
 QUERIES = {

@@ -58,11 +58,17 @@ def q_embed_chunks(spark, d):
     return vecs.select("doc_id", "chunk_no", "embedding")
 
 
+def write_collection(df, path: str):
+    """A named vector collection: (id, label, embedding) as Parquet."""
+    df.write.mode("overwrite").parquet(path)
+
+
 def q_vector_index(spark, d):
     """Write the vectors as a named collection (Parquet in the shared
-    scratch folder) and read the collection back."""
+    scratch folder) and read the collection back; ``drop_path`` removes a
+    collection (``DROP ... IF EXISTS``)."""
     path = scratch_path(spark, "collection-local-rag")
-    table(spark, d, "embeddings").select("vec_id", "label", "embedding").write.mode("overwrite").parquet(path)
+    write_collection(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), path)
     return spark.read.parquet(path)
 
 

@@ -42,3 +42,21 @@ def read_documents(spark: SparkSession, path: str, id_col: str) -> DataFrame:
     v = F.col("value")
     text = F.when(v.endswith("\n"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(v)
     return raw.select(F.col(id_col), F.input_file_name().alias("path"), text.alias("text"))
+
+
+def _fs_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the cluster file system (any Hadoop scheme)."""
+    fs, p = _fs_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Remove a written table / collection folder (``DROP ... IF EXISTS``)."""
+    fs, p = _fs_path(spark, path)
+    return bool(fs.delete(p, True)) if fs.exists(p) else False

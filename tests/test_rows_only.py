@@ -53,3 +53,26 @@ def test_daily_stream_equals_batch(spark):
     batch = sorted(tuple(r) for r in price_daily_batch(spark, SMALL_DIR).select(
         "url", "day", "min_price", "max_price", "last_price", "n_snapshots").collect())
     assert stream == batch
+
+
+def test_sources_guard_store_and_drop(spark, tmp_path):
+    import pytest
+
+    from orchard.operators.models import train_or_load
+    from orchard.sources.files import SourceMissing, drop_path, path_exists, read_csv
+    with pytest.raises(SourceMissing):
+        read_csv(spark, str(tmp_path / "missing.csv"), "a int")
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    calls = []
+
+    def fit():
+        calls.append(1)
+        return Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="v")]).fit(df)
+
+    path = str(tmp_path / "store" / "m")
+    train_or_load(spark, path, fit)
+    train_or_load(spark, path, fit)
+    assert len(calls) == 1                       # second call reused the stored model
+    assert path_exists(spark, path) and drop_path(spark, path) and not path_exists(spark, path)
