@@ -48,7 +48,8 @@ def exact_sample(df: DataFrame, key: str, need: DataFrame | int, seed: int | str
     if isinstance(need, int):
         counts = counts.withColumn("_need", F.lit(need).cast("bigint"))
     else:
-        counts = counts.join(need, g) if g else counts.join(need.select("_need"), how="inner")
+        # per-group needs join on the group; a single need is a scalar subquery
+        counts = counts.join(need, g) if g else counts.withColumn("_need", need.select("_need").scalar())
     before = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_p") \
         .rowsBetween(Window.unboundedPreceding, -1)
     plan = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
