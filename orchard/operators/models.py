@@ -251,17 +251,24 @@ def gaussian_nb_predict(df: DataFrame, params: list[dict], features: Sequence[st
 
 
 def knn_classify(train: DataFrame, test: DataFrame, id_col: str, features: Sequence[str], label: str,
-                 k: int = 5, per_cell: int = 20, max_rounds: int = 30) -> DataFrame:
+                 k: int = 5, per_cell: int = 20, max_rounds: int = 30, fine_levels: int = 3,
+                 crowd_factor: float = 8.0) -> DataFrame:
     """Exact k-nearest-neighbour majority vote (Euclidean; distance ties
     broken by train id, vote ties by the smaller label) without comparing
     every test row with every train row.
 
-    Train rows are put in a uniform grid (about ``per_cell`` rows per cell).
-    A test row looks at the train rows in the cells within radius ``r`` of
-    it, ranks them, and is settled once its k-th distance is at most ``r``
-    (nothing outside the searched cube can be nearer).  Unsettled rows try
-    again with ``r`` doubled; the unsettled set is checkpointed each round.
-    Output: (id, prediction)."""
+    Train rows are gridded at several resolutions: a base width giving about
+    ``per_cell`` rows per cell on average, and -- when the most crowded base
+    cell holds more than ``crowd_factor * per_cell`` rows -- ``fine_levels``
+    finer grids (width / 4, / 16, ...).  A test row first looks, on the finest grid, at
+    the cells next to its own; it is settled when it found k rows and its
+    k-th distance is within the searched radius (nothing outside the
+    searched cube can be nearer).  Rows not settled move to the next
+    coarser grid, and on the base grid the radius doubles until every row is
+    settled.  Dense regions are thus resolved on fine cells and never
+    compared cell-wide; identical train points keep only their k smallest
+    ids.  The unsettled set is checkpointed each round.  Output: (id,
+    prediction)."""
     import itertools
     import math
 
@@ -276,11 +283,6 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, features: Seque
     spans = [max(float(st[f"hi_{f}"] - st[f"lo_{f}"]), 1e-9) for f in features]
     width = (math.prod(spans) * per_cell / max(n_train, 1)) ** (1.0 / d)
     width = max(width, max(spans) / 1e6)
-    # scan cells only in dimensions that actually need more than one cell
-    cells_needed = [max(1, math.ceil(s / width)) for s in spans]
-
-    def cell_of(cols):
-        return F.array(*[F.floor(c / F.lit(width)).cast("long") for c in cols])
 
     t = train.select(F.col(id_col).alias("_tid"), *[F.col(f).alias(f"_t{i}") for i, f in enumerate(features)],
                      F.col(label).alias("_y"))
@@ -289,35 +291,53 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, features: Seque
     # grid cell made hot by duplicates
     dup = Window.partitionBy(*[f"_t{i}" for i in range(d)]).orderBy("_tid")
     t = t.withColumn("_dup", F.row_number().over(dup)).where(F.col("_dup") <= k).drop("_dup")
-    t = t.withColumn("_cell", cell_of([F.col(f"_t{i}") for i in range(d)]))
     q = test.select(F.col(id_col), *[F.col(f).alias(f"_q{i}") for i, f in enumerate(features)])
-    q = q.withColumn("_home", cell_of([F.col(f"_q{i}") for i in range(d)]))
 
-    done = []
-    radius = width
-    pending = q
-    for _ in range(max_rounds):
-        reach = [min(math.ceil(radius / width), c) for c in cells_needed]
+    def cell_of(cols, w):
+        return F.array(*[F.floor(c / F.lit(w)).cast("long") for c in cols])
+
+    def search(pending, w, reach, radius, everything):
         offsets = [list(o) for o in itertools.product(*[range(-s, s + 1) for s in reach])]
+        home = cell_of([F.col(f"_q{i}") for i in range(d)], w)
         probe = pending.withColumn("_cell", F.explode(F.transform(
-            F.lit(offsets), lambda o: F.zip_with(F.col("_home"), o, lambda a, b: a + b))))
-        pairs = probe.join(t, "_cell")
+            F.lit(offsets), lambda o: F.zip_with(home, o, lambda a, b: a + b))))
+        grid = t.withColumn("_cell", cell_of([F.col(f"_t{i}") for i in range(d)], w))
+        pairs = probe.join(grid, "_cell")
         dist = F.sqrt(sum(((F.col(f"_q{i}") - F.col(f"_t{i}")) * (F.col(f"_q{i}") - F.col(f"_t{i}"))
                            for i in range(d)), F.lit(0.0)))
-        w = Window.partitionBy(id_col).orderBy(F.asc("_d"), F.asc("_tid"))
+        order = Window.partitionBy(id_col).orderBy(F.asc("_d"), F.asc("_tid"))
         near = pairs.select(id_col, "_tid", "_y", dist.alias("_d")) \
-            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+            .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
         summary = near.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_dk"),
                                            F.collect_list("_y").alias("_ys"))   # at most k labels
-        everything = all(r >= c for r, c in zip(reach, cells_needed))
-        settled = F.col("_n") >= min(k, n_train)
-        settled = settled & ((F.col("_dk") <= F.lit(radius)) | F.lit(everything))
-        s = pending.select(id_col).join(summary, id_col, "left").withColumn("_ok", F.coalesce(settled, F.lit(everything)))
-        s = s.checkpoint(eager=True)
-        done.append(s.where("_ok").select(id_col, "_ys"))
-        pending = pending.join(s.where(~F.col("_ok")).select(id_col), id_col, "left_semi").checkpoint(eager=True)
+        settled = (F.col("_n") >= min(k, n_train)) & ((F.col("_dk") <= F.lit(radius)) | F.lit(everything))
+        res = pending.select(id_col).join(summary, id_col, "left") \
+            .withColumn("_ok", F.coalesce(settled, F.lit(everything))).checkpoint(eager=True)
+        rest = pending.join(res.where(~F.col("_ok")).select(id_col), id_col, "left_semi").checkpoint(eager=True)
+        return res.where("_ok").select(id_col, "_ys"), rest
+
+    done = []
+    pending = q
+    base_cells = t.groupBy(cell_of([F.col(f"_t{i}") for i in range(d)], width).alias("_c")).count()
+    crowded = (base_cells.agg(F.max("count")).collect()[0][0] or 0) > crowd_factor * per_cell
+    # fine grids first (only where the base grid has crowded cells): one ring
+    # of neighbour cells at each resolution
+    for lvl in (range(fine_levels, 0, -1) if crowded else []):
+        w = width / (4 ** lvl)
+        got, pending = search(pending, w, [1] * d, w, False)
+        done.append(got)
         if pending.isEmpty():
             break
+    # base grid: growing radius until everything is settled
+    cells_needed = [max(1, math.ceil(s / width)) for s in spans]
+    radius = width
+    for _ in range(max_rounds):
+        if pending.isEmpty():
+            break
+        reach = [min(math.ceil(radius / width), c) for c in cells_needed]
+        everything = all(r >= c for r, c in zip(reach, cells_needed))
+        got, pending = search(pending, width, reach, radius, everything)
+        done.append(got)
         radius *= 2
     out = done[0]
     for x in done[1:]:

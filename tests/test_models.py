@@ -37,8 +37,11 @@ def test_knn_matches_brute_force_with_duplicates_and_crowding(spark):
     schema = "id long, a double, b double, c double, y int"
     tdf = spark.createDataFrame([(i, *x, y) for i, x, y in train], schema)
     qdf = spark.createDataFrame([(i, *x, y) for i, x, y in test], schema)
-    got = {r.id: r.prediction for r in knn_classify(tdf, qdf, "id", ["a", "b", "c"], "y", k=5).collect()}
-    assert got == _brute_knn(train, test, 5)
+    want = _brute_knn(train, test, 5)
+    for crowd in (8.0, 0.5):     # base grid only / multi-resolution grids
+        got = {r.id: r.prediction for r in knn_classify(tdf, qdf, "id", ["a", "b", "c"], "y", k=5,
+                                                         crowd_factor=crowd).collect()}
+        assert got == want
 
 
 def _separable(spark, n=600):
