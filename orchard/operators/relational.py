@@ -118,13 +118,20 @@ def global_dense_rank(df: DataFrame, col: str, out: str = "_rank") -> DataFrame:
 
 def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
     """Index of each value in the sorted distinct values of its column
-    (0-based); NULL becomes -1.  The value -> code table is broadcast when
-    its (already counted) size is within the broadcast limit."""
+    (0-based); NULL becomes -1.  One HyperLogLog pass estimates every
+    column's distinct count (the estimate only picks the plan, both plans
+    are exact): small value sets are ranked in one ordered pass and
+    broadcast, large ones take the range-partitioned ranking."""
     from orchard.operators.joins import BROADCAST_MAX_ROWS
+    est = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).collect()[0]
     out = df
     for c in cols:
-        ranks, n = ranked_distinct(df, c, "_r")
-        ranks = F.broadcast(ranks) if n <= BROADCAST_MAX_ROWS else ranks
+        if est[c] <= 0.9 * min(SMALL_DISTINCT, BROADCAST_MAX_ROWS):
+            d = df.select(c).where(F.col(c).isNotNull()).distinct()
+            ranks = F.broadcast(d.select(c, F.dense_rank().over(Window.orderBy(c)).alias("_r")))
+        else:
+            ranks, n = ranked_distinct(df, c, "_r")
+            ranks = F.broadcast(ranks) if n <= BROADCAST_MAX_ROWS else ranks
         out = (out.join(ranks, c, "left")
                .withColumn(c + suffix, F.coalesce(F.col("_r") - 1, F.lit(-1)).cast("int")).drop("_r"))
     return out

@@ -150,11 +150,12 @@ def vector_topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFram
                 max_literal: int = MAX_LITERAL_QUERIES) -> DataFrame:
     """Exact k nearest vectors (Euclidean) for every query:
     (qkey..., rank, id, distance).  Ties by distance break on id."""
-    n = queries.count()
     v = vectors.select(F.col(id_col), _as_double_array(F.col(vec_col)).alias("_v"))
+    # one job both sizes and fetches the query set: at most max_literal + 1 rows
+    rows = queries.select(*qkey, _as_double_array(F.col(qvec_col)).alias("_q")).limit(max_literal + 1).collect()
+    n = len(rows)
     if n <= max_literal:
         from orchard.functions import json_literal
-        rows = queries.select(*qkey, _as_double_array(F.col(qvec_col)).alias("_q")).collect()
         # all query vectors as one constant-folded literal matrix
         qmat = json_literal([[float(x) for x in r["_q"]] for r in rows], "array<array<double>>")
         keys = vectors.sparkSession.createDataFrame(

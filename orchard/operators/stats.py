@@ -75,12 +75,13 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame
     names = [f"{a}\u0001{b}" for a, b in pairs]
     wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(n)
                     for (a, b), n in zip(pairs, names)])
-    long = wide.unpivot([], names, "_pair", "corr")
+    # both orientations of every cell from the one aggregate row
+    cells = [(n, f"{a}\u0001{b}") for (a, b), n in zip(pairs, names)]
+    cells += [(n, f"{b}\u0001{a}") for (a, b), n in zip(pairs, names) if a != b]
+    long = (wide.select(*[F.col(src).alias(dst) for src, dst in cells])
+            .unpivot([], [dst for _, dst in cells], "_pair", "corr"))
     parts = F.split("_pair", "\u0001")
-    upper = long.select(parts[0].alias("col_a"), parts[1].alias("col_b"), F.round("corr", digits).alias("corr"))
-    lower = upper.where(F.col("col_a") != F.col("col_b")).select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")
-    return upper.unionByName(lower)
+    return long.select(parts[0].alias("col_a"), parts[1].alias("col_b"), F.round("corr", digits).alias("corr"))
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
