@@ -151,19 +151,27 @@ def proper_noun_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, start_pos, end_pos, n_tokens, first_token, last_token): maximal
     runs of proper-noun tokens (rule tagger), found inside each document's
     row (no shuffle): a run starts at a proper noun whose predecessor is not
-    one and ends at one whose successor is not one."""
-    closed = F.array(*[F.lit(w) for ws in CLOSED_TAGS.values() for w in ws])
-    toks = F.regexp_extract_all(F.col(text_col), F.lit(CASED_PATTERN), 0)
-    base = docs.select(F.col(id_col).alias("doc_id"), toks.alias("_toks"))
-    flags = F.transform("_toks", lambda t, i: (i > 0) & t.rlike("^[A-Z][a-z]")
-                        & ~F.array_contains(closed, F.lower(t)))
-    base = base.withColumn("_nnp", flags)
-    n = F.size("_toks")
-    idx = F.sequence(F.lit(0), n - 1)
-    nnp = lambda i: F.element_at("_nnp", i + 1)
-    starts = F.filter(idx, lambda i: nnp(i) & ((i == 0) | ~nnp(F.greatest(i - 1, F.lit(0)))))
-    ends = F.filter(idx, lambda i: nnp(i) & ((i == n - 1) | ~nnp(F.least(i + 1, n - 1))))
-    runs = base.where(n > 0).select("doc_id", "_toks", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("_r"))
-    s, e = F.col("_r.s"), F.col("_r.e")
-    return runs.select("doc_id", s.alias("start_pos"), e.alias("end_pos"), (e - s + 1).cast("bigint").alias("n_tokens"),
-                       F.element_at("_toks", s + 1).alias("first_token"), F.element_at("_toks", e + 1).alias("last_token"))
+    one and ends at one whose successor is not one.  Predecessor/successor
+    flags come from whole-array shifts, the boundary tokens are filtered
+    inside the array, and only (start, end) pairs are exploded, so the work
+    is linear in the document and exploded rows never carry its arrays."""
+    closed = [w for ws in CLOSED_TAGS.values() for w in ws]
+    base = docs.select(F.col(id_col).alias("doc_id"),
+                       F.regexp_extract_all(F.col(text_col), F.lit(CASED_PATTERN), 0).alias("_toks"))
+    base = base.where(F.size("_toks") > 0).select(
+        "doc_id", "_toks",
+        F.transform("_toks", lambda t, i: (i > 0) & t.rlike("^[A-Z][a-z]") & ~F.lower(t).isin(closed)).alias("_nnp"))
+    toks, nnp = F.col("_toks"), F.col("_nnp")
+    n = F.size(toks)
+    prev = F.concat(F.array(F.lit(False)), F.slice(nnp, 1, n - 1))
+    nxt = F.concat(F.slice(nnp, 2, n - 1), F.array(F.lit(False)))
+    start_f = F.zip_with(nnp, prev, lambda a, b: a & ~b)
+    end_f = F.zip_with(nnp, nxt, lambda a, b: a & ~b)
+    z = F.arrays_zip(toks.alias("tok"), F.sequence(F.lit(0), n - 1).alias("i"), start_f.alias("s"), end_f.alias("e"))
+    mid = base.select("doc_id", z.alias("_z")).select(
+        "doc_id", F.filter("_z", lambda x: x["s"]).alias("_S"), F.filter("_z", lambda x: x["e"]).alias("_E"))
+    runs = mid.select("doc_id", F.explode(F.arrays_zip("_S", "_E")).alias("_r"))
+    s, e = F.col("_r._S"), F.col("_r._E")
+    return runs.select("doc_id", s["i"].alias("start_pos"), e["i"].alias("end_pos"),
+                       (e["i"] - s["i"] + 1).cast("bigint").alias("n_tokens"),
+                       s["tok"].alias("first_token"), e["tok"].alias("last_token"))

@@ -58,3 +58,33 @@ def test_fixed_chunks_cover_text(spark):
     assert got[1] == [(0, 7500)]
     assert sorted(got[2]) == [(0, 7500), (7400, 101)]
     assert sorted(got[3]) == [(0, 7500), (7400, 7500), (14800, 5200)]
+
+
+def test_proper_noun_runs_match_python(spark):
+    import re
+
+    from orchard.operators.text import CLOSED_TAGS, proper_noun_runs
+    closed = {w for ws in CLOSED_TAGS.values() for w in ws}
+    texts = ["Anna met Bob Smith in New York and The Hague.", "Alice", "see Paris, Rome; then The End",
+             "x " * 50 + "Big Long Name Here " * 30, "no names at all", ""]
+
+    def runs(text):
+        toks = re.findall("[A-Za-z]+", text)
+        flags = [i > 0 and re.match("^[A-Z][a-z]", t) is not None and t.lower() not in closed
+                 for i, t in enumerate(toks)]
+        out, i = [], 0
+        while i < len(toks):
+            if flags[i]:
+                j = i
+                while j + 1 < len(toks) and flags[j + 1]:
+                    j += 1
+                out.append((i, j, j - i + 1, toks[i], toks[j]))
+                i = j + 1
+            else:
+                i += 1
+        return out
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    got = sorted(tuple(r) for r in proper_noun_runs(df, "id", "text").collect())
+    want = sorted((k, *r) for k, t in enumerate(texts) for r in runs(t))
+    assert got == want
