@@ -35,21 +35,32 @@ def star_class(score: str = "score"):
     return F.when(s <= 2, 0.0).when(s == 3, 1.0).otherwise(2.0)
 
 
+def _worded(spark, d):
+    from pyspark.ml.feature import RegexTokenizer
+    r = V.reviews(spark, d).withColumn("label", star_class())
+    tok = RegexTokenizer(inputCol="text", outputCol="words", pattern="[a-z]+", gaps=False, toLowercase=True)
+    return tok.transform(r)
+
+
+def unscorable(spark, d):
+    """Rows the scorer cannot take (no words), with the reason; the scored
+    table leaves them out and this table reports them."""
+    return _worded(spark, d).where(F.coalesce(F.size("words"), F.lit(0)) == 0).select(
+        "id", F.lit("no words to score").alias("error"))
+
+
 def model_table(spark, d):
     """(id, roberta_neg, roberta_neu, roberta_pos) from a multinomial
     logistic regression over hashed word features, trained on the star
     classes; plus the rows it cannot score (no words) with the reason."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+    from pyspark.ml.feature import HashingTF, IDF
     from pyspark.ml.functions import vector_to_array
 
-    r = V.reviews(spark, d).withColumn("label", star_class())
-    tok = RegexTokenizer(inputCol="text", outputCol="words", pattern="[a-z]+", gaps=False, toLowercase=True)
-    words = tok.transform(r)
+    words = _worded(spark, d)
     ok = words.where(F.size("words") > 0)
-    errors = words.where(F.coalesce(F.size("words"), F.lit(0)) == 0).select(
-        "id", F.lit("no words to score").alias("error"))
+    errors = unscorable(spark, d)
     pipe = Pipeline(stages=[HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 18),
                             IDF(inputCol="tf", outputCol="features"),
                             LogisticRegression(family="multinomial", maxIter=50, regParam=0.01)])
@@ -122,7 +133,7 @@ def q_model_sentiment(spark, d):
 
 
 def q_model_sentiment_errors(spark, d):
-    return model_table(spark, d)[1]
+    return unscorable(spark, d)
 
 
 def q_reviews_scores_join(spark, d):
@@ -238,6 +249,9 @@ ORACLE = {
            UNION ALL SELECT 'most negative 5-star', id, text FROM (SELECT r.id, r.text FROM reviews r
              JOIN lexs l ON r.id = l.id WHERE r.score = 5 ORDER BY l.vader_neg DESC, r.id LIMIT 1) b) u""", _LEX),
     "text_tags": _r(f"SELECT doc_id, pos, token, {_tag_sql('token', 'pos')} AS tag FROM ct", _CASED),
+    "model_sentiment_errors": V.with_views(
+        """SELECT id, 'no words to score' AS error FROM reviews
+           WHERE coalesce(len(regexp_extract_all(lower(text), '[a-z]+')), 0) = 0""", "reviews"),
     "text_entities": _r(
         f"""SELECT doc_id, min(pos) AS start_pos, max(pos) AS end_pos, count(*) AS n_tokens,
               arg_min(token, pos) AS first_token, arg_max(token, pos) AS last_token FROM (

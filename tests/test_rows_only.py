@@ -76,3 +76,25 @@ def test_sources_guard_store_and_drop(spark, tmp_path):
     train_or_load(spark, path, fit)
     assert len(calls) == 1                       # second call reused the stored model
     assert path_exists(spark, path) and drop_path(spark, path) and not path_exists(spark, path)
+
+
+def test_price_stream_resumes_from_checkpoint(spark):
+    """A second run of the stream picks up only newly landed snapshot files:
+    no repeats, no gaps (the checkpoint records what was processed)."""
+    from orchard.session import scratch_path
+    from orchard.sources import views as V
+    from orchard.streaming.prices import run_price_history
+
+    snaps = V.price_snapshots(spark, SMALL_DIR)
+    base = scratch_path(spark, "resume-test")
+    landing, history, ckpt = f"{base}/landing", f"{base}/history", f"{base}/ckpt"
+    days = sorted(r[0] for r in snaps.select("seen_on").distinct().collect())
+    snaps.where(F.col("seen_on") == days[0]).write.mode("append").parquet(landing)
+    run_price_history(spark, landing, history, ckpt, snaps.schema)
+    first = spark.read.parquet(history).count()
+    for day in days[1:]:
+        snaps.where(F.col("seen_on") == day).write.mode("append").parquet(landing)
+    run_price_history(spark, landing, history, ckpt, snaps.schema)
+    out = spark.read.parquet(history)
+    assert first == snaps.where(F.col("seen_on") == days[0]).count()
+    assert out.count() == snaps.count() == out.select("url", "seen_on").distinct().count()
