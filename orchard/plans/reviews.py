@@ -118,6 +118,21 @@ def q_reviews_extreme_text(spark, d):
     return one.unionByName(five).where(F.col("id").isNotNull())
 
 
+def q_reviews_extreme_text_model(spark, d):
+    """The model-score picks of the same report: the 1-star review the
+    text model finds most positive and the 5-star one it finds most
+    negative (ties by smaller id), one aggregate pass each."""
+    m, _ = model_table(spark, d)
+    j = V.reviews(spark, d).select("id", "score", "text").join(m, "id")
+    one = j.where(F.col("score") == 1).agg(
+        F.min_by(F.struct("id", "text"), F.struct((-F.col("roberta_pos")).alias("k"), F.col("id"))).alias("r")) \
+        .select(F.lit("model: most positive 1-star").alias("pick"), "r.*")
+    five = j.where(F.col("score") == 5).agg(
+        F.min_by(F.struct("id", "text"), F.struct((-F.col("roberta_neg")).alias("k"), F.col("id"))).alias("r")) \
+        .select(F.lit("model: most negative 5-star").alias("pick"), "r.*")
+    return one.unionByName(five).where(F.col("id").isNotNull())
+
+
 def q_text_tags(spark, d):
     t = tokenize(V.reviews(spark, d), "id", "text", CASED_PATTERN, lower=False)
     return t.withColumn("tag", rule_tag(F.col("token"), F.col("pos")))
@@ -156,6 +171,7 @@ QUERIES = {
     "lexicon_sentiment": q_lexicon_sentiment,
     "reviews_mean_by_score": q_reviews_mean_by_score,
     "reviews_extreme_text": q_reviews_extreme_text,
+    "reviews_extreme_text_model": q_reviews_extreme_text_model,
     "text_tags": q_text_tags,
     "text_entities": q_text_entities,
     "model_sentiment": q_model_sentiment,

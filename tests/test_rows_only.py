@@ -98,3 +98,8 @@ def test_price_stream_resumes_from_checkpoint(spark):
     out = spark.read.parquet(history)
     assert first == snaps.where(F.col("seen_on") == days[0]).count()
     assert out.count() == snaps.count() == out.select("url", "seen_on").distinct().count()
+
+
+def test_extreme_text_model_picks(spark):
+    rows = Q["reviews_extreme_text_model"](spark, SMALL_DIR).collect()
+    assert {r.pick for r in rows} <= {"model: most positive 1-star", "model: most negative 5-star"} and rows
