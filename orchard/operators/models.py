@@ -96,8 +96,25 @@ def price_model_scores(homes: DataFrame, seed: int = 10, model_path: str | None
         path = scratch_path(homes.sparkSession, "price-model")
         pipe.fit(train).write().overwrite().save(path)
         model = PipelineModel.load(path)
-    scored = model.transform(data.where(F.col("split") == "test"))
-    return scored.select("home_id", "location", "price", F.round("prediction", 2).alias("predicted_price"))
+    return score_price_requests(model, data.where(F.col("split") == "test")).select(
+        "home_id", "location", "price", "predicted_price")
+
+
+def score_price_requests(model, requests: DataFrame, fallback: str = "other") -> DataFrame:
+    """Batch price scoring: requests (location, total_sqft, bath, bhk) through
+    the stored pipeline; a location the model has not seen is scored as
+    ``fallback`` (the rare-location group).  The known labels come from
+    the fitted indexer, so no data is collected."""
+    from pyspark.ml.feature import StringIndexerModel
+    labels = next((st.labelsArray[0] for st in model.stages if isinstance(st, StringIndexerModel)), None)
+    req = requests.withColumn("bhk", F.col("bhk").cast("double"))
+    if labels is not None:
+        req = req.withColumn("_loc_in", F.col("location")).withColumn(
+            "location", F.when(F.col("location").isin(list(labels)), F.col("location")).otherwise(F.lit(fallback)))
+    scored = model.transform(req).withColumn("predicted_price", F.round("prediction", 2))
+    if labels is not None:
+        scored = scored.withColumn("location", F.col("_loc_in")).drop("_loc_in")
+    return scored
 
 
 def growth_forest_mse(m: DataFrame, seed: int = 42, num_trees: int = 100) -> DataFrame:
