@@ -93,7 +93,9 @@ def recursive_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 7500
     def split_udf(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: recursive_split(t, size, overlap))
 
-    return df.select(F.col(id_col), F.posexplode(split_udf(F.col(text_col))).alias("chunk_no", "chunk"))
+    from orchard.sources.tables import spread
+    return spread(df.select(id_col, text_col)).select(
+        F.col(id_col), F.posexplode(split_udf(F.col(text_col))).alias("chunk_no", "chunk"))
 
 
 def fixed_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 7500,
@@ -104,7 +106,9 @@ def fixed_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 7500,
     n = F.length(text_col)
     count = F.when(n <= size, F.lit(1)).otherwise(1 + F.ceil((n - size) / F.lit(step)))
     starts = F.sequence(F.lit(0), ((count - 1) * step).cast("int"), F.lit(step))
-    return (df.select(F.col(id_col), F.col(text_col), F.posexplode(starts).alias("chunk_no", "chunk_start"))
+    from orchard.sources.tables import spread
+    return (spread(df.select(id_col, text_col))
+            .select(F.col(id_col), F.col(text_col), F.posexplode(starts).alias("chunk_no", "chunk_start"))
             .select(id_col, "chunk_no", "chunk_start",
                     F.substring(F.col(text_col), F.col("chunk_start") + 1, F.lit(size)).alias("chunk")))
 

@@ -35,8 +35,9 @@ CASED_PATTERN = "[A-Za-z]+"      # case kept (tagging, entities)
 
 def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = WORD_PATTERN,
              lower: bool = True, out: str = "token") -> DataFrame:
+    from orchard.sources.tables import spread
     text = F.lower(F.col(text_col)) if lower else F.col(text_col)
-    return df.select(F.col(id_col).alias("doc_id"),
+    return spread(df.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"),
                      F.posexplode(F.regexp_extract_all(text, F.lit(pattern), 0)).alias("pos", out))
 
 
@@ -155,8 +156,9 @@ def proper_noun_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     flags come from whole-array shifts, the boundary tokens are filtered
     inside the array, and only (start, end) pairs are exploded, so the work
     is linear in the document and exploded rows never carry its arrays."""
+    from orchard.sources.tables import spread
     closed = [w for ws in CLOSED_TAGS.values() for w in ws]
-    base = docs.select(F.col(id_col).alias("doc_id"),
+    base = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"),
                        F.regexp_extract_all(F.col(text_col), F.lit(CASED_PATTERN), 0).alias("_toks"))
     base = base.where(F.size("_toks") > 0).select(
         "doc_id", "_toks",

@@ -192,7 +192,8 @@ def constituency_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, word): lower-case letter runs of every document."""
-    d = table(spark, sf_dir, "documents")
+    from orchard.sources.tables import spread
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))
                     .alias("pos", "word"))
 
