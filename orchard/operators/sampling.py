@@ -8,8 +8,9 @@ an SQL engine with ``md5`` can reproduce them.
 ``exact_sample`` takes, per group, exactly ``n`` rows with the smallest hash.
 It never sorts a whole group: the hash prefix (4 hex digits, 65,536 buckets,
 uniform by construction) is counted per group with a map-side-combined
-aggregate; buckets below the n-th row are taken whole, and only the one
-boundary bucket per group (about 1/65,536 of the group) is ordered.
+aggregate; buckets below the n-th row are taken whole and the boundary
+bucket is cut at the remaining count.  Rows are numbered only within their
+bucket, so no window partition exceeds about 1/65,536 of a group.
 """
 
 from __future__ import annotations
@@ -56,12 +57,14 @@ def exact_sample(df: DataFrame, key: str, need: DataFrame | int, seed: int | str
             .where(F.col("_before") < F.col("_need"))
             .select(*g, "_p", (F.col("_need") - F.col("_before")).alias("_take"),
                     (F.col("_before") + F.col("_n") <= F.col("_need")).alias("_whole")))
+    # one selection pass: the input is read once more (after the counts),
+    # only rows of chosen buckets are shuffled, and each window partition is
+    # one hash bucket of one group (about 1/65,536 of the group)
     picked = keyed.join(plan, g + ["_p"])
-    whole = picked.where("_whole")
     w = Window.partitionBy(*g, "_p").orderBy("_h", key)
-    edge = (picked.where(~F.col("_whole"))
-            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_take")).drop("_rn"))
-    return whole.unionByName(edge).drop("_h", "_p", "_take", "_whole")
+    return (picked.withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_whole") | (F.col("_rn") <= F.col("_take")))
+            .drop("_h", "_p", "_take", "_whole", "_rn"))
 
 
 def sample_thresholds(df: DataFrame, key: str, need: DataFrame | int, seed: int | str = 42,
