@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orchard.operators.relational import group_argmax, rank_at_most, top_k
+from orchard.operators.relational import group_argmax, rank_at_most, share_pct, top_k
 from orchard.sources import views as V
 
 # fixed values: sentiment labels to scores, and the parties left out
@@ -139,8 +139,7 @@ def q_election_winners(spark, d):
 def q_election_win_counts(spark, d):
     w = winners(base(spark, d))
     counts = w.groupBy(F.col("predicted_winner").alias("party")).agg(F.count(F.lit(1)).alias("constituencies_won"))
-    total = counts.select(F.sum("constituencies_won")).scalar()
-    return counts.withColumn("share_pct", F.round(100 * F.col("constituencies_won") / total, 6)) \
+    return share_pct(counts, "constituencies_won").withColumn("share_pct", F.round("share_pct", 6)) \
         .orderBy(F.desc("constituencies_won"), "party")
 
 

@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from orchard.functions.parse import first_year
 from orchard.operators.relational import category_codes
 from orchard.operators.stats import corr_pairs, missing_percent, regression_line
 from orchard.sources import views as V
 
 
 def with_year(m):
-    y = F.nullif(F.regexp_extract("released", r"([0-9]{4})", 1), F.lit(""))
-    return m.withColumn("yearcorrect", y.try_cast("int"))
+    return m.withColumn("yearcorrect", first_year(F.col("released")))
 
 
 def complete(spark, d):
