@@ -131,3 +131,37 @@ def test_describe_large_group_path_equals_small(spark, monkeypatch):
     monkeypatch.setattr(Q, "FINAL_MAX", 40)
     large = sorted(map(tuple, describe(df, "v", ["g"]).collect()))
     assert small == large
+
+
+def test_vector_topk_block_path_equals_literal_path(spark):
+    from orchard.operators.retrieval import vector_topk
+    rnd = random.Random(4)
+    vecs = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(300)],
+                                 "vid long, v array<double>")
+    qs = spark.createDataFrame([(q, [rnd.uniform(-1, 1) for _ in range(8)]) for q in range(10)],
+                               "qid int, qv array<double>")
+    lit_path = sorted(map(tuple, vector_topk(vecs, "vid", "v", qs, ["qid"], "qv", 4).collect()))
+    block_path = sorted(map(tuple, vector_topk(vecs, "vid", "v", qs, ["qid"], "qv", 4, max_literal=3).collect()))
+    assert lit_path == block_path and len(lit_path) == 40
+
+
+def test_dense_rank_large_path(spark, monkeypatch):
+    from orchard.operators import relational as R
+    vals = [f"w{i:04d}" for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in vals for _ in range(2)], "c string")
+    monkeypatch.setattr(R, "SMALL_DISTINCT", 10)       # force the range-partitioned path
+    ranks, n = R.ranked_distinct(df, "c", "r")
+    assert n == 500
+    assert {r.c: r.r for r in ranks.collect()} == {v: i + 1 for i, v in enumerate(sorted(vals))}
+
+
+def test_exact_quantiles_global_with_refinement(spark, monkeypatch):
+    from orchard.operators import quantiles as Q
+    monkeypatch.setattr(Q, "FINAL_MAX", 30)
+    rnd = random.Random(8)
+    vals = [rnd.choice([0.5, 0.5, 2.0]) if i % 3 else rnd.gauss(10, 3) for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    probs = [0.1, 0.25, 0.5, 0.9]
+    got = {r.p: r.q for r in Q.exact_quantiles(df, "v", probs).collect()}
+    want = dict(zip(probs, df.agg(F.percentile("v", probs)).collect()[0][0]))
+    assert all(abs(got[p] - want[p]) <= 1e-9 * max(1.0, abs(want[p])) for p in probs)
