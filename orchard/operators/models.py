@@ -610,7 +610,7 @@ def hist_boost_accuracy(data: DataFrame, features: Sequence[str], label: str, gr
 
 
 def extra_trees_accuracy(data: DataFrame, features: Sequence[str], label: str, n_trees: int = 100,
-                         max_depth: int = 8, bins: int = 32, seed: int = 42) -> float:
+                         max_depth: int = 16, bins: int = 32, seed: int = 42) -> float:
     """Extremely randomised trees (Geurts et al. 2006), two classes, Gini.
 
     All trees grow level by level together.  Each row keeps an array with
@@ -620,13 +620,15 @@ def extra_trees_accuracy(data: DataFrame, features: Sequence[str], label: str, n
     candidates per node inside those ranges; a second aggregate counts the
     rows and positives going left for every candidate; the best candidate
     by Gini gain splits the node.  Rows move to child nodes with an in-row
-    ``transform`` over a dense split table passed as a literal.  The row
+    ``transform`` over a split table keyed by "tree:node" (one entry per open
+    node, a constant-folded map literal), so trees can grow deep.  The row
     state is checkpointed each level.  Leaves vote with their share of
     class 1; the forest averages the votes."""
     import math as _m
 
     import numpy as np
 
+    from orchard.functions import json_literal
     from orchard.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(data.sparkSession)
     rng = np.random.default_rng(seed)
@@ -639,25 +641,27 @@ def extra_trees_accuracy(data: DataFrame, features: Sequence[str], label: str, n
                                                      *binned_columns(features, cuts))
     bins_arr = F.array(*[F.col(f"_b{i}") for i in range(d)])
     state = tr.withColumn("_nodes", F.array_repeat(F.lit(0), n_trees)).cache()
-    leaf_p: dict = {}           # (tree, node) -> share of class 1
-    levels: list = []           # per level: (offset, width, table[tree][rel] = [f, k])
+    leaf_p: dict = {}           # "tree:node" -> share of class 1
+    levels: list = []           # per level: split map "tree:node" -> [f, k]
+
+    def key_of(t, node):
+        return F.concat(t.cast("string"), F.lit(":"), node.cast("string"))
 
     def exploded(st):
-        return st.select("_y", *[F.col(f"_b{i}") for i in range(d)], "_bins",
-                         F.posexplode("_nodes").alias("_t", "_n")).where(F.col("_n") >= 0)
+        return st.select("_y", "_bins", F.posexplode("_nodes").alias("_t", "_n")).where(F.col("_n") >= 0)
 
     for depth in range(max_depth + 1):
-        offset, width = (1 << depth) - 1, 1 << depth
         st = state.withColumn("_bins", bins_arr)
-        stats = exploded(st).groupBy("_t", "_n").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"),
-            *[F.min(f"_b{i}").alias(f"lo{i}") for i in range(d)],
-            *[F.max(f"_b{i}").alias(f"hi{i}") for i in range(d)]).collect()
+        stats = exploded(st).select("_t", "_n", "_y", *[F.element_at("_bins", i + 1).alias(f"_b{i}") for i in range(d)]) \
+            .groupBy("_t", "_n").agg(
+                F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"),
+                *[F.min(f"_b{i}").alias(f"lo{i}") for i in range(d)],
+                *[F.max(f"_b{i}").alias(f"hi{i}") for i in range(d)]).collect()
         if not stats:
             break
         cands = {}
         for r in stats:
-            key = (r["_t"], r["_n"])
+            key = f"{r['_t']}:{r['_n']}"
             n, pos = r["n"], r["pos"]
             leaf_p[key] = pos / n
             if depth == max_depth or n < 2 or pos in (0, n):
@@ -669,28 +673,22 @@ def extra_trees_accuracy(data: DataFrame, features: Sequence[str], label: str, n
             cands[key] = [(int(f), int(rng.integers(r[f"lo{f}"], r[f"hi{f}"]))) for f in chosen]
         if not cands:
             break
-        # dense candidate table: [tree][node - offset] -> [f1, k1, f2, k2, ...] (f = -1: none)
-        table = [[[-1, 0] * m for _ in range(width)] for _ in range(n_trees)]
-        for (t, node), cs in cands.items():
-            flat = []
-            for f, k in cs:
-                flat += [f, k]
-            table[t][node - offset] = flat + [-1, 0] * (m - len(cs))
-        flat = flat_literal([x for per_tree in table for per_node in per_tree for x in per_node])
-        ex = exploded(state.withColumn("_bins", bins_arr))
-        base_ix = ((F.col("_t") * width + (F.col("_n") - offset)) * (2 * m)).cast("int")
-        cand = lambda j, w: F.element_at(flat, base_ix + 2 * j + w)  # noqa: E731  (w = 1: feature, 2: bin)
-        scored = ex.select("_t", "_n", "_y", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: F.when(
-            cand(j, 1) >= 0, F.element_at(F.col("_bins"), cand(j, 1) + 1) <= cand(j, 2))))
-            .alias("_c", "_left")).where(F.col("_left").isNotNull())
+        cand_map = json_literal({k: [x for f, kk in cs for x in (f, kk)] for k, cs in cands.items()},
+                                "map<string,array<int>>")
+        ex = exploded(state.withColumn("_bins", bins_arr)).withColumn(
+            "_cand", F.element_at(cand_map, key_of(F.col("_t"), F.col("_n")))).where(F.col("_cand").isNotNull())
+        scored = ex.select("_t", "_n", "_y", F.posexplode(F.transform(
+            F.sequence(F.lit(0), (F.size("_cand") / 2 - 1).cast("int")),
+            lambda j: F.element_at(F.col("_bins"), F.element_at("_cand", 2 * j + 1) + 1) <= F.element_at("_cand", 2 * j + 2)))
+            .alias("_c", "_left"))
         counts = scored.groupBy("_t", "_n", "_c").agg(
             F.sum(F.col("_left").cast("int")).alias("nl"),
             F.sum((F.col("_left") & (F.col("_y") == 1)).cast("int")).alias("pl")).collect()
+        totals = {f"{r['_t']}:{r['_n']}": (r["n"], r["pos"]) for r in stats}
         by_node: dict = {}
         for r in counts:
-            by_node.setdefault((r["_t"], r["_n"]), []).append((r["_c"], r["nl"], r["pl"]))
-        split_table = [[[-1, 0] for _ in range(width)] for _ in range(n_trees)]
-        totals = {(r["_t"], r["_n"]): (r["n"], r["pos"]) for r in stats}
+            by_node.setdefault(f"{r['_t']}:{r['_n']}", []).append((r["_c"], r["nl"], r["pl"]))
+        splits = {}
         for key, rows in by_node.items():
             n, pos = totals[key]
             best = None
@@ -702,41 +700,34 @@ def extra_trees_accuracy(data: DataFrame, features: Sequence[str], label: str, n
                 if best is None or gini < best[0]:
                     best = (gini, cands[key][c])
             if best is not None:
-                t, node = key
-                split_table[t][node - offset] = [best[1][0], best[1][1]]
-        levels.append((offset, split_table))
-        flat_split = flat_literal([x for per_tree in split_table for pair in per_tree for x in pair])
-
-        def advance(node, t):
-            ix = ((t * width + (node - offset)) * 2).cast("int")
-            f, k = F.element_at(flat_split, ix + 1), F.element_at(flat_split, ix + 2)
-            go_left = F.element_at(bins_arr, f + 1) <= k
-            inside = (node >= offset) & (node < offset + width)
-            return F.when(node < 0, node).when(~inside, F.lit(-1)).when(f < 0, F.lit(-1)) \
+                splits[key] = [best[1][0], best[1][1]]
+        levels.append(splits)
+        split_map = json_literal(splits, "map<string,array<int>>")
+
+        def advance(node, t, split_map=split_map):
+            sp = F.element_at(split_map, key_of(t, node))
+            go_left = F.element_at(bins_arr, F.element_at(sp, 1) + 1) <= F.element_at(sp, 2)
+            return F.when(node < 0, node).when(sp.isNull(), F.lit(-1)) \
                 .otherwise(F.when(go_left, 2 * node + 1).otherwise(2 * node + 2))
 
         state = state.withColumn("_nodes", F.transform("_nodes", lambda node, t: advance(node, t))).checkpoint(eager=True)
 
-    # score the test rows: walk every tree through the recorded levels
-    walk = te.withColumn("_nodes", F.array_repeat(F.lit(0), n_trees))
-    def make_step(split_table, offset):
-        width = len(split_table[0])
-        flat_split = flat_literal([x for per_tree in split_table for pair in per_tree for x in pair])
+    # score the test rows: walk every tree through the recorded levels (a
+    # node without a split entry at a level stays where it is)
+    def make_step(splits):
+        split_map = json_literal(splits, "map<string,array<int>>")
 
         def step(node, t):
-            inside = (node >= offset) & (node < offset + width)
-            ix = ((t * width + F.greatest(node - offset, F.lit(0))) * 2).cast("int")
-            f, k = F.element_at(flat_split, ix + 1), F.element_at(flat_split, ix + 2)
-            go_left = F.element_at(bins_arr, F.greatest(f, F.lit(0)) + 1) <= k
-            return F.when(~inside | (f < 0), node).otherwise(F.when(go_left, 2 * node + 1).otherwise(2 * node + 2))
+            sp = F.element_at(split_map, key_of(t, node))
+            go_left = F.element_at(bins_arr, F.element_at(sp, 1) + 1) <= F.element_at(sp, 2)
+            return F.when(sp.isNull(), node).otherwise(F.when(go_left, 2 * node + 1).otherwise(2 * node + 2))
         return step
 
-    for offset, split_table in levels:
-        walk = walk.withColumn("_nodes", F.transform("_nodes", make_step(split_table, offset)))
-    max_node = max((node for _, node in leaf_p), default=0)
-    per_tree = max_node + 1
-    flat_leaf = flat_literal([leaf_p.get((t, node), 0.5) for t in range(n_trees) for node in range(per_tree)], "double")
-    votes = F.transform("_nodes", lambda node, t: F.element_at(flat_leaf, (t * per_tree + node + 1).cast("int")))
+    walk = te.withColumn("_nodes", F.array_repeat(F.lit(0), n_trees))
+    for splits in levels:
+        walk = walk.withColumn("_nodes", F.transform("_nodes", make_step(splits)))
+    leaf_map = json_literal(leaf_p, "map<string,double>")
+    votes = F.transform("_nodes", lambda node, t: F.coalesce(F.element_at(leaf_map, key_of(t, node)), F.lit(0.5)))
     p1 = F.aggregate(votes, F.lit(0.0), lambda acc, v: acc + v) / n_trees
     pred = (p1 >= 0.5).cast("int")
     return float(walk.agg(F.avg((pred == F.col("_y")).cast("double"))).collect()[0][0])
