@@ -165,3 +165,16 @@ def test_exact_quantiles_global_with_refinement(spark, monkeypatch):
     got = {r.p: r.q for r in Q.exact_quantiles(df, "v", probs).collect()}
     want = dict(zip(probs, df.agg(F.percentile("v", probs)).collect()[0][0]))
     assert all(abs(got[p] - want[p]) <= 1e-9 * max(1.0, abs(want[p])) for p in probs)
+
+
+def test_homes_edges_single_row_group_and_zero_bedrooms(spark):
+    from orchard.plans.homes import drop_price_outliers, plausible_area
+    df = spark.createDataFrame(
+        [(1, "solo", 1000.0, 0, 5000.0),          # only row of its location: std 0 -> dropped
+         (2, "pair", 1000.0, 2, 4000.0), (3, "pair", 1000.0, 2, 6000.0),
+         (4, "zero", 900.0, 0, 1.0)],             # 0 bedrooms: ratio undefined -> kept
+        "home_id int, location string, total_sqft double, bhk int, price_per_sqft double")
+    kept = {r.home_id for r in drop_price_outliers(df).collect()}
+    assert 1 not in kept and kept >= {3}           # (m - s, m + s]: the lower of a pair is out, the upper in
+    area = {r.home_id for r in plausible_area(df).collect()}
+    assert {4, 1} <= area and 2 in area            # 1000/2 = 500 >= 300 kept; zero bedrooms kept
