@@ -178,3 +178,18 @@ def test_homes_edges_single_row_group_and_zero_bedrooms(spark):
     assert 1 not in kept and kept >= {3}           # (m - s, m + s]: the lower of a pair is out, the upper in
     area = {r.home_id for r in plausible_area(df).collect()}
     assert {4, 1} <= area and 2 in area            # 1000/2 = 500 >= 300 kept; zero bedrooms kept
+
+
+def test_election_merge_null_keys_match_and_baseline(spark):
+    from orchard.plans.election import merged
+    hist = spark.createDataFrame([(1, None, 10.0, 20.0, True), (1, "DMK", 30.0, 35.0, False), (2, "IND", 5.0, 6.0, False)],
+                                 "constituency_no long, party string, vote_share_2016 double, vote_share_2021 double, winner_2021 boolean")
+    sent = spark.createDataFrame([(1, None, "Positive"), (1, "bjp", "Positive"), (1, "bjp", "Mixed"), (3, "new", "Neutral")],
+                                 "constituency_no long, party string, sentiment string")
+    rows = {(r.constituency_no, r.party): r for r in merged(hist, sent).collect()}
+    assert (1, None) in rows and rows[(1, None)].avg_sentiment_score == 1.0     # NULL party keys matched
+    assert (2, "IND") not in rows                                               # excluded party dropped
+    b = rows[(1, "BJP")]                                                        # upper-cased after the merge
+    assert (b.vote_share_2016, b.vote_share_2021, b.growth_2016_2021) == (18.0, 40.0, 22.0)   # baseline 9/20 x (1+1)
+    n = rows[(3, "NEW")]
+    assert (n.vote_share_2016, n.vote_share_2021, n.winner_2021) == (9.0, 20.0, False)
