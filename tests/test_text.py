@@ -88,3 +88,14 @@ def test_proper_noun_runs_match_python(spark):
     got = sorted(tuple(r) for r in proper_noun_runs(df, "id", "text").collect())
     want = sorted((k, *r) for k, t in enumerate(texts) for r in runs(t))
     assert got == want
+
+
+def test_price_extraction_edges(spark):
+    from orchard.streaming.prices import extract_prices
+    df = spark.createDataFrame(
+        [(1, "u1", "2024-01-01", " Shirt &amp; Tie ", "  Rs. 1,299.00 "), (2, "u2", "2024-01-01", "Cap", "price on request"),
+         (3, "u3", "2024-01-02", "", "Rs.799")],
+        "page_id long, url string, seen_on string, title string, price_text string") \
+        .withColumn("seen_on", F.col("seen_on").cast("date"))
+    got = {r.page_id: (r.title, r.price) for r in extract_prices(df).collect()}
+    assert got == {1: ("Shirt & Tie", 1299.0), 2: ("Cap", None), 3: ("", 799.0)}
