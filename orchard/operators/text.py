@@ -33,11 +33,23 @@ WORD_PATTERN = "[a-z]+"          # lower-cased letter runs (scoring)
 CASED_PATTERN = "[A-Za-z]+"      # case kept (tagging, entities)
 
 
+def first_word_position(text: Column, word: str) -> Column:
+    """Token position (0-based, tokens = lower-case letter runs) of the first
+    occurrence of ``word`` in an already lower-cased text, NULL if absent:
+    the number of letter runs before its first whole-word match."""
+    pat = f"(?<![a-z]){word}(?![a-z])"
+    at = F.regexp_instr(text, F.lit(pat))
+    before = F.size(F.regexp_extract_all(F.substring(text, F.lit(1), at - 1), F.lit(WORD_PATTERN), 0))
+    return F.when(at > 0, before)
+
+
 def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = WORD_PATTERN,
-             lower: bool = True, out: str = "token") -> DataFrame:
+             lower: bool = True, out: str = "token", keep=()) -> DataFrame:
+    """(doc_id, pos, token, *keep): one row per token; ``keep`` carries
+    per-document columns along."""
     from orchard.sources.tables import spread
     text = F.lower(F.col(text_col)) if lower else F.col(text_col)
-    return spread(df.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"),
+    return spread(df.select(id_col, text_col, *keep)).select(F.col(id_col).alias("doc_id"), *keep,
                      F.posexplode(F.regexp_extract_all(text, F.lit(pattern), 0)).alias("pos", out))
 
 
@@ -71,7 +83,7 @@ def neighbour_flags(tokens: DataFrame, flag: Column, out_prev: str, out_next: st
 
 
 def lexicon_scores(tokens: DataFrame, lexicon: DataFrame, word_col: str = "token",
-                   digits: bool = True) -> DataFrame:
+                   digits: bool = True, but_col: str | None = None) -> DataFrame:
     """neg / neu / pos / compound per document.
 
     valence: the lexicon value (0 for unknown words); times -0.74 when one
@@ -85,9 +97,13 @@ def lexicon_scores(tokens: DataFrame, lexicon: DataFrame, word_col: str = "token
     negated = (tokens.where(F.col(word_col).isin(NEGATIONS))
                .select("doc_id", F.explode(F.array(F.col("pos") + 1, F.col("pos") + 2, F.col("pos") + 3)).alias("pos"))
                .distinct().withColumn("_neg", F.lit(True)))
-    but = tokens.where(F.col(word_col) == "but").groupBy("doc_id").agg(F.min("pos").alias("_but"))
-    t = (tokens.join(lex, word_col, "left").join(negated, ["doc_id", "pos"], "left")
-         .join(but, "doc_id", "left").withColumn("_neg", F.coalesce("_neg", F.lit(False))))
+    t = tokens.join(lex, word_col, "left").join(negated, ["doc_id", "pos"], "left") \
+        .withColumn("_neg", F.coalesce("_neg", F.lit(False)))
+    if but_col:   # first "but" already known per document (see first_word_position)
+        t = t.withColumnRenamed(but_col, "_but")
+    else:
+        but = tokens.where(F.col(word_col) == "but").groupBy("doc_id").agg(F.min("pos").alias("_but"))
+        t = t.join(but, "doc_id", "left")
     v = F.coalesce(F.col("valence"), F.lit(0.0))
     v = F.when(F.col("_neg") & (v != 0), v * NEGATION_SCALAR).otherwise(v)
     v = (F.when(F.col("_but").isNull(), v)

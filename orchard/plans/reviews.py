@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orchard.operators.stats import fixed_point_mean_std
-from orchard.operators.text import (CASED_PATTERN, CLOSED_TAGS, NEGATIONS, lexicon_scores, proper_noun_runs,
-                                    rule_tag, softmax_columns, tokenize)
+from orchard.operators.text import (CASED_PATTERN, CLOSED_TAGS, NEGATIONS, first_word_position, lexicon_scores,
+                                    proper_noun_runs, rule_tag, softmax_columns, tokenize)
 from orchard.sources import views as V
 
 SCORES = ["neg", "neu", "pos", "compound"]
@@ -24,7 +24,8 @@ def lexicon_table(spark, d) -> DataFrame:
     """(id, vader_neg, vader_neu, vader_pos, vader_compound) for every
     review; a review without any word scores 0 everywhere."""
     r = V.reviews(spark, d)
-    s = lexicon_scores(tokenize(r, "id", "text"), V.lexicon(spark, d))
+    with_but = r.withColumn("_but", first_word_position(F.lower("text"), "but"))
+    s = lexicon_scores(tokenize(with_but, "id", "text", keep=["_but"]), V.lexicon(spark, d), but_col="_but")
     return (r.select("id").join(s.withColumnRenamed("doc_id", "id"), "id", "left")
             .select("id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"vader_{c}") for c in SCORES]))
 

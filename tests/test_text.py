@@ -99,3 +99,10 @@ def test_price_extraction_edges(spark):
         .withColumn("seen_on", F.col("seen_on").cast("date"))
     got = {r.page_id: (r.title, r.price) for r in extract_prices(df).collect()}
     assert got == {1: ("Shirt & Tie", 1299.0), 2: ("Cap", None), 3: ("", 799.0)}
+
+
+def test_first_word_position(spark):
+    from orchard.operators.text import first_word_position
+    df = spark.createDataFrame([("a butter but x",), ("but",), ("no b-u-t here",), ("x, but; but",), ("",)], "t string")
+    got = [r.p for r in df.select(first_word_position(F.col("t"), "but").alias("p")).collect()]
+    assert got == [2, 0, None, 1, None]
