@@ -193,3 +193,25 @@ def test_election_merge_null_keys_match_and_baseline(spark):
     assert (b.vote_share_2016, b.vote_share_2021, b.growth_2016_2021) == (18.0, 40.0, 22.0)   # baseline 9/20 x (1+1)
     n = rows[(3, "NEW")]
     assert (n.vote_share_2016, n.vote_share_2021, n.winner_2021) == (9.0, 20.0, False)
+
+
+def test_hash_split_fraction_and_partition_independence(spark):
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    a = hash_split(df, "k", 42)
+    b = hash_split(df.repartition(7), "k", 42)
+    share = a.where(F.col("split") == "test").count() / 20000
+    assert abs(share - 0.2) < 0.015
+    ta = {r.k for r in a.where(F.col("split") == "test").collect()}
+    tb = {r.k for r in b.where(F.col("split") == "test").collect()}
+    assert ta == tb
+
+
+def test_thresholds_select_exactly_the_sample(spark):
+    from orchard.operators.sampling import row_hash, sample_thresholds
+    df = spark.range(3000).withColumnRenamed("id", "k").withColumn("g", (F.col("k") % 4).cast("int"))
+    need = spark.createDataFrame([(0, 10), (1, 100), (2, 750), (3, 2000)], "g int, _need long")
+    sample = {r.k for r in exact_sample(df, "k", need, 5, ["g"]).collect()}
+    thr = sample_thresholds(df, "k", need, 5, ["g"])
+    mine = F.struct(row_hash("k", 5).alias("h"), F.col("k").alias("k"))
+    marked = {r.k for r in df.join(thr, "g").where(mine <= F.col("_thr")).collect()}
+    assert marked == sample and len(sample) == 10 + 100 + 750 + 750
