@@ -215,3 +215,14 @@ def test_thresholds_select_exactly_the_sample(spark):
     mine = F.struct(row_hash("k", 5).alias("h"), F.col("k").alias("k"))
     marked = {r.k for r in df.join(thr, "g").where(mine <= F.col("_thr")).collect()}
     assert marked == sample and len(sample) == 10 + 100 + 750 + 750
+
+
+def test_null_profile_and_missing_percent(spark):
+    from orchard.operators.stats import missing_percent, null_counts
+    df = spark.createDataFrame([(1, None, "x"), (2, 2.0, None), (None, 3.0, None), (4, 4.0, "y"),
+                                (5, 5.0, "z"), (6, 6.0, "w"), (7, 7.0, "v"), (8, 8.0, "u")],
+                               "a int, b double, c string")
+    nc = {r.column_name: (r.null_count, r.non_null_count) for r in null_counts(df).collect()}
+    assert nc == {"a": (1, 7), "b": (1, 7), "c": (2, 6)}
+    mp = {r.column_name: r.pct_missing for r in missing_percent(df).collect()}
+    assert mp == {"a": 12.0, "b": 12.0, "c": 25.0}      # 12.5 -> 12 (half to even), 25.0
