@@ -290,7 +290,7 @@ w AS (SELECT constituency_no, party AS predicted_winner, predicted_vote_share_20
 hw AS (SELECT constituency_no, party AS historical_winner FROM (
     SELECT *, row_number() OVER (PARTITION BY constituency_no ORDER BY vote_share_2021 DESC, party_raw) AS rn
     FROM p) x WHERE rn = 1),
-opts AS (SELECT concat(l.constituency_name, ' (', CAST(c.constituency_no AS VARCHAR), ')') AS display, c.constituency_no
+opts AS (SELECT l.constituency_name || ' (' || CAST(c.constituency_no AS VARCHAR) || ')' AS display, c.constituency_no
     FROM (SELECT DISTINCT constituency_no FROM p) c LEFT JOIN constituency_lookup l ON c.constituency_no = l.constituency_no)"""
 
 
