@@ -154,14 +154,10 @@ ll AS (SELECT t.txn_id, t.class, cls.c, ln(cls.prior)
   FROM sp t CROSS JOIN cls WHERE t.is_test)"""
 
 ORACLE = {
-    "knn_classify": V.with_views("SELECT 1", *_T)[: V.with_views("SELECT 1", *_T).rindex("\nSELECT 1")]
-    + ",\n" + f"""sp AS (SELECT *, substr({_h(SPLIT_SEED)}, 1, 8) < '33333333' AS is_test FROM transactions),
-pairs AS (SELECT q.txn_id, q.class, t.txn_id AS tid, t.class AS y,
-  sqrt((q.v1 - t.v1) * (q.v1 - t.v1) + (q.v2 - t.v2) * (q.v2 - t.v2) + (q.amount - t.amount) * (q.amount - t.amount)) AS d
-  FROM sp q JOIN sp t ON q.is_test AND NOT t.is_test),
-near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY d, tid) AS rn FROM pairs) r WHERE rn <= 5),
-votes AS (SELECT txn_id, class, y, count(*) AS c FROM near GROUP BY ALL)
-SELECT txn_id, class, CAST(arg_min(y, (-c, y)) AS INTEGER) AS prediction FROM votes GROUP BY txn_id, class""",
+    # knn_classify has no SQL twin: a brute-force SQL kNN compares every test
+    # row with every train row (quadratic; billions of pairs at sf0.1).  The
+    # operator is checked against a Python brute force on small fixtures
+    # (tests/test_models.py), with duplicated and crowded points.
     "gaussian_nb": V.with_views("SELECT 1", *_T)[: V.with_views("SELECT 1", *_T).rindex("\nSELECT 1")]
     + ",\n" + _NB_SPLIT + """
 SELECT txn_id, class, CAST(c AS INTEGER) AS prediction FROM (
