@@ -82,6 +82,14 @@ def neighbour_flags(tokens: DataFrame, flag: Column, out_prev: str, out_next: st
             .where(~F.col("_ctx")).drop("_f", "_b", "_ctx"))
 
 
+def round_half_away(c: Column, n: int) -> Column:
+    """Round half away from zero on the binary value,
+    sign(x) * floor(|x| * 10^n + 0.5) / 10^n: plain IEEE operations, so every
+    engine (and the SQL oracle) gives the same double, ties included."""
+    scale = float(10 ** n)
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
+
+
 def lexicon_scores(tokens: DataFrame, lexicon: DataFrame, word_col: str = "token",
                    digits: bool = True, but_col: str | None = None) -> DataFrame:
     """neg / neu / pos / compound per document.
@@ -118,7 +126,7 @@ def lexicon_scores(tokens: DataFrame, lexicon: DataFrame, word_col: str = "token
     total = F.col("_pos") + F.abs(F.col("_negs")) + F.col("_neu")
     compound = F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + NORMALISATION_ALPHA)
     share = lambda c: F.when(total > 0, F.abs(c / total)).otherwise(0.0)
-    r = (lambda c, n: F.round(c, n)) if digits else (lambda c, n: c)
+    r = (lambda c, n: round_half_away(c, n)) if digits else (lambda c, n: c)
     return agg.select("doc_id", r(share(F.col("_negs")), 3).alias("neg"), r(share(F.col("_neu")), 3).alias("neu"),
                       r(share(F.col("_pos")), 3).alias("pos"), r(compound, 4).alias("compound"))
 

@@ -188,6 +188,12 @@ def _list(words):
     return ", ".join(f"'{w}'" for w in words)
 
 
+def _rh(x: str, n: int) -> str:
+    """SQL twin of round_half_away."""
+    k = float(10 ** n)
+    return f"(CAST(sign({x}) AS DOUBLE) * floor(abs({x}) * {k} + 0.5) / {k})"
+
+
 _LEX = f"""rt AS (SELECT id AS doc_id, CAST(generate_subscripts(w,1)-1 AS INTEGER) AS pos, unnest(w) AS word
     FROM (SELECT id, regexp_extract_all(lower(text), '[a-z]+') w FROM reviews) x),
 nt AS (SELECT *, coalesce(bool_or(word IN ({_list(NEGATIONS)})) OVER (PARTITION BY doc_id ORDER BY pos
@@ -200,10 +206,10 @@ vv AS (SELECT lv.doc_id, CASE WHEN bt.b IS NULL THEN v1 WHEN lv.pos < bt.b THEN
 ag AS (SELECT doc_id, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0.0 END) AS ps,
     sum(CASE WHEN v < 0 THEN v - 1 ELSE 0.0 END) AS ns, sum(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END) AS nu FROM vv GROUP BY doc_id),
 sc AS (SELECT doc_id, ps + abs(ns) + nu AS tot, * FROM ag),
-lexs AS (SELECT r.id, coalesce(round(CASE WHEN tot > 0 THEN abs(ns / tot) ELSE 0.0 END, 3), 0.0) AS vader_neg,
-    coalesce(round(CASE WHEN tot > 0 THEN abs(nu / tot) ELSE 0.0 END, 3), 0.0) AS vader_neu,
-    coalesce(round(CASE WHEN tot > 0 THEN abs(ps / tot) ELSE 0.0 END, 3), 0.0) AS vader_pos,
-    coalesce(round(s / sqrt(s * s + 15), 4), 0.0) AS vader_compound
+lexs AS (SELECT r.id, coalesce({_rh("CASE WHEN tot > 0 THEN abs(ns / tot) ELSE 0.0 END", 3)}, 0.0) AS vader_neg,
+    coalesce({_rh("CASE WHEN tot > 0 THEN abs(nu / tot) ELSE 0.0 END", 3)}, 0.0) AS vader_neu,
+    coalesce({_rh("CASE WHEN tot > 0 THEN abs(ps / tot) ELSE 0.0 END", 3)}, 0.0) AS vader_pos,
+    coalesce({_rh("s / sqrt(s * s + 15)", 4)}, 0.0) AS vader_compound
     FROM reviews r LEFT JOIN sc ON r.id = sc.doc_id)"""
 
 
