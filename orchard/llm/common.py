@@ -171,11 +171,11 @@ def release(spark: SparkSession) -> None:
 BROADCAST_ROWS = 1 << 20
 
 
-def semi_join(df: DataFrame, ids: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids`` (long columns only): broadcast
-    when the counted ids fit ``limit`` rows, a shuffled join beyond it."""
+def semi_join(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (with how="left_anti": is not), long columns
+    only: broadcast when the counted ids fit ``limit`` rows, a shuffled join beyond it."""
     few = ids.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(ids) if few else ids.hint("merge"), on, "left_semi")
+    return df.join(F.broadcast(ids) if few else ids.hint("merge"), on, how)
 
 
 def spread(df: DataFrame) -> DataFrame:

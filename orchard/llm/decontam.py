@@ -88,13 +88,13 @@ def char_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(at[s][0], at[e - 1][1]) for s, e in ranges]
 
 
-OUT = "doc_id {id}, n_words long, n_hit long, items array<string>, hit_spans array<struct<start:long,end:long>>"
+HITS = "n_words long, n_hit long, items array<string>, hit_spans array<struct<start:long,end:long>>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
-                       max_bytes: int = 32 << 20) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: n_words, n_hit, items (sorted
-    ids as strings) and hit_spans, character ranges of the original text."""
+def scan_rows(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` (a column text among them) with n_words, n_hit, items (sorted ids
+    as strings) and hit_spans, character ranges of the original text; columns of those
+    names are replaced."""
     spark = docs.sparkSession
     groups, size = [[]], 0
     for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
@@ -104,27 +104,33 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             size = len(r[1] or "")
         groups[-1].append((r[0], r[1]))
     patterns = [spark.sparkContext.broadcast(item_windows(g, window)) for g in groups]
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.drop("n_words", "n_hit", "items", "hit_spans")
     cache: list = []
 
     def scan(batches):
         if not cache:
             cache.extend(build_automaton(p.value) for p in patterns)
         for b in batches:
-            rows = {"n_words": [], "n_hit": [], "items": [], "hit_spans": []}
+            n_words, n_hit, items, spans = [], [], [], []
             for t in b.column("text").to_pylist():
                 n, ranges, ids = scan_text(t, cache)
-                rows["n_words"].append(n)
-                rows["n_hit"].append(sum(e - s for s, e in ranges))
-                rows["items"].append(sorted(i for i in ids if i is not None))
-                rows["hit_spans"].append([{"start": s, "end": e} for s, e in char_spans(t, ranges)] if ranges else [])
+                n_words.append(n)
+                n_hit.append(sum(e - s for s, e in ranges))
+                items.append(sorted(i for i in ids if i is not None))
+                spans.append([{"start": s, "end": e} for s, e in char_spans(t, ranges)] if ranges else [])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(rows["n_words"], pa.int64()), pa.array(rows["n_hit"], pa.int64()),
-                 pa.array(rows["items"], pa.list_(pa.string())),
-                 pa.array(rows["hit_spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["doc_id", "n_words", "n_hit", "items", "hit_spans"])
+                [*b.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())),
+                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                [*b.schema.names, "n_words", "n_hit", "items", "hit_spans"])
 
-    return spread(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(scan, OUT.format(id=id_type))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return spread(docs).mapInArrow(scan, f"{schema}, {HITS}")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_hit, items, hit_spans."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return scan_rows(docs, benchmark, window).drop("text")
 
 
 def digest(found: DataFrame) -> DataFrame:

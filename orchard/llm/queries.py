@@ -23,6 +23,24 @@ def q_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, path)
 
 
+def q_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    from orchard.llm.langid import language_ids
+    return language_ids(table(spark, sf_dir, "documents"))
+
+
+def q_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 4-word shingles and a Jaccard index of at least 0.85."""
+    from orchard.llm.jaccard import Rule, near_copies
+    return near_copies(table(spark, sf_dir, "documents"), Rule(4, 85, 100))
+
+
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels that are not held out."""
+    from orchard.llm.quality import quality_scores
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document placed on one of 64 shards."""
     from orchard.llm.sharding import SHARDS, place
@@ -35,17 +53,42 @@ def q_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def q_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the backoff model and the unigram base."""
+    from orchard.llm.lm import lm_scores
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def q_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into bins of 2,048 tokens."""
+    from orchard.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def q_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, by its own notice or from the nearest directory."""
+    from orchard.llm.licenses import document_licences
+    return document_licences(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_topk": q_topk,
     "op2_token_store": q_token_store,
+    "op3_language_id": q_language_id,
+    "op4_ngram_jaccard": q_jaccard,
+    "op5_quality": q_quality,
     "op6_sharding": q_sharding,
     "op7_decontaminate": q_decontaminate,
+    "op8_lm_scoring": q_lm,
+    "op9_packing": q_packing,
+    "op10_licences": q_licences,
 }
 
 
 def _oracles() -> dict[str, str]:
-    from orchard.llm import decontam, sharding, topk
-    return {"op1_exact_topk": topk.ORACLE, "op6_sharding": sharding.oracle(), "op7_decontaminate": decontam.ORACLE}
+    from orchard.llm import decontam, licenses, sharding, topk
+    return {"op1_exact_topk": topk.ORACLE, "op6_sharding": sharding.oracle(), "op7_decontaminate": decontam.ORACLE,
+            "op10_licences": licenses.oracle()}
 
 
 ORACLE = _oracles()
