@@ -33,6 +33,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orchard.llm.common import stored
+
 # fixed values: short notices by SPDX identifier
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -126,7 +128,7 @@ def scan(files: DataFrame, declares: Column, keep: list[str], threshold: float =
     ``declares`` says on (path, line, n_lines, license) whether a file with a notice speaks for its directory."""
     # names of our own, so that no column of ``keep`` can clash
     rows = files.select(F.struct(*keep).alias("kept"), "path", "text").withColumn("h", F.xxhash64("text"))
-    found = notices(rows.select("path", "h", "text"), threshold)
+    found = stored(notices(rows.select("path", "h", "text"), threshold), "notices")  # read twice below
     speaking = (found.where(declares).select(directory(F.col("path")).alias("dir"), "license").where("dir is not null")
                 .groupBy("dir", "license").agg(F.count("*").alias("n"))
                 .groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("neg"), "license")).alias("m"))
