@@ -42,7 +42,8 @@ from orchard.llm.common import stored
 from orchard.session import scratch_path
 
 SEEK_MAGIC, SEEK_FOOT, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_200_000  # about 200 bytes each
+TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class PieceEncoder:
@@ -50,39 +51,75 @@ class PieceEncoder:
 
     The library cuts a text at word borders before merging, so the ids of a
     text whose white space is only single spaces and single line ends are the
-    ids of its pieces (" word", "\\nword") one after another.  Each distinct
-    piece goes through the library once while it stays in the cache; any other
-    text goes through it whole.
+    ids of its pieces (" word", "\\nword") one after another, and a trailing
+    run of ASCII punctuation is a unit of its own.  New pieces go through the
+    library together, as one text each for those that begin with a space and with
+    a line end; the only ids that begin with a space (or are a line end) are the
+    first of their pieces, which gives the borders back.  Any other text goes
+    through the library whole.
     """
 
     def __init__(self, path: str, dtype=np.uint32, cache: int = CACHE_PIECES):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.dtype, self.limit, self.cache = np.dtype(dtype), cache, {}
-        self.line = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.dtype, self.limit, self.cache, self.tails = np.dtype(dtype), cache, {}, {}
+        self.line_id = self._ids("\n")[0]
+        self.line = np.array([self.line_id], self.dtype).tobytes()
+        vocab = self.tok.get_vocab()
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the byte-level sign for a space
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._ids(text), self.dtype).tobytes()
+
+    def _learn(self, pieces: list[str], lines: bool) -> None:
+        """Cache pieces that all begin with a line end, or all with a space (left out here)."""
+        for i in range(0, len(pieces), 50_000):
+            some = pieces[i:i + 50_000]
+            ids = np.array(self._ids("".join(some) if lines else " " + " ".join(some)), np.uint32)
+            at = np.flatnonzero(ids == self.line_id if lines else self.spaced[ids])
+            if len(at) != len(some):  # a piece with a border inside: one by one
+                self.cache.update((p, self._whole(p if lines else " " + p)) for p in some)
+                continue
+            w, raw = self.dtype.itemsize, ids.astype(self.dtype).tobytes()
+            cut = (np.append(at, len(ids)) * w).tolist()
+            self.cache.update((p, raw[x:y]) for p, x, y in zip(some, cut, cut[1:], strict=False))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if not text.replace("\n", "").isprintable():  # other white space, controls
+            return self._whole(text)
         parts = text.replace("\n", " \n").split(" ")
-        words = text.split()
-        # regular: as many words as parts, i.e. no other or doubled white space
-        if len(words) != len(parts) or not text.isprintable() and not text.replace("\n", "").isprintable():
-            return self._ids([text])[0]
         parts[0] = "\n" + parts[0]
-        new = set(parts).difference(self.cache)
+        different = set(parts)
+        if "" in different or "\n" in different:  # doubled, leading or trailing white space
+            return self._whole(text)
+        cache = self.cache
+        new = different.difference(cache)
         if new:
-            if len(self.cache) + len(new) > self.limit:
-                self.cache.clear()
-                new = set(parts)
-            new = list(new)
-            self.cache.update(zip(new, self._ids([p if p[0] == "\n" else " " + p for p in new]), strict=True))
-        return b"".join(map(self.cache.__getitem__, parts))[len(self.line):]
+            if len(cache) + 2 * len(new) > self.limit:
+                cache.clear()
+                new = different
+            tailed = {}
+            for p in new:
+                if p[-1] in TAIL and (core := p.rstrip(TAIL)) and core[-1].isalpha():
+                    tailed[p] = core
+            need = {tailed.get(p, p) for p in new}.difference(cache)
+            self._learn([p for p in need if p[0] != "\n"], False)
+            self._learn([p for p in need if p[0] == "\n"], True)
+            for p, core in tailed.items():
+                tail = p[len(core):]
+                if tail not in self.tails:
+                    if len(self.tails) > self.limit // 8:
+                        self.tails.clear()
+                    self.tails[tail] = self._whole(tail)
+                cache[p] = cache[core] + self.tails[tail]
+        return b"".join(map(cache.__getitem__, parts))[len(self.line):]
 
 
 def pack_file(docs: Iterable[tuple[int | None, bytes]], out, dtype, level: int = 3) -> tuple[int, int]:
