@@ -21,11 +21,13 @@ shared keys sum to fewer than t = points - H points has no partner.  The larger
 set of a pair probes; it may leave out its commonest keys as long as they sum to
 at most t - 1 points less than it must find, since a partner shares t points.
 
-Verification.  In every bucket of equal keys the smallest prober leads and meets
-the other members (a star, linear in the bucket); pairs are counted exactly on
-the whole hash sets.  Buckets whose members are then in different components go
-on: all pairs of a bucket of at most ``small`` sets, up to ``leaders`` new leaders
-in a larger one, until no prober is left.  A pair of different texts is either
+Verification.  First round: every bucket's members against its best connected set
+(a star, linear in the bucket), counted exactly on the whole hash sets, gives
+components.  Second round, complete: in every bucket whose members are still in
+different components, each prober meets the members of other components - all
+pairs of a bucket of at most ``small`` sets, and in larger ones block by block
+inside a task, which counts the pair's shared keys and emits only pairs that
+reach the points every linked pair shares.  A pair of different texts is either
 checked or already connected.  Nothing is capped.
 
 Copies.  Equal sets (128-bit digest and size) are collapsed before the join and
@@ -50,6 +52,7 @@ from pyspark.sql import functions as F
 from orchard.llm.common import U, blocks, mix, release, semi_join, spread, stored, text_buffers, word_hashes
 from orchard.llm.components import components
 
+ELEMENTS = 1 << 20  # set elements of a block
 GROW = 1.5  # ratio of neighbouring bands
 CHECK, SHARED = 40.0, 0.5  # cost of checking a pair, in index keys; chance that an element is shared by accident
 
@@ -212,6 +215,12 @@ def _sets(k: int):
     return run
 
 
+def _set_table(ids: DataFrame, docs: DataFrame, sets_of: DataFrame, rule: Rule) -> DataFrame:
+    """(id, s): the sorted hash set of every set id in ``ids(id)``, from the texts, stored."""
+    wanted = sets_of.join(ids.distinct(), "id").select("doc_id")
+    return stored(semi_join(docs, wanted, ["doc_id"]).mapInArrow(_sets(rule.k), "id long, s binary"), "jaccard-sets")
+
+
 def _verify(rule: Rule):
     def run(batches):
         for b in batches:
@@ -228,41 +237,89 @@ def _verify(rule: Rule):
 def _linked(pairs: DataFrame, docs: DataFrame, sets_of: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of set ids that are similar, stored."""
     pairs = stored(pairs.distinct(), "jaccard-pairs")
-    wanted = sets_of.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
-    sets = stored(semi_join(docs, wanted.select("doc_id"), ["doc_id"]).mapInArrow(_sets(rule.k), "id long, s binary"), "jaccard-sets")
+    sets = _set_table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, sets_of, rule)
     both = (pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
             .join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b"))
     return stored(both.mapInArrow(_verify(rule), "a long, b long"), "jaccard-links")
 
 
-def _stars(members: DataFrame, leaders: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of each bucket's leaders with its members, and the members without
-    those leaders.  Leaders are probers: the smallest, or the smallest of each of
-    ``leaders`` hash classes; a larger member must be a prober itself."""
-    cls = F.pmod(F.xxhash64("id", "key"), F.lit(leaders)) if leaders > 1 else F.lit(0)
-    lead = members.where("sel").groupBy("key", cls.alias("cls")).agg(F.min(F.struct("n", "id")).alias("lead"))
-    lead = lead.select("key", F.col("lead.n").alias("ln"), F.col("lead.id").alias("lid"))
-    met = members.join(lead, "key").where("id <> lid").where(F.col("sel") | (F.struct("n", "id") < F.struct("ln", "lid")))
-    rest = members.join(lead.select("key", F.col("lid").alias("id")), ["key", "id"], "left_anti")
-    return _pairs(met, "id", "n", "lid", "ln", rule), rest
-
-
 def _pairs(df: DataFrame, x: str, nx: str, y: str, ny: str, rule: Rule) -> DataFrame:
     fits = F.least(nx, ny) * rule.den >= F.greatest(nx, ny) * rule.num
     return df.where(fits).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
-def _all_pairs(members: DataFrame, rule: Rule) -> DataFrame:
-    """Every pair of small buckets whose larger set probes."""
-    g = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "id", "sel"))).alias("g"))
-    p = g.select(F.explode(F.expr(
-        "flatten(transform(g, (x, i) -> transform(filter(slice(g, 1, i), y -> x.sel), y -> struct(y as s, x as l))))")).alias("p"))
+def _stars(members: DataFrame, rule: Rule) -> DataFrame:
+    """First round: each bucket's members against its best connected one (the largest sum of
+    key frequencies, so mostly the same set in all buckets of a group).  Pairs that meet in few
+    buckets are left to the second round, which is complete."""
+    best = F.min(F.struct((-F.col("score")).alias("s"), "n", "id", "ts")).alias("lead")
+    lead = members.groupBy("key").agg(best).select(
+        "key", F.col("lead.id").alias("lid"), F.col("lead.n").alias("ln"), F.col("lead.ts").alias("lts"))
+    met = members.join(lead, "key").where("id <> lid").withColumn("least", F.least("ts", "lts"))
+    met = met.groupBy("id", "n", "lid", "ln").agg(F.sum("pts").alias("met"), F.min("least").alias("least"))
+    return _pairs(met.where("2 * met >= least"), "id", "n", "lid", "ln", rule)
+
+
+def _small_pairs(members: DataFrame, rule: Rule) -> DataFrame:
+    """Every pair of small buckets whose larger set probes and whose components differ."""
+    g = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "id", "sel", "c"))).alias("g"))
+    p = g.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(filter(slice(g, 1, i), y -> x.sel and x.c <> y.c), "
+                                  "y -> struct(y as s, x as l))))")).alias("p"))
     p = p.select(F.col("p.s.id").alias("x"), F.col("p.s.n").alias("nx"), F.col("p.l.id").alias("y"), F.col("p.l.n").alias("ny"))
     return _pairs(p, "x", "nx", "y", "ny", rule)
 
 
+def _block_pairs(members: DataFrame, lists: DataFrame, sets: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of larger buckets, block of probers by block of members.  Inside the task, pairs of
+    different components that share the points a linked pair must share are compared on
+    their sets, each once (at its smallest shared probing key); the similar ones come out."""
+    full = members.join(lists, ["id", "own"]).join(sets, "id").join(sizes, "key")
+    h = F.xxhash64("id")
+    side = lambda flag, mine, other: full.where(flag).select(
+        "key", "id", "n", "c", "own", "keys", "skeys", "s", F.lit(mine == "p").alias("prober"),
+        F.pmod(h, F.col(f"{mine}blocks")).alias(f"{mine}b"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}blocks") - 1)).alias(f"{other}b"))
+    rows = side(F.col("sel"), "p", "m").unionByName(side(F.col("own"), "m", "p"))
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table["key"][0].as_py()
+        pro = table["prober"].to_numpy()
+        p, m = table.filter(pa.array(pro)), table.filter(pa.array(~pro))
+        out: list[tuple[int, int]] = []
+        if p.num_rows and m.num_rows:
+            pk, mk = ([np.asarray(v) for v in t["keys"].to_pylist()] for t in (p, m))
+            words, flat = np.unique(np.concatenate(pk), return_inverse=True)
+            x = np.zeros((len(pk), len(words)), np.float32)
+            x[np.repeat(np.arange(len(pk)), [len(v) for v in pk]), flat] = 1
+            y = np.zeros((len(mk), len(words)), np.float32)
+            cat, row = np.concatenate(mk), np.repeat(np.arange(len(mk)), [len(v) for v in mk])
+            at = np.minimum(np.searchsorted(words, cat), len(words) - 1)
+            hit = words[at] == cat
+            y[row[hit], at[hit]] = 1
+            n, mn = p["n"].to_numpy(), m["n"].to_numpy()
+            i, mi = p["id"].to_numpy(), m["id"].to_numpy()
+            points = np.array([allocation(rule, band_of(int(v)))[1] for v in mn])
+            per_key = 2 if key & 2 else 1
+            need = points[None, :] - (rule.den - rule.num) * (n[:, None] + mn[None, :]) // (rule.den + rule.num)
+            ok = (x @ y.T) * per_key >= need
+            ok &= (mn[None, :] < n[:, None]) | ((mn[None, :] == n[:, None]) & (mi[None, :] < i[:, None]))
+            ok &= mn[None, :] * rule.den >= n[:, None] * rule.num
+            ok &= p["c"].to_numpy()[:, None] != m["c"].to_numpy()[None, :]
+            sk = [set(v) for v in p["skeys"].to_pylist()]
+            ps, ms = (t["s"].to_pylist() for t in (p, m))
+            for u, w in zip(*np.nonzero(ok), strict=True):
+                if min(sk[u].intersection(mk[w].tolist())) == key:
+                    both = len(np.intersect1d(np.frombuffer(ps[u], U), np.frombuffer(ms[w], U), assume_unique=True))
+                    if rule.den * both >= rule.num * (int(n[u]) + int(mn[w]) - both):
+                        out.append((min(i[u], mi[w]), max(i[u], mi[w])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return rows.groupBy("key", "pb", "mb").applyInArrow(run, "a long, b long")
+
+
 def _members(desc: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, id, n, sel): each different set in the buckets it shares; ``sel`` where it probes."""
+    """(key, id, n, own, sel, pts, ts, score): each different set in the buckets it shares;
+    ``sel`` where it probes, ``own`` where it is cut its own band's way."""
     single = semi_join(desc, reps.select("row"), ["row"])
     flat = single.select("id", F.explode("keys").alias("key"))
     shared = stored(flat.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-shared")
@@ -275,11 +332,12 @@ def _members(desc: DataFrame, reps: DataFrame) -> DataFrame:
     # windows over one set's own keys; commonest first, left out while their points stay below ts
     mine = Window.partitionBy("id", "own")
     run = F.sum("pts").over(mine.orderBy(F.desc("df"), "key").rowsBetween(Window.unboundedPreceding, 0))
-    hit = hit.withColumn("c", F.sum("pts").over(mine)).withColumn("sel", run >= F.col("ts")).where("c >= t")
-    return stored(hit.select("key", "id", "n", "sel"), "jaccard-members")
+    hit = (hit.withColumn("c", F.sum("pts").over(mine)).withColumn("sel", run >= F.col("ts"))
+           .withColumn("score", F.sum("df").over(mine)).where("c >= t"))
+    return stored(hit.select("key", "id", "n", "own", "sel", "pts", "ts", "score"), "jaccard-members")
 
 
-def near_copies(docs: DataFrame, rule: Rule = Rule(), small: int = 8, leaders: int = 16) -> DataFrame:
+def near_copies(docs: DataFrame, rule: Rule = Rule(), small: int = 8, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs(doc_id, text)``; component_id is
     the smallest doc_id reachable by links."""
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
@@ -287,28 +345,27 @@ def near_copies(docs: DataFrame, rule: Rule = Rule(), small: int = 8, leaders: i
     desc = stored(docs.mapInArrow(_describe(rule), DESCRIBED).withColumn("row", F.monotonically_increasing_id()), "jaccard-docs")
     full = desc.where("n > 0 and doc_id is not null")
     reps = stored(full.groupBy("n", "id", "d2").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "jaccard-reps")
+    names = reps.select("id", "doc_id")
     members = _members(full, reps)
-    open_keys = members.groupBy("key").agg(F.count("*").alias("size"), F.max("sel").alias("any")).where("size > 1 and any")
-    stars, rest = _stars(members.join(open_keys.select("key"), "key", "left_semi"), 1, rule)
-    links = _linked(stars, docs, reps.select("id", "doc_id"), rule)
+    links = _linked(_stars(members, rule), docs, names, rule)
     comp = stored(components(links), "jaccard-components")
-    while True:
-        named = rest.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
-        open_keys = named.groupBy("key").agg(F.count("*").alias("size"), F.max("sel").alias("any"), F.min("c").alias("x"),
-                                             F.max("c").alias("y")).where("any and x <> y")
-        rest = stored(named.join(open_keys.select("key", "size"), "key").select("key", "id", "n", "sel", "size"), "jaccard-rest")
-        if not rest.limit(1).count():
-            break
-        stars, later = _stars(rest.where(F.col("size") > small).drop("size"), leaders, rule)
-        pairs = stars.unionByName(_all_pairs(rest.where(F.col("size") <= small), rule))
-        for side in ("a", "b"):  # not those already connected
-            pairs = pairs.join(comp.withColumnsRenamed({"id": side, "component": f"c{side}"}), side, "left")
-        pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        more = _linked(pairs, docs, reps.select("id", "doc_id"), rule)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            comp = stored(components(links), "jaccard-components")
-        rest = later
+    # buckets that still hold a prober and two components
+    named = members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    blocks_of = lambda n: F.greatest(F.ceil(F.count(n) / block), F.ceil(F.sum(n) / ELEMENTS))
+    probing = F.when(F.col("sel"), F.col("n"))
+    sizes = named.groupBy("key").agg(F.count("*").alias("members"), blocks_of(F.col("n")).alias("mblocks"), blocks_of(probing).alias("pblocks"),
+                                     F.min("c").alias("x"), F.max("c").alias("y")).where("pblocks > 0 and x <> y")
+    sizes = stored(sizes.select("key", "members", "pblocks", "mblocks"), "jaccard-open")
+    still = stored(named.join(sizes.select("key", "members"), "key").select("key", "id", "n", "own", "sel", "c", "members"), "jaccard-still")
+    large = still.where(F.col("members") > small).drop("members")
+    lists = (members.join(large.select("id", "own").distinct(), ["id", "own"], "left_semi").groupBy("id", "own")
+             .agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("sel"), F.col("key"))).alias("skeys")))
+    sets = _set_table(large.select("id"), docs, names, rule)
+    pairs = _small_pairs(still.where(F.col("members") <= small), rule).unionByName(
+        _block_pairs(large, lists, sets, sizes.select("key", "pblocks", "mblocks"), rule))
+    more = _linked(pairs, docs, names, rule)
+    if more.limit(1).count():
+        comp = stored(components(links.unionByName(more)), "jaccard-components")
     named = reps.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
     label = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = named.select("n", "id", "d2", "c").join(label, "c").drop("c")
