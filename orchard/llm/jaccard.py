@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from orchard.llm.common import U, blocks, mix, release, semi_join, spread, stored, text_buffers, word_hashes
 from orchard.llm.components import components
 
-ELEMENTS = 1 << 20  # set elements of a block
+ELEMENTS = 1 << 22  # set elements of a block, at most; keys and sketches are a fraction of them
 GROW = 1.5  # ratio of neighbouring bands
 CHECK, SHARED = 40.0, 0.5  # cost of checking a pair, in index keys; chance that an element is shared by accident
 
@@ -154,6 +154,15 @@ def keys_of(s: np.ndarray, b: int, rule: Rule) -> np.ndarray:
     return (np.unique(out) & ~U(3)) | U((b & 1) | (2 if near else 0))
 
 
+def sketch(s: np.ndarray, b: int) -> bytes:
+    """Parity of the set's elements in about twice as many bits as the band's largest set has
+    elements.  Two sketches differ in at most as many bits as the sets differ in elements."""
+    bits = 64 * -(-2 * band_range(b)[1] // 64)
+    with np.errstate(over="ignore"):
+        at = (mix(s + U(0x0DD5CE7C4)) % U(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
+
+
 def _set_id(s: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         return (int(np.sum(mix(s)).view(np.int64)), int(np.sum(mix(s ^ U(0xABCDEF0123456789))).view(np.int64))) if len(s) else (0, 0)
@@ -166,34 +175,38 @@ def _describe(rule: Rule):
     def run(batches):
         for batch in batches:
             data, off = text_buffers(batch.column("text"))
-            rows, keys = [], []
+            rows, keys, sketches = [], [], []
             for i, j in blocks(off):
                 sh, at = shingles(data[off[i]:off[j]], off[i:j + 1] - off[i], rule.k)
                 for x in range(j - i):
                     s = np.unique(sh[at[x]:at[x + 1]])
-                    n, band, t_any, t_own, t_low, ks = len(s), 0, 0, 0, 0, []
+                    n, band, t_any, t_own, t_low, ks, sk = len(s), 0, 0, 0, 0, [], [None, None]
                     if n:
                         band = band_of(n)
                         points = allocation(rule, band)[1]
                         t_any, t_own = points - rule.distance(n, rule.largest(n)), points - rule.distance(n, n)
                         ks.append(keys_of(s, band, rule))
+                        sk[0] = sketch(s, band)
                         top = band_range(band - 1)[1] if band else 0
                         if rule.largest(top) >= n:
                             ks.append(keys_of(s, band - 1, rule))
+                            sk[1] = sketch(s, band - 1)
                             t_low = allocation(rule, band - 1)[1] - rule.distance(n, top)
                     rows.append((n, *_set_id(s), band, t_any, t_own, t_low))
+                    sketches.append(sk)
                     keys.append(np.concatenate(ks).view(np.int64) if ks else np.zeros(0, np.int64))
             if not rows:
                 continue
             offs = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)),
-                 pa.ListArray.from_arrays(offs, pa.array(np.concatenate(keys)))],
-                ["doc_id", "n", "id", "d2", "band", "t_any", "t_own", "t_low", "keys"])
+                 pa.ListArray.from_arrays(offs, pa.array(np.concatenate(keys))), *(pa.array(c, pa.binary()) for c in zip(*sketches, strict=True))],
+                ["doc_id", "n", "id", "d2", "band", "t_any", "t_own", "t_low", "keys", "sk_own", "sk_low"])
     return run
 
 
-DESCRIBED = "doc_id long, n long, id long, d2 long, band long, t_any long, t_own long, t_low long, keys array<long>"
+DESCRIBED = "doc_id long, n long, id long, d2 long, band long, t_any long, t_own long, t_low long, keys array<long>, " \
+    "sk_own binary, sk_low binary"
 
 
 def _sets(k: int):
@@ -269,14 +282,15 @@ def _small_pairs(members: DataFrame, rule: Rule) -> DataFrame:
     return _pairs(p, "x", "nx", "y", "ny", rule)
 
 
-def _block_pairs(members: DataFrame, lists: DataFrame, sets: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of larger buckets, block of probers by block of members.  Inside the task, pairs of
-    different components that share the points a linked pair must share are compared on
-    their sets, each once (at its smallest shared probing key); the similar ones come out."""
-    full = members.join(lists, ["id", "own"]).join(sets, "id").join(sizes, "key")
+def _block_pairs(members: DataFrame, lists: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of larger buckets, block of probers by block of members.  Pairs of different
+    components come out, each once (at its smallest shared probing key), if they share
+    the points a linked pair must share and their parity sketches differ in no more bits
+    than linked sets may differ in elements."""
+    full = members.join(lists, ["id", "own"]).join(sizes, "key")
     h = F.xxhash64("id")
     side = lambda flag, mine, other: full.where(flag).select(
-        "key", "id", "n", "c", "own", "keys", "skeys", "s", F.lit(mine == "p").alias("prober"),
+        "key", "id", "n", "c", "own", "keys", "skeys", "sk", F.lit(mine == "p").alias("prober"),
         F.pmod(h, F.col(f"{mine}blocks")).alias(f"{mine}b"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}blocks") - 1)).alias(f"{other}b"))
     rows = side(F.col("sel"), "p", "m").unionByName(side(F.col("own"), "m", "p"))
@@ -300,27 +314,30 @@ def _block_pairs(members: DataFrame, lists: DataFrame, sets: DataFrame, sizes: D
             i, mi = p["id"].to_numpy(), m["id"].to_numpy()
             points = np.array([allocation(rule, band_of(int(v)))[1] for v in mn])
             per_key = 2 if key & 2 else 1
-            need = points[None, :] - (rule.den - rule.num) * (n[:, None] + mn[None, :]) // (rule.den + rule.num)
-            ok = (x @ y.T) * per_key >= need
+            most = (rule.den - rule.num) * (n[:, None] + mn[None, :]) // (rule.den + rule.num)
+            ok = (x @ y.T) * per_key >= points[None, :] - most
             ok &= (mn[None, :] < n[:, None]) | ((mn[None, :] == n[:, None]) & (mi[None, :] < i[:, None]))
             ok &= mn[None, :] * rule.den >= n[:, None] * rule.num
             ok &= p["c"].to_numpy()[:, None] != m["c"].to_numpy()[None, :]
-            sk = [set(v) for v in p["skeys"].to_pylist()]
-            ps, ms = (t["s"].to_pylist() for t in (p, m))
-            for u, w in zip(*np.nonzero(ok), strict=True):
-                if min(sk[u].intersection(mk[w].tolist())) == key:
-                    both = len(np.intersect1d(np.frombuffer(ps[u], U), np.frombuffer(ms[w], U), assume_unique=True))
-                    if rule.den * both >= rule.num * (int(n[u]) + int(mn[w]) - both):
-                        out.append((min(i[u], mi[w]), max(i[u], mi[w])))
+            psk, msk = (t["sk"].to_pylist() for t in (p, m))
+            for u in np.flatnonzero(ok.any(axis=1)):
+                mine, near = set(p["skeys"][int(u)].as_py()), np.flatnonzero(ok[u])
+                # one cutting has one sketch length; a set of another cutting is no partner here
+                near = [w for w in near if len(msk[w]) == len(psk[u])]
+                if near:
+                    differ = np.frombuffer(b"".join(msk[w] for w in near), np.uint8).reshape(len(near), -1) ^ np.frombuffer(psk[u], np.uint8)
+                    apart = np.bitwise_count(differ).sum(axis=1)
+                    for w, d in zip(near, apart, strict=True):
+                        if d <= most[u, w] and min(mine.intersection(mk[w].tolist())) == key:
+                            out.append((min(i[u], mi[w]), max(i[u], mi[w])))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
     return rows.groupBy("key", "pb", "mb").applyInArrow(run, "a long, b long")
 
 
-def _members(desc: DataFrame, reps: DataFrame) -> DataFrame:
+def _members(single: DataFrame) -> DataFrame:
     """(key, id, n, own, sel, pts, ts, score): each different set in the buckets it shares;
     ``sel`` where it probes, ``own`` where it is cut its own band's way."""
-    single = semi_join(desc, reps.select("row"), ["row"])
     flat = single.select("id", F.explode("keys").alias("key"))
     shared = stored(flat.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-shared")
     own = F.col("key").bitwiseAND(F.lit(1)) == F.col("band") % 2
@@ -346,7 +363,8 @@ def near_copies(docs: DataFrame, rule: Rule = Rule(), small: int = 8, block: int
     full = desc.where("n > 0 and doc_id is not null")
     reps = stored(full.groupBy("n", "id", "d2").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "jaccard-reps")
     names = reps.select("id", "doc_id")
-    members = _members(full, reps)
+    single = semi_join(full, reps.select("row"), ["row"])
+    members = _members(single)
     links = _linked(_stars(members, rule), docs, names, rule)
     comp = stored(components(links), "jaccard-components")
     # buckets that still hold a prober and two components
@@ -360,9 +378,11 @@ def near_copies(docs: DataFrame, rule: Rule = Rule(), small: int = 8, block: int
     large = still.where(F.col("members") > small).drop("members")
     lists = (members.join(large.select("id", "own").distinct(), ["id", "own"], "left_semi").groupBy("id", "own")
              .agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("sel"), F.col("key"))).alias("skeys")))
-    sets = _set_table(large.select("id"), docs, names, rule)
+    sketches = single.select("id", F.inline(F.array(F.struct(F.lit(True).alias("own"), F.col("sk_own").alias("sk")),
+                                                    F.struct(F.lit(False).alias("own"), F.col("sk_low").alias("sk"))))).where("sk is not null")
+    lists = lists.join(sketches, ["id", "own"])
     pairs = _small_pairs(still.where(F.col("members") <= small), rule).unionByName(
-        _block_pairs(large, lists, sets, sizes.select("key", "pblocks", "mblocks"), rule))
+        _block_pairs(large, lists, sizes.select("key", "pblocks", "mblocks"), rule))
     more = _linked(pairs, docs, names, rule)
     if more.limit(1).count():
         comp = stored(components(links.unionByName(more)), "jaccard-components")
