@@ -12,8 +12,6 @@ split into blocks joined on a block id (each vector/query pair once).
 from __future__ import annotations
 
 import math
-from typing import Sequence
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,75 +21,45 @@ MAX_LITERAL_QUERIES = 4096
 
 # ----------------------------------------------------------------- chunking
 
-SEPARATORS = ["\n\n", "\n", " ", ""]
-
-
-def _split_keep(text: str, sep: str) -> list[str]:
-    """Split on ``sep`` keeping it at the start of each following piece."""
-    if sep == "":
-        return list(text)
-    parts = text.split(sep)
-    out = [parts[0]] + [sep + p for p in parts[1:]]
-    return [p for p in out if p != ""]
-
-
-def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Greedy packing of pieces into chunks of at most ``size`` characters,
-    starting each new chunk with trailing pieces of the previous one worth
-    at most ``overlap`` characters."""
-    chunks: list[str] = []
-    window: list[str] = []
-    total = 0
-    for piece in pieces:
-        n = len(piece)
-        if total + n > size and window:
-            chunk = "".join(window).strip()
-            if chunk:
-                chunks.append(chunk)
-            while total > overlap or (total + n > size and total > 0):
-                total -= len(window[0])
-                window.pop(0)
-        window.append(piece)
-        total += n
-    chunk = "".join(window).strip()
-    if chunk:
-        chunks.append(chunk)
-    return chunks
-
-
-def recursive_split(text: str, size: int = 7500, overlap: int = 100,
-                    separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Split at the first separator present, recurse into pieces that are
-    still too long with the finer separators, merge neighbours greedily."""
-    if text is None:
-        return []
-    sep_idx = next(i for i, s in enumerate(separators) if s == "" or s in text)
-    sep, finer = separators[sep_idx], list(separators[sep_idx + 1:])
-    out: list[str] = []
-    pending: list[str] = []
-    for piece in _split_keep(text, sep):
-        if len(piece) < size:
-            pending.append(piece)
-            continue
-        if pending:
-            out.extend(_merge(pending, size, overlap))
-            pending = []
-        if finer:
-            out.extend(recursive_split(piece, size, overlap, finer))
-        else:
-            out.append(piece)
-    if pending:
-        out.extend(_merge(pending, size, overlap))
-    return out
-
-
-def recursive_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 7500,
+BORDERS = ("\n\n", "\n", " ")  # preferred places to cut, best first
+
+
+def split_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """[start, stop) offsets of chunks of at most ``size`` characters.
+
+    A chunk ends at the last border of the best kind that lies in its window
+    beyond the overlap (no border: at the window's end).  The next one starts at
+    the first word that begins within the last ``overlap`` characters, else where
+    the chunk ended.  White space at the ends is left out, blank spans too."""
+    spans, start, n = [], 0, len(text)
+    while start < n:
+        stop = min(start + size, n)
+        if stop < n:
+            cuts = (text.rfind(b, start + overlap + 1, stop) for b in BORDERS)
+            stop = next((c for c in cuts if c >= 0), stop)
+        body = text[start:stop]
+        left = start + len(body) - len(body.lstrip())
+        right = start + len(body.rstrip())
+        if left < right:
+            spans.append((left, right))
+        if stop == n:
+            break
+        word = text.find(" ", max(stop - overlap, start + 1), stop)
+        start = word + 1 if word >= 0 else stop
+    return spans
+
+
+def split_text(text: str | None, size: int = 7500, overlap: int = 100) -> list[str]:
+    return [text[a:b] for a, b in split_spans(text or "", size, overlap)]
+
+
+def text_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 7500,
                      overlap: int = 100) -> DataFrame:
     """(id, chunk_no, chunk): whole texts split by an Arrow-batched pandas
     UDF (per-document Python), exploded on the JVM."""
     @F.pandas_udf(ArrayType(StringType()))
     def split_udf(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: recursive_split(t, size, overlap))
+        return texts.map(lambda t: split_text(t, size, overlap))
 
     from orchard.sources.tables import spread
     return spread(df.select(id_col, text_col)).select(
@@ -123,7 +91,7 @@ def hashed_tfidf_embedder(corpus: DataFrame, text_col: str, dims: int = 256):
     from pyspark.ml.functions import vector_to_array
 
     pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_w", pattern="\\w+", gaps=False, toLowercase=True),
+        RegexTokenizer(inputCol=text_col, outputCol="_w", pattern=r"[\p{L}\p{N}_]+", gaps=False, toLowercase=True),
         HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dims),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_n", p=2.0),

@@ -29,15 +29,15 @@ NEGATIONS = [
     "without", "wont", "wouldnt", "rarely", "seldom", "despite",
 ]
 
-WORD_PATTERN = "[a-z]+"          # lower-cased letter runs (scoring)
-CASED_PATTERN = "[A-Za-z]+"      # case kept (tagging, entities)
+WORD_PATTERN = r"\p{L}+"        # lower-cased letter runs (scoring)
+CASED_PATTERN = r"\p{L}+"       # case kept (tagging, entities)
 
 
 def first_word_position(text: Column, word: str) -> Column:
     """Token position (0-based, tokens = lower-case letter runs) of the first
     occurrence of ``word`` in an already lower-cased text, NULL if absent:
     the number of letter runs before its first whole-word match."""
-    pat = f"(?<![a-z]){word}(?![a-z])"
+    pat = rf"(?<!\p{{L}}){word}(?!\p{{L}})"
     at = F.regexp_instr(text, F.lit(pat))
     before = F.size(F.regexp_extract_all(F.substring(text, F.lit(1), at - 1), F.lit(WORD_PATTERN), 0))
     return F.when(at > 0, before)
@@ -153,7 +153,7 @@ def rule_tag(token: Column, pos: Column) -> Column:
     for tag, words in CLOSED_TAGS.items():
         cond = low.isin(words)
         expr = F.when(cond, tag) if expr is None else expr.when(cond, tag)
-    return (expr.when((pos > 0) & token.rlike("^[A-Z][a-z]"), "NNP")
+    return (expr.when((pos > 0) & token.rlike(r"^\p{Lu}\p{Ll}"), "NNP")
             .when(low.endswith("ing") & (F.length(low) > 4), "VBG")
             .when(low.endswith("ed") & (F.length(low) > 3), "VBD")
             .when(low.endswith("ly") & (F.length(low) > 3), "RB")
@@ -186,7 +186,7 @@ def proper_noun_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.regexp_extract_all(F.col(text_col), F.lit(CASED_PATTERN), 0).alias("_toks"))
     base = base.where(F.size("_toks") > 0).select(
         "doc_id", "_toks",
-        F.transform("_toks", lambda t, i: (i > 0) & t.rlike("^[A-Z][a-z]") & ~F.lower(t).isin(closed)).alias("_nnp"))
+        F.transform("_toks", lambda t, i: (i > 0) & t.rlike(r"^\p{Lu}\p{Ll}") & ~F.lower(t).isin(closed)).alias("_nnp"))
     toks, nnp = F.col("_toks"), F.col("_nnp")
     n = F.size(toks)
     prev = F.concat(F.array(F.lit(False)), F.slice(nnp, 1, n - 1))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orchard.operators.retrieval import (assemble_context, centroids, fixed_chunks, hashed_tfidf_embedder,
-                                         lsh_topk, multiquery_union, recursive_chunks, vector_topk)
+                                         lsh_topk, multiquery_union, text_chunks, vector_topk)
 from orchard.session import scratch_path
 from orchard.sources.tables import table
 
@@ -43,11 +43,11 @@ def q_chunk_fixed(spark, d):
 
 
 def q_chunk_documents(spark, d):
-    return recursive_chunks(table(spark, d, "documents"), "doc_id", "text", CHUNK_SIZE, CHUNK_OVERLAP)
+    return text_chunks(table(spark, d, "documents"), "doc_id", "text", CHUNK_SIZE, CHUNK_OVERLAP)
 
 
 def _chunk_vectors(spark, d):
-    chunks = recursive_chunks(table(spark, d, "documents"), "doc_id", "text", CHUNK_SIZE, CHUNK_OVERLAP)
+    chunks = text_chunks(table(spark, d, "documents"), "doc_id", "text", CHUNK_SIZE, CHUNK_OVERLAP)
     embed = hashed_tfidf_embedder(chunks, "chunk")
     return embed, embed(chunks).withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"),
                                                                     F.col("chunk_no").cast("string")))

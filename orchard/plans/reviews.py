@@ -39,7 +39,7 @@ def star_class(score: str = "score"):
 def _worded(spark, d):
     from pyspark.ml.feature import RegexTokenizer
     r = V.reviews(spark, d).withColumn("label", star_class())
-    tok = RegexTokenizer(inputCol="text", outputCol="words", pattern="[a-z]+", gaps=False, toLowercase=True)
+    tok = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\p{L}+", gaps=False, toLowercase=True)
     return tok.transform(r)
 
 
@@ -195,7 +195,7 @@ def _rh(x: str, n: int) -> str:
 
 
 _LEX = f"""rt AS (SELECT id AS doc_id, CAST(generate_subscripts(w,1)-1 AS INTEGER) AS pos, unnest(w) AS word
-    FROM (SELECT id, regexp_extract_all(lower(text), '[a-z]+') w FROM reviews) x),
+    FROM (SELECT id, regexp_extract_all(lower(text), '\\p{{L}}+') w FROM reviews) x),
 nt AS (SELECT *, coalesce(bool_or(word IN ({_list(NEGATIONS)})) OVER (PARTITION BY doc_id ORDER BY pos
     ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), false) AS neg FROM rt),
 lv AS (SELECT nt.doc_id, nt.pos, CASE WHEN nt.neg AND coalesce(l.valence, 0.0) <> 0 THEN coalesce(l.valence, 0.0) * -0.74
@@ -216,7 +216,7 @@ lexs AS (SELECT r.id, coalesce({_rh("CASE WHEN tot > 0 THEN abs(ns / tot) ELSE 0
 def _tag_sql(tok: str, pos: str) -> str:
     parts = [f"WHEN lower({tok}) IN ({_list(w)}) THEN '{t}'" for t, w in CLOSED_TAGS.items()]
     low = f"lower({tok})"
-    parts += [f"WHEN {pos} > 0 AND regexp_matches({tok}, '^[A-Z][a-z]') THEN 'NNP'",
+    parts += [f"WHEN {pos} > 0 AND regexp_matches({tok}, '^\\p{{Lu}}\\p{{Ll}}') THEN 'NNP'",
               f"WHEN suffix({low}, 'ing') AND length({low}) > 4 THEN 'VBG'",
               f"WHEN suffix({low}, 'ed') AND length({low}) > 3 THEN 'VBD'",
               f"WHEN suffix({low}, 'ly') AND length({low}) > 3 THEN 'RB'",
@@ -225,7 +225,7 @@ def _tag_sql(tok: str, pos: str) -> str:
 
 
 _CASED = """ct AS (SELECT id AS doc_id, CAST(generate_subscripts(w,1)-1 AS INTEGER) AS pos, unnest(w) AS token
-    FROM (SELECT id, regexp_extract_all(text, '[A-Za-z]+') w FROM reviews) x)"""
+    FROM (SELECT id, regexp_extract_all(text, '\\p{L}+') w FROM reviews) x)"""
 
 
 def _fp_sql(col: str, decimals: int, prefix: str) -> str:
@@ -259,7 +259,7 @@ ORACLE = {
         "SELECT score, count(*) AS n_reviews FROM reviews GROUP BY score ORDER BY score", "reviews"),
     "text_tokens": V.with_views(
         """SELECT id AS doc_id, CAST(generate_subscripts(w,1)-1 AS INTEGER) AS pos, unnest(w) AS word
-           FROM (SELECT id, regexp_extract_all(lower(text), '[a-z]+') w FROM reviews) x""", "reviews"),
+           FROM (SELECT id, regexp_extract_all(lower(text), '\\p{L}+') w FROM reviews) x""", "reviews"),
     "lexicon_sentiment": _r("SELECT * FROM lexs", _LEX),
     "reviews_mean_by_score": _r(
         "SELECT * FROM (SELECT r.score, count(*) AS n_reviews, " + ", ".join(_fp_sql(f"vader_{c}", 4 if c == "compound" else 3, c)
@@ -274,7 +274,7 @@ ORACLE = {
     "text_tags": _r(f"SELECT doc_id, pos, token, {_tag_sql('token', 'pos')} AS tag FROM ct", _CASED),
     "model_sentiment_errors": V.with_views(
         """SELECT id, 'no words to score' AS error FROM reviews
-           WHERE coalesce(len(regexp_extract_all(lower(text), '[a-z]+')), 0) = 0""", "reviews"),
+           WHERE coalesce(len(regexp_extract_all(lower(text), '\\p{L}+')), 0) = 0""", "reviews"),
     "text_entities": _r(
         f"""SELECT doc_id, min(pos) AS start_pos, max(pos) AS end_pos, count(*) AS n_tokens,
               arg_min(token, pos) AS first_token, arg_max(token, pos) AS last_token FROM (

@@ -1,9 +1,9 @@
 """Spark session construction and scratch-location handling.
 
-Library code never invents machine-local folders: shared scratch space is
-taken from ``spark.checkpoint.dir`` as configured on the cluster.  Only when
-that setting is absent (local tests, the driver's smoke runs) do we create a
-private folder for it.
+Library code never invents machine-local folders on a cluster: shared scratch
+space is taken from ``spark.checkpoint.dir``.  Only where that setting is absent
+and the master is local (tests, smoke runs) do we create a private folder for
+it; any other master without the setting is an error.
 """
 
 from __future__ import annotations
@@ -55,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="orchard-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)

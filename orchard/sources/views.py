@@ -194,7 +194,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, word): lower-case letter runs of every document."""
     from orchard.sources.tables import spread
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))
+    return d.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
                     .alias("pos", "word"))
 
 
@@ -258,7 +258,7 @@ VIEW_SQL = {
   FROM pages CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2) t""",
     "constituency_lookup": """SELECT DISTINCT 1 + c_custkey % 234 AS constituency_no, concat('SEAT ', CAST((1 + c_custkey % 234) % 230 AS VARCHAR)) AS constituency_name FROM customer""",
     "tokens": """SELECT doc_id, CAST(generate_subscripts(w,1)-1 AS INT) AS pos, unnest(w) AS word
-  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') w FROM documents) t""",
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') w FROM documents) t""",
     "lexicon": """SELECT DISTINCT word, CAST(length(word) % 9 - 4 AS DOUBLE) AS valence FROM tokens WHERE length(word) % 3 = 0""",
 }
 

@@ -4,7 +4,7 @@ rules, chunking invariants."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orchard.operators.retrieval import fixed_chunks, recursive_split
+from orchard.operators.retrieval import fixed_chunks, split_text
 from orchard.operators.text import any_in_previous, lexicon_scores, neighbour_flags, tokenize
 
 
@@ -39,15 +39,15 @@ def test_lexicon_rules(spark):
         assert abs(r.pos + r.neg + r.neu - 1.0) < 0.002
 
 
-def test_recursive_split_invariants():
+def test_split_text_invariants():
     text = ("word " * 3000 + "\n\n" + "x" * 9000 + "\n" + "line\n" * 500).strip()
-    chunks = recursive_split(text, 7500, 100)
+    chunks = split_text(text, 7500, 100)
     assert all(0 < len(c) <= 7500 for c in chunks)
     body = "".join(text.split())
     joined = "".join("".join(c.split()) for c in chunks)
     assert len(joined) >= len(body)          # every character is covered (overlap repeats some)
     assert chunks[0].startswith("word") and chunks[-1].endswith("line")
-    assert recursive_split("short text", 7500, 100) == ["short text"]
+    assert split_text("short text", 7500, 100) == ["short text"]
 
 
 def test_fixed_chunks_cover_text(spark):
@@ -106,3 +106,10 @@ def test_first_word_position(spark):
     df = spark.createDataFrame([("a butter but x",), ("but",), ("no b-u-t here",), ("x, but; but",), ("",)], "t string")
     got = [r.p for r in df.select(first_word_position(F.col("t"), "but").alias("p")).collect()]
     assert got == [2, 0, None, 1, None]
+
+
+def test_words_beyond_ascii_are_whole(spark):
+    from orchard.operators.text import tokenize
+    df = spark.createDataFrame([(1, "El niño über élève, naïve!")], "doc_id long, text string")
+    got = [r.token for r in tokenize(df, "doc_id", "text").orderBy("pos").collect()]
+    assert got == ["el", "niño", "über", "élève", "naïve"]
