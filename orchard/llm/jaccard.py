@@ -54,7 +54,9 @@ from orchard.llm.components import components
 
 ELEMENTS = 1 << 22  # set elements of a block, at most; keys and sketches are a fraction of them
 GROW = 1.5  # ratio of neighbouring bands
-CHECK, SHARED = 40.0, 0.5  # cost of checking a pair, in index keys; chance that an element is shared by accident
+# cost of checking a pair, in index keys; chance that an element of a short set is shared by
+# accident; elements of a typical shared passage, beyond which the chance falls with the size
+CHECK, SHARED, PASSAGE = 40.0, 0.5, 30.0
 
 
 @dataclass(frozen=True)
@@ -95,7 +97,7 @@ def allocation(rule: Rule, b: int) -> tuple[int, int, bool]:
     Both kinds leave a fifth of the points above H + 1 for the documents to skip.
     Cost of a kind: keys a set of the band emits, plus the accidental matches of its
     segments, each as dear as ``CHECK`` keys; a segment of e elements is taken to
-    match by accident with chance SHARED ** e."""
+    match by accident with chance p ** e, p = min(SHARED, PASSAGE / size)."""
     low, high = band_range(b)
     top = rule.largest(high)
     h = rule.distance(high, top)
@@ -104,8 +106,9 @@ def allocation(rule: Rule, b: int) -> tuple[int, int, bool]:
     need = h + 1 + -(-h // 5)
     plain, near = need, -(-need // 2)
     size = (low + high) / 2
-    cost_plain = plain + CHECK * plain * SHARED ** (size / plain)
-    cost_near = near + size + CHECK * near * SHARED ** max(0.0, size / near - 1)
+    p = min(SHARED, PASSAGE / size)
+    cost_plain = plain + CHECK * plain * p ** (size / plain)
+    cost_near = near + size + CHECK * near * p ** max(0.0, size / near - 1)
     return (near, 2 * near, True) if cost_near < cost_plain else (plain, plain, False)
 
 
