@@ -137,13 +137,13 @@ def growth_forest_mse(m: DataFrame, seed: int = 42, num_trees: int = 100) -> Dat
     return m.sparkSession.createDataFrame([(float(mse), int(n))], "mse double, n_test bigint")
 
 
-def _classifiers(label: str, seed: int):
+def _classifiers(label: str, seed: int, n_train: int):
     from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, NaiveBayes,
                                            RandomForestClassifier)
     common = dict(featuresCol="features", labelCol=label)
     return {
         "RandomForest": RandomForestClassifier(numTrees=100, seed=seed, maxDepth=12, **common),
-        "LogisticRegression": LogisticRegression(maxIter=1000, **common),
+        "LogisticRegression": LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), standardization=False, **common),
         "LinearSVC": LinearSVC(maxIter=100, **common),
         "GradientBoosting": GBTClassifier(maxIter=100, maxDepth=3, seed=seed, stepSize=0.1, **common),
         "DecisionTree": DecisionTreeClassifier(seed=seed, maxDepth=20, **common),
@@ -155,7 +155,7 @@ def _fit_members(train: DataFrame, features: Sequence[str], label: str, seed: in
     """Fit every MLlib member once; output columns are renamed per member so
     the fitted models can score the same rows one after another."""
     members = {}
-    for name, est in _classifiers(label, seed).items():
+    for name, est in _classifiers(label, seed, train.count()).items():
         est = est.copy().setPredictionCol(f"_pred_{name}").setRawPredictionCol(f"_raw_{name}")
         if name != "LinearSVC":
             est = est.setProbabilityCol(f"_prob_{name}")
@@ -268,24 +268,29 @@ def gaussian_nb_predict(df: DataFrame, params: list[dict], features: Sequence[st
 
 
 def knn_classify(train: DataFrame, test: DataFrame, id_col: str, features: Sequence[str], label: str,
-                 k: int = 5, per_cell: int = 20, max_rounds: int = 30, fine_levels: int = 3,
-                 crowd_factor: float = 8.0) -> DataFrame:
+                 k: int = 5, per_cell: int = 20, fine_levels: int = 3, crowd_factor: float = 8.0,
+                 grid_dims: int = 3) -> DataFrame:
     """Exact k-nearest-neighbour majority vote (Euclidean; distance ties
     broken by train id, vote ties by the smaller label) without comparing
     every test row with every train row.
 
-    Train rows are gridded at several resolutions: a base width giving about
-    ``per_cell`` rows per cell on average, and -- when the most crowded base
-    cell holds more than ``crowd_factor * per_cell`` rows -- ``fine_levels``
-    finer grids (width / 4, / 16, ...).  A test row first looks, on the finest grid, at
-    the cells next to its own; it is settled when it found k rows and its
-    k-th distance is within the searched radius (nothing outside the
-    searched cube can be nearer).  Rows not settled move to the next
-    coarser grid, and on the base grid the radius doubles until every row is
-    settled.  Dense regions are thus resolved on fine cells and never
-    compared cell-wide; identical train points keep only their k smallest
-    ids.  The unsettled set is checkpointed each round.  Output: (id,
-    prediction)."""
+    Train rows are gridded over the ``grid_dims`` features of the widest range
+    (distances use all features) at several resolutions: a base width giving
+    about ``per_cell`` rows per cell on average, and -- when the most crowded
+    base cell holds more than ``crowd_factor * per_cell`` rows --
+    ``fine_levels`` finer grids (width / 4, / 16, ...).  A test row's home cell
+    is its own, moved into the train box where it lies outside.  It first
+    looks, on the finest grid, at the cells around its home; it is settled when
+    it found k rows and its k-th distance is within ``sqrt(gap^2 + radius^2)``,
+    gap being its distance to the train box: nothing outside the searched cells
+    can be nearer.  Rows not settled move to the next coarser grid, and on the
+    base grid the radius doubles until every train cell is searched.  Identical
+    train points keep only their k smallest ids.  The unsettled set is
+    checkpointed each round.
+
+    Output: (id, prediction), one row per test row.  Train rows with a NULL or
+    NaN feature are no neighbours; a test row with one, or an empty train side,
+    gives a NULL prediction."""
     import itertools
     import math
 
@@ -294,11 +299,23 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, features: Seque
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     d = len(features)
-    st = train.agg(F.count(F.lit(1)).alias("n"), *[F.min(f).alias(f"lo_{f}") for f in features],
-                   *[F.max(f).alias(f"hi_{f}") for f in features]).collect()[0]
+
+    def complete(df):
+        for f in features:
+            df = df.where(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")))
+        return df
+
+    train = complete(train)
+    st = train.agg(F.count(F.lit(1)).alias("n"), *[F.min(f).cast("double").alias(f"lo_{f}") for f in features],
+                   *[F.max(f).cast("double").alias(f"hi_{f}") for f in features]).collect()[0]
     n_train = int(st["n"])
-    spans = [max(float(st[f"hi_{f}"] - st[f"lo_{f}"]), 1e-9) for f in features]
-    width = (math.prod(spans) * per_cell / max(n_train, 1)) ** (1.0 / d)
+    blank = F.lit(None).cast(train.schema[label].dataType).alias("prediction")
+    if not n_train:
+        return test.select(id_col, blank)
+    lo, hi = [st[f"lo_{f}"] for f in features], [st[f"hi_{f}"] for f in features]
+    axes = sorted(range(d), key=lambda i: lo[i] - hi[i])[:grid_dims]
+    spans = [max(hi[i] - lo[i], 1e-9) for i in axes]
+    width = (math.prod(spans) * per_cell / n_train) ** (1.0 / len(axes))
     width = max(width, max(spans) / 1e6)
 
     t = train.select(F.col(id_col).alias("_tid"), *[F.col(f).alias(f"_t{i}") for i, f in enumerate(features)],
@@ -308,60 +325,66 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, features: Seque
     # grid cell made hot by duplicates
     dup = Window.partitionBy(*[f"_t{i}" for i in range(d)]).orderBy("_tid")
     t = t.withColumn("_dup", F.row_number().over(dup)).where(F.col("_dup") <= k).drop("_dup")
-    q = test.select(F.col(id_col), *[F.col(f).alias(f"_q{i}") for i, f in enumerate(features)])
+    beyond = [F.greatest(F.lit(lo[i]) - F.col(f"_q{i}"), F.col(f"_q{i}") - F.lit(hi[i]), F.lit(0.0)) for i in axes]
+    q = complete(test).select(F.col(id_col), *[F.col(f).alias(f"_q{i}") for i, f in enumerate(features)])
+    q = q.withColumn("_gap2", sum((g * g for g in beyond), F.lit(0.0)))
 
     def cell_of(cols, w):
         return F.array(*[F.floor(c / F.lit(w)).cast("long") for c in cols])
 
     def search(pending, w, reach, radius, everything):
         offsets = [list(o) for o in itertools.product(*[range(-s, s + 1) for s in reach])]
-        home = cell_of([F.col(f"_q{i}") for i in range(d)], w)
+        home = cell_of([F.least(F.greatest(F.col(f"_q{i}"), F.lit(lo[i])), F.lit(hi[i])) for i in axes], w)
         probe = pending.withColumn("_cell", F.explode(F.transform(
             F.lit(offsets), lambda o: F.zip_with(home, o, lambda a, b: a + b))))
-        grid = t.withColumn("_cell", cell_of([F.col(f"_t{i}") for i in range(d)], w))
+        grid = t.withColumn("_cell", cell_of([F.col(f"_t{i}") for i in axes], w))
         pairs = probe.join(grid, "_cell")
         dist = F.sqrt(sum(((F.col(f"_q{i}") - F.col(f"_t{i}")) * (F.col(f"_q{i}") - F.col(f"_t{i}"))
                            for i in range(d)), F.lit(0.0)))
         order = Window.partitionBy(id_col).orderBy(F.asc("_d"), F.asc("_tid"))
-        near = pairs.select(id_col, "_tid", "_y", dist.alias("_d")) \
+        near = pairs.select(id_col, "_gap2", "_tid", "_y", dist.alias("_d")) \
             .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
-        summary = near.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_dk"),
+        summary = near.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_dk"), F.max("_gap2").alias("_g2"),
                                            F.collect_list("_y").alias("_ys"))   # at most k labels
-        settled = (F.col("_n") >= min(k, n_train)) & ((F.col("_dk") <= F.lit(radius)) | F.lit(everything))
+        # a hair under the bound, so that rounding cannot settle a row too early
+        bound = (F.col("_g2") + F.lit(radius * radius)) * F.lit(1 - 1e-9)
+        settled = (F.col("_n") >= min(k, n_train)) & ((F.col("_dk") * F.col("_dk") <= bound) | F.lit(everything))
         res = pending.select(id_col).join(summary, id_col, "left") \
-            .withColumn("_ok", F.coalesce(settled, F.lit(everything))).checkpoint(eager=True)
+            .withColumn("_ok", F.coalesce(settled, F.lit(False))).checkpoint(eager=True)
         rest = pending.join(res.where(~F.col("_ok")).select(id_col), id_col, "left_semi").checkpoint(eager=True)
         return res.where("_ok").select(id_col, "_ys"), rest
 
     done = []
     pending = q
-    base_cells = t.groupBy(cell_of([F.col(f"_t{i}") for i in range(d)], width).alias("_c")).count()
+    base_cells = t.groupBy(cell_of([F.col(f"_t{i}") for i in axes], width).alias("_c")).count()
     crowded = (base_cells.agg(F.max("count")).collect()[0][0] or 0) > crowd_factor * per_cell
     # fine grids first (only where the base grid has crowded cells): one ring
     # of neighbour cells at each resolution
     for lvl in (range(fine_levels, 0, -1) if crowded else []):
         w = width / (4 ** lvl)
-        got, pending = search(pending, w, [1] * d, w, False)
+        got, pending = search(pending, w, [1] * len(axes), w, False)
         done.append(got)
         if pending.isEmpty():
             break
-    # base grid: growing radius until everything is settled
+    # base grid: growing radius until every train cell has been searched
     cells_needed = [max(1, math.ceil(s / width)) for s in spans]
-    radius = width
-    for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
+    radius, everything = width, False
+    while not everything and not pending.isEmpty():
         reach = [min(math.ceil(radius / width), c) for c in cells_needed]
-        everything = all(r >= c for r, c in zip(reach, cells_needed))
+        everything = all(r >= c for r, c in zip(reach, cells_needed, strict=True))
         got, pending = search(pending, width, reach, radius, everything)
         done.append(got)
         radius *= 2
+    if not pending.isEmpty():
+        raise RuntimeError("a test row stayed without its neighbours after all cells were searched")
+    if not done:
+        return test.select(id_col, blank)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    votes = out.select(id_col, F.explode_outer("_ys").alias("_y")).groupBy(id_col, "_y").agg(F.count(F.lit(1)).alias("_c"))
+    votes = out.select(id_col, F.explode("_ys").alias("_y")).groupBy(id_col, "_y").agg(F.count(F.lit(1)).alias("_c"))
     best = votes.groupBy(id_col).agg(F.min_by("_y", F.struct((-F.col("_c")).alias("c"), F.col("_y").alias("y"))).alias("prediction"))
-    return best
+    return test.select(id_col).join(best, id_col, "left")
 
 
 def standardizer(train: DataFrame, features: Sequence[str]):

@@ -44,6 +44,22 @@ def test_knn_matches_brute_force_with_duplicates_and_crowding(spark):
         assert got == want
 
 
+def test_knn_outside_the_train_box_and_with_missing_features(spark):
+    rnd = random.Random(8)
+    train = [(i, (float(i % 10), rnd.uniform(0, 3), rnd.uniform(0, 1), rnd.uniform(0, 9)), i % 3) for i in range(120)]
+    test = [(1000 + j, x, 0) for j, x in enumerate([(19.9, 1.0, 0.5, 4.0), (100.0, 50.0, -7.0, 4.0), (-1e6, 1.0, 1e4, 3.0),
+                                                    (5.0, 1.5, 0.2, -30.0), (4.0, 2.0, 0.9, 8.0)])]
+    schema = "id long, a double, b double, c double, e double, y int"
+    blanks = [(900, None, 1.0, 1.0, 1.0, 1), (901, float("nan"), 1.0, 1.0, 1.0, 1)]
+    tdf = spark.createDataFrame([(i, *x, y) for i, x, y in train] + blanks, schema)
+    qdf = spark.createDataFrame([(i, *x, y) for i, x, y in test] + [(2000, 1.0, None, 1.0, 1.0, 0)], schema)
+    for k in (5, 500):
+        got = {r.id: r.prediction for r in knn_classify(tdf, qdf, "id", ["a", "b", "c", "e"], "y", k=k).collect()}
+        assert got == {**_brute_knn(train, test, k), 2000: None}
+    empty = knn_classify(tdf.limit(0), qdf, "id", ["a", "b", "c", "e"], "y").collect()
+    assert len(empty) == 6 and all(r.prediction is None for r in empty)
+
+
 def _separable(spark, n=600):
     rnd = random.Random(9)
     rows = []
