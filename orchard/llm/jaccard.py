@@ -26,9 +26,9 @@ Verification.  First round: every bucket's members against its best connected se
 components.  Second round, complete: in every bucket whose members are still in
 different components, each prober meets the members of other components - all
 pairs of a bucket of at most ``small`` sets, and in larger ones block by block
-inside a task, which counts the pair's shared keys and emits only pairs that
-reach the points every linked pair shares.  A pair of different texts is either
-checked or already connected.  Nothing is capped.
+inside a task, which emits only pairs whose parity sketches differ in no more
+bits than linked sets may differ in elements.  A pair of different texts is
+either checked or already connected.  Nothing is capped.
 
 Copies.  Equal sets (128-bit digest and size) are collapsed before the join and
 expanded only as rows.  A different set is named by 64 bits of its digest.
@@ -285,55 +285,39 @@ def _small_pairs(members: DataFrame, rule: Rule) -> DataFrame:
     return _pairs(p, "x", "nx", "y", "ny", rule)
 
 
-def _block_pairs(members: DataFrame, lists: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+def _block_pairs(members: DataFrame, sketches: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of larger buckets, block of probers by block of members.  Pairs of different
-    components come out, each once (at its smallest shared probing key), if they share
-    the points a linked pair must share and their parity sketches differ in no more bits
-    than linked sets may differ in elements."""
-    full = members.join(lists, ["id", "own"]).join(sizes, "key")
+    components come out if their parity sketches differ in no more bits than linked sets
+    may differ in elements, once for each bucket in which they meet."""
+    full = members.join(sketches, ["id", "own"]).join(sizes, "key")
     h = F.xxhash64("id")
     side = lambda flag, mine, other: full.where(flag).select(
-        "key", "id", "n", "c", "own", "keys", "skeys", "sk", F.lit(mine == "p").alias("prober"),
+        "key", "id", "n", "c", "sk", F.lit(mine == "p").alias("prober"),
         F.pmod(h, F.col(f"{mine}blocks")).alias(f"{mine}b"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}blocks") - 1)).alias(f"{other}b"))
     rows = side(F.col("sel"), "p", "m").unionByName(side(F.col("own"), "m", "p"))
 
     def run(table: pa.Table) -> pa.Table:
-        key = table["key"][0].as_py()
         pro = table["prober"].to_numpy()
         p, m = table.filter(pa.array(pro)), table.filter(pa.array(~pro))
-        out: list[tuple[int, int]] = []
-        if p.num_rows and m.num_rows:
-            pk, mk = ([np.asarray(v) for v in t["keys"].to_pylist()] for t in (p, m))
-            words, flat = np.unique(np.concatenate(pk), return_inverse=True)
-            x = np.zeros((len(pk), len(words)), np.float32)
-            x[np.repeat(np.arange(len(pk)), [len(v) for v in pk]), flat] = 1
-            y = np.zeros((len(mk), len(words)), np.float32)
-            cat, row = np.concatenate(mk), np.repeat(np.arange(len(mk)), [len(v) for v in mk])
-            at = np.minimum(np.searchsorted(words, cat), len(words) - 1)
-            hit = words[at] == cat
-            y[row[hit], at[hit]] = 1
-            n, mn = p["n"].to_numpy(), m["n"].to_numpy()
-            i, mi = p["id"].to_numpy(), m["id"].to_numpy()
-            points = np.array([allocation(rule, band_of(int(v)))[1] for v in mn])
-            per_key = 2 if key & 2 else 1
-            most = (rule.den - rule.num) * (n[:, None] + mn[None, :]) // (rule.den + rule.num)
-            ok = (x @ y.T) * per_key >= points[None, :] - most
-            ok &= (mn[None, :] < n[:, None]) | ((mn[None, :] == n[:, None]) & (mi[None, :] < i[:, None]))
-            ok &= mn[None, :] * rule.den >= n[:, None] * rule.num
-            ok &= p["c"].to_numpy()[:, None] != m["c"].to_numpy()[None, :]
-            psk, msk = (t["sk"].to_pylist() for t in (p, m))
-            for u in np.flatnonzero(ok.any(axis=1)):
-                mine, near = set(p["skeys"][int(u)].as_py()), np.flatnonzero(ok[u])
-                # one cutting has one sketch length; a set of another cutting is no partner here
-                near = [w for w in near if len(msk[w]) == len(psk[u])]
-                if near:
-                    differ = np.frombuffer(b"".join(msk[w] for w in near), np.uint8).reshape(len(near), -1) ^ np.frombuffer(psk[u], np.uint8)
-                    apart = np.bitwise_count(differ).sum(axis=1)
-                    for w, d in zip(near, apart, strict=True):
-                        if d <= most[u, w] and min(mine.intersection(mk[w].tolist())) == key:
-                            out.append((min(i[u], mi[w]), max(i[u], mi[w])))
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+        (pn, pi, pc), (mn, mi, mc) = ([t[c].to_numpy() for c in ("n", "id", "c")] for t in (p, m))
+        psk, msk = (t["sk"].to_pylist() for t in (p, m))
+        plen, mlen = (np.array([len(v) for v in sk], np.int64) for sk in (psk, msk))
+        small, large = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # one cutting has one sketch length; a set of another cutting is no partner here
+        for length in np.intersect1d(plen, mlen):
+            at = np.flatnonzero(mlen == length)
+            words = np.frombuffer(b"".join(msk[w] for w in at), U).reshape(len(at), -1)
+            n, i, c = mn[at], mi[at], mc[at]
+            for u in np.flatnonzero(plen == length):
+                ok = (n < pn[u]) | ((n == pn[u]) & (i < pi[u]))
+                near = np.flatnonzero(ok & (n * rule.den >= pn[u] * rule.num) & (c != pc[u]))
+                if len(near):
+                    apart = np.bitwise_count(words[near] ^ np.frombuffer(psk[u], U)).sum(axis=1, dtype=np.int64)
+                    found = i[near[apart <= (rule.den - rule.num) * (pn[u] + n[near]) // (rule.den + rule.num)]]
+                    small.append(np.minimum(found, pi[u]))
+                    large.append(np.maximum(found, pi[u]))
+        return pa.table({"a": pa.array(np.concatenate(small), pa.int64()), "b": pa.array(np.concatenate(large), pa.int64())})
 
     return rows.groupBy("key", "pb", "mb").applyInArrow(run, "a long, b long")
 
@@ -379,13 +363,10 @@ def near_copies(docs: DataFrame, rule: Rule = Rule(), small: int = 8, block: int
     sizes = stored(sizes.select("key", "members", "pblocks", "mblocks"), "jaccard-open")
     still = stored(named.join(sizes.select("key", "members"), "key").select("key", "id", "n", "own", "sel", "c", "members"), "jaccard-still")
     large = still.where(F.col("members") > small).drop("members")
-    lists = (members.join(large.select("id", "own").distinct(), ["id", "own"], "left_semi").groupBy("id", "own")
-             .agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("sel"), F.col("key"))).alias("skeys")))
     sketches = single.select("id", F.inline(F.array(F.struct(F.lit(True).alias("own"), F.col("sk_own").alias("sk")),
                                                     F.struct(F.lit(False).alias("own"), F.col("sk_low").alias("sk"))))).where("sk is not null")
-    lists = lists.join(sketches, ["id", "own"])
     pairs = _small_pairs(still.where(F.col("members") <= small), rule).unionByName(
-        _block_pairs(large, lists, sizes.select("key", "pblocks", "mblocks"), rule))
+        _block_pairs(large, sketches, sizes.select("key", "pblocks", "mblocks"), rule))
     more = _linked(pairs, docs, names, rule)
     if more.limit(1).count():
         comp = stored(components(links.unionByName(more)), "jaccard-components")
