@@ -325,11 +325,14 @@ def _block_pairs(members: DataFrame, sketches: DataFrame, sizes: DataFrame, rule
 def _members(single: DataFrame) -> DataFrame:
     """(key, id, n, own, sel, pts, ts, score): each different set in the buckets it shares;
     ``sel`` where it probes, ``own`` where it is cut its own band's way."""
-    flat = single.select("id", F.explode("keys").alias("key"))
-    shared = stored(flat.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-shared")
+    # keys move once: the counting and the join read the same exchange.  A set holds a key once, so
+    # two rows make it shared; asking for the rows also keeps both readers' columns equal
+    flat = single.select("row", F.explode("keys").alias("key")).repartition("key")
+    shared = (flat.groupBy("key").agg(F.count("*").alias("df"), F.min("row").alias("x"), F.max("row").alias("y"))
+              .where("x < y").select("key", "df"))
     own = F.col("key").bitwiseAND(F.lit(1)) == F.col("band") % 2
-    info = single.select("id", "n", "band", "t_any", "t_own", "t_low")
-    hit = flat.join(shared, "key").join(info, "id").select(
+    info = single.select("row", "id", "n", "band", "t_any", "t_own", "t_low")
+    hit = flat.join(shared.hint("merge"), "key").join(info, "row").select(
         "id", "n", "key", "df", own.alias("own"), (F.shiftright(F.col("key").bitwiseAND(F.lit(2)), 1) + 1).alias("pts"),
         F.when(own, F.col("t_any")).otherwise(F.col("t_low")).alias("t"),
         F.when(own, F.col("t_own")).otherwise(F.col("t_low")).alias("ts"))
