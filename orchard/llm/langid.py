@@ -12,8 +12,8 @@ of its own.  The score is P(family) * P(language within the family), each the
 product of the winner's pairwise probabilities against its rivals.
 
 Training sample: of the learnable rows, at most ``per_language`` rows of each
-language with the smallest hash of (id, text length), a documented bound that
-keeps the driver's matrix small.  Whole texts are read; prediction runs over all
+language with the smallest hash of their id, a documented bound that keeps the
+driver's matrix small.  Rows with a null doc_id teach nothing.  Whole texts are read; prediction runs over all
 rows and all of every text.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0;
@@ -47,6 +47,7 @@ FAMILIES = {
 }
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3, 4)
+OVERDRAW = 4  # candidates a language for each wanted training row
 LETTER = re.compile(r"[^\W\d_]")
 KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -156,10 +157,19 @@ class LanguageModel:
 
 def train(docs: DataFrame, learnable: Column, per_language: int = 800) -> LanguageModel:
     """Fit on a bounded sample of ``docs(doc_id, text, lang)`` where ``learnable`` holds."""
-    rows = docs.where(learnable & F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").isNotNull())
-    # ids only: the sample is drawn without moving texts
+    named = docs.where(learnable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.trim("lang") != ""))
+    rows = named.where(F.col("text").isNotNull())
+    # one row a language, of which the driver holds per_language feature rows anyway
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n")).toArrow()
+    share = docs.sparkSession.createDataFrame(
+        [(x, min(1.0, OVERDRAW * per_language / n)) for x, n in zip(sizes["lang"].to_pylist(), sizes["n"].to_pylist(), strict=True)],
+        "lang string, share double")
+    # ids only: the sample is drawn without moving texts, and of a large language only the ids
+    # with the smallest hashes, about OVERDRAW times as many as wanted, are put in order
+    low = (F.xxhash64("doc_id").cast("double") + F.lit(float(1 << 63))) / F.lit(float(1 << 64))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order))
+    picked = (rows.select("doc_id", "lang").join(F.broadcast(share), "lang").where(low <= F.col("share"))
+              .withColumn("r", F.row_number().over(order))
               .where(F.col("r") <= per_language).select("doc_id").distinct())
     sample = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id", "left_semi")
 
