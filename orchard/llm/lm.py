@@ -14,13 +14,10 @@ its shorter history and costs its backoff weight.  Documents of a batch are
 traversed together, one token each per step, left to right, every document
 carrying its state and its running log10 probability.
 
-Scale.  Counting covers every training document: word counts are combined map
-side and shuffled by word.  Only n-grams of relative frequency ``theta`` can be
-arcs, which bounds the automaton whatever the corpus: a batch reports the
-n-grams that reach ``theta`` of its own tokens; an n-gram of at least 1.5
-``theta`` overall is reported for at least 0.5 ``theta`` of all tokens, and at
-most 2 / ``theta`` n-grams can be, and those are then counted exactly in a
-second pass.  Of the words, the ``dictionary`` commonest at most (by powers of
+Scale.  Counting covers every training document: all words, bigrams and
+trigrams are counted exactly, combined per batch and shuffled by n-gram, so what
+is gathered grows with the corpus.  Only n-grams of relative frequency ``theta``
+become arcs, which bounds the automaton: 1 / ``theta`` of an order.  Of the words, the ``dictionary`` commonest at most (by powers of
 two of the count) go to the executors; the occurrences of all other words are
 joined with their counts by a shuffle, pre-summed per document.  No word is
 left out of the base or the score.
@@ -85,36 +82,33 @@ def _counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff(np.concatenate([at, [len(x)]]))
 
 
-def _count_batches(theta: float):
-    """Rows (kind, key, a, b, n): kind 1 word counts; kinds 2 and 3 reported n-grams
-    with the keys of their history (a) and last token (b)."""
-    def run(batches):
-        for batch in batches:
-            data, off = text_buffers(batch.column("text"))
-            toks, twos, threes, prevs, hists = [], [], [], [], []
-            for i, j in blocks(off):
-                tok, at = token_block(data[off[i]:off[j]], off[i:j + 1] - off[i])
-                two, three = ngram_keys(tok, at)
-                prev = np.concatenate([[START], tok[:-1]])
-                prev[at[:-1]] = START
-                hist = np.concatenate([[U(0)], two[:-1]])
-                toks.append(tok), twos.append(two), threes.append(three), prevs.append(prev), hists.append(hist)
-            if not toks:
-                continue
-            tok = np.concatenate(toks)
-            key, n = _counts(tok)
-            yield _rows(1, key, key, key, n)
-            least = max(1, math.ceil(theta * len(tok)))
-            for kind, parts, hist in ((2, twos, prevs), (3, threes, hists)):
-                x = np.concatenate(parts)
-                order = np.argsort(x, kind="stable")
-                s = x[order]
-                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                n = np.diff(np.concatenate([first, [len(s)]]))
-                keep = (n >= least) & (s[first] != 0)
-                at = order[first[keep]]
-                yield _rows(kind, x[at], np.concatenate(hist)[at], tok[at], n[keep])
-    return run
+def _count_batches(batches):
+    """Rows (kind, key, a, b, n): kind 1 word counts; kinds 2 and 3 n-gram counts with
+    the keys of their history (a) and last token (b)."""
+    for batch in batches:
+        data, off = text_buffers(batch.column("text"))
+        toks, twos, threes, prevs, hists = [], [], [], [], []
+        for i, j in blocks(off):
+            tok, at = token_block(data[off[i]:off[j]], off[i:j + 1] - off[i])
+            two, three = ngram_keys(tok, at)
+            prev = np.concatenate([[START], tok[:-1]])
+            prev[at[:-1]] = START
+            hist = np.concatenate([[U(0)], two[:-1]])
+            toks.append(tok), twos.append(two), threes.append(three), prevs.append(prev), hists.append(hist)
+        if not toks:
+            continue
+        tok = np.concatenate(toks)
+        key, n = _counts(tok)
+        yield _rows(1, key, key, key, n)
+        for kind, parts, hist in ((2, twos, prevs), (3, threes, hists)):
+            x = np.concatenate(parts)
+            order = np.argsort(x, kind="stable")
+            s = x[order]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            n = np.diff(np.concatenate([first, [len(s)]]))
+            keep = s[first] != 0
+            at = order[first[keep]]
+            yield _rows(kind, x[at], np.concatenate(hist)[at], tok[at], n[keep])
 
 
 def _rows(kind: int, key, a, b, n) -> pa.RecordBatch:
@@ -241,7 +235,7 @@ def train(docs: DataFrame, theta: float = 1e-6, dictionary: int = 1 << 20, disco
     ``docs(text)``."""
     docs = spread(docs.select(F.col("text").cast("string").alias("text")))
     schema = "kind int, key long, a long, b long, n long"
-    raw = docs.mapInArrow(_count_batches(theta), schema)
+    raw = docs.mapInArrow(_count_batches, schema)
     both = stored(raw.groupBy("kind", "key").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("n").alias("n")),
                   "lm-counts")
     words = both.where("kind = 1").select("key", "n")
@@ -258,30 +252,12 @@ def train(docs: DataFrame, theta: float = 1e-6, dictionary: int = 1 << 20, disco
     words_key, words_n = _long_keys(top["key"]), top["n"].to_numpy()
     end = words_key == END
     n_docs = int(words_n[end].sum())
-    # reported often enough to reach 1.5 theta overall: at most 2 / theta of each order
-    cand = both.where((F.col("kind") > 1) & (F.col("n") >= theta * total / 2)).select("kind", "key", "a", "b").toArrow()
-    kind, key = cand["kind"].to_numpy(), _long_keys(cand["key"])
-    seen = docs.sparkSession.sparkContext.broadcast(HashTable(key))
-
-    def exact(batches):
-        keys = seen.value
-        n = np.zeros(keys.size, np.int64)
-        for batch in batches:
-            data, off = text_buffers(batch.column("text"))
-            for i, j in blocks(off):
-                for x in ngram_keys(*token_block(data[off[i]:off[j]], off[i:j + 1] - off[i])):
-                    at = keys.find(x)
-                    n += np.bincount(at[at >= 0], minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["i", "n"])
-
-    counts = np.zeros(len(key), np.int64)
-    if len(key):
-        got = docs.mapInArrow(exact, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-        counts[got["i"].to_numpy()] = got["n"].to_numpy()
-    least_n = max(1, theta * total)
-    grams = [{"key": key[m], "a": _long_keys(cand["a"])[m], "b": _long_keys(cand["b"])[m], "n": counts[m]}
-             for m in ((kind == o) & (counts >= least_n) for o in (2, 3))]
+    # at most 1 / theta n-grams of each order reach theta
+    arcs = (both.where((F.col("kind") > 1) & (F.col("n") >= max(1, theta * total)))
+            .select("kind", "key", "a", "b", "n").toArrow())
+    kind = arcs["kind"].to_numpy()
+    cols = {c: _long_keys(arcs[c]) for c in ("key", "a", "b")} | {"n": arcs["n"].to_numpy()}
+    grams = [{c: v[kind == order] for c, v in cols.items()} for order in (2, 3)]
     release(docs.sparkSession)
     return Automaton(words_key, words_n, total, vocab, n_docs, *grams, discount=discount), words, least
 
