@@ -1,29 +1,29 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Model.  Words and an end mark per document are the tokens.  Unigrams are
-add-half smoothed: (c + 0.5) / (N + 0.5 (V + 1)).  Bigrams and trigrams whose
-relative frequency in the training tokens reaches ``theta`` become arcs with an
+add-half smoothed: (c + 0.5) / (N + 0.5 (V + 1)).  Bigrams and trigrams that occur
+``min_count`` times or more in the training tokens become arcs with an
 absolutely discounted probability (c - D) / c(history); what the arcs of a
 history leave over is spread over all other words by its backoff weight
 (1 - sum of arcs) / (1 - sum of the same words one order below), so every
-history's probabilities sum to one.
+history's probabilities sum to one.  ``min_count`` is an absolute count: the model
+grows with the corpus.
 
 Automaton.  States are the root, one state per word that starts an arc, and
 one per bigram that starts an arc; a state's failure arc leads to the state of
-its shorter history and costs its backoff weight.  Documents of a batch are
+its shorter history and costs its backoff weight.  Documents of a block are
 traversed together, one token each per step, left to right, every document
 carrying its state and its running log10 probability.
 
-Scale.  Counting covers every training document: word counts are combined map
-side and shuffled by word.  Only n-grams of relative frequency ``theta`` can be
-arcs, which bounds the automaton whatever the corpus: a batch reports the
-n-grams that reach ``theta`` of its own tokens; an n-gram of at least 1.5
-``theta`` overall is reported for at least 0.5 ``theta`` of all tokens, and at
-most 2 / ``theta`` n-grams can be, and those are then counted exactly in a
-second pass.  Of the words, the ``dictionary`` commonest at most (by powers of
-two of the count) go to the executors; the occurrences of all other words are
-joined with their counts by a shuffle, pre-summed per document.  No word is
-left out of the base or the score.
+Scale.  Counting covers every n-gram of every training document; nothing is
+withheld.  A run of about ``RUN`` tokens sends its distinct n-grams, packed, to
+buckets by key; a bucket (about 2^20 tokens of the corpus, whatever its size) is
+counted exactly by one task.  The arcs lie in a table of the shared folder, in
+the same buckets, and never travel whole: documents are stored in blocks, a block
+sends the keys it holds to the buckets, gets back what the table has of them, and
+builds the part of the automaton it can reach.  Of the words, the ``dictionary``
+commonest at most (by powers of two of the count) go to the executors as a
+broadcast; all others are asked for like n-grams.
 
 Defined cases: a null or empty text has the end mark as its only token; texts
 without training data score with N = V = 0; repeated rows are scored (and, in
@@ -37,19 +37,35 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orchard.llm.common import HashTable, U, blocks, crc_mod, mix, release, spread, stored, text_buffers, word_hashes
+from orchard.llm.common import BASE, HashTable, U, blocks, crc_mod, mix, spread, stored, text_buffers, word_hashes
 
 END = U(0xE5D0E5D0E5D0E5D1)    # the end token's key
 START = U(0x57A2757A2757A275)  # history before the first token
-LOG10 = math.log(10)
+HISTORY, LAST, FLIP = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, U(0x3333333333333333)
+RUN = 1 << 21  # tokens whose n-grams are combined before they are sent
+BLOCK = 4 << 20  # bytes of text scored together (a longer document alone)
 
 
 def _pair(a, b):
     with np.errstate(over="ignore"):
-        return mix(a * U(0xA0761D6478BD642F) + b * U(0xE7037ED1A0B428DB) + U(2))
+        return mix(a * U(HISTORY) + b * U(LAST) + U(2))
+
+
+def _history(key, b):
+    """The ``a`` of ``_pair(a, b)``: every step of the key can be undone."""
+    inv = lambda c: U(pow(c, -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        x = key ^ (key >> U(31)) ^ (key >> U(62))
+        x = x * inv(0x94D049BB133111EB)
+        x = x ^ (x >> U(27)) ^ (x >> U(54))
+        x = x * inv(0xBF58476D1CE4E5B9)
+        x = x ^ (x >> U(30)) ^ (x >> U(60))
+        return (x - BASE - U(2) - b * U(LAST)) * inv(HISTORY)
 
 
 def token_block(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,119 +90,158 @@ def ngram_keys(tok: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     two = _pair(prev, tok)
     hist = np.zeros_like(tok)  # key of the bigram that ends at the previous token
     hist[1:] = two[:-1]
-    three = _pair(hist ^ U(0x3333333333333333), tok)
+    three = _pair(hist ^ FLIP, tok)
     three[off[:-1]] = 0
     return two, three
 
 
-def _counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.sort(x)
-    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return x[at], np.diff(np.concatenate([at, [len(x)]]))
+def _firsts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a position of each, and how often each occurs."""
+    order = np.argsort(x, kind="stable")
+    s = x[order]
+    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return s[at], order[at], np.diff(np.concatenate([at, [len(s)]]))
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Byte planes of equally long columns, compressed; the first, sorted uint64, by its steps."""
+    steps = np.diff(columns[0], prepend=U(0))
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes()
+              for c in (steps, *columns[1:])]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(raw: bytes, *types) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    widths = [np.dtype(t).itemsize for t in types]
+    n, out, at = len(raw) // sum(widths), [], 0
+    for t, w in zip(types, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at:at + n * w].reshape(w, n).T).reshape(-1).view(t))
+        at += n * w
+    with np.errstate(over="ignore"):
+        out[0] = np.cumsum(out[0], dtype=U)
+    return out
+
+
+def _bucket(bits: int, key: str = "key") -> Column:
+    """The first ``bits`` bits of a key."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(key, 63 - bits), 1)
+
+
+def _cuts(keys: np.ndarray, bits: int):
+    """(bucket, from, to) of the buckets of sorted keys."""
+    number = (keys >> U(63 - bits)) >> U(1)
+    at = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return zip(number[at].astype(np.int64).tolist(), at.tolist(), [*at[1:].tolist(), len(keys)], strict=True)
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _keys(x) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).view(U) if isinstance(x, pa.Array) else x.to_numpy().view(U)
 
 
-def _count_batches(theta: float):
-    """Rows (kind, key, a, b, n): kind 1 word counts; kinds 2 and 3 reported n-grams
-    with the keys of their history (a) and last token (b)."""
+def _runs(batches):
+    """(token keys, offsets) of about ``RUN`` tokens of whole documents each."""
+    toks, offs, n = [], [np.zeros(1, np.int64)], 0
+    for batch in batches:
+        data, off = text_buffers(batch.column("text"))
+        for i, j in blocks(off):
+            tok, at = token_block(data[off[i]:off[j]], off[i:j + 1] - off[i])
+            toks.append(tok), offs.append(at[1:] + n)
+            n += len(tok)
+            if n >= RUN:
+                yield np.concatenate(toks), np.concatenate(offs)
+                toks, offs, n = [], [np.zeros(1, np.int64)], 0
+    if n:
+        yield np.concatenate(toks), np.concatenate(offs)
+
+
+def _word_runs(batches):
+    for tok, _ in _runs(batches):
+        key, _, n = _firsts(tok)
+        yield pa.RecordBatch.from_arrays([_long(key), pa.array(n)], ["key", "n"])
+
+
+def _gram_runs(bits: int):
+    """Rows (bucket, grams, lasts): packed key, order, place of the last word in ``lasts``, count."""
     def run(batches):
-        for batch in batches:
-            data, off = text_buffers(batch.column("text"))
-            toks, twos, threes, prevs, hists = [], [], [], [], []
-            for i, j in blocks(off):
-                tok, at = token_block(data[off[i]:off[j]], off[i:j + 1] - off[i])
-                two, three = ngram_keys(tok, at)
-                prev = np.concatenate([[START], tok[:-1]])
-                prev[at[:-1]] = START
-                hist = np.concatenate([[U(0)], two[:-1]])
-                toks.append(tok), twos.append(two), threes.append(three), prevs.append(prev), hists.append(hist)
-            if not toks:
-                continue
-            tok = np.concatenate(toks)
-            key, n = _counts(tok)
-            yield _rows(1, key, key, key, n)
-            least = max(1, math.ceil(theta * len(tok)))
-            for kind, parts, hist in ((2, twos, prevs), (3, threes, hists)):
-                x = np.concatenate(parts)
-                order = np.argsort(x, kind="stable")
-                s = x[order]
-                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                n = np.diff(np.concatenate([first, [len(s)]]))
-                keep = (n >= least) & (s[first] != 0)
-                at = order[first[keep]]
-                yield _rows(kind, x[at], np.concatenate(hist)[at], tok[at], n[keep])
+        for tok, off in _runs(batches):
+            two, three = ngram_keys(tok, off)
+            parts = []
+            for order, x in ((2, two), (3, three)):
+                key, at, n = _firsts(x)
+                some = key != 0
+                parts.append((key[some], np.full(int(some.sum()), order, np.uint8), tok[at[some]], n[some].astype(np.uint32)))
+            key, order, last, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+            o = np.argsort(key)
+            key, order, last, n = key[o], order[o], last[o], n[o]
+            for b, i, j in _cuts(key, bits):
+                lasts, place = np.unique(last[i:j], return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b], pa.int64()), pa.array([_pack(key[i:j], order[i:j], place.astype(np.uint32), n[i:j])], pa.binary()),
+                     pa.array([_pack(lasts)], pa.binary())], ["bucket", "grams", "lasts"])
     return run
 
 
-def _rows(kind: int, key, a, b, n) -> pa.RecordBatch:
-    as_long = lambda x: pa.array(x.view(np.int64))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(key), kind, np.int32)), as_long(key), as_long(a), as_long(b),
-         pa.array(n.astype(np.int64))], ["kind", "key", "a", "b", "n"])
+def _count_bucket(least: int):
+    """Exact counts of a bucket's n-grams; those of ``least`` or more."""
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for raw, words in zip(table["grams"].to_pylist(), table["lasts"].to_pylist(), strict=True):
+            key, order, place, n = _unpack(raw, U, np.uint8, np.uint32, np.uint32)
+            parts.append((key, order, _unpack(words, U)[0][place], n))
+        key, order, last, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        o = np.argsort(key, kind="stable")
+        key, n = key[o], n[o].astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.add.reduceat(n, at)
+        at, n = at[n >= least], n[n >= least]
+        key, order, last = key[at], order[o][at], last[o][at]
+        a = _history(key, last)
+        a[order == 3] ^= FLIP
+        return pa.table([pa.array(order.astype(np.int32)), _long(key), _long(a), _long(last), pa.array(n)],
+                        names=["kind", "key", "a", "b", "n"])
+    return run
+
+
+def _lower(batches):
+    """Adds ``low``, the key of the bigram (v, b)."""
+    for b in batches:
+        low = _pair(_keys(b.column("v")), _keys(b.column("b")))
+        yield pa.RecordBatch.from_arrays([*b.columns, _long(low)], [*b.schema.names, "low"])
 
 
 class Automaton:
-    """Root 0; word states, then bigram states.  ``arc`` maps (state, word) to
-    (log10 probability, next state); ``fail`` and ``bow`` are the failure arcs."""
+    """Root 0, then one state per history.  ``arc`` maps (state, word) to (log10
+    probability, next state); ``fail`` and ``bow`` are the failure arcs.  It may be
+    the part of a model that some documents can reach."""
 
-    def __init__(self, words, counts, total, vocab, docs, two, three, discount=0.5):
-        """two, three: dicts of arrays key, a (history key), b (token key), n (exact count)."""
+    def __init__(self, total, vocab, words, counts, two, three, hist):
+        """two, three: dicts of arrays key, a (history key), b (word key), log and, for three,
+        low (key of the bigram it ends with); hist: key, last (a bigram's last word, else 0), log."""
         self.total, self.vocab = int(total), int(vocab)
         self.denominator = self.total + 0.5 * (self.vocab + 1)
-        self.words, self.counts = words, counts
-        self.index = HashTable(words)
-        uni = (counts + 0.5) / self.denominator
-        self.uni = np.log10(uni)
-        # bigram arcs whose history is START or a dictionary word, and whose token is in the dictionary
-        hist_n = np.where(two["a"] == START, docs, 0)
-        h = self.index.find(two["a"])
-        hist_n = np.where(h >= 0, counts[np.maximum(h, 0)] if len(counts) else 0, hist_n)
-        b = self.index.find(two["b"])
-        ok = (hist_n > 0) & (b >= 0) & (two["n"] > discount)
-        two = {k: v[ok] for k, v in two.items()}
-        hist_n, b = hist_n[ok], b[ok]
-        p2 = np.minimum((two["n"] - discount) / np.maximum(hist_n, 1), 1.0)
-        hist2, hist2_of = np.unique(two["a"], return_inverse=True)
-        left = 1 - np.bincount(hist2_of, p2, len(hist2))
-        below = 1 - np.bincount(hist2_of, uni[b] if len(b) else b, len(hist2))
-        bow2 = np.maximum(left, 1e-12) / np.maximum(below, 1e-12)
-        # trigram arcs over kept bigrams
-        t2 = HashTable(two["key"])
-        h3, b3 = t2.find(three["a"]), self.index.find(three["b"])
-        ok = (h3 >= 0) & (b3 >= 0) & (three["n"] > discount)
-        three, h3, b3 = {k: v[ok] for k, v in three.items()}, h3[ok], b3[ok]
-        p3 = np.minimum((three["n"] - discount) / two["n"][h3], 1.0) if len(h3) else np.zeros(0)
-        # the same words one order below: P(w | v), v the last word of the bigram
-        lower = t2.find(_pair(two["b"][h3], three["b"]))
-        v_state = np.searchsorted(hist2, two["b"][h3])
-        has = (v_state < len(hist2)) & (hist2[np.minimum(v_state, max(len(hist2) - 1, 0))] == two["b"][h3]) if len(hist2) else np.zeros(0, bool)
-        back = np.where(has, bow2[np.minimum(v_state, len(hist2) - 1)], 1.0) * uni[b3] if len(h3) else np.zeros(0)
-        q3 = np.where(lower >= 0, p2[np.maximum(lower, 0)], back) if len(h3) else np.zeros(0)
-        hist3, hist3_of = np.unique(h3, return_inverse=True)
-        left = 1 - np.bincount(hist3_of, p3, len(hist3))
-        below = 1 - np.bincount(hist3_of, q3, len(hist3))
-        bow3 = np.maximum(left, 1e-12) / np.maximum(below, 1e-12)
-        # states: 0 root, 1.. histories of one word, then histories of two
-        n2 = 1 + len(hist2)
-        self.fail = np.zeros(n2 + len(hist3), np.int32)
-        self.bow = np.concatenate([[0.0], np.log10(bow2), np.log10(bow3)])
-        word_state = np.zeros(len(words) + 1, np.int32)  # by dictionary index; the last entry is "not in it"
-        at = self.index.find(hist2)
-        word_state[at[at >= 0]] = (1 + np.arange(len(hist2)))[at >= 0]
-        start = np.flatnonzero(hist2 == START)
-        self.start = int(1 + start[0]) if len(start) else 0
-        self.word_state = word_state
-        pair_state = np.full(len(two["key"]), -1, np.int32)
-        pair_state[hist3] = n2 + np.arange(len(hist3))
-        self.fail[n2:] = word_state[b[hist3]] if len(hist3) else 0
-        next2 = np.where(pair_state >= 0, pair_state, word_state[b] if len(b) else 0)
-        state2 = 1 + hist2_of
-        # after a trigram (u, v, w) the longest history that is a state: (v, w), else w
-        follow = np.where(lower >= 0, pair_state[np.maximum(lower, 0)], -1) if len(h3) else np.zeros(0, np.int32)
-        next3 = np.where(follow >= 0, follow, word_state[b3] if len(b3) else 0)
-        state3 = n2 + hist3_of
-        self.arc = HashTable(self._key(np.concatenate([state2, state3]), np.concatenate([b, b3])))
-        self.arc_log = np.log10(np.concatenate([p2, p3]))
-        self.arc_next = np.concatenate([next2, next3]).astype(np.int32)
+        self.words, self.index = words, HashTable(words)
+        self.uni = np.log10((counts + 0.5) / self.denominator)
+        table = HashTable(hist["key"])
+        state = lambda key: table.find(key) + 1
+        self.fail = np.concatenate([[0], np.where(hist["last"] == 0, 0, state(hist["last"]))]).astype(np.int32)
+        self.bow = np.concatenate([[0.0], hist["log"]])
+        self.start = int(state(np.array([START], U))[0])
+        self.word_state = np.append(state(words), 0).astype(np.int32)  # the last entry is "not in it"
+        arcs, logs, following = [], [], []
+        for grams, longest in ((two, "key"), (three, "low")):
+            # after an arc the longest history that is a state: the last two words, else the last one
+            pair, one = state(grams[longest]), state(grams["b"])
+            arcs.append(self._key(state(grams["a"]), self.index.find(grams["b"])))
+            logs.append(grams["log"])
+            following.append(np.where(pair > 0, pair, one))
+        self.arc = HashTable(np.concatenate(arcs))
+        self.arc_log = np.concatenate(logs)
+        self.arc_next = np.concatenate(following).astype(np.int32)
 
     @staticmethod
     def _key(state, word):
@@ -232,19 +287,18 @@ class Automaton:
         return out
 
 
-def _long_keys(x) -> np.ndarray:
-    return x.to_numpy(zero_copy_only=False).view(U)
+class Model:
+    """The tables of a trained model: ``values`` (bucket, key, kind, a, b, low, x, y), where x is a
+    word's count or an arc's log10 probability and y the log10 backoff weight of a history."""
 
+    def __init__(self, values: DataFrame, bits: int, total: int, vocab: int, least: int):
+        self.values, self.bits, self.total, self.vocab, self.least = values, bits, total, vocab, least
 
-def train(docs: DataFrame, theta: float = 1e-6, dictionary: int = 1 << 20, discount: float = 0.5):
-    """(automaton, stored word counts (key, n), least count in the dictionary) from
-    ``docs(text)``."""
+
+def fit(docs: DataFrame, min_count: int = 2, dictionary: int = 1 << 20, discount: float = 0.5, theta: float = 0.0) -> Model:
+    """Model of ``docs(text)``; ``theta`` asks for a relative frequency besides ``min_count``."""
     docs = spread(docs.select(F.col("text").cast("string").alias("text")))
-    schema = "kind int, key long, a long, b long, n long"
-    raw = docs.mapInArrow(_count_batches(theta), schema)
-    both = stored(raw.groupBy("kind", "key").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("n").alias("n")),
-                  "lm-counts")
-    words = both.where("kind = 1").select("key", "n")
+    words = stored(docs.mapInArrow(_word_runs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     sizes = {r[0]: (r[1], r[2]) for r in
              words.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*"), F.sum("n")).collect()}
     vocab, total = sum(v for v, _ in sizes.values()), sum(n for _, n in sizes.values())
@@ -254,98 +308,179 @@ def train(docs: DataFrame, theta: float = 1e-6, dictionary: int = 1 << 20, disco
         if kept > dictionary:
             least = 1 << (int(k) + 1)
             break
-    top = words.where(F.col("n") >= least).toArrow()
-    words_key, words_n = _long_keys(top["key"]), top["n"].to_numpy()
-    end = words_key == END
-    n_docs = int(words_n[end].sum())
-    # reported often enough to reach 1.5 theta overall: at most 2 / theta of each order
-    cand = both.where((F.col("kind") > 1) & (F.col("n") >= theta * total / 2)).select("kind", "key", "a", "b").toArrow()
-    kind, key = cand["kind"].to_numpy(), _long_keys(cand["key"])
-    seen = docs.sparkSession.sparkContext.broadcast(HashTable(key))
-
-    def exact(batches):
-        keys = seen.value
-        n = np.zeros(keys.size, np.int64)
-        for batch in batches:
-            data, off = text_buffers(batch.column("text"))
-            for i, j in blocks(off):
-                for x in ngram_keys(*token_block(data[off[i]:off[j]], off[i:j + 1] - off[i])):
-                    at = keys.find(x)
-                    n += np.bincount(at[at >= 0], minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["i", "n"])
-
-    counts = np.zeros(len(key), np.int64)
-    if len(key):
-        got = docs.mapInArrow(exact, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-        counts[got["i"].to_numpy()] = got["n"].to_numpy()
-    least_n = max(1, theta * total)
-    grams = [{"key": key[m], "a": _long_keys(cand["a"])[m], "b": _long_keys(cand["b"])[m], "n": counts[m]}
-             for m in ((kind == o) & (counts >= least_n) for o in (2, 3))]
-    release(docs.sparkSession)
-    return Automaton(words_key, words_n, total, vocab, n_docs, *grams, discount=discount), words, least
-
-
-def score(docs: DataFrame, model: Automaton, words: DataFrame, least: int, keep: list[str]) -> DataFrame:
+    end = F.lit(int(END.view(np.int64)))
+    start = F.lit(int(START.view(np.int64)))
+    bits = max(0, math.ceil(math.log2(max(1, total) / (1 << 20))))
+    grams = docs.mapInArrow(_gram_runs(bits), "bucket long, grams binary, lasts binary")
+    arcs = stored(grams.groupBy("bucket").applyInArrow(_count_bucket(max(min_count, math.ceil(theta * total))),
+                                                       "kind int, key long, a long, b long, n long"), "lm-arcs")
+    left = lambda p: F.greatest(1 - F.sum(p), F.lit(1e-12))
+    p = (F.col("n") - discount) / F.col("c")
+    # START stands as often as the end mark
+    before = words.unionByName(words.where(F.col("key") == end).select(start.alias("key"), "n"))
+    two = arcs.where("kind = 2").select("key", "a", "b", "n")
+    two = two.join(before.select(F.col("key").alias("a"), F.col("n").alias("c")), "a").select("key", "a", "b", "n", p.alias("p"))
+    two = two.join(words.select(F.col("key").alias("b"), ((F.col("n") + 0.5) / F.lit(total + 0.5 * (vocab + 1))).alias("u")), "b")
+    two = stored(two, "lm-two")
+    bow2 = two.groupBy("a").agg(F.log10(left("p") / left("u")).alias("y"))
+    # an n-gram's shorter ones occur as often at least, so they are arcs themselves
+    three = arcs.where("kind = 3").select("key", "a", "b", "n")
+    three = three.join(two.select(F.col("key").alias("a"), F.col("n").alias("c"), F.col("b").alias("v")), "a").select(
+        "key", "a", "b", "v", p.alias("p"))
+    three = three.mapInArrow(_lower, "key long, a long, b long, v long, p double, low long").drop("v")
+    three = stored(three.join(two.select(F.col("key").alias("low"), F.col("p").alias("q")), "low"), "lm-three")
+    bow3 = three.groupBy("a").agg(F.log10(left("p") / left("q")).alias("y"))
+    none = F.lit(0).cast("long")
+    weigh = lambda t, bow: t.join(bow.select(F.col("a").alias("key"), "y"), "key", "left")
+    cols = ["key", "kind", "a", "b", "low", "x", "y"]
+    values = (weigh(before.select("key", F.lit(1).alias("kind"), none.alias("a"), none.alias("b"), none.alias("low"),
+                                  F.col("n").cast("double").alias("x")), bow2).select(cols)
+              .unionByName(weigh(two.select("key", F.lit(2).alias("kind"), "a", "b", none.alias("low"), F.log10("p").alias("x")), bow3).select(cols))
+              .unionByName(three.select("key", F.lit(3).alias("kind"), "a", "b", "low", F.log10("p").alias("x"),
+                                        F.lit(None).cast("double").alias("y"))))
+    values = stored(values.withColumn("bucket", _bucket(bits)), "lm-values")
+    return Model(values, bits, total, vocab, least)
+
+
+def train(docs: DataFrame, theta: float = 0.0, min_count: int = 2):
+    """(the whole model as one automaton, its word keys, their counts): for models that fit one process."""
+    model = fit(docs, min_count, theta=theta)
+    t = model.values.toArrow()
+    kind, key, x = t["kind"].to_numpy(), _keys(t["key"]), t["x"].to_numpy()
+    y = t["y"].to_numpy()
+    cols = {"key": key, "a": _keys(t["a"]), "b": _keys(t["b"]), "low": _keys(t["low"]), "log": x}
+    two, three = ({c: v[kind == k] for c, v in cols.items()} for k in (2, 3))
+    is_hist, word = ~np.isnan(y), (kind == 1) & (key != START)
+    hist = {"key": key[is_hist], "last": cols["b"][is_hist], "log": y[is_hist]}
+    return Automaton(model.total, model.vocab, key[word], x[word], two, three, hist), key[word], x[word]
+
+
+class _Block:
+    """Tokens of a block's documents and the distinct keys it asks for, sorted."""
+
+    def __init__(self, words: np.ndarray, place: np.ndarray, off: np.ndarray):
+        self.tok, self.off = words[place], off
+        self.two, self.three = ngram_keys(self.tok, off)
+        self.words = words
+        self.keys2, self.at2, _ = _firsts(self.two)
+        keys3, at3, _ = _firsts(self.three)
+        self.keys3, self.at3 = keys3[keys3 != 0], at3[keys3 != 0]
+
+    def asked(self, known: HashTable) -> np.ndarray:
+        rare = np.append(self.words, START)
+        return np.sort(np.concatenate([rare[known.find(rare) < 0], self.keys2, self.keys3]))
+
+
+def _read_block(words: bytes, place: bytes, off: list[int]) -> _Block:
+    return _Block(_unpack(words, U)[0], np.frombuffer(zstandard.ZstdDecompressor().decompress(place), np.uint32), np.array(off))
+
+
+def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns plus n_tokens, n_known, train_tokens, base_score, score per row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    spark, bits, denominator = docs.sparkSession, model.bits, model.total + 0.5 * (model.vocab + 1)
+    total, vocab = model.total, model.vocab
+    top = model.values.where((F.col("kind") == 1) & (F.col("x") >= model.least)).select("key", "x", "y").toArrow()
+    known = (HashTable(_keys(top["key"])), top["x"].to_numpy(), top["y"].to_numpy())
+    sent = spark.sparkContext.broadcast(known)
     work = spread(docs.select(*keep, F.col("text").cast("string").alias("text")))
-    extra = "n_tokens long, n_known long, base double, score double, rare array<long>, rare_n array<int>"
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in work.drop("text").schema.fields) + ", " + extra
+    types = {f.name: f.dataType.simpleString() for f in work.schema.fields if f.name != "text"}
 
-    def run(batches):
-        m = sent.value
+    def cut(batches):
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
             data, off = text_buffers(batch.column("text"))
-            size, known, base, total, rare, rare_n = [], [], [], [], [], []
-            toks, offs = [], [np.zeros(1, np.int64)]
-            for i, j in blocks(off):
+            for i, j in blocks(off, BLOCK):
                 tok, at = token_block(data[off[i]:off[j]], off[i:j + 1] - off[i])
-                ids = m.index.find(tok)
-                doc = np.repeat(np.arange(j - i), np.diff(at))
-                hit = ids >= 0
-                known.append(np.bincount(doc[hit], minlength=j - i))
-                base.append(np.bincount(doc[hit], m.uni[ids[hit]] if hit.any() else None, minlength=j - i))
-                size.append(np.diff(at))
-                d, x = doc[~hit], tok[~hit]
-                order = np.lexsort((x, d))
-                d, x = d[order], x[order]
-                first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])) if len(x) else np.zeros(0, np.int64)
-                rare_n.append(np.diff(np.concatenate([first, [len(x)]])))
-                rare.append((x[first], np.bincount(d[first], minlength=j - i)))
-                toks.append(ids)
-                offs.append(at[1:] + offs[-1][-1])
-            if not toks:
-                continue
-            total = m.traverse(np.concatenate(toks), np.concatenate(offs))
-            rare_off = np.concatenate([[0], np.cumsum(np.concatenate([c for _, c in rare]))]).astype(np.int32)
-            flat = np.concatenate([x for x, _ in rare]).view(np.int64)
-            lists = [pa.ListArray.from_arrays(rare_off, pa.array(flat)),
-                     pa.ListArray.from_arrays(rare_off, pa.array(np.concatenate(rare_n).astype(np.int32)))]
-            kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(np.concatenate(size).astype(np.int64)), pa.array(np.concatenate(known).astype(np.int64)),
-                 pa.array(np.concatenate(base).astype(float)), pa.array(total), *lists],
-                [*keep, "n_tokens", "n_known", "base", "score", "rare", "rare_n"])
-
-    # the row number only has to be the same on every later read, and the rows are stored
-    part = stored(work.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-part")
-    rare = part.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select(
-        "row", F.col("x.rare").alias("key"), F.col("x.rare_n").alias("tf"))
-    few = words.where(F.col("n") < least)
-    c = F.coalesce(F.col("n"), F.lit(0))
-    rest = rare.join(few, "key", "left").groupBy("row").agg(
-        F.sum(F.col("tf") * F.log10((c + 0.5) / F.lit(model.denominator))).alias("rest"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("rest_known"))
-    rest_or_0 = F.coalesce(F.col("rest"), F.lit(0.0))
-    return part.drop("rare", "rare_n").join(rest, "row", "left").select(
-        *keep, "n_tokens", (F.col("n_known") + F.coalesce(F.col("rest_known"), F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + rest_or_0).alias("base_score"),
-        (F.col("score") + rest_or_0).alias("score"))
-
-
-def lm_scores(docs: DataFrame, mod: int = 5, held: int = 1, theta: float = 1e-6, dictionary: int = 1 << 20) -> DataFrame:
+                words, place = np.unique(tok, return_inverse=True)
+                lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(c).slice(i, j - i)) for c in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number]), pa.array([_pack(words)], pa.binary()),
+                     pa.array([zstandard.ZstdCompressor(level=1).compress(place.astype(np.uint32).tobytes())], pa.binary()),
+                     pa.array([at.tolist()], pa.list_(pa.int64())), *lists], ["block", "words", "place", "off", *keep])
+                number += 1
+
+    lists = ", ".join(f"`{c}` array<{t}>" for c, t in types.items())
+    # the block's number only has to be the same on every later read, and the blocks are stored
+    parts = stored(work.mapInArrow(cut, f"block long, words binary, place binary, off array<long>, {lists}"), "lm-blocks")
+
+    def ask(batches):
+        for batch in batches:
+            rows = (batch.column(c).to_pylist() for c in ("block", "words", "place", "off"))
+            for number, words, place, off in zip(*rows, strict=True):
+                keys = _read_block(words, place, off).asked(sent.value[0])
+                for b, i, j in _cuts(keys, bits):
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([number], pa.int64()),
+                                                      pa.array([_pack(keys[i:j])], pa.binary())], ["bucket", "block", "keys"])
+
+    def answer(asked: pa.Table, have: pa.Table) -> pa.Table:
+        index, x, y = HashTable(_keys(have["key"])), have["x"].to_numpy(), have["y"].to_numpy()
+        numbers, found = [], []
+        for number, raw in zip(asked["block"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+            keys = _unpack(raw, U)[0]
+            at = index.find(keys)
+            hit = at >= 0
+            if hit.any():
+                numbers.append(number), found.append(_pack(keys[hit], x[at[hit]], y[at[hit]]))
+        return pa.table([pa.array(numbers, pa.int64()), pa.array(found, pa.binary())], names=["block", "found"])
+
+    asked = parts.select("block", "words", "place", "off").mapInArrow(ask, "bucket long, block long, keys binary")
+    have = model.values.select("bucket", "key", "x", "y")
+    answers = asked.groupBy("bucket").cogroup(have.groupBy("bucket")).applyInArrow(answer, "block long, found binary")
+
+    def finish(block: pa.Table, got: pa.Table) -> pa.Table:
+        out = []
+        top, top_x, top_y = sent.value
+        got = [_unpack(raw, U, np.float64, np.float64) for raw in got["found"].to_pylist()]
+        key, x, y = (np.concatenate(c) for c in zip((np.zeros(0, U), np.zeros(0), np.zeros(0)), *got, strict=True))
+        index = HashTable(key)
+
+        def look(keys, common=False):
+            at = index.find(keys)
+            vx, vy = np.full(len(keys), np.nan), np.full(len(keys), np.nan)
+            vx[at >= 0], vy[at >= 0] = x[at[at >= 0]], y[at[at >= 0]]
+            if common:
+                at = top.find(keys)
+                vx[at >= 0], vy[at >= 0] = top_x[at[at >= 0]], top_y[at[at >= 0]]
+            return vx, vy
+
+        for row in range(block.num_rows):
+            part = _read_block(*(block[c][row].as_py() for c in ("words", "place", "off")))
+            tok, off = part.tok, part.off
+            words = np.append(part.words, START)
+            n, wy = look(words, True)
+            x2, y2 = look(part.keys2)
+            x3, _ = look(part.keys3)
+            seen = ~np.isnan(n[:-1])
+            here = part.words[seen]
+            h2, h3 = part.at2[~np.isnan(x2)], part.at3[~np.isnan(x3)]
+            prev = np.concatenate([[START], tok[:-1]])
+            prev[off[:-1]] = START
+            two = {"key": part.two[h2], "a": prev[h2], "b": tok[h2], "log": x2[~np.isnan(x2)]}
+            three = {"a": part.two[h3 - 1], "b": tok[h3], "low": part.two[h3], "log": x3[~np.isnan(x3)]}
+            isw, is2 = ~np.isnan(wy), ~np.isnan(y2)
+            hist = {"key": np.concatenate([words[isw], part.keys2[is2]]),
+                    "last": np.concatenate([np.zeros(int(isw.sum()), U), tok[part.at2[is2]]]),
+                    "log": np.concatenate([wy[isw], y2[is2]])}
+            m = Automaton(total, vocab, here, n[:-1][seen], two, three, hist)
+            ids = m.index.find(tok)
+            doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            hit = ids >= 0
+            unknown = np.bincount(doc[~hit], minlength=len(off) - 1) * math.log10(0.5 / denominator)
+            base = np.bincount(doc[hit], m.uni[ids[hit]] if hit.any() else None, minlength=len(off) - 1) + unknown
+            kept = [block[c].combine_chunks().slice(row, 1).flatten() for c in keep]
+            out.append(pa.table([*kept, pa.array(np.diff(off)), pa.array(np.bincount(doc[hit], minlength=len(off) - 1)),
+                                 pa.array(np.full(len(off) - 1, total)), pa.array(base.astype(float)), pa.array(m.traverse(ids, off) + unknown)],
+                                names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        return pa.concat_tables(out)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + \
+        ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    answers = stored(answers, "lm-answers")
+    return parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+
+
+def lm_scores(docs: DataFrame, mod: int = 5, held: int = 1, min_count: int = 2, dictionary: int = 1 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), (crc_mod("doc_id", mod) == held).alias("held_out"))
-    model, words, least = train(rows.where(~F.col("held_out")), theta, dictionary)
-    return score(rows, model, words, least, ["doc_id", "held_out"])
+    model = fit(rows.where(~F.col("held_out")), min_count, dictionary)
+    return score(rows, model, ["doc_id", "held_out"])

@@ -441,3 +441,53 @@ def test_pipeline_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         cur = corpus_pipeline.stored(stage(spark, cur, SMALL_DIR), "test-odd")
     assert cur.where("doc_id in (0, 1, 2, 3)").count() == 0
+
+
+# 8: the model does not slide to its base as the corpus grows ----------------
+
+def test_lm_history_is_recovered():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 2 ** 63, 1000).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    assert (lm._history(lm._pair(a, b), b) == a).all()
+
+
+@pytest.mark.parametrize("dictionary", [1 << 20, 16])
+def test_lm_scores_by_brute_force(odd, dictionary, monkeypatch):
+    """Every n-gram that occurs twice is an arc, however few of the tokens that is; blocks score as the whole."""
+    monkeypatch.setattr(lm, "BLOCK", 2000)
+    rows = [(r.doc_id, words(r.text) + [None]) for r in odd.collect()]
+    train = [["<"] + ws for i, ws in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = [collections.Counter(tuple(ws[i:i + k]) for ws in train for i in range(k == 1, len(ws) - k + 1)) for k in (1, 2, 3)]
+    total, vocab = sum(c[0].values()), len(c[0])
+    c[0]["<",] = len(train)
+    uni = lambda w: (c[0].get((w,), 0) + 0.5) / (total + 0.5 * (vocab + 1))
+    arcs = [{g: n for g, n in k.items() if n >= 2} for k in c[1:]]
+    by = [collections.defaultdict(list) for _ in arcs]
+    for k, some in enumerate(arcs):
+        for g in some:
+            by[k][g[:-1]].append(g)
+    p2 = {g: (n - 0.5) / c[0][g[:1]] for g, n in arcs[0].items()}
+    p3 = {g: (n - 0.5) / c[1][g[:2]] for g, n in arcs[1].items()}
+    bow2 = {h: (1 - sum(p2[g] for g in gs)) / (1 - sum(uni(g[-1]) for g in gs)) for h, gs in by[0].items()}
+    bow3 = {h: (1 - sum(p3[g] for g in gs)) / max(1e-12, 1 - sum(p2[g[1:]] for g in gs)) for h, gs in by[1].items()}
+
+    def prob(h, w):
+        if h + (w,) in p3:
+            return p3[h + (w,)]
+        v = h[-1:]
+        return (bow3.get(h, 1) if len(h) == 2 else 1) * (p2[v + (w,)] if v + (w,) in p2 else bow2.get(v, 1) * uni(w))
+    want = sorted((i, sum(math.log10(prob(tuple((["<"] + ws)[max(0, k - 1):k + 1]), w)) for k, w in enumerate(ws))) for i, ws in rows)
+    got = sorted((r.doc_id, r.score) for r in lm.lm_scores(odd, dictionary=dictionary).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(abs(x - y) < 1e-6 * max(1, abs(y)) for (_, x), (_, y) in zip(got, want))
+
+
+def test_lm_rare_ngrams_stay_arcs(spark):
+    """A passage seen twice in 2.5 million tokens: a cut by relative frequency (1e-6) lost it."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(str(rng.randrange(400)) for _ in range(5000))) for i in range(640) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 5 == 1)
+    seen = [i for i in range(2000, 2020) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    rows += [(i, "aa bb cc dd") for i in (*seen, held)]
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).where(f"doc_id = {held}").first()
+    assert got.score - got.base_score > 10
