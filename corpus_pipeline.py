@@ -62,8 +62,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept document in bins of 2,048 tokens."""
-    return packing.pack(docs)
+    """Every kept document in bins of 2,048 token ids."""
+    import public_tokenizers
+    return packing.pack(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _kept_aside(docs: DataFrame, operator, columns: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into fixed-size bins.
 
-A document of more than ``capacity`` tokens is cut into full pieces and a tail;
-nothing is dropped.  Items go, longest first, into the open bin with the least
+Lengths are counted in the token ids of the given tokenizer (the encoder of
+``token_store``), or in words if none is given.  A document of more than
+``capacity`` tokens is cut into full pieces and a tail; nothing is dropped.  Items go, longest first, into the open bin with the least
 room that still takes them (best fit).  Bins are kept ordered by residual; each
 carries bitmaps of the duplicate clusters and of the sources it holds.  The
 successor search starts at the smallest residual that fits and goes on until the
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orchard.llm.common import spread
+
 
 def best_fit(length, source, cluster, capacity: int, per_source: int) -> tuple[list[int], list[int]]:
     """(bin, offset in it) per item; source and cluster are bitmaps' bit numbers, -1 for none."""
@@ -73,23 +76,42 @@ def _bits(values: list, shared_only: bool) -> list[int]:
 OUT = "doc_id {id}, piece long, n_pieces long, length long, bin_id long, bin_start long"
 
 
-def items(docs: DataFrame, capacity: int) -> DataFrame:
+def _token_counts(tokenizer: str):
+    """Replaces the text by ``total``, its number of token ids plus one end mark."""
+    def run(batches):
+        from orchard.llm.token_store import _encoder
+        enc = _encoder(tokenizer, "<u4")
+        for b in batches:
+            total = [len(enc.encode(t)) // 4 + 1 for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.drop_columns(["text"]).columns, pa.array(total, pa.int64())],
+                                             [*b.drop_columns(["text"]).schema.names, "total"])
+    return run
+
+
+def items(docs: DataFrame, capacity: int, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, n_pieces, length, source, cluster) from ``docs(doc_id, text, source)``.
-    Length: words plus one end mark.  Cluster: hash of the folded letters and digits."""
+    Length: token ids of ``tokenizer`` (a tokenizer file), or without one words, plus one end
+    mark.  Cluster: hash of the folded letters and digits."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     folded = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
-    total = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1
-    df = docs.select("doc_id", total.cast("long").alias("total"), F.col("source").cast("string").alias("source"),
-                     F.when(F.length(F.trim(folded)) > 0, F.xxhash64(folded)).alias("cluster"))
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1
+    df = (docs if tokenizer is None else spread(docs.select("doc_id", "text", "source"))).select(
+        "doc_id", F.col("source").cast("string").alias("source"),
+        F.when(F.length(F.trim(folded)) > 0, F.xxhash64(folded)).alias("cluster"),
+        words.cast("long").alias("total") if tokenizer is None else text.alias("text"))
+    if tokenizer is not None:
+        id_type = docs.schema["doc_id"].dataType.simpleString()
+        df = df.mapInArrow(_token_counts(tokenizer), f"doc_id {id_type}, source string, cluster long, total long")
     n = F.ceil(F.col("total") / F.lit(capacity)).cast("long")
     df = df.select("*", n.alias("n_pieces"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("piece"))
     return df.select("doc_id", "piece", "n_pieces", "source", "cluster",
                      F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity).cast("long").alias("length"))
 
 
-def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 2, group_items: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 2, group_items: int = 8192,
+         tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, n_pieces, length, bin_id, bin_start."""
-    work = items(docs, capacity)
+    work = items(docs, capacity, tokenizer)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     # the number of groups from the number of documents: ids only
     groups = max(1, -(-docs.select("doc_id").count() // group_items))

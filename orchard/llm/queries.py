@@ -60,9 +60,11 @@ def q_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document packed into bins of 2,048 tokens."""
+    """Every document packed into bins of 2,048 token ids."""
+    import public_tokenizers
+
     from orchard.llm.packing import pack
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def q_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

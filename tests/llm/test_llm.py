@@ -491,3 +491,20 @@ def test_lm_rare_ngrams_stay_arcs(spark):
     rows += [(i, "aa bb cc dd") for i in (*seen, held)]
     got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).where(f"doc_id = {held}").first()
     assert got.score - got.base_score > 10
+
+
+def test_packing_counts_token_ids(spark):
+    """Lengths are those of the tokenizer; a text without blanks is cut like any other."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rows = [(1, "q8Zr/" * 900), (2, "天气很好" * 300), (3, "a few plain words\n"), (4, None), (None, "x")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = packing.pack(df, capacity=256, tokenizer=path).collect()
+    length, fill = collections.Counter(), collections.Counter()
+    for r in got:
+        length[r.doc_id] += r.length
+        fill[r.bin_id] += r.length
+    assert length == {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+    assert max(fill.values()) <= 256 and sum(r.doc_id == 1 for r in got) > 1 and sum(r.doc_id == 2 for r in got) > 1
