@@ -8,8 +8,8 @@ rows that are left, as pieces in bins).
 
 All but the last stage return the columns of their input.  A stage's input may
 hold nulls, repeated rows and extra columns; the operators' docstrings say what
-becomes of them.  Every row with a null doc_id passes the near-copy stage, which
-links documents by id.
+becomes of them.  The near-copy stage gives every row a number of its own and
+decides row by row, null doc_ids included.
 """
 
 from __future__ import annotations
@@ -42,16 +42,24 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row of the smallest id of each group; wordless documents are their own group."""
-    found = jaccard.near_copies(docs, NEAR)
-    gone = found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    kept = semi_join(docs, stored(gone, "pipeline-copies"), ["doc_id"], "left_anti")
-    # a repeated row is a copy of itself; texts move only where ids repeat
-    twice = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeats")
-    if not twice.limit(1).count():
-        return kept.select(*docs.columns)
-    single = semi_join(kept, twice, ["doc_id"], "left_anti")
-    return single.unionByName(semi_join(kept, twice, ["doc_id"]).dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    """Keeps of each group the row of the smallest id (null ids last), then hash of the text;
+    rows are linked by their own texts, so rows that share an id can lie in different groups.
+    Rows without words are copies of rows with the same id and text."""
+    # the row's number only has to be the same on every later read, and the rows are stored
+    rows = stored(docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"),
+                              F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("doc_id")), "pipeline-rows")
+    found = stored(jaccard.near_copies(rows.select("doc_id", "text"), NEAR), "pipeline-groups")
+    member = found.where("n_shingles > 0 and component_id <> doc_id").select("doc_id", "component_id")
+    member = member.unionByName(member.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "doc_id"))["doc_id"].alias("kept")
+    long = rows.select("doc_id", "_id", "_hash")
+    kept = long.join(member, "doc_id").groupBy("component_id").agg(first)
+    gone = member.join(kept, "component_id").where("doc_id <> kept").select("doc_id")
+    # without words there is no component: the same id and text
+    blank = semi_join(long, found.where("n_shingles = 0").select("doc_id"), ["doc_id"]).where("_id is not null")
+    single = blank.groupBy("_id", "_hash").agg(F.min("doc_id").alias("kept"))
+    gone = gone.unionByName(blank.join(single, ["_id", "_hash"]).where("doc_id <> kept").select("doc_id"))
+    return semi_join(rows, stored(gone, "pipeline-copies"), ["doc_id"], "left_anti").select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

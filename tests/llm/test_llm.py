@@ -508,3 +508,17 @@ def test_packing_counts_token_ids(spark):
         fill[r.bin_id] += r.length
     assert length == {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
     assert max(fill.values()) <= 256 and sum(r.doc_id == 1 for r in got) > 1 and sum(r.doc_id == 2 for r in got) > 1
+
+
+def test_near_copies_decide_by_row(spark):
+    """Rows that share an id are judged by their own texts; rows without an id are compared too."""
+    rng = random.Random(8)
+    a, b, x, y, z = (" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(100)) for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, a), (3, near(a)), (3, b), (9, near(b)),               # both ids 3 and 9 went, group b vanished
+            (13, x), (17, near(x)), (17, y),                          # y vanished
+            (None, z), (None, near(z)), (None, z), (20, a), (20, a), (21, ""), (21, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _id long").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, df, SMALL_DIR).select("doc_id", "text").collect()]
+    assert sorted(r for r in got if r[0] is not None) == sorted([(1, a), (3, b), (13, x), (17, y), (21, "")])
+    assert len([t for i, t in got if i is None]) == 1 and corpus_pipeline.near_copies(spark, df, SMALL_DIR).columns == df.columns
