@@ -22,16 +22,16 @@ from orchard.llm.common import semi_join, stored
 from orchard.session import ensure_checkpoint_dir
 from orchard.sources.tables import table
 
-MIN_LANGUAGE = 0.05  # a text whose best language is less likely is no text
 MIN_QUALITY = 0.5
 NEAR = jaccard.Rule(k=5, num=80, den=100)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter or null, and those no learned language fits."""
+    """Rejects texts without a letter or null, and those no learned language fits: by likeness
+    to the learned languages, not by the score, which only compares them with each other."""
     model = langid.train(docs, ~langid.held_out())
-    named = _kept_aside(docs, lambda d: langid.identify(d, model), ["lang_pred", "score"])
-    return named.where((F.col("_op.lang_pred") != "und") & (F.col("_op.score") >= MIN_LANGUAGE)).select("_row.*")
+    named = _kept_aside(docs, lambda d: langid.identify(d, model), ["lang_pred", "fit"])
+    return named.where((F.col("_op.lang_pred") != "und") & (F.col("_op.fit") >= 0)).select("_row.*")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-# learned and sequential stages have no SQL form; tests/llm/test_pipeline.py checks each by brute force
+# learned and sequential stages have no SQL form; tests/llm/test_llm.py checks decisions of them
 ORACLE_SQL = None
 
 

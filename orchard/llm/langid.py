@@ -11,6 +11,12 @@ Families come from ``FAMILIES``; a learned language outside that table is a fami
 of its own.  The score is P(family) * P(language within the family), each the
 product of the winner's pairwise probabilities against its rivals.
 
+Fit.  The score compares learned languages only.  Whether a text is of any of them is
+told by its similarity (cosine) to the nearest language's mean features: it must reach
+the least one usual for texts of its length, calibrated on whole texts and excerpts of
+the learnable rows that had no part in the means.  ``fit`` is the similarity less that
+least one, whatever the number of languages.
+
 Training sample: of the learnable rows, at most ``per_language`` rows of each
 language with the smallest hash of their id, a documented bound that keeps the
 driver's matrix small.  Rows with a null doc_id teach nothing.  Whole texts are read; prediction runs over all
@@ -26,6 +32,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +55,7 @@ FAMILIES = {
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3, 4)
 OVERDRAW = 4  # candidates a language for each wanted training row
+SIGMAS, LEAST_SIZE = 4.5, 3.0  # below 8 bytes any text with a letter fits
 LETTER = re.compile(r"[^\W\d_]")
 KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -57,13 +65,25 @@ def family_of(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if base in codes.split()), lang)
 
 
+def _normal(text: str) -> bytes:
+    return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(KEEP).split()) + b" "
+
+
+def _excerpt(text: str, seed: int) -> str:
+    """Consecutive words of a text, their number uniform on a log scale; fixed by ``seed``."""
+    rng, words = np.random.default_rng(seed), text.split()
+    n = int(np.exp(rng.uniform(0, np.log(len(words) + 1))))
+    at = rng.integers(0, len(words) - n + 1)
+    return " ".join(words[at:at + n])
+
+
 def features(texts: list[str | None], block: int = 1 << 20) -> np.ndarray:
     """documents x BUCKETS, unit rows (zero rows for texts without letters)."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
     for i, t in enumerate(texts):
         if not t:
             continue
-        b = b" " + b" ".join(t.lower().encode("utf-8", "replace").translate(KEEP).split()) + b" "
+        b = _normal(t)
         counts = np.zeros(BUCKETS, np.int64)
         for s in range(0, len(b), block):  # blocks overlap by the longest n-gram less one
             x = np.frombuffer(b[s:s + block + max(ORDERS) - 1], np.uint8).astype(np.uint32)
@@ -104,7 +124,12 @@ class LinearMachine:
 
 
 class LanguageModel:
-    def __init__(self, x: np.ndarray, lang: list[str]):
+    def __init__(self, x: np.ndarray, lang: list[str], short: np.ndarray | None = None, sizes: np.ndarray | None = None):
+        """``short``: features of an excerpt of each row; ``sizes``: normal bytes of (text, excerpt)."""
+        self.means = self._means(x, lang)
+        self.size_of, self.least = np.zeros(1), np.zeros(1)
+        if short is not None and len(x):
+            self._calibrate(x, np.array(lang), short, sizes)
         self.langs = sorted(set(lang))
         y = np.array(lang)
         fam = np.array([family_of(v) for v in lang])
@@ -112,6 +137,41 @@ class LanguageModel:
         self.family_machines = self._pairs(x, fam, sorted(self.families))
         self.within = {f: self._pairs(x[fam == f], y[fam == f], members) for f, members in self.families.items()}
 
+    @staticmethod
+    def _means(x, lang) -> np.ndarray:
+        """Unit mean features by language."""
+        lang = np.array(lang)
+        means = np.array([x[lang == v].mean(0) for v in sorted(set(lang))]).reshape(-1, BUCKETS)
+        return means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
+
+    def _calibrate(self, x, lang, short, sizes):
+        """Least usual similarity by length: the median less ``SIGMAS`` deviations of the lower side."""
+        half = np.arange(len(x)) % 2 == 1
+        if not half.any():
+            return
+        near, length = [], []
+        for own in (half, ~half):  # against the means of the other half
+            means = self._means(x[~own], lang[~own])
+            near += [(v[own] @ means.T).max(1) for v in (x, short)]
+            length += [np.log2(np.maximum(sizes[own, k], 1)) for k in (0, 1)]
+        near, length = np.concatenate(near), np.concatenate(length)
+        at, least = [LEAST_SIZE], [0.0]
+        for k in np.unique(np.floor(length)):
+            some = near[np.floor(length) == k]
+            if len(some) >= 30 and k + 0.5 > LEAST_SIZE:
+                middle, lower = np.median(some), np.quantile(some, 0.05)
+                at.append(k + 0.5)
+                least.append(max(0.0, middle - SIGMAS * max((middle - lower) / 1.645, 0.01)))
+        if len(at) > 1:  # other lengths lie between or take the nearest
+            self.size_of, self.least = np.array(at), np.array(least)
+
+    def fits(self, texts: list[str | None], x: np.ndarray) -> np.ndarray:
+        """Similarity to the nearest language less the least usual one; -1 without languages."""
+        if not len(self.means):
+            return np.full(len(texts), -1.0)
+        size = np.log2([max(1, len(_normal(t))) if t else 1 for t in texts])
+        return (x @ self.means.T).max(1) - np.interp(size, self.size_of, self.least)
+
     @staticmethod
     def _pairs(x, y, classes):
         out = {}
@@ -133,8 +193,9 @@ class LanguageModel:
         best = np.argmax(votes + logs / (1e4 * max(1, len(classes))), axis=1)
         return best, np.exp(logs[np.arange(len(x)), best])
 
-    def predict(self, texts: list[str | None], block: int = 256) -> tuple[list[str], np.ndarray]:
-        langs, scores = [], []
+    def predict(self, texts: list[str | None], block: int = 256) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, fit) of each text."""
+        langs, scores, fits = [], [], []
         for s in range(0, len(texts), block):
             part = texts[s:s + block]
             x = features(part)
@@ -152,7 +213,8 @@ class LanguageModel:
             names[blank], score[blank] = "und", 0.0
             langs += names.tolist()
             scores.append(score)
-        return langs, np.concatenate(scores) if scores else np.zeros(0)
+            fits.append(np.where(blank, -1.0, self.fits(part, x)))
+        return (langs, *(np.concatenate(v) if v else np.zeros(0) for v in (scores, fits)))
 
 
 def train(docs: DataFrame, learnable: Column, per_language: int = 800) -> LanguageModel:
@@ -177,29 +239,32 @@ def train(docs: DataFrame, learnable: Column, per_language: int = 800) -> Langua
         for b in batches:
             keep = [i for i, t in enumerate(b.column("text").to_pylist()) if LETTER.search(t)]
             b = b.take(pa.array(keep, pa.int64()))
-            x = features(b.column("text").to_pylist()).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("lang"),
-                                              pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
-
-    got = sample.mapInArrow(run, "doc_id string, lang string, x binary").toArrow().sort_by("doc_id")
+            ids, texts = b.column("doc_id").cast(pa.string()), b.column("text").to_pylist()
+            short = [_excerpt(t, zlib.crc32(i.encode())) for t, i in zip(texts, ids.to_pylist(), strict=True)]
+            x, y = (pa.array([r.tobytes() for r in features(v).astype(np.float16)], pa.binary()) for v in (texts, short))
+            sizes = [[len(_normal(t)), len(_normal(s))] for t, s in zip(texts, short, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, b.column("lang"), x, y, pa.array(sizes, pa.list_(pa.int64()))],
+                                             ["doc_id", "lang", "x", "short", "sizes"])
+
+    got = sample.mapInArrow(run, "doc_id string, lang string, x binary, short binary, sizes array<long>").toArrow().sort_by("doc_id")
     lang = got["lang"].to_pylist()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
-    return LanguageModel(x, lang)
+    x, short = (np.frombuffer(b"".join(got[c].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32) for c in ("x", "short"))
+    return LanguageModel(x, lang, short, np.array(got["sizes"].to_pylist()).reshape(-1, 2))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with lang_pred and score (columns of those names are replaced)."""
-    docs = docs.drop("lang_pred", "score")
+    """``docs`` with lang_pred, score and fit (columns of those names are replaced)."""
+    docs = docs.drop("lang_pred", "score", "fit")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            lang, score = sent.value.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             [*b.schema.names, "lang_pred", "score"])
+            lang, score, fit = sent.value.predict(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())],
+                                             [*b.schema.names, "lang_pred", "score", "fit"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return spread(docs).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return spread(docs).mapInArrow(run, f"{schema}, lang_pred string, score double, fit double")
 
 
 def held_out(mod: int = 4, value: int = 2) -> Column:

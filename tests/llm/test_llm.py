@@ -522,3 +522,24 @@ def test_near_copies_decide_by_row(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, df, SMALL_DIR).select("doc_id", "text").collect()]
     assert sorted(r for r in got if r[0] is not None) == sorted([(1, a), (3, b), (13, x), (17, y), (21, "")])
     assert len([t for i, t in got if i is None]) == 1 and corpus_pipeline.near_copies(spark, df, SMALL_DIR).columns == df.columns
+
+
+def test_language_stage_rejects_what_no_language_fits(spark):
+    docs = spark.read.parquet(f"{SMALL_DIR}/../sf0.01/documents.parquet")
+    rng = random.Random(6)
+    junk = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    bad = ["Съешь же ещё этих мягких французских булок да выпей же чаю, и приходи завтра снова к нам", "这是一个关于天气的中文文本没有空格" * 8,
+           "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään takaisin kotiin ennen kuin aurinko laskee järven taakse",
+           *[junk(n) for n in (20, 40, 100, 300)]]
+    clean = [r.text for r in docs.where(langid.held_out()).select("text").collect() if r.text and langid.LETTER.search(r.text)]
+    clean = [t for t in clean if 4 * len(set(t.split())) > len(t.split())]  # some rows repeat one word hundreds of times
+    short = [" ".join(t.split()[:6]) for t in clean[:100]]
+    short = [t for t in short if langid.LETTER.search(t)]
+    model = langid.train(docs, ~langid.held_out())
+    fit = lambda texts: model.predict(texts)[2]
+    assert (fit(bad) < 0).all(), fit(bad)
+    assert (fit(short) >= 0).mean() >= 0.97, (fit(short) >= 0).mean()
+    assert len(clean) > 200 and (fit(clean) >= 0).mean() >= 0.99, (fit(clean) >= 0).mean()
+    more = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(
+        spark.createDataFrame([(10 ** 6 + k, t, None, "s", len(t)) for k, t in enumerate(bad)], "doc_id long, text string, lang string, source string, n_chars long"))
+    assert corpus_pipeline.language(spark, more, SMALL_DIR).where("doc_id >= 1000000").count() == 0
