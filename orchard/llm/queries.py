@@ -73,6 +73,24 @@ def q_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_licences(table(spark, sf_dir, "documents"))
 
 
+def q_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of them with a repeated tail."""
+    from orchard.llm.runs import digest, find_runs, planted
+    return digest(find_runs(table(spark, sf_dir, "documents").select("doc_id", planted().alias("text"))))
+
+
+def q_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf of its source's tree, with proofs and folded tampered leaves."""
+    from orchard.llm.merkle import document_manifest
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
+def q_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts of all documents (without white space) and the row of each that stays."""
+    from orchard.llm.dedup import exact_copies
+    return exact_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_topk": q_topk,
     "op2_token_store": q_token_store,
@@ -84,13 +102,16 @@ QUERIES = {
     "op8_lm_scoring": q_lm,
     "op9_packing": q_packing,
     "op10_licences": q_licences,
+    "op11_periodic_runs": q_runs,
+    "op12_merkle_manifest": q_merkle,
+    "op13_exact_dedup": q_dedup,
 }
 
 
 def _oracles() -> dict[str, str]:
-    from orchard.llm import decontam, licenses, sharding, topk
+    from orchard.llm import decontam, dedup, licenses, merkle, sharding, topk
     return {"op1_exact_topk": topk.ORACLE, "op6_sharding": sharding.oracle(), "op7_decontaminate": decontam.ORACLE,
-            "op10_licences": licenses.oracle()}
+            "op10_licences": licenses.oracle(), "op12_merkle_manifest": merkle.ORACLE, "op13_exact_dedup": dedup.ORACLE}
 
 
 ORACLE = _oracles()
