@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orchard.operators.stats import fixed_point_mean_std
-from orchard.operators.text import (CASED_PATTERN, CLOSED_TAGS, NEGATIONS, first_word_position, lexicon_scores,
-                                    proper_noun_runs, rule_tag, softmax_columns, tokenize)
+from orchard.operators.sentiment import oracle_ctes, polarity_scores
+from orchard.operators.text import CASED_PATTERN, CLOSED_TAGS, proper_noun_runs, rule_tag, softmax_columns, tokenize
+from orchard.session import scratch_path
 from orchard.sources import views as V
 
 SCORES = ["neg", "neu", "pos", "compound"]
@@ -24,10 +25,10 @@ def lexicon_table(spark, d) -> DataFrame:
     """(id, vader_neg, vader_neu, vader_pos, vader_compound) for every
     review; a review without any word scores 0 everywhere."""
     r = V.reviews(spark, d)
-    with_but = r.withColumn("_but", first_word_position(F.lower("text"), "but"))
-    s = lexicon_scores(tokenize(with_but, "id", "text", keep=["_but"]), V.lexicon(spark, d), but_col="_but")
-    return (r.select("id").join(s.withColumnRenamed("doc_id", "id"), "id", "left")
-            .select("id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"vader_{c}") for c in SCORES]))
+    path = scratch_path(spark, "lexicon")  # the lexicon is an input table, read by several steps
+    V.lexicon(spark, d).write.parquet(path)
+    s = polarity_scores(r, "id", "text", spark.read.schema("word string, valence double").parquet(path))
+    return r.select("id").join(s, "id", "left").select("id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"vader_{c}") for c in SCORES])
 
 
 def star_class(score: str = "score"):
@@ -188,29 +189,9 @@ def _list(words):
     return ", ".join(f"'{w}'" for w in words)
 
 
-def _rh(x: str, n: int) -> str:
-    """SQL twin of round_half_away."""
-    k = float(10 ** n)
-    return f"(CAST(sign({x}) AS DOUBLE) * floor(abs({x}) * {k} + 0.5) / {k})"
-
-
-_LEX = f"""rt AS (SELECT id AS doc_id, CAST(generate_subscripts(w,1)-1 AS INTEGER) AS pos, unnest(w) AS word
-    FROM (SELECT id, regexp_extract_all(lower(text), '\\p{{L}}+') w FROM reviews) x),
-nt AS (SELECT *, coalesce(bool_or(word IN ({_list(NEGATIONS)})) OVER (PARTITION BY doc_id ORDER BY pos
-    ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), false) AS neg FROM rt),
-lv AS (SELECT nt.doc_id, nt.pos, CASE WHEN nt.neg AND coalesce(l.valence, 0.0) <> 0 THEN coalesce(l.valence, 0.0) * -0.74
-    ELSE coalesce(l.valence, 0.0) END AS v1 FROM nt LEFT JOIN lexicon l ON nt.word = l.word),
-bt AS (SELECT doc_id, min(pos) AS b FROM rt WHERE word = 'but' GROUP BY doc_id),
-vv AS (SELECT lv.doc_id, CASE WHEN bt.b IS NULL THEN v1 WHEN lv.pos < bt.b THEN v1 * 0.5 WHEN lv.pos > bt.b THEN v1 * 1.5
-    ELSE v1 END AS v FROM lv LEFT JOIN bt ON lv.doc_id = bt.doc_id),
-ag AS (SELECT doc_id, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0.0 END) AS ps,
-    sum(CASE WHEN v < 0 THEN v - 1 ELSE 0.0 END) AS ns, sum(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END) AS nu FROM vv GROUP BY doc_id),
-sc AS (SELECT doc_id, ps + abs(ns) + nu AS tot, * FROM ag),
-lexs AS (SELECT r.id, coalesce({_rh("CASE WHEN tot > 0 THEN abs(ns / tot) ELSE 0.0 END", 3)}, 0.0) AS vader_neg,
-    coalesce({_rh("CASE WHEN tot > 0 THEN abs(nu / tot) ELSE 0.0 END", 3)}, 0.0) AS vader_neu,
-    coalesce({_rh("CASE WHEN tot > 0 THEN abs(ps / tot) ELSE 0.0 END", 3)}, 0.0) AS vader_pos,
-    coalesce({_rh("s / sqrt(s * s + 15)", 4)}, 0.0) AS vader_compound
-    FROM reviews r LEFT JOIN sc ON r.id = sc.doc_id)"""
+_LEX = oracle_ctes() + """,
+lexs AS (SELECT r.id, coalesce(neg, 0.0) AS vader_neg, coalesce(neu, 0.0) AS vader_neu, coalesce(pos, 0.0) AS vader_pos,
+    coalesce(compound, 0.0) AS vader_compound FROM reviews r LEFT JOIN scored s ON r.id = s.id)"""
 
 
 def _tag_sql(tok: str, pos: str) -> str:
