@@ -38,11 +38,12 @@ SCALE = 64.0
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id long, v array<long>) of the vectors that take part."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    big = F.lit(float(1 << 31))
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * SCALE) < big))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    # a floor that no long holds stops the job, as a score beyond a long does
+    whole = lambda x: F.when(F.abs(x * SCALE) < float(1 << 63), F.floor(x * SCALE)).otherwise(F.raise_error(F.lit("component beyond a long")))
     return (vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
             .where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & fine)
-            .select("vec_id", F.transform("v", lambda x: F.floor(x * SCALE).cast("long")).alias("v")))
+            .select("vec_id", F.transform("v", lambda x: whole(x).cast("long")).alias("v")))
 
 
 def _dtype(a: np.ndarray, b: np.ndarray):
