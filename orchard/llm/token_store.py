@@ -62,7 +62,7 @@ class PieceEncoder:
     def __init__(self, path: str, dtype=np.uint32, cache: int = CACHE_PIECES):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype, self.limit, self.cache, self.tails = np.dtype(dtype), cache, {}, {}
         self.line_id = self._ids("\n")[0]
         self.line = np.array([self.line_id], self.dtype).tobytes()
@@ -92,7 +92,7 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not text.replace("\n", "").isprintable():  # other white space, controls
+        if not text.replace("\n", "").isprintable() or any(t in text for t in self.added):  # other white space, controls, added tokens
             return self._whole(text)
         parts = text.replace("\n", " \n").split(" ")
         parts[0] = "\n" + parts[0]
