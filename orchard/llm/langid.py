@@ -31,11 +31,11 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +56,7 @@ BUCKETS = 1 << 12
 ORDERS = (1, 2, 3, 4)
 OVERDRAW = 4  # candidates a language for each wanted training row
 SIGMAS, LEAST_SIZE = 4.5, 3.0  # below 8 bytes any text with a letter fits
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # digits and number signs like ½ are no letters
 KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -222,7 +222,7 @@ def train(docs: DataFrame, learnable: Column, per_language: int = 800) -> Langua
     named = docs.where(learnable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.trim("lang") != ""))
     rows = named.where(F.col("text").isNotNull())
     # one row a language, of which the driver holds per_language feature rows anyway
-    sizes = named.groupBy("lang").agg(F.count("*").alias("n")).toArrow()
+    sizes = named.groupBy("lang").agg(F.greatest(F.approx_count_distinct("doc_id"), F.lit(1)).alias("n")).toArrow()
     share = docs.sparkSession.createDataFrame(
         [(x, min(1.0, OVERDRAW * per_language / n)) for x, n in zip(sizes["lang"].to_pylist(), sizes["n"].to_pylist(), strict=True)],
         "lang string, share double")
@@ -231,9 +231,11 @@ def train(docs: DataFrame, learnable: Column, per_language: int = 800) -> Langua
     low = (F.xxhash64("doc_id").cast("double") + F.lit(float(1 << 63))) / F.lit(float(1 << 64))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = (rows.select("doc_id", "lang").join(F.broadcast(share), "lang").where(low <= F.col("share"))
-              .withColumn("r", F.row_number().over(order))
+              .distinct().withColumn("r", F.row_number().over(order))
               .where(F.col("r") <= per_language).select("doc_id").distinct())
     sample = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id", "left_semi")
+    # one text of repeated rows, so that the sample keeps its bound
+    sample = sample.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         for b in batches:

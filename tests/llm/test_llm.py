@@ -86,7 +86,7 @@ def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.3, 24).round(1).tolist()) for i in range(900)]  # rounded: many ties
     rows += [(1000, None), (1020, []), (1040, [None] * 24), (1060, [float("nan")] * 24), (1080, [float("inf")] * 24),
-             (1100, [1e7] * 24), (1120, [0.5] * 3), (1121, [0.25] * 3), (None, [0.1] * 24)]
+             (1100, [1e7] * 24), (1140, [4e7, 1.0] + [0.0] * 22), (1141, [3e7, -2.0] + [0.5] * 22), (1120, [0.5] * 3), (1121, [0.25] * 3), (None, [0.1] * 24)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).repartition(4)
     got = topk.exact_topk(topk.quantised(df), F.col("vec_id") % 20 == 0, k=7, slab=200, query_block=9, step=5)
     assert sorted(map(tuple, got.collect())) == brute_topk(rows, 7)
@@ -101,7 +101,6 @@ def test_token_files(spark, odd, empty):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     manifest, folder = token_store.write_token_files(odd, path, files=3)
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_token_files(manifest, folder).collect())
     start, want = 0, []
@@ -126,11 +125,13 @@ def test_piece_encoder_equals_the_library():
     from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     enc, rng = token_store.PieceEncoder(path, "<u2", cache=50), random.Random(4)
     for _ in range(3000):
         t = "".join(rng.choice(" \n'.,!sStdre0é日ß\t-½_<|") for _ in range(rng.randrange(30)))
         assert enc.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny z, <|endoftext", "a b"):
+        assert enc.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
+    assert len(enc.encode("a <|endoftext|> b")) == 2 * 4
 
 
 def test_damaged_frame_is_noticed(tmp_path):
@@ -155,6 +156,16 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_sample_of_repeated_rows(spark):
+    texts = {"en": "the house and the tree of this land", "de": "das haus und der baum von diesem land"}
+    rows = [(i, texts[x] + f" {i}", x) for i in range(40) for x in [("en", "de")[i % 2]]] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = langid.train(df, F.lit(True), per_language=5)
+    odd_ones = spark.createDataFrame([(1, texts["en"]), (2, texts["de"]), (3, "½ ² ① 12"), (4, "_ ...")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(odd_ones, model).collect()}
+    assert got == {1: "en", 2: "de", 3: "und", 4: "und"}
+
+
 def test_language_cases(odd, empty):
     got = {(r.doc_id, r.lang_pred == "und", r.score == 0) for r in langid.language_ids(odd).collect() if r.doc_id < 5}
     assert got == {(0, True, True), (1, True, True), (2, True, True), (3, True, True), (4, False, False)}
