@@ -48,6 +48,20 @@ def fit_logistic_accuracy(split_df: DataFrame, features: Sequence[str], label: s
     return accuracy_by_split(model.transform(data), label, split)
 
 
+def content_key(rows: DataFrame, version: str) -> str:
+    """Name of a model by what it is trained on: the rows, whatever their order and
+    partitions (count and exact sums of two hashes of every row), their columns and
+    ``version``, which callers change with the code that trains."""
+    import hashlib
+    cols = sorted(rows.columns)
+    # the null flags tell a null from a value that leaves the hash as it is
+    row = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(38,0)"))
+    parts = rows.agg(F.count(F.lit(1)), total(1), total(2)).first()
+    types = [rows.schema[c].dataType.simpleString() for c in cols]
+    return hashlib.md5(f"{version}|{cols}|{types}|{tuple(map(str, parts))}".encode()).hexdigest()[:16]
+
+
 def train_or_load(spark, path: str, fit):
     """Model store: load the PipelineModel at ``path`` if one was saved
     there, otherwise fit, save and return it."""

@@ -18,6 +18,7 @@ from orchard.sources import views as V
 RARE_MAX_ROWS = 10
 MIN_SQFT_PER_BHK = 300
 MODEL_SEED = 10
+MODEL_VERSION = "price-1"  # changes with the code that trains
 
 
 def parsed(h: DataFrame) -> DataFrame:
@@ -104,15 +105,14 @@ def q_homes_locations(spark, d):
 
 
 def q_homes_price_model(spark, d):
-    """Train once per input folder and reuse the stored model afterwards."""
-    import hashlib
-
-    from orchard.operators.models import price_model_scores
+    """Train once per content of the cleaned table and reuse the stored model afterwards:
+    changed rows give another key and are trained anew, wherever they are read from."""
+    from orchard.operators.models import content_key, price_model_scores
     from orchard.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     store = spark.conf.get("spark.checkpoint.dir")
-    tag = hashlib.md5(f"{d}|{MODEL_SEED}".encode()).hexdigest()[:12]
-    return price_model_scores(cleaned(V.homes(spark, d)), MODEL_SEED, f"{store}/orchard-models/price-{tag}")
+    homes = cleaned(V.homes(spark, d))
+    return price_model_scores(homes, MODEL_SEED, f"{store}/orchard-models/price-{content_key(homes, f'{MODEL_VERSION}|{MODEL_SEED}')}")
 
 
 QUERIES = {
