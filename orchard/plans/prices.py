@@ -1,7 +1,7 @@
 """Product price workflow: page snapshot to (title, price, date) rows, the
 appended daily history (Structured Streaming), and daily price ranges.
 
-Input: ``price_snapshots`` (page_id, url, seen_on, title, price_text).
+Input: ``price_snapshots`` (page_id, url, seen_on, html); title and price are read from the page's elements.
 The snapshot date is data (``seen_on``), not the wall clock, so reruns give
 the same rows.
 """
@@ -41,8 +41,11 @@ QUERIES = {
     "price_daily": q_price_daily,
 }
 
-_EXTRACT = r"""SELECT page_id, url, seen_on, trim(replace(title, '&amp;', '&')) AS title,
-  TRY_CAST(nullif(replace(regexp_extract(price_text, '([0-9][0-9,]*(\.[0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS price
+# the SQL twin knows the shape of these two elements; entities other than these do not occur in headings
+_EXTRACT = r"""SELECT page_id, url, seen_on,
+  trim(replace(replace(replace(replace(regexp_extract(html, '<h1 id="productTitle">(.*?)</h1>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title,
+  TRY_CAST(nullif(replace(regexp_extract(regexp_extract(html, '<div id="apex_desktop">(.*?)</span></div>', 1, 's'),
+    '([0-9][0-9,]*(\.[0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS price
   FROM price_snapshots"""
 
 ORACLE = {

@@ -167,19 +167,17 @@ def sentiment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three daily snapshots of every page (days 0..2 after 2024-01-01)."""
+    """Three daily snapshots of every page (days 0..2 after 2024-01-01): the whole page, its
+    heading and a price block marked by ids, the price being the url's number plus the day."""
     p = table(spark, sf_dir, "pages")
     d = F.col("d")
+    number = F.expr("try_cast(regexp_extract(url, '/([0-9]+)', 1) AS INT)") + d
+    price = F.coalesce(F.concat(F.lit("Rs. "), _s(number), F.lit(".00")), F.lit("on request"))
+    block = F.concat(F.lit('<div id="apex_desktop"><div>Price</div><span>  '), price, F.lit(" </span></div></article>"))
+    marked = F.replace(F.replace("html", F.lit("<h1>"), F.lit('<h1 id="productTitle">')), F.lit("</article>"), block)
     return (
         p.select("page_id", "url", "html", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("d"))
-        .select(
-            "page_id", "url",
-            F.date_add(F.lit("2024-01-01").cast("date"), d).alias("seen_on"),
-            F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"),
-            F.concat(F.lit("  Rs. "),
-                     _s(F.expr("try_cast(regexp_extract(url, '/([0-9]+)', 1) AS INT)") + d),
-                     F.lit(".00 ")).alias("price_text"),
-        )
+        .select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), d).alias("seen_on"), marked.alias("html"))
     )
 
 
@@ -253,8 +251,9 @@ VIEW_SQL = {
     "sentiment_rows": """SELECT 1 + (user_id*7 + event_id) % 234 AS constituency_no,
   CASE event_type WHEN 'view' THEN 'DMK' WHEN 'click' THEN 'AIADMK' WHEN 'signup' THEN 'TVK' WHEN 'error' THEN 'bjp' ELSE 'CONGRESS' END AS party,
   CASE event_id % 4 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Neutral' WHEN 2 THEN 'Negative' ELSE 'Mixed' END AS sentiment FROM events""",
-    "price_snapshots": """SELECT page_id, url, DATE '2024-01-01' + CAST(d AS INT) AS seen_on, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-  concat('  Rs. ', CAST(TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS INT) + d AS VARCHAR), '.00 ') AS price_text
+    "price_snapshots": """SELECT page_id, url, DATE '2024-01-01' + CAST(d AS INT) AS seen_on,
+  replace(replace(html, '<h1>', '<h1 id="productTitle">'), '</article>', concat('<div id="apex_desktop"><div>Price</div><span>  ',
+    coalesce('Rs. ' || CAST(TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS INT) + d AS VARCHAR) || '.00', 'on request'), ' </span></div></article>')) AS html
   FROM pages CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2) t""",
     "constituency_lookup": """SELECT DISTINCT 1 + c_custkey % 234 AS constituency_no, concat('SEAT ', CAST((1 + c_custkey % 234) % 230 AS VARCHAR)) AS constituency_name FROM customer""",
     "tokens": """SELECT doc_id, CAST(generate_subscripts(w,1)-1 AS INT) AS pos, unnest(w) AS word

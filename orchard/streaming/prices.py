@@ -13,14 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orchard.functions.html import with_element_text
 from orchard.session import scratch_path
 
 PRICE_PATTERN = r"([0-9][0-9,]*(\.[0-9]+)?)"
 
 
+TITLE_ID, PRICE_ID = "productTitle", "apex_desktop"  # fixed values: ids of the elements read
+
+
 def extract_prices(snapshots: DataFrame) -> DataFrame:
-    """Page snapshot -> (page_id, url, seen_on, seen_at, title, price)."""
-    title = F.trim(F.replace(F.col("title"), F.lit("&amp;"), F.lit("&")))
+    """Page snapshot -> (page_id, url, seen_on, seen_at, title, price), from the elements of the
+    page (``html``) or from texts cut out before (``title``, ``price_text``)."""
+    if "html" in snapshots.columns:
+        found = with_element_text(with_element_text(snapshots, "html", TITLE_ID, "title"), "html", PRICE_ID, "price_text")
+        return _fields(found, F.trim("title"))
+    return _fields(snapshots, F.trim(F.replace(F.col("title"), F.lit("&amp;"), F.lit("&"))))
+
+
+def _fields(snapshots: DataFrame, title) -> DataFrame:
     raw = F.regexp_extract(F.col("price_text"), PRICE_PATTERN, 1)
     price = F.nullif(F.replace(raw, F.lit(","), F.lit("")), F.lit("")).try_cast("double")
     return snapshots.select("page_id", "url", "seen_on", F.col("seen_on").cast("timestamp").alias("seen_at"),
