@@ -124,3 +124,14 @@ def fixed_point_mean_std(v, decimals: int, prefix: str):
     var_num = (n * s2 - s1 * s1).cast("double")
     std = F.sqrt(var_num / (n * (n - 1)).cast("double")) / scale
     return [mean.alias(f"mean_{prefix}"), F.when(n > 1, std).alias(f"std_{prefix}")]
+
+
+def fixed_corr(x, y, decimals: int = 4):
+    """Pearson correlation (an aggregate) of values that carry ``decimals`` decimal places, over the
+    rows where both are known, from exact integer sums; NULL where either does not vary."""
+    scale, both = 10 ** decimals, x.isNotNull() & y.isNotNull()
+    a, b = (F.when(both, F.round(v * scale)).cast("decimal(38,0)") for v in (x, y))
+    n = F.count(F.when(both, 1)).cast("decimal(38,0)")
+    var_a, var_b = ((n * F.sum(v * v) - F.sum(v) * F.sum(v)).cast("double") for v in (a, b))
+    cov = (n * F.sum(a * b) - F.sum(a) * F.sum(b)).cast("double")
+    return F.when((var_a > 0) & (var_b > 0), cov / (F.sqrt(var_a) * F.sqrt(var_b)))

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orchard.operators.stats import fixed_point_mean_std
+from orchard.operators.scorer import BUCKETS, UNIT, naive_bayes_loader, score_text
+from orchard.operators.stats import fixed_corr, fixed_point_mean_std
 from orchard.operators.sentiment import oracle_ctes, polarity_scores
 from orchard.operators.text import CASED_PATTERN, CLOSED_TAGS, proper_noun_runs, rule_tag, softmax_columns, tokenize
 from orchard.session import scratch_path
@@ -37,45 +38,30 @@ def star_class(score: str = "score"):
     return F.when(s <= 2, 0.0).when(s == 3, 1.0).otherwise(2.0)
 
 
-def _worded(spark, d):
-    from pyspark.ml.feature import RegexTokenizer
+CLASSES = ["neg", "neu", "pos"]
+MODEL = [f"model_{c}" for c in CLASSES]
+MAX_WORDS = 512  # the window of the limited scorer
+
+
+def scored_texts(spark, d, max_words: int | None = None) -> DataFrame:
+    """(id, scores, error) of every review by a naive Bayes model of the star classes."""
     r = V.reviews(spark, d).withColumn("label", star_class())
-    tok = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\p{L}+", gaps=False, toLowercase=True)
-    return tok.transform(r)
-
-
-def unscorable(spark, d):
-    """Rows the scorer cannot take (no words), with the reason; the scored
-    table leaves them out and this table reports them."""
-    return _worded(spark, d).where(F.coalesce(F.size("words"), F.lit(0)) == 0).select(
-        "id", F.lit("no words to score").alias("error"))
-
-
-def model_table(spark, d):
-    """(id, roberta_neg, roberta_neu, roberta_pos) from a multinomial
-    logistic regression over hashed word features, trained on the star
-    classes; plus the rows it cannot score (no words) with the reason."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, IDF
-    from pyspark.ml.functions import vector_to_array
-
-    words = _worded(spark, d)
-    ok = words.where(F.size("words") > 0)
-    errors = unscorable(spark, d)
-    pipe = Pipeline(stages=[HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 18),
-                            IDF(inputCol="tf", outputCol="features"),
-                            LogisticRegression(family="multinomial", maxIter=50, regParam=0.01)])
-    model = pipe.fit(ok)
-    logits = vector_to_array(F.col("rawPrediction"))
-    scored = model.transform(ok).select(
-        "id", *softmax_columns([logits[0], logits[1], logits[2]], ["roberta_neg", "roberta_neu", "roberta_pos"], 4))
-    return scored, errors
+    load = naive_bayes_loader(r, "text", "label", len(CLASSES), max_words=max_words)
+    return score_text(r, "id", "text", load, len(CLASSES))
+
+
+def model_table(spark, d) -> DataFrame:
+    """(id, model_neg, model_neu, model_pos): probabilities of the texts that could be scored."""
+    return scored_texts(spark, d).where(F.col("error").isNull()).select("id", *_probabilities())
+
+
+def _probabilities():
+    return softmax_columns([F.col("scores")[i] for i in range(len(CLASSES))], MODEL, 4)
 
 
 def joined_scores(spark, d) -> DataFrame:
     r = V.reviews(spark, d).select("id", "score", "quality", "toxic")
-    m, _ = model_table(spark, d)
+    m = model_table(spark, d)
     return r.join(lexicon_table(spark, d), "id", "left").join(m, "id", "left")
 
 
@@ -124,13 +110,13 @@ def q_reviews_extreme_text_model(spark, d):
     """The model-score picks of the same report: the 1-star review the
     text model finds most positive and the 5-star one it finds most
     negative (ties by smaller id), one aggregate pass each."""
-    m, _ = model_table(spark, d)
+    m = model_table(spark, d)
     j = V.reviews(spark, d).select("id", "score", "text").join(m, "id")
     one = j.where(F.col("score") == 1).agg(
-        F.min_by(F.struct("id", "text"), F.struct((-F.col("roberta_pos")).alias("k"), F.col("id"))).alias("r")) \
+        F.min_by(F.struct("id", "text"), F.struct((-F.col("model_pos")).alias("k"), F.col("id"))).alias("r")) \
         .select(F.lit("model: most positive 1-star").alias("pick"), "r.*")
     five = j.where(F.col("score") == 5).agg(
-        F.min_by(F.struct("id", "text"), F.struct((-F.col("roberta_neg")).alias("k"), F.col("id"))).alias("r")) \
+        F.min_by(F.struct("id", "text"), F.struct((-F.col("model_neg")).alias("k"), F.col("id"))).alias("r")) \
         .select(F.lit("model: most negative 5-star").alias("pick"), "r.*")
     return one.unionByName(five).where(F.col("id").isNotNull())
 
@@ -146,11 +132,18 @@ def q_text_entities(spark, d):
 
 
 def q_model_sentiment(spark, d):
-    return model_table(spark, d)[0]
+    return model_table(spark, d)
+
+
+def q_model_sentiment_limited(spark, d):
+    """One row per review from a scorer with a window of MAX_WORDS words: its probabilities, or
+    why it could not be scored."""
+    return scored_texts(spark, d, MAX_WORDS).select("id", *_probabilities(), "error")
 
 
 def q_model_sentiment_errors(spark, d):
-    return unscorable(spark, d)
+    """The reviews that the text model cannot score, with the reason."""
+    return scored_texts(spark, d).where(F.col("error").isNotNull()).select("id", "error")
 
 
 def q_reviews_scores_join(spark, d):
@@ -158,13 +151,10 @@ def q_reviews_scores_join(spark, d):
 
 
 def q_reviews_scorer_agreement(spark, d):
-    j = joined_scores(spark, d)
-    return j.groupBy("score").agg(
-        F.count(F.lit(1)).alias("n_reviews"),
-        F.round(F.corr("vader_pos", "roberta_pos"), 6).alias("corr_pos"),
-        F.round(F.corr("vader_neg", "roberta_neg"), 6).alias("corr_neg"),
-        F.round(F.corr("vader_neu", "roberta_neu"), 6).alias("corr_neu"),
-        F.round(F.corr("vader_compound", F.col("roberta_pos") - F.col("roberta_neg")), 6).alias("corr_compound"))
+    """Correlations of both scorers per star; NULL where a scorer gives one value throughout."""
+    j = joined_scores(spark, d).withColumn("model_compound", F.col("model_pos") - F.col("model_neg"))
+    aggs = [F.round(fixed_corr(F.col(f"vader_{c}"), F.col(f"model_{c}")), 6).alias(f"corr_{c}") for c in SCORES]
+    return j.groupBy("score").agg(F.count(F.lit(1)).alias("n_reviews"), *aggs)
 
 
 QUERIES = {
@@ -177,6 +167,7 @@ QUERIES = {
     "text_tags": q_text_tags,
     "text_entities": q_text_entities,
     "model_sentiment": q_model_sentiment,
+    "model_sentiment_limited": q_model_sentiment_limited,
     "model_sentiment_errors": q_model_sentiment_errors,
     "reviews_scores_join": q_reviews_scores_join,
     "reviews_scorer_agreement": q_reviews_scorer_agreement,
@@ -194,6 +185,31 @@ lexs AS (SELECT r.id, coalesce(neg, 0.0) AS vader_neg, coalesce(neu, 0.0) AS vad
     coalesce(compound, 0.0) AS vader_compound FROM reviews r LEFT JOIN scored s ON r.id = s.id)"""
 
 
+def _log_sql(p: str) -> str:
+    return f"CAST(floor(ln({p}) * {UNIT} + 0.5) AS BIGINT)"
+
+
+def _per_class(template: str, sep: str = ", ") -> str:
+    return sep.join(template.format(c=c, name=name) for c, name in enumerate(MODEL))
+
+
+_MODEL = f"""star AS (SELECT id, CASE WHEN score <= 2 THEN 0 WHEN score = 3 THEN 1 ELSE 2 END AS c,
+    regexp_extract_all(lower(text), '\\p{{L}}+') AS words FROM reviews),
+occurrence AS (SELECT id, c, unnest(words) AS w FROM star),
+bucketed AS (SELECT w, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {BUCKETS} AS b FROM (SELECT DISTINCT w FROM occurrence) u),
+counted AS (SELECT b, {_per_class("count(*) FILTER (WHERE c = {c}) AS n{c}")} FROM occurrence JOIN bucketed USING (w) GROUP BY b),
+total AS (SELECT {_per_class("sum(n{c}) AS t{c}")} FROM counted),
+weight AS (SELECT b, {_per_class(_log_sql("(n{c} + 1) / (t{c} + " + str(BUCKETS) + ")") + " AS w{c}")} FROM counted, total),
+prior AS (SELECT {_per_class(_log_sql("(count(*) FILTER (WHERE c = {c}) + 1) / (count(*) + 3)") + " AS p{c}")} FROM star),
+summed AS (SELECT id, count(*) AS n_words, {_per_class("CAST(sum(w{c}) + any_value(p{c}) AS DOUBLE) / " + str(UNIT) + " AS s{c}")}
+    FROM occurrence JOIN bucketed USING (w) JOIN weight USING (b), prior GROUP BY id),
+powers AS (SELECT id, n_words, {_per_class("exp(s{c} - greatest(s0, s1, s2)) AS e{c}")} FROM summed),
+msc AS (SELECT id, n_words, {_per_class("round(e{c} / (e0 + e1 + e2), 4) AS {name}")} FROM powers)"""
+_BOTH = _LEX + ",\n" + _MODEL + """,
+both_scores AS (SELECT r.id, r.score, r.quality, r.toxic, l.* EXCLUDE (id), m.* EXCLUDE (id, n_words)
+    FROM reviews r LEFT JOIN lexs l ON r.id = l.id LEFT JOIN msc m ON r.id = m.id)"""
+
+
 def _tag_sql(tok: str, pos: str) -> str:
     parts = [f"WHEN lower({tok}) IN ({_list(w)}) THEN '{t}'" for t, w in CLOSED_TAGS.items()]
     low = f"lower({tok})"
@@ -218,6 +234,14 @@ def _fp_sql(col: str, decimals: int, prefix: str) -> str:
             f"CASE WHEN {n} > 1 THEN sqrt(CAST({n} * {s2} - {s1} * {s1} AS DOUBLE) / CAST({n} * ({n} - 1) AS DOUBLE)) / {k} END AS std_{prefix}")
 
 
+def _corr_sql(x: str, y: str) -> str:
+    a, b = (f"CAST(CASE WHEN {x} + {y} IS NOT NULL THEN round({c} * 10000) END AS DECIMAL(38,0))" for c in (x, y))
+    n = f"CAST(count({x} + {y}) AS DECIMAL(38,0))"
+    var = [f"CAST({n} * sum({c} * {c}) - sum({c}) * sum({c}) AS DOUBLE)" for c in (a, b)]
+    return (f"CASE WHEN {var[0]} > 0 AND {var[1]} > 0 THEN CAST({n} * sum({a} * {b}) - sum({a}) * sum({b}) AS DOUBLE) "
+            f"/ (sqrt({var[0]}) * sqrt({var[1]})) END")
+
+
 def _boot_sql() -> str:
     from orchard.operators.sampling import poisson_thresholds
     th = poisson_thresholds()
@@ -253,6 +277,20 @@ ORACLE = {
            UNION ALL SELECT 'most negative 5-star', id, text FROM (SELECT r.id, r.text FROM reviews r
              JOIN lexs l ON r.id = l.id WHERE r.score = 5 ORDER BY l.vader_neg DESC, r.id LIMIT 1) b) u""", _LEX),
     "text_tags": _r(f"SELECT doc_id, pos, token, {_tag_sql('token', 'pos')} AS tag FROM ct", _CASED),
+    "reviews_extreme_text_model": _r(
+        """SELECT * FROM (SELECT 'model: most positive 1-star' AS pick, id, text FROM (SELECT r.id, r.text FROM reviews r
+             JOIN msc m ON r.id = m.id WHERE r.score = 1 ORDER BY m.model_pos DESC, r.id LIMIT 1) a
+           UNION ALL SELECT 'model: most negative 5-star', id, text FROM (SELECT r.id, r.text FROM reviews r
+             JOIN msc m ON r.id = m.id WHERE r.score = 5 ORDER BY m.model_neg DESC, r.id LIMIT 1) b) u""", _MODEL),
+    "model_sentiment": _r(f"SELECT id, {', '.join(MODEL)} FROM msc", _MODEL),
+    "model_sentiment_limited": _r(
+        f"""SELECT r.id, {_per_class("CASE WHEN n_words <= " + str(MAX_WORDS) + " THEN {name} END AS {name}")},
+            CASE WHEN m.id IS NULL THEN 'no words to score' WHEN n_words > {MAX_WORDS} THEN 'more than {MAX_WORDS} words' END AS error
+            FROM reviews r LEFT JOIN msc m ON r.id = m.id""", _MODEL),
+    "reviews_scores_join": _r("SELECT * FROM both_scores", _BOTH),
+    "reviews_scorer_agreement": _r(
+        "SELECT score, count(*) AS n_reviews, " + ", ".join(f"round({_corr_sql(f'vader_{c}', f'model_{c}')}, 6) AS corr_{c}" for c in SCORES)
+        + " FROM (SELECT *, model_pos - model_neg AS model_compound FROM both_scores) s GROUP BY score", _BOTH),
     "model_sentiment_errors": V.with_views(
         """SELECT id, 'no words to score' AS error FROM reviews
            WHERE coalesce(len(regexp_extract_all(lower(text), '\\p{L}+')), 0) = 0""", "reviews"),

@@ -21,7 +21,7 @@ def test_model_queries(spark):
 
 def test_model_sentiment_probabilities(spark):
     m = Q["model_sentiment"](spark, SMALL_DIR)
-    s = m.select((F.col("roberta_neg") + F.col("roberta_neu") + F.col("roberta_pos")).alias("t")).collect()
+    s = m.select((F.col("model_neg") + F.col("model_neu") + F.col("model_pos")).alias("t")).collect()
     assert all(abs(r.t - 1) < 2e-4 for r in s)
     assert Q["reviews_scores_join"](spark, SMALL_DIR).count() == spark.read.parquet(f"{SMALL_DIR}/documents.parquet").count()
 
