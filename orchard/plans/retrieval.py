@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from orchard.operators.retrieval import (assemble_context, centroids, fixed_chunks, hashed_tfidf_embedder,
                                          lsh_topk, multiquery_union, text_chunks, vector_topk)
+from orchard.operators.vector_index import build_index, search_index
 from orchard.session import scratch_path
 from orchard.sources.tables import table
 
@@ -77,6 +78,14 @@ def q_vector_topk(spark, d):
     return vector_topk(e, "vec_id", "embedding", label_questions(spark, d), ["question_id"], "centroid", TOP_K)
 
 
+def q_vector_collection_topk(spark, d):
+    """The same rows from a stored collection with a cell index."""
+    path = scratch_path(spark, "collection-cells")
+    build_index(table(spark, d, "embeddings"), "vec_id", "embedding", path)
+    return search_index(spark, path, label_questions(spark, d), ["question_id"], "centroid", TOP_K) \
+        .withColumnRenamed("id", "vec_id")
+
+
 def q_vector_multiquery(spark, d):
     e = table(spark, d, "embeddings")
     hits = vector_topk(e, "vec_id", "embedding", variant_questions(spark, d), ["question_id", "variant_no"],
@@ -109,6 +118,7 @@ QUERIES = {
     "embed_chunks": q_embed_chunks,
     "vector_index": q_vector_index,
     "vector_topk": q_vector_topk,
+    "vector_collection_topk": q_vector_collection_topk,
     "vector_multiquery": q_vector_multiquery,
     "vector_topk_lsh": q_vector_topk_lsh,
     "rag_prompts": q_rag_prompts,
@@ -132,6 +142,8 @@ ORACLE = {
     "vector_index": "SELECT vec_id, label, embedding FROM embeddings",
     "vector_topk": _CENTROID.format(extra="", extra2="") +
     "\nSELECT question_id, rank, vec_id, round(distance, 6) AS distance FROM top",
+    "vector_collection_topk": _CENTROID.format(extra="", extra2="") +
+    "\nSELECT question_id, rank, vec_id, round(distance, 6) AS distance FROM top",
     "vector_multiquery": _CENTROID.format(extra="CAST(vec_id % 5 AS INTEGER) AS variant_no,",
                                           extra2="variant_no,").replace("PARTITION BY question_id variant_no,",
                                                                         "PARTITION BY question_id, variant_no") +
