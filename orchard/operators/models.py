@@ -75,62 +75,6 @@ def train_or_load(spark, path: str, fit):
     return PipelineModel.load(path)
 
 
-def price_model_scores(homes: DataFrame, seed: int = 10, model_path: str | None = None) -> DataFrame:
-    """Train (or reuse) the linear price model and score the held-out rows.
-
-    Location is one-hot encoded with the alphabetically first level
-    dropped (``alphabetDesc`` + ``dropLast``).  The fitted PipelineModel is
-    kept in a model store: with ``model_path`` an existing model there is
-    reused and a new one is saved there; without it the model goes to a fresh
-    scratch folder and is read back from it."""
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    from pyspark.ml.regression import LinearRegression
-
-    from orchard.operators.sampling import hash_split
-    from orchard.session import scratch_path
-
-    data = hash_split(homes, "home_id", seed).withColumn("bhk", F.col("bhk").cast("double"))
-    train = data.where(F.col("split") == "train")
-    # dummy columns come from all locations of the cleaned table (they are
-    # made before the split); dropLast on a descending order drops the
-    # alphabetically first level
-    indexer = StringIndexer(inputCol="location", outputCol="loc_idx",
-                            stringOrderType="alphabetDesc").fit(data)
-    # a single level gives no dummy column at all (first level dropped)
-    one_hot = len(indexer.labelsArray[0]) >= 2
-    stages = [indexer, OneHotEncoder(inputCols=["loc_idx"], outputCols=["loc_vec"], dropLast=True)] if one_hot else []
-    pipe = Pipeline(stages=stages + [
-        VectorAssembler(inputCols=["total_sqft", "bath", "bhk"] + (["loc_vec"] if one_hot else []),
-                        outputCol="features"),
-        LinearRegression(featuresCol="features", labelCol="price", solver="normal", regParam=0.0),
-    ])
-    model = train_or_load(homes.sparkSession, model_path, lambda: pipe.fit(train)) if model_path else None
-    if model is None:
-        path = scratch_path(homes.sparkSession, "price-model")
-        pipe.fit(train).write().overwrite().save(path)
-        model = PipelineModel.load(path)
-    return score_price_requests(model, data.where(F.col("split") == "test")).select(
-        "home_id", "location", "price", "predicted_price")
-
-
-def score_price_requests(model, requests: DataFrame, fallback: str = "other") -> DataFrame:
-    """Batch price scoring: requests (location, total_sqft, bath, bhk) through
-    the stored pipeline; a location the model has not seen is scored as
-    ``fallback`` (the rare-location group).  The known labels come from
-    the fitted indexer, so no data is collected."""
-    from pyspark.ml.feature import StringIndexerModel
-    labels = next((st.labelsArray[0] for st in model.stages if isinstance(st, StringIndexerModel)), None)
-    req = requests.withColumn("bhk", F.col("bhk").cast("double"))
-    if labels is not None:
-        req = req.withColumn("_loc_in", F.col("location")).withColumn(
-            "location", F.when(F.col("location").isin(list(labels)), F.col("location")).otherwise(F.lit(fallback)))
-    scored = model.transform(req).withColumn("predicted_price", F.round("prediction", 2))
-    if labels is not None:
-        scored = scored.withColumn("location", F.col("_loc_in")).drop("_loc_in")
-    return scored
-
-
 def growth_forest_mse(m: DataFrame, seed: int = 42, num_trees: int = 100) -> DataFrame:
     """Random-forest regression of growth on (2016, 2021, sentiment), 80/20
     hash split; one row with the test mean squared error."""

@@ -18,7 +18,7 @@ from orchard.sources import views as V
 RARE_MAX_ROWS = 10
 MIN_SQFT_PER_BHK = 300
 MODEL_SEED = 10
-MODEL_VERSION = "price-1"  # changes with the code that trains
+MODEL_VERSION = "price-2"  # changes with the code that trains
 
 
 def parsed(h: DataFrame) -> DataFrame:
@@ -104,15 +104,40 @@ def q_homes_locations(spark, d):
     return h.where(F.col("location") != first).select("location").distinct().orderBy("location")
 
 
-def q_homes_price_model(spark, d):
-    """Train once per content of the cleaned table and reuse the stored model afterwards:
-    changed rows give another key and are trained anew, wherever they are read from."""
-    from orchard.operators.models import content_key, price_model_scores
+FEATURES = ["total_sqft", "bath", "bhk"]
+
+
+def price_model(spark, d):
+    """Least squares with an intercept per location, fitted to the training rows once per content
+    of the cleaned table; changed rows give another key and are trained anew."""
+    from orchard.operators.linear import fit_or_load, fit_within
+    from orchard.operators.models import content_key
+    from orchard.operators.sampling import hash_split
     from orchard.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     store = spark.conf.get("spark.checkpoint.dir")
     homes = cleaned(V.homes(spark, d))
-    return price_model_scores(homes, MODEL_SEED, f"{store}/orchard-models/price-{content_key(homes, f'{MODEL_VERSION}|{MODEL_SEED}')}")
+    data = hash_split(homes, "home_id", MODEL_SEED)
+    path = f"{store}/orchard-models/price-{content_key(homes, f'{MODEL_VERSION}|{MODEL_SEED}')}"
+    model = fit_or_load(spark, path, lambda: fit_within(data.where(F.col("split") == "train"), "location", FEATURES, "price"))
+    return data, model
+
+
+def q_homes_price_model(spark, d):
+    """Prices of the held-out rows by the stored model."""
+    from orchard.operators.linear import predict_within
+    data, model = price_model(spark, d)
+    return predict_within(data.where(F.col("split") == "test"), "location", FEATURES, model).select(
+        "home_id", "location", "price", F.round("prediction", 2).alias("predicted_price"))
+
+
+def q_homes_price_requests(spark, d):
+    """Every listing as a price request, rare locations and outliers included: a location that the
+    model does not know is priced as 'other'."""
+    from orchard.operators.linear import predict_within
+    requests = parsed(V.homes(spark, d)).select("home_id", "location", *FEATURES)
+    return predict_within(requests, "location", FEATURES, price_model(spark, d)[1]).withColumn(
+        "predicted_price", F.round("prediction", 2)).drop("prediction")
 
 
 QUERIES = {
@@ -123,6 +148,7 @@ QUERIES = {
     "homes_numeric_share": q_homes_numeric_share,
     "homes_locations": q_homes_locations,
     "homes_price_model": q_homes_price_model,
+    "homes_price_requests": q_homes_price_requests,
 }
 
 # ------------------------------------------------------------- DuckDB oracle
@@ -144,10 +170,26 @@ outl AS (SELECT a.* FROM area a JOIN (SELECT location, avg(price_per_sqft) AS m,
 clean AS (SELECT home_id, location, bath, price, bhk, total_sqft FROM outl WHERE bath < bhk + 2)"""
 
 
-def _q(sql):
+def _q(sql, steps=_STEPS):
     body = V.with_views("SELECT 1", "homes")
-    return body[: body.rindex("\nSELECT 1")] + f",\n{_STEPS}\n{sql}"
-
+    return body[: body.rindex("\nSELECT 1")] + f",\n{steps}\n{sql}"
+
+
+# three coefficients by Cramer's rule over the sums of products within the locations
+_PRICES = _STEPS + f""",
+marked AS (SELECT *, substr(md5(concat('{MODEL_SEED}:', CAST(home_id AS VARCHAR))), 1, 8) < '33333333' AS held_out FROM clean),
+taught AS (SELECT location, total_sqft AS x, bath AS y, CAST(bhk AS DOUBLE) AS z, price AS w FROM marked WHERE NOT held_out),
+grouped AS (SELECT location, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(w) AS mw,
+  covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz,
+  covar_pop(z, z) AS zz, covar_pop(x, w) AS xw, covar_pop(y, w) AS yw, covar_pop(z, w) AS zw FROM taught GROUP BY location),
+pooled AS (SELECT {", ".join(f"sum(n * {c}) AS {c}" for c in ("xx", "xy", "xz", "yy", "yz", "zz", "xw", "yw", "zw"))} FROM grouped),
+det AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS dt FROM pooled),
+coef AS (SELECT (xw * (yy * zz - yz * yz) - xy * (yw * zz - yz * zw) + xz * (yw * yz - yy * zw)) / dt AS bx,
+  (xx * (yw * zz - yz * zw) - xw * (xy * zz - yz * xz) + xz * (xy * zw - yw * xz)) / dt AS by_,
+  (xx * (yy * zw - yw * yz) - xy * (xy * zw - yw * xz) + xw * (xy * yz - yy * xz)) / dt AS bz FROM det),
+level AS (SELECT location, n, mw - bx * mx - by_ * my - bz * mz AS a FROM grouped, coef),
+spare AS (SELECT coalesce(max(CASE WHEN location = 'other' THEN a END), sum(n * a) / sum(n)) AS a0 FROM level)"""
+_PRICED = "round(coalesce(a, a0) + bx * total_sqft + by_ * bath + bz * bhk, 2) AS predicted_price"
 
 _COLS = "home_id, location, bhk, total_sqft, bath, price, round(price_per_sqft, 6) AS price_per_sqft"
 
@@ -164,4 +206,8 @@ ORACLE = {
            FROM homes""", "homes"),
     "homes_locations": _q("""SELECT DISTINCT location FROM clean WHERE location <> (SELECT min(location) FROM clean)
         ORDER BY location"""),
+    "homes_price_model": _q(f"""SELECT home_id, m.location, price, {_PRICED}
+        FROM marked m LEFT JOIN level v ON m.location = v.location, coef, spare WHERE held_out""", _PRICES),
+    "homes_price_requests": _q(f"""SELECT home_id, r.location, total_sqft, bath, bhk, {_PRICED}
+        FROM p2 r LEFT JOIN level v ON r.location = v.location, coef, spare""", _PRICES),
 }

@@ -103,23 +103,3 @@ def test_price_stream_resumes_from_checkpoint(spark):
 def test_extreme_text_model_picks(spark):
     rows = Q["reviews_extreme_text_model"](spark, SMALL_DIR).collect()
     assert {r.pick for r in rows} <= {"model: most positive 1-star", "model: most negative 5-star"} and rows
-
-
-def test_price_requests_unknown_location(spark):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    from orchard.operators.models import score_price_requests
-    train = spark.createDataFrame([("a", 1000.0, 2.0, 2.0, 50.0), ("b", 1200.0, 2.0, 3.0, 70.0),
-                                   ("other", 900.0, 1.0, 2.0, 30.0), ("a", 1500.0, 3.0, 3.0, 80.0),
-                                   ("b", 800.0, 1.0, 1.0, 40.0), ("other", 1100.0, 2.0, 2.0, 45.0)],
-                                  "location string, total_sqft double, bath double, bhk double, price double")
-    model = Pipeline(stages=[StringIndexer(inputCol="location", outputCol="loc_idx", stringOrderType="alphabetDesc"),
-                             OneHotEncoder(inputCols=["loc_idx"], outputCols=["loc_vec"], dropLast=True),
-                             VectorAssembler(inputCols=["total_sqft", "bath", "bhk", "loc_vec"], outputCol="features"),
-                             LinearRegression(featuresCol="features", labelCol="price")]).fit(train)
-    req = spark.createDataFrame([("nowhere", 1000.0, 2.0, 2), ("other", 1000.0, 2.0, 2)],
-                                "location string, total_sqft double, bath double, bhk int")
-    got = {r.location: r.predicted_price for r in score_price_requests(model, req).collect()}
-    assert got["nowhere"] == got["other"]
