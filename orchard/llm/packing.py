@@ -22,10 +22,12 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,32 +78,52 @@ def _bits(values: list, shared_only: bool) -> list[int]:
 OUT = "doc_id {id}, piece long, n_pieces long, length long, bin_id long, bin_start long"
 
 
-def _token_counts(tokenizer: str):
-    """Replaces the text by ``total``, its number of token ids plus one end mark."""
+_WORD = re.compile(r"[^\W_]+")
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+_ASCII = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+
+
+def folded(text: str) -> bytes:
+    """The lower-cased letters and digits of a text, runs of anything else as one space."""
+    if text.isascii():
+        return b" ".join(text.lower().encode().translate(_ASCII).split())
+    return " ".join(_WORD.findall(text.lower())).encode()
+
+
+def _cluster(text: str) -> int | None:
+    key = folded(text)
+    return xxhash.xxh64_intdigest(key) - (1 << 63) if key else None
+
+
+def _measure(tokenizer: str | None):
+    """Replaces the text by ``cluster`` and ``total``, its number of token ids (words) plus one end mark."""
     def run(batches):
-        from orchard.llm.token_store import _encoder
-        enc = _encoder(tokenizer, "<u4")
+        if tokenizer is None:
+            def length(text):
+                return len(_WORDS.findall(text))
+        else:
+            from orchard.llm.token_store import _encoder
+            enc = _encoder(tokenizer, "<u4")
+
+            def length(text):
+                return len(enc.encode(text)) // 4
         for b in batches:
-            total = [len(enc.encode(t)) // 4 + 1 for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.drop_columns(["text"]).columns, pa.array(total, pa.int64())],
-                                             [*b.drop_columns(["text"]).schema.names, "total"])
+            texts = b.column("text").to_pylist()
+            rest = b.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays(
+                [*rest.columns, pa.array([_cluster(t) for t in texts], pa.int64()),
+                 pa.array([length(t) + 1 for t in texts], pa.int64())], [*rest.schema.names, "cluster", "total"])
     return run
 
 
 def items(docs: DataFrame, capacity: int, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, n_pieces, length, source, cluster) from ``docs(doc_id, text, source)``.
     Length: token ids of ``tokenizer`` (a tokenizer file), or without one words, plus one end
-    mark.  Cluster: hash of the folded letters and digits."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    folded = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1
-    df = (docs if tokenizer is None else spread(docs.select("doc_id", "text", "source"))).select(
-        "doc_id", F.col("source").cast("string").alias("source"),
-        F.when(F.length(F.trim(folded)) > 0, F.xxhash64(folded)).alias("cluster"),
-        words.cast("long").alias("total") if tokenizer is None else text.alias("text"))
-    if tokenizer is not None:
-        id_type = docs.schema["doc_id"].dataType.simpleString()
-        df = df.mapInArrow(_token_counts(tokenizer), f"doc_id {id_type}, source string, cluster long, total long")
+    mark.  Cluster: 64-bit hash of the folded letters and digits, in the pass that counts them."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    df = spread(docs.select("doc_id", "text", "source")).select(
+        "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    df = df.mapInArrow(_measure(tokenizer), f"doc_id {id_type}, source string, cluster long, total long")
     n = F.ceil(F.col("total") / F.lit(capacity)).cast("long")
     df = df.select("*", n.alias("n_pieces"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("piece"))
     return df.select("doc_id", "piece", "n_pieces", "source", "cluster",

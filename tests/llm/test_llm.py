@@ -368,6 +368,17 @@ def test_lm_beats_its_base(spark):
 
 # 9 -------------------------------------------------------------------------
 
+def test_packing_folds_by_letters_and_digits():
+    import regex
+    odd = ["", " .,_ ", "One, two_3!", "one two 3", "ÉTÉ  à", "été À!", "x\u00a0y", "x y", "½ cup", "\u0130i", "A\n\nB", "ß SS", "١٢ x"]
+    for t in odd:
+        want = regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", t.lower()).strip()
+        if "\u0130" not in t:  # its lower case holds a combining mark
+            assert packing.folded(t).decode() == want, t
+    assert len({packing._cluster(t) for t in odd[2:4]}) == 1 == len({packing._cluster(t) for t in odd[4:6]})
+    assert packing._cluster("") is packing._cluster("...") is None
+
+
 def brute_fit(length, source, cluster, capacity, per_source):
     bins, where = [], {}
     for i in sorted(range(len(length)), key=lambda i: -length[i]):
