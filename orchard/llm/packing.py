@@ -10,8 +10,8 @@ bin is compatible: no second document of a duplicate cluster, no more than
 ``per_source`` documents of a source (one bitmap per level).  If no bin is, a new
 one opens.
 
-Scale: items are dealt to groups of about ``group_items`` by a hash of the id, so
-a hot source or a large group of copies is spread over all groups; each group is
+Scale: items are dealt to groups of about ``group_items`` by a hash of id and row number, so
+a hot source, a large group of copies or one row many times is spread over all groups; each group is
 packed by one task in bounded memory.  Clusters and sources get local bit
 numbers within a group, and a cluster alone in its group needs none.
 
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 2, group_items
     id_type = docs.schema["doc_id"].dataType.simpleString()
     # the number of groups from the number of documents: ids only
     groups = max(1, -(-docs.select("doc_id").count() // group_items))
-    work = work.withColumn("g", F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(groups)))
+    work = work.withColumn("g", F.pmod(F.xxhash64("doc_id", "cluster", "piece", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("cluster", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])

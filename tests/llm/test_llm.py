@@ -368,6 +368,17 @@ def test_lm_beats_its_base(spark):
 
 # 9 -------------------------------------------------------------------------
 
+def test_packing_spreads_one_row_many_times(spark):
+    docs = spark.createDataFrame([(1, "same words here", "s")], "doc_id long, text string, source string")
+    docs = docs.crossJoin(spark.range(4000).select()).repartition(4)
+    got = packing.pack(docs, capacity=64, group_items=500).collect()
+    groups = {}
+    for r in got:
+        groups[r.bin_id >> 32] = groups.get(r.bin_id >> 32, 0) + 1
+    assert len(got) == 4000 and len(groups) == 8 and max(groups.values()) < 1000
+    assert len({r.bin_id for r in got}) == 4000  # copies conflict: a bin each
+
+
 def test_packing_folds_by_letters_and_digits():
     import regex
     odd = ["", " .,_ ", "One, two_3!", "one two 3", "ÉTÉ  à", "été À!", "x\u00a0y", "x y", "½ cup", "\u0130i", "A\n\nB", "ß SS", "١٢ x"]
