@@ -20,8 +20,8 @@ directory, and files meet them by a join on the directory: one row per directory
 on that side, so a directory with a third of all files is split by adaptive
 execution.
 
-Defined cases: null or empty texts have no notice and can inherit; null paths
-have no directory; repeated rows are reported each; extra columns are ignored;
+Defined cases: null or empty texts have no notice and can inherit; a null path
+has no directory, but its own notice; repeated rows are reported each; extra columns are ignored;
 an empty table gives no rows.
 """
 
@@ -30,9 +30,10 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orchard.functions import json_literal
 from orchard.llm.common import stored
 
 # fixed values: short notices by SPDX identifier
@@ -87,32 +88,40 @@ def cue_pattern(threshold: float = THRESHOLD) -> str:
     return r"\b(?:" + "|".join(re.escape(c).replace(r"\-", "-") for c in cues(threshold)) + r")\b"
 
 
-def _weight_table(spark: SparkSession) -> DataFrame:
-    """term, idf and one weight column per template: a few dozen fixed rows."""
-    idf, unit, _ = weights()
-    row = lambda t: F.struct(F.lit(t).alias("term"), F.lit(idf[t]).alias("idf"),
-                             *[F.lit(unit[n].get(t, 0.0)).alias(f"w{i}") for i, n in enumerate(TEMPLATES)])
-    return spark.range(1).select(F.inline(F.array(*[row(t) for t in sorted(idf)])))
+def _best(terms: Column) -> Column:
+    """(neg, license) of the best template for the sorted ``terms`` of a line, in one fold: the k-th
+    copy of a term adds (2k - 1) idf^2 to the squared norm, as k^2 grows by 2k - 1."""
+    idf, unit, other = weights()
+    known = json_literal({t: {"idf": v, "w": [unit[n].get(t, 0.0) * v for n in TEMPLATES]} for t, v in idf.items()},
+                         "map<string,struct<idf:double,w:array<double>>>")
+    start = F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("run"), F.lit(0.0).alias("norm"),
+                     F.array_repeat(F.lit(0.0), len(TEMPLATES)).alias("dots"))
+
+    def step(acc, t):
+        hit = F.try_element_at(known, t)
+        run = F.when(acc["term"] == t, acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(t.alias("term"), run.alias("run"),
+                        (acc["norm"] + (2 * run - 1) * F.pow(F.coalesce(hit["idf"], F.lit(other)), F.lit(2.0))).alias("norm"),
+                        F.when(hit.isNull(), acc["dots"]).otherwise(F.zip_with(acc["dots"], hit["w"], lambda x, y: x + y)).alias("dots"))
+
+    def best(acc):
+        return F.array_min(F.array(*[F.struct((-F.round(acc["dots"][i] / F.sqrt(acc["norm"]), 6)).alias("neg"), F.lit(n).alias("license"))
+                                     for i, n in enumerate(TEMPLATES)]))
+    return F.aggregate(terms, start, step, best)
 
 
 def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(path, h, license, score, line, n_lines) of the best line of each text that holds a notice;
-    h is the hash of the text."""
+    h is the hash of the text.  Lines are scored in their rows; only notices are shuffled."""
     text = F.lower(F.col("text"))
     lines = (files.where(text.rlike(cue_pattern(threshold)))
              .select("path", "h", F.split(text, "\n").alias("all"))
              .select("path", "h", F.size("all").alias("n_lines"), F.posexplode("all").alias("line", "s"))
              .where(F.col("s").rlike(cue_pattern(threshold))))
-    terms = lines.select("path", "h", "line", "n_lines", F.explode(F.regexp_extract_all("s", F.lit(TERM), F.lit(0))).alias("term"))
-    tf = terms.groupBy("path", "h", "line", "n_lines", "term").agg(F.count("*").alias("tf"))
-    other = weights()[2]
-    idf = F.coalesce("idf", F.lit(other))
-    joined = tf.join(F.broadcast(_weight_table(files.sparkSession)), "term", "left")
-    dots = [F.sum(F.col("tf") * F.col("idf") * F.col(f"w{i}")).alias(f"d{i}") for i in range(len(TEMPLATES))]
-    line = joined.groupBy("path", "h", "line", "n_lines").agg(F.sqrt(F.sum(F.pow(F.col("tf") * idf, F.lit(2.0)))).alias("norm"), *dots)
-    scored = F.array(*[F.struct((-F.round(F.coalesce(F.col(f"d{i}"), F.lit(0.0)) / F.col("norm"), 6)).alias("neg"),
-                                F.lit(n).alias("license")) for i, n in enumerate(TEMPLATES)])
-    best = line.select("path", "h", "line", "n_lines", F.array_min(scored).alias("b")).where(F.col("b.neg") <= -threshold)
+    terms = F.array_sort(F.regexp_extract_all("s", F.lit(TERM), F.lit(0)))
+    # exploded from an array of one, so that the filter below does not score a line a second time
+    best = (lines.select("path", "h", "line", "n_lines", F.explode(F.array(_best(terms))).alias("b"))
+            .where(F.col("b.neg") <= -threshold))
     first = best.groupBy("path", "h").agg(F.min(F.struct("b.neg", "b.license", "line", "n_lines")).alias("m"))
     return first.select("path", "h", F.col("m.license").alias("license"), (-F.col("m.neg")).alias("score"), "m.line", "m.n_lines")
 
@@ -140,7 +149,8 @@ def scan(files: DataFrame, declares: Column, keep: list[str], threshold: float =
             i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("above")))).alias("a")).select("dir", "a.depth", "a.above")
     nearest = (chain.join(speaking, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "inherited")).alias("m"))
                .select("dir", F.col("m.above").alias("from_dir"), F.col("m.inherited").alias("inherited")))
-    out = listed.join(found.select("path", "h", "license", "score"), ["path", "h"], "left").join(nearest, "dir", "left")
+    own_notice = found.select(F.col("path").alias("_path"), F.col("h").alias("_h"), "license", "score")
+    out = listed.join(own_notice, F.col("path").eqNullSafe(F.col("_path")) & (F.col("h") == F.col("_h")), "left").join(nearest, "dir", "left")
     own = F.col("license").isNotNull()
     return out.select("kept.*", "path", F.coalesce("license", "inherited").alias("license"), "score",
                       F.when(own, "notice").when(F.col("inherited").isNotNull(), "directory").otherwise("none").alias("via"),

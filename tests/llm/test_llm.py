@@ -440,6 +440,27 @@ def test_licences(spark, empty):
     assert licenses.document_licences(empty).count() == 0
 
 
+def test_licence_scores_equal_plain_cosines(spark):
+    idf, unit, other = licenses.weights()
+    rnd = random.Random(8)
+    vocabulary = sorted(idf) + ["code", "other", "x1"]
+    lines = [" ".join(rnd.choices(vocabulary, k=rnd.randint(1, 12))) for _ in range(300)] + list(licenses.TEMPLATES.values())
+    lines += ["licensed " * 30_000 + "under the apache license, version 2.0."]  # one very long line
+    rows = [(f"d/{i}", line) for i, line in enumerate(lines)] + [(None, licenses.TEMPLATES["MIT"])] * 2 + [("d/null", None), ("d/blank", "")]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.k: r for r in licenses.scan(df.withColumn("k", F.coalesce("path", F.lit("none"))), F.lit(False), ["k"]).collect()}
+    assert got["none"].license == "MIT" and got["none"].via == "notice" and got["d/null"].license is None is got["d/blank"].license
+    for i, line in enumerate(lines):
+        tf = collections.Counter(re.findall(licenses.TERM, line.lower()))
+        norm = math.sqrt(sum((c * idf.get(t, other)) ** 2 for t, c in tf.items()))
+        score, name = min((-round(sum(c * idf[t] * w.get(t, 0) for t, c in tf.items() if t in idf) / norm, 6), n) for n, w in unit.items())
+        r = got[f"d/{i}"]
+        if -score > licenses.THRESHOLD + 1e-6:
+            assert r.license == name and abs(r.score + score) < 2e-6
+        elif -score < licenses.THRESHOLD - 1e-6:
+            assert r.license is None
+
+
 def test_licence_cues_lose_nothing():
     _, unit, _ = licenses.weights()
     cue = set(licenses.cues())
