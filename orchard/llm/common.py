@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orchard.session import scratch_path
+from orchard.sources.files import drop_path
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -169,6 +170,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by ``stored`` that nothing reads any more: all that came of them is written."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            drop_path(t.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps."""
     gc.collect()
@@ -176,6 +184,7 @@ def release(spark: SparkSession) -> None:
 
 
 BROADCAST_ROWS = 1 << 20
+FILE_ROWS = 40  # bits of a row's place in its file
 
 
 def semi_join(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -189,3 +198,21 @@ def spread(df: DataFrame) -> DataFrame:
     """At least two scan partitions per core for per-row work on small inputs."""
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def numbered(docs: DataFrame, name: str, *more: Column) -> DataFrame:
+    """(_row: the columns of ``docs``, ``name``: a long of each row's own, ``more``), the same on every read.
+
+    Rows of a plain Parquet scan are numbered by file and place in the file and not copied; the files'
+    numbers are a table of one row a file.  Rows of any other plan are stored first."""
+    row = F.struct(*docs.columns).alias("_row")
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = stored(docs.select(row, *more), "numbered-rows")
+        return numbered(docs, name).select("_row._row", name, *(f"_row.{c}" for c in docs.columns[1:]))
+    at = docs.metadataColumn("_metadata")
+    files = docs.select(at["file_path"].alias("_file")).distinct()
+    files = stored(files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_n")), "numbered-files")
+    few = files.count() <= BROADCAST_ROWS
+    rows = docs.select(row, *more, at["file_path"].alias("_file"), at["row_index"].alias("_at"))
+    rows = rows.join(F.broadcast(files) if few else files.hint("merge"), "_file")
+    return rows.withColumn(name, F.shiftleft("_n", FILE_ROWS) + F.col("_at")).drop("_file", "_n", "_at")

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orchard.llm.common import U, blocks, mix, release, semi_join, spread, stored, text_buffers, word_hashes
+from orchard.llm.common import U, blocks, discard, mix, release, semi_join, spread, stored, text_buffers, word_hashes
 from orchard.llm.components import components
 
 ELEMENTS = 1 << 22  # set elements of a block, at most; keys and sketches are a fraction of them
@@ -171,9 +171,31 @@ def _set_id(s: np.ndarray) -> tuple[int, int]:
         return (int(np.sum(mix(s)).view(np.int64)), int(np.sum(mix(s ^ U(0xABCDEF0123456789))).view(np.int64))) if len(s) else (0, 0)
 
 
-def _describe(rule: Rule):
-    """Per document: set size, digest, index keys, and the points a partner must share:
-    ``t_any`` with any partner, ``t_own`` and ``t_low`` with one no larger, when cut the
+def _all_keys(s: np.ndarray, rule: Rule) -> np.ndarray:
+    """Index keys of the set ``s``: its own band's, and the lower band's where a partner may lie there."""
+    band = band_of(len(s))
+    own = keys_of(s, band, rule)
+    low = rule.largest(band_range(band - 1)[1] if band else 0) >= len(s)
+    return np.concatenate([own, keys_of(s, band - 1, rule)]) if low else own
+
+
+def _row_keys(rule: Rule):
+    """(row, key) of every index key of ``doc_id``'s set."""
+    def run(batches):
+        for batch in batches:
+            data, off = text_buffers(batch.column("text"))
+            ids = batch.column("doc_id").to_numpy()
+            for i, j in blocks(off):
+                sh, at = shingles(data[off[i]:off[j]], off[i:j + 1] - off[i], rule.k)
+                keys = [_all_keys(s, rule) if len(s := np.unique(sh[at[x]:at[x + 1]])) else np.zeros(0, U) for x in range(j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], [len(k) for k in keys])),
+                                                  pa.array(np.concatenate(keys).view(np.int64))], ["row", "key"])
+    return run
+
+
+def _describe(rule: Rule, with_keys: bool = True):
+    """Per document: set size, digest, index keys (if asked for), and the points a partner must
+    share: ``t_any`` with any partner, ``t_own`` and ``t_low`` with one no larger, when cut the
     own band's and the lower band's way."""
     def run(batches):
         for batch in batches:
@@ -188,11 +210,11 @@ def _describe(rule: Rule):
                         band = band_of(n)
                         points = allocation(rule, band)[1]
                         t_any, t_own = points - rule.distance(n, rule.largest(n)), points - rule.distance(n, n)
-                        ks.append(keys_of(s, band, rule))
+                        if with_keys:
+                            ks.append(_all_keys(s, rule))
                         sk[0] = sketch(s, band)
                         top = band_range(band - 1)[1] if band else 0
                         if rule.largest(top) >= n:
-                            ks.append(keys_of(s, band - 1, rule))
                             sk[1] = sketch(s, band - 1)
                             t_low = allocation(rule, band - 1)[1] - rule.distance(n, top)
                     rows.append((n, *_set_id(s), band, t_any, t_own, t_low))
@@ -256,7 +278,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets_of: DataFrame, rule: Rule) -
     sets = _set_table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, sets_of, rule)
     both = (pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
             .join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b"))
-    return stored(both.mapInArrow(_verify(rule), "a long, b long"), "jaccard-links")
+    links = stored(both.mapInArrow(_verify(rule), "a long, b long"), "jaccard-links")
+    discard(pairs, sets)
+    return links
 
 
 def _pairs(df: DataFrame, x: str, nx: str, y: str, ny: str, rule: Rule) -> DataFrame:
@@ -322,12 +346,12 @@ def _block_pairs(members: DataFrame, sketches: DataFrame, sizes: DataFrame, rule
     return rows.groupBy("key", "pb", "mb").applyInArrow(run, "a long, b long")
 
 
-def _members(single: DataFrame) -> DataFrame:
+def _members(single: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, id, n, own, sel, pts, ts, score): each different set in the buckets it shares;
-    ``sel`` where it probes, ``own`` where it is cut its own band's way."""
+    ``sel`` where it probes, ``own`` where it is cut its own band's way; ``keys(row, key)``."""
     # keys move once: the counting and the join read the same exchange.  A set holds a key once, so
     # two rows make it shared; asking for the rows also keeps both readers' columns equal
-    flat = single.select("row", F.explode("keys").alias("key")).repartition("key")
+    flat = keys.repartition("key")
     shared = (flat.groupBy("key").agg(F.count("*").alias("df"), F.min("row").alias("x"), F.max("row").alias("y"))
               .where("x < y").select("key", "df"))
     own = F.col("key").bitwiseAND(F.lit(1)) == F.col("band") % 2
@@ -344,17 +368,24 @@ def _members(single: DataFrame) -> DataFrame:
     return stored(hit.select("key", "id", "n", "own", "sel", "pts", "ts", "score"), "jaccard-members")
 
 
-def near_copies(docs: DataFrame, rule: Rule = Rule(), small: int = 8, block: int = 1024) -> DataFrame:
+def near_copies(docs: DataFrame, rule: Rule = Rule(), small: int = 8, block: int = 1024, unique: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs(doc_id, text)``; component_id is
-    the smallest doc_id reachable by links."""
+    the smallest doc_id reachable by links.
+
+    ``unique`` states that every row has an id of its own, none null: index keys are then made
+    from the texts in the job that shuffles them, and not written before."""
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     # the row number only has to be the same on every later read, and the rows are stored
-    desc = stored(docs.mapInArrow(_describe(rule), DESCRIBED).withColumn("row", F.monotonically_increasing_id()), "jaccard-docs")
+    desc = docs.mapInArrow(_describe(rule, not unique), DESCRIBED)
+    desc = stored(desc.drop("keys").withColumn("row", F.col("doc_id")) if unique else
+                  desc.withColumn("row", F.monotonically_increasing_id()), "jaccard-docs")
     full = desc.where("n > 0 and doc_id is not null")
     reps = stored(full.groupBy("n", "id", "d2").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "jaccard-reps")
     names = reps.select("id", "doc_id")
     single = semi_join(full, reps.select("row"), ["row"])
-    members = _members(single)
+    keys = (semi_join(docs, reps.select("doc_id"), ["doc_id"]).mapInArrow(_row_keys(rule), "row long, key long") if unique else
+            single.select("row", F.explode("keys").alias("key")))
+    members = _members(single, keys)
     links = _linked(_stars(members, rule), docs, names, rule)
     comp = stored(components(links), "jaccard-components")
     # buckets that still hold a prober and two components
@@ -365,12 +396,14 @@ def near_copies(docs: DataFrame, rule: Rule = Rule(), small: int = 8, block: int
                                      F.min("c").alias("x"), F.max("c").alias("y")).where("pblocks > 0 and x <> y")
     sizes = stored(sizes.select("key", "members", "pblocks", "mblocks"), "jaccard-open")
     still = stored(named.join(sizes.select("key", "members"), "key").select("key", "id", "n", "own", "sel", "c", "members"), "jaccard-still")
+    discard(members)
     large = still.where(F.col("members") > small).drop("members")
     sketches = single.select("id", F.inline(F.array(F.struct(F.lit(True).alias("own"), F.col("sk_own").alias("sk")),
                                                     F.struct(F.lit(False).alias("own"), F.col("sk_low").alias("sk"))))).where("sk is not null")
     pairs = _small_pairs(still.where(F.col("members") <= small), rule).unionByName(
         _block_pairs(large, sketches, sizes.select("key", "pblocks", "mblocks"), rule))
     more = _linked(pairs, docs, names, rule)
+    discard(still, sizes)
     if more.limit(1).count():
         comp = stored(components(links.unionByName(more)), "jaccard-components")
     named = reps.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
