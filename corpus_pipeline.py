@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orchard.llm import decontam, jaccard, langid, packing, quality
-from orchard.llm.common import semi_join, stored
+from orchard.llm.common import discard, numbered, semi_join, stored
 from orchard.session import ensure_checkpoint_dir
 from orchard.sources.tables import table
 
@@ -45,10 +45,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group the row of the smallest id (null ids last), then hash of the text;
     rows are linked by their own texts, so rows that share an id can lie in different groups.
     Rows without words are copies of rows with the same id and text."""
-    # the row's number only has to be the same on every later read, and the rows are stored
-    rows = stored(docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"),
-                              F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("doc_id")), "pipeline-rows")
-    found = stored(jaccard.near_copies(rows.select("doc_id", "text"), NEAR), "pipeline-groups")
+    rows = numbered(docs, "doc_id", F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_hash"))
+    found = stored(jaccard.near_copies(rows.select("doc_id", "text"), NEAR, unique=True), "pipeline-groups")
     member = found.where("n_shingles > 0 and component_id <> doc_id").select("doc_id", "component_id")
     member = member.unionByName(member.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "doc_id"))["doc_id"].alias("kept")
@@ -95,7 +93,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
