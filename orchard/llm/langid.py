@@ -104,18 +104,18 @@ class LinearMachine:
     """sign(x w + b); probability of the positive class 1 / (1 + exp(-a (x w + b)))."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 120):
-        x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
         pos = max(1, int((y > 0).sum()))
         weight = np.where(y > 0, len(y) / (2 * pos), len(y) / (2 * max(1, len(y) - pos))).astype(np.float32)
-        w = np.zeros(x1.shape[1], np.float32)
+        w = np.zeros(x.shape[1] + 1, np.float32)  # the last entry belongs to a constant column, which is not built
         v, step = w.copy(), 1.0 / (1.0 + 4 * c)  # rows have norm sqrt(2) at most: the curvature is bounded
         for t in range(rounds):
-            slack = np.maximum(0, 1 - y * (x1 @ v))
-            grad = v - 2 * c / len(x) * (x1.T @ (weight * y * slack)) / max(1.0, weight.max() / 1.0)
+            slack = np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+            push = weight * y * slack
+            grad = v - 2 * c / len(x) * np.append(x.T @ push, push.sum()) / max(1.0, weight.max() / 1.0)
             new = v - step * grad
             v, w = new + t / (t + 3) * (new - w), new
         self.w, self.b = w[:-1], float(w[-1])
-        m = y * (x1 @ w)
+        m = y * (x @ self.w + w[-1])
         grid = np.geomspace(0.5, 200, 60)
         self.a = float(grid[np.argmin([np.mean(np.logaddexp(0, -a * m)) for a in grid])])
 
@@ -152,7 +152,7 @@ class LanguageModel:
         near, length = [], []
         for own in (half, ~half):  # against the means of the other half
             means = self._means(x[~own], lang[~own])
-            near += [(v[own] @ means.T).max(1) for v in (x, short)]
+            near += [(v[own].astype(np.float32) @ means.T).max(1) for v in (x, short)]
             length += [np.log2(np.maximum(sizes[own, k], 1)) for k in (0, 1)]
         near, length = np.concatenate(near), np.concatenate(length)
         at, least = [LEAST_SIZE], [0.0]
@@ -248,10 +248,19 @@ def train(docs: DataFrame, learnable: Column, per_language: int = 800) -> Langua
             yield pa.RecordBatch.from_arrays([ids, b.column("lang"), x, y, pa.array(sizes, pa.list_(pa.int64()))],
                                              ["doc_id", "lang", "x", "short", "sizes"])
 
-    got = sample.mapInArrow(run, "doc_id string, lang string, x binary, short binary, sizes array<long>").toArrow().sort_by("doc_id")
-    lang = got["lang"].to_pylist()
-    x, short = (np.frombuffer(b"".join(got[c].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32) for c in ("x", "short"))
-    return LanguageModel(x, lang, short, np.array(got["sizes"].to_pylist()).reshape(-1, 2))
+    got = sample.mapInArrow(run, "doc_id string, lang string, x binary, short binary, sizes array<long>").toArrow()
+    order = np.argsort(np.array(got["doc_id"].to_pylist(), object), kind="stable")
+    lang, sizes = np.array(got["lang"].to_pylist(), object)[order].tolist(), np.array(got["sizes"].to_pylist()).reshape(-1, 2)[order]
+    x, short = _rows(got["x"], order).astype(np.float32), _rows(got["short"], order)
+    del got
+    pa.default_memory_pool().release_unused()
+    return LanguageModel(x, lang, short, sizes)
+
+
+def _rows(col: pa.ChunkedArray, order: np.ndarray) -> np.ndarray:
+    """Feature rows, read from the column's own buffers, in the given order."""
+    parts = [np.frombuffer(c.buffers()[2], np.float16).reshape(-1, BUCKETS)[c.offset:c.offset + len(c)] for c in col.chunks if len(c)]
+    return np.concatenate([np.zeros((0, BUCKETS), np.float16), *parts])[order]
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
