@@ -351,12 +351,13 @@ def _members(single: DataFrame, keys: DataFrame) -> DataFrame:
     ``sel`` where it probes, ``own`` where it is cut its own band's way; ``keys(row, key)``."""
     # keys move once: the counting and the join read the same exchange.  A set holds a key once, so
     # two rows make it shared; asking for the rows also keeps both readers' columns equal
-    flat = keys.repartition("key")
-    shared = (flat.groupBy("key").agg(F.count("*").alias("df"), F.min("row").alias("x"), F.max("row").alias("y"))
-              .where("x < y").select("key", "df"))
+    flat = keys.where("row is not null and key is not null").repartition("key")
+    # (a name of its own for the key leaves the exchange's columns as they are, so that it is read twice)
+    shared = (flat.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("df"), F.min("row").alias("x"), F.max("row").alias("y"))
+              .where("x < y").select("k", "df"))
     own = F.col("key").bitwiseAND(F.lit(1)) == F.col("band") % 2
     info = single.select("row", "id", "n", "band", "t_any", "t_own", "t_low")
-    hit = flat.join(shared.hint("merge"), "key").join(info, "row").select(
+    hit = flat.join(shared.hint("merge"), F.col("key") == F.col("k")).join(info, "row").select(
         "id", "n", "key", "df", own.alias("own"), (F.shiftright(F.col("key").bitwiseAND(F.lit(2)), 1) + 1).alias("pts"),
         F.when(own, F.col("t_any")).otherwise(F.col("t_low")).alias("t"),
         F.when(own, F.col("t_own")).otherwise(F.col("t_low")).alias("ts"))
