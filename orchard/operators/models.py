@@ -75,24 +75,46 @@ def train_or_load(spark, path: str, fit):
     return PipelineModel.load(path)
 
 
-def growth_forest_mse(m: DataFrame, seed: int = 42, num_trees: int = 100) -> DataFrame:
-    """Random-forest regression of growth on (2016, 2021, sentiment), 80/20
-    hash split; one row with the test mean squared error."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import RandomForestRegressor
+GROWTH_FEATURES = ["vote_share_2016", "vote_share_2021", "avg_sentiment_score"]
+GROWTH = "growth_2016_2021"
 
+
+def _growth_rows(m: DataFrame, seed: int) -> DataFrame:
     from orchard.operators.sampling import hash_split
+    key = F.concat_ws("|", F.col("constituency_no").cast("string"), F.col("party_raw"))
+    return hash_split(m.withColumn("row_key", key), "row_key", seed)
+
+
+def growth_forest(m: DataFrame, seed: int = 42, num_trees: int = 100, max_depth: int = 30):
+    """Random-forest regression of growth on (2016, 2021, sentiment), fitted on the 'train' rows of
+    the 80/20 hash split.  ``max_depth`` is MLlib's own limit.  Rows lie in partitions by hash and
+    in order, so that the same rows on as many cores give the same trees."""
+    from pyspark.ml.regression import RandomForestRegressor
+    train = _growth_rows(m, seed).where(F.col("split") == "train").select("row_key", *GROWTH_FEATURES, GROWTH)
+    train = train.repartition(m.sparkSession.sparkContext.defaultParallelism, "row_key").sortWithinPartitions("row_key")
+    # a regression forest tries every feature at every split; three are too few to draw from
+    rf = RandomForestRegressor(featuresCol="features", labelCol=GROWTH, numTrees=num_trees, seed=seed,
+                               maxDepth=max_depth, featureSubsetStrategy="all")
+    return Pipeline(stages=[assembler(GROWTH_FEATURES), rf]).fit(train)
+
+
+def with_forest_growth(m: DataFrame, seed: int = 42, num_trees: int = 100, max_depth: int = 30) -> DataFrame:
+    """``m`` with ``predicted_growth_2026``, the forest's prediction for every row (no row is left out:
+    a row without a feature gets NULL)."""
+    whole = F.lit(True)
+    for c in GROWTH_FEATURES:
+        whole = whole & F.col(c).isNotNull()
+    model = growth_forest(m, seed, num_trees, max_depth)
+    scored = model.transform(m.where(whole)).drop("features").withColumnRenamed("prediction", "predicted_growth_2026")
+    return scored.unionByName(m.where(~whole).withColumn("predicted_growth_2026", F.lit(None).cast("double")))
 
-    feats = ["vote_share_2016", "vote_share_2021", "avg_sentiment_score"]
-    data = hash_split(m.withColumn("row_key", F.concat_ws("|", F.col("constituency_no").cast("string"),
-                                                          F.col("party_raw"))), "row_key", seed)
-    rf = RandomForestRegressor(featuresCol="features", labelCol="growth_2016_2021", numTrees=num_trees,
-                               seed=seed, maxDepth=12)
-    model = Pipeline(stages=[assembler(feats), rf]).fit(data.where(F.col("split") == "train"))
-    test = model.transform(data.where(F.col("split") == "test"))
-    mse = RegressionEvaluator(labelCol="growth_2016_2021", metricName="mse").evaluate(test)
-    n = test.count()
-    return m.sparkSession.createDataFrame([(float(mse), int(n))], "mse double, n_test bigint")
+
+def growth_forest_mse(m: DataFrame, seed: int = 42, num_trees: int = 100) -> DataFrame:
+    """One row with the mean squared error of ``growth_forest`` on the 'test' rows."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    test = growth_forest(m, seed, num_trees).transform(_growth_rows(m, seed).where(F.col("split") == "test"))
+    mse = RegressionEvaluator(labelCol=GROWTH, metricName="mse").evaluate(test)
+    return m.sparkSession.createDataFrame([(float(mse), int(test.count()))], "mse double, n_test bigint")
 
 
 def _classifiers(label: str, seed: int, n_train: int):

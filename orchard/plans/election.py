@@ -75,6 +75,19 @@ def base(spark, d, growth_model=None) -> DataFrame:
     return projected(merged(V.vote_history(spark, d), V.sentiment_rows(spark, d)), growth_model)
 
 
+def forest_base(spark, d) -> DataFrame:
+    """As ``base``, with the growth that the forest predicts instead of the last growth repeated."""
+    from orchard.operators.models import with_forest_growth
+    return base(spark, d, lambda m: with_forest_growth(m, SPLIT_SEED))
+
+
+def win_counts(p: DataFrame) -> DataFrame:
+    """Seats by party and their share in percent."""
+    counts = winners(p).groupBy(F.col("predicted_winner").alias("party")).agg(F.count(F.lit(1)).alias("constituencies_won"))
+    return share_pct(counts, "constituencies_won").withColumn("share_pct", F.round("share_pct", 6)) \
+        .orderBy(F.desc("constituencies_won"), "party")
+
+
 def winners(p: DataFrame) -> DataFrame:
     """Party with the highest projected share per constituency (first in
     merge order on ties)."""
@@ -137,10 +150,7 @@ def q_election_winners(spark, d):
 
 
 def q_election_win_counts(spark, d):
-    w = winners(base(spark, d))
-    counts = w.groupBy(F.col("predicted_winner").alias("party")).agg(F.count(F.lit(1)).alias("constituencies_won"))
-    return share_pct(counts, "constituencies_won").withColumn("share_pct", F.round("share_pct", 6)) \
-        .orderBy(F.desc("constituencies_won"), "party")
+    return win_counts(base(spark, d))
 
 
 def q_election_top10_share(spark, d):
@@ -228,6 +238,21 @@ def q_election_growth_mse(spark, d):
     return growth_forest_mse(merged(V.vote_history(spark, d), V.sentiment_rows(spark, d)), SPLIT_SEED)
 
 
+def q_election_forest_winners(spark, d):
+    """Winners by the forest's projection (``election_winners`` repeats the last growth)."""
+    return winners(forest_base(spark, d)).withColumn("predicted_vote_share_2026", F.round("predicted_vote_share_2026", 6))
+
+
+def q_election_forest_win_counts(spark, d):
+    """Seats by party by the forest's projection."""
+    return win_counts(forest_base(spark, d))
+
+
+def q_election_forest_party_share(spark, d):
+    """Top party shares of every constituency by the forest's projection."""
+    return party_shares(forest_base(spark, d), "predicted_vote_share_2026")
+
+
 def _clf_input(spark, d):
     from orchard.operators.sampling import hash_split
     p = with_winner_label(base(spark, d))
@@ -263,6 +288,9 @@ QUERIES = {
     "election_year_top10": q_election_year_top10,
     "election_options": q_election_options,
     "election_compare": q_election_compare,
+    "election_forest_winners": q_election_forest_winners,
+    "election_forest_win_counts": q_election_forest_win_counts,
+    "election_forest_party_share": q_election_forest_party_share,
     "election_growth_mse": q_election_growth_mse,
     "election_model_accuracy": q_election_model_accuracy,
     "soft_vote": q_soft_vote,
