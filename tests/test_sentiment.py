@@ -60,3 +60,23 @@ def test_odd_texts(spark):
     assert got[3] == (0.0, 1.0, 0.0, 0.0) and got[4] == (0.0, 1.0, 0.0, 0.0)
     assert got[5][3] == compound(1.9) and got[6][3] == compound(1.9)
     assert got[7] == (0.0, 0.0, 1.0, compound(9_500.0))
+
+
+def test_words_are_asked_by_block_not_by_occurrence(spark):
+    """Beyond the broadcast a block asks once for each of its words; no join moves occurrences with their neighbours."""
+    lex = spark.createDataFrame(list(LEXICON.items()), "word string, valence double")
+    texts = [t for t, *_ in PUBLISHED] * 3 + [None, "", "no words of it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    asked = polarity_scores(df, "id", "text", lex, lexicon_rows=3, block_chars=100)
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "(low" not in plan.split("Join Inner")[1].split("\n")[0]
+    want = {r.id: r for r in polarity_scores(df, "id", "text", lex).collect()}
+    assert {r.id: r for r in asked.collect()} == want
+
+
+def test_repeated_and_null_ids_score_alike_by_both_joins(spark):
+    lex = spark.createDataFrame(list(LEXICON.items()), "word string, valence double")
+    rows = [(1, "good"), (1, "good"), (2, "good"), (2, "not bad"), (None, "good"), (None, "good")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    runs = [sorted(map(str, polarity_scores(df, "id", "text", lex, **kw).collect())) for kw in ({}, {"lexicon_rows": 3})]
+    assert runs[0] == runs[1]
