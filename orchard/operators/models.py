@@ -275,6 +275,7 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, features: Seque
     import math
 
     from orchard.session import ensure_checkpoint_dir
+    from orchard.sources.files import written
 
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
@@ -304,7 +305,8 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, features: Seque
     # chosen; keeping just those (partial window limit per point) bounds any
     # grid cell made hot by duplicates
     dup = Window.partitionBy(*[f"_t{i}" for i in range(d)]).orderBy("_tid")
-    t = t.withColumn("_dup", F.row_number().over(dup)).where(F.col("_dup") <= k).drop("_dup")
+    # written once: the rounds below read it again and again
+    t = written(t.withColumn("_dup", F.row_number().over(dup)).where(F.col("_dup") <= k).drop("_dup"), "knn-train")
     beyond = [F.greatest(F.lit(lo[i]) - F.col(f"_q{i}"), F.col(f"_q{i}") - F.lit(hi[i]), F.lit(0.0)) for i in axes]
     q = complete(test).select(F.col(id_col), *[F.col(f).alias(f"_q{i}") for i, f in enumerate(features)])
     q = q.withColumn("_gap2", sum((g * g for g in beyond), F.lit(0.0)))

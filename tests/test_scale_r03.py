@@ -2,6 +2,9 @@
 
 import os
 
+from pyspark.sql import functions as F
+
+import orchard.operators.models as M
 import orchard.sources.files as files
 
 
@@ -14,3 +17,11 @@ def test_documents_are_placed_by_the_tasks(spark, tmp_path):
     assert got == sorted([(1, "one"), (2, "two\nlines\n"), (3, ""), (4, ""), (None, "no id")], key=str)
     files.write_documents(spark.createDataFrame([("a/b=c %", "x")], "k string, text string"), path, "k", "text")
     assert [(r.k, r.text) for r in files.read_documents(spark, path, "k").collect()] == [("a/b=c %", "x")]
+
+
+def test_knn_writes_its_train_points_once(spark, monkeypatch):
+    names, write = [], files.written
+    monkeypatch.setattr(files, "written", lambda df, name: names.append(name) or write(df, name))
+    df = spark.range(60).select("id", (F.col("id") % 9).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    assert M.knn_classify(df.where("id % 5 > 0"), df.where("id % 5 = 0"), "id", ["a"], "y").count() == 12
+    assert names == ["knn-train"]
