@@ -42,6 +42,7 @@ def exact_sample(df: DataFrame, key: str, need: DataFrame | int, seed: int | str
     """Exactly ``need`` rows per group (all rows if the group is smaller),
     those with the smallest ``(md5(seed:key), key)``.  ``need`` is an int or a
     DataFrame ``(groups..., _need)``."""
+    from orchard.operators.joins import checked_broadcast
     g = list(groups)
     h = row_hash(key, seed)
     keyed = df.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, PREFIX_HEX))
@@ -60,7 +61,8 @@ def exact_sample(df: DataFrame, key: str, need: DataFrame | int, seed: int | str
     # one selection pass: the input is read once more (after the counts),
     # only rows of chosen buckets are shuffled, and each window partition is
     # one hash bucket of one group (about 1/65,536 of the group)
-    picked = keyed.join(plan, g + ["_p"])
+    # the plan holds at most 65,536 rows a group, so that the input stays where it is
+    picked = keyed.join(checked_broadcast(plan) if g else F.broadcast(plan), g + ["_p"])
     w = Window.partitionBy(*g, "_p").orderBy("_h", key)
     return (picked.withColumn("_rn", F.row_number().over(w))
             .where(F.col("_whole") | (F.col("_rn") <= F.col("_take")))

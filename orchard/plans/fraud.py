@@ -93,8 +93,10 @@ def q_softmax_scores(spark, d):
 
 def q_fraud_model_accuracy(spark, d):
     from orchard.operators.models import fit_logistic_accuracy
-    t = undersample(V.transactions(spark, d))
-    split = stratified_split(t, "txn_id", "class", 0.2, STRATIFY_SEED)
+    from orchard.sources.files import written
+    # a few percent of the transactions: written once, not drawn again for every pass over them
+    t = written(undersample(V.transactions(spark, d)), "undersample")
+    split = written(stratified_split(t, "txn_id", "class", 0.2, STRATIFY_SEED), "undersample-split")
     return fit_logistic_accuracy(split, FEATURES, "class")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import orchard.operators.models as M
 import orchard.sources.files as files
+from orchard.plans import fraud
 
 
 def test_documents_are_placed_by_the_tasks(spark, tmp_path):
@@ -25,3 +26,15 @@ def test_knn_writes_its_train_points_once(spark, monkeypatch):
     df = spark.range(60).select("id", (F.col("id") % 9).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
     assert M.knn_classify(df.where("id % 5 > 0"), df.where("id % 5 = 0"), "id", ["a"], "y").count() == 12
     assert names == ["knn-train"]
+
+
+def test_fraud_model_reads_a_written_sample(spark, monkeypatch):
+    t = spark.range(400).select(F.col("id").alias("txn_id"), (F.col("id") % 7).cast("double").alias("v1"), F.lit(1.0).alias("v2"),
+                                F.col("id").cast("double").alias("amount"), (F.col("id") % 10 == 0).cast("int").alias("class"))
+    monkeypatch.setattr(fraud.V, "transactions", lambda *_: t)
+    seen = []
+    monkeypatch.setattr(M, "fit_logistic_accuracy", lambda split, *_: seen.append(split) or split)
+    fraud.q_fraud_model_accuracy(spark, "")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    assert seen[0].groupBy("class", "split").count().count() == 4 and seen[0].count() == 80
