@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import orchard.operators.models as M
 import orchard.sources.files as files
 from orchard.plans import fraud
+from orchard.streaming.prices import land_by_day
 
 
 def test_documents_are_placed_by_the_tasks(spark, tmp_path):
@@ -38,3 +39,10 @@ def test_fraud_model_reads_a_written_sample(spark, monkeypatch):
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
     assert seen[0].groupBy("class", "split").count().count() == 4 and seen[0].count() == 80
+
+
+def test_a_day_lands_in_as_many_files_as_tasks(spark, tmp_path):
+    days = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 2).cast("int")).alias("seen_on")
+    snaps = spark.range(0, 40, 1, 4).select(F.col("id").alias("page_id"), days)
+    assert land_by_day(snaps, str(tmp_path / "landing")) == 4
+    assert spark.read.parquet(str(tmp_path / "landing")).count() == 40
