@@ -144,6 +144,14 @@ def _fit_members(train: DataFrame, features: Sequence[str], label: str, seed: in
     return members
 
 
+def _model_rows(data: DataFrame, label: str, key_col: str | None) -> DataFrame:
+    """``data`` with a double label, written once in order of the key: the fits pass over it hundreds of
+    times, and its partitions follow its size, not the number of shuffle partitions of the plan before."""
+    from orchard.sources.files import written
+    rows = data.withColumn(label, F.col(label).cast("double"))
+    return written(rows.orderBy(key_col) if key_col else rows, "model-rows")
+
+
 def classifier_accuracies(data: DataFrame, features: Sequence[str], label: str, seed: int = 42,
                           key_col: str | None = None, threads: int = 6) -> DataFrame:
     """Train every member on the 'train' rows and tabulate test accuracy,
@@ -153,7 +161,7 @@ def classifier_accuracies(data: DataFrame, features: Sequence[str], label: str,
     concurrently."""
     from concurrent.futures import ThreadPoolExecutor
 
-    data = data.withColumn(label, F.col(label).cast("double")).cache()
+    data = _model_rows(data, label, key_col).cache()
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
     members = _fit_members(train, features, label, seed)
@@ -206,7 +214,7 @@ def soft_vote_scores(data: DataFrame, features: Sequence[str], label: str, key:
     """Average of the members' class-1 probabilities on the test rows,
     class 1 when the average is at least one half.  Members score the same
     rows one after another, so their columns line up without joins."""
-    data = data.withColumn(label, F.col(label).cast("double"))
+    data = _model_rows(data, label, key)
     members = _fit_members(data.where(F.col("split") == "train"), features, label, seed)
     out = _soft_vote(data.where(F.col("split") == "test"), members, label)
     keep = ([key] if key else []) + [label, "p_vote", "prediction"]
