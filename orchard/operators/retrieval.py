@@ -2,17 +2,20 @@
 multi-query union, context assembly.
 
 Exact top-k compares every vector with every query: the query set is small
-(questions, not a corpus), so after a size check it travels inside the plan
-as one array literal; each vector row computes its distances to all
-queries, and ``rank() <= k`` per query is cut by a partial window limit on
-every partition before the shuffle.  Beyond the literal size the queries are
+(questions, not a corpus), so after a size check it travels with the tasks as
+one matrix; a batch of vectors computes its distances to all queries and keeps
+per query those up to its k-th smallest, and ``rank() <= k`` per query is cut
+by a partial window limit on every partition before the shuffle.  Beyond the literal size the queries are
 split into blocks joined on a block id (each vector/query pair once).
 """
 
 from __future__ import annotations
 
 import math
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -117,6 +120,50 @@ def _as_double_array(c: Column) -> Column:
     return c.cast("array<double>")
 
 
+def _distance_rows(qs: list[list[float]], k: int, cells: int = 1 << 22):
+    """Batches (id, vector) -> (id, query number, distance), without the rows that k of their batch
+    precede.  Sums run over the dimensions in order, as ``l2`` does.  A null vector, a null in it or
+    another length than the query's gives a null distance; these rows are all kept."""
+    size = np.array([len(q) for q in qs])
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            n = np.diff(lists.offsets.to_numpy())
+            flat = lists.values
+            first = lists.offsets.to_numpy()[:-1]
+            whole = np.ones(b.num_rows, bool)
+            if lists.null_count:
+                whole &= lists.is_valid().to_numpy(zero_copy_only=False)
+            if flat.null_count:
+                bad = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+                whole &= bad[first + n] == bad[first]
+            x = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+            at, number, dist, valid = [], [], [], []
+            for dims in np.unique(n[whole]).tolist():
+                q = np.flatnonzero(size == dims)
+                m = np.array([qs[i] for i in q], float).reshape(len(q), dims).T
+                rows = np.flatnonzero(whole & (n == dims))
+                step = max(1, cells // max(1, len(q)))
+                for i in range(0, len(rows) if len(q) else 0, step):
+                    some = rows[i:i + step]
+                    total = np.zeros((len(some), len(q)))
+                    with np.errstate(all="ignore"):
+                        for j in range(dims):
+                            diff = x[first[some] + j][:, None] - m[j]
+                            total += diff * diff
+                        d = np.sqrt(total)
+                        keep = ~(d > np.partition(d, k - 1, axis=0)[k - 1]) if len(some) > k else np.ones(d.shape, bool)
+                    r, c = np.nonzero(keep)
+                    at.append(some[r]), number.append(q[c]), dist.append(d[r, c]), valid.append(np.ones(len(r), bool))
+            r, c = np.nonzero(~whole[:, None] | (n[:, None] != size))
+            at.append(r), number.append(c), dist.append(np.zeros(len(r))), valid.append(np.zeros(len(r), bool))
+            at, number, dist, valid = (np.concatenate(v) for v in (at, number, dist, valid))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(number.astype(np.int32)),
+                                              pa.array(dist, mask=~valid)], [b.schema.names[0], "_qi", "distance"])
+    return run
+
+
 def vector_topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame,
                 qkey: Sequence[str], qvec_col: str, k: int,
                 max_literal: int = MAX_LITERAL_QUERIES) -> DataFrame:
@@ -127,14 +174,12 @@ def vector_topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFram
     rows = queries.select(*qkey, _as_double_array(F.col(qvec_col)).alias("_q")).limit(max_literal + 1).collect()
     n = len(rows)
     if n <= max_literal:
-        from orchard.functions import json_literal
-        # all query vectors as one constant-folded literal matrix
-        qmat = json_literal([[float(x) for x in r["_q"]] for r in rows], "array<array<double>>")
+        qs = [[float(x) for x in r["_q"]] for r in rows]
         keys = vectors.sparkSession.createDataFrame(
             [tuple([i] + [r[c] for c in qkey]) for i, r in enumerate(rows)],
             queries.select(F.lit(0).alias("_qi"), *qkey).schema) if rows else None
-        dists = v.select(F.col(id_col), F.posexplode(
-            F.transform(qmat, lambda q: l2(F.col("_v"), q))).alias("_qi", "distance"))
+        dists = v.mapInArrow(_distance_rows(qs, k),
+                             f"`{id_col}` {v.schema[id_col].dataType.simpleString()}, _qi int, distance double")
     else:
         blocks = math.ceil(n / max_literal)
         q = queries.select(*qkey, _as_double_array(F.col(qvec_col)).alias("_q"),

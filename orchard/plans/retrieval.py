@@ -17,6 +17,7 @@ from orchard.operators.retrieval import (assemble_context, centroids, fixed_chun
                                          lsh_topk, multiquery_union, text_chunks, vector_topk)
 from orchard.operators.vector_index import build_index, search_index
 from orchard.session import scratch_path
+from orchard.sources.files import written
 from orchard.sources.tables import table
 
 CHUNK_SIZE, CHUNK_OVERLAP = 7500, 100
@@ -48,7 +49,8 @@ def q_chunk_documents(spark, d):
 
 
 def _chunk_vectors(spark, d):
-    chunks = text_chunks(table(spark, d, "documents"), "doc_id", "text", CHUNK_SIZE, CHUNK_OVERLAP)
+    # written once: the embedder's fit, the vectors and the contexts each pass over the chunks
+    chunks = written(text_chunks(table(spark, d, "documents"), "doc_id", "text", CHUNK_SIZE, CHUNK_OVERLAP), "chunks")
     embed = hashed_tfidf_embedder(chunks, "chunk")
     return embed, embed(chunks).withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"),
                                                                     F.col("chunk_no").cast("string")))
@@ -103,7 +105,8 @@ def q_rag_prompts(spark, d):
     embed, vecs = _chunk_vectors(spark, d)
     questions = embed(table(spark, d, "benchmark").select("item_id", F.col("text").alias("question")), "question") \
         .select("item_id", "question", "embedding")
-    hits = vector_topk(vecs, "chunk_id", "embedding", questions, ["item_id"], "embedding", TOP_K)
+    # written: few rows a question, whose size then lets the chunks be joined without moving them
+    hits = written(vector_topk(vecs, "chunk_id", "embedding", questions, ["item_id"], "embedding", TOP_K), "hits")
     ctx = assemble_context(hits.join(vecs.select("chunk_id", "chunk"), "chunk_id"), "item_id",
                            [F.col("rank"), F.col("chunk_id")], "chunk")
     prompt = F.replace(F.replace(F.lit(PROMPT_TEMPLATE), F.lit("{context}"), F.col("context")),

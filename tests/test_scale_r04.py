@@ -29,3 +29,29 @@ def test_models_are_fitted_on_written_rows(spark, monkeypatch):
         assert train.rdd.getNumPartitions() < 40 and train.count() == 160
         assert "RepartitionByExpression" not in train._jdf.queryExecution().optimizedPlan().toString()
     assert len(seen) == 2
+
+
+def test_vector_topk_drops_far_rows_in_their_batch(spark):
+    """The same ranks as by column expressions, nulls first, and no row per vector and query leaves a task."""
+    from pyspark.sql import Window
+
+    from orchard.operators.retrieval import _distance_rows, l2, vector_topk
+    rows = [(i, [float(i % 5), float(i % 3)]) for i in range(300)] + [(900, None), (901, [1.0]), (902, [None, 1.0]), (903, [float("nan"), 0.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    for extra in (v.where("id < 300"), v.where("id < 4 or id > 902"), v):
+        q = spark.createDataFrame([(1, [0.2, 0.7]), (2, [4.0, 2.0])], "qk int, q array<double>")
+        got = sorted(map(tuple, vector_topk(extra, "id", "v", q, ["qk"], "q", 3).collect()), key=str)
+        w = Window.partitionBy("qk").orderBy("distance", "id")
+        want = extra.crossJoin(q).select("qk", "id", l2(F.col("v"), F.col("q")).alias("distance"))
+        want = want.withColumn("rank", F.rank().over(w)).where("rank <= 3").select("qk", "rank", "id", F.round("distance", 6))
+        assert got == sorted(map(tuple, want.collect()), key=str) and len(got) == 6
+    near = v.where("id < 300").coalesce(1).mapInArrow(_distance_rows([[0.2, 0.7]], 3), "id long, _qi int, distance double")
+    assert near.count() < 100
+
+
+def test_prompts_read_written_chunks(spark, monkeypatch):
+    from orchard.plans import retrieval as R
+    names, write = [], R.written
+    monkeypatch.setattr(R, "written", lambda df, name: names.append(name) or write(df, name))
+    assert R.q_rag_prompts(spark, "/root/testdata/sf0.001").count() > 0
+    assert names == ["chunks", "hits"]
