@@ -24,6 +24,7 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import codecs
 import json
 import struct
 import uuid
@@ -43,6 +44,10 @@ from orchard.session import scratch_path
 
 SEEK_MAGIC, SEEK_FOOT, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 CACHE_PIECES = 1_200_000  # about 200 bytes each
+# the byte-level sign of each byte: itself where printable in Latin-1, else the next free code point from 256
+_OTHER = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+SIGNS = "".join(chr(256 + _OTHER.index(b)) if b in _OTHER else chr(b) for b in range(256))
+OLD_LETTERS = "\u0600"  # letters below are letters in every Unicode version in use
 TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -52,8 +57,9 @@ class PieceEncoder:
     The library cuts a text at word borders before merging, so the ids of a
     text whose white space is only single spaces and single line ends are the
     ids of its pieces (" word", "\\nword") one after another, and a trailing
-    run of ASCII punctuation is a unit of its own.  New pieces go through the
-    library together, as one text each for those that begin with a space and with
+    run of ASCII punctuation is a unit of its own.  New pieces of a space and
+    letters alone are one unit each and go through the library's merges together, as
+    byte signs and not cut again.  Other new pieces go through the library together, as one text each for those that begin with a space and with
     a line end; the only ids that begin with a space (or are a line end) are the
     first of their pieces, which gives the borders back.  Any other text goes
     through the library whole.
@@ -67,9 +73,23 @@ class PieceEncoder:
         self.line_id = self._ids("\n")[0]
         self.line = np.array([self.line_id], self.dtype).tobytes()
         vocab = self.tok.get_vocab()
+        self.letters = self._letters(vocab)
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the byte-level sign for a space
 
+    def _letters(self, vocab: dict):
+        """The library's merges without its cutting step, if that step is byte-level and cuts at word
+        borders, nothing changes the text and no merge of letters spans a space; else None."""
+        conf = json.loads(self.tok.to_str())
+        pre = conf["pre_tokenizer"] or {}
+        back = {ord(c): b for b, c in enumerate(SIGNS)}
+        over = "".join(t.translate(back).encode("latin-1").decode("utf-8", "replace")
+                       for t in vocab if t not in self.added and "\u0120" in t.lstrip("\u0120"))
+        if pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or conf["normalizer"] \
+                or any(c.isalpha() or c == "\ufffd" for c in over):
+            return None
+        return self.tok.model.tokenize
+
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
@@ -78,16 +98,27 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str], lines: bool) -> None:
         """Cache pieces that all begin with a line end, or all with a space (left out here)."""
+        if not lines and self.letters:
+            plain = [p for p in pieces if p.isalpha() and (p.isascii() or max(p) < OLD_LETTERS)]
+            for i in range(0, len(plain), 1000):
+                some = plain[i:i + 1000]
+                signs = codecs.charmap_decode((" " + " ".join(some)).encode(), "strict", SIGNS)[0]
+                self._cut(some, [t.id for t in self.letters(signs)], lines)
+            pieces = list(set(pieces).difference(plain))
         for i in range(0, len(pieces), 50_000):
             some = pieces[i:i + 50_000]
-            ids = np.array(self._ids("".join(some) if lines else " " + " ".join(some)), np.uint32)
-            at = np.flatnonzero(ids == self.line_id if lines else self.spaced[ids])
-            if len(at) != len(some):  # a piece with a border inside: one by one
-                self.cache.update((p, self._whole(p if lines else " " + p)) for p in some)
-                continue
-            w, raw = self.dtype.itemsize, ids.astype(self.dtype).tobytes()
-            cut = (np.append(at, len(ids)) * w).tolist()
-            self.cache.update((p, raw[x:y]) for p, x, y in zip(some, cut, cut[1:], strict=False))
+            self._cut(some, self._ids("".join(some) if lines else " " + " ".join(some)), lines)
+
+    def _cut(self, some: list[str], ids: list[int], lines: bool) -> None:
+        """Cache each piece with its part of the ids of all."""
+        ids = np.array(ids, np.uint32)
+        at = np.flatnonzero(ids == self.line_id if lines else self.spaced[ids])
+        if len(at) != len(some):  # a piece with a border inside: one by one
+            self.cache.update((p, self._whole(p if lines else " " + p)) for p in some)
+            return
+        w, raw = self.dtype.itemsize, ids.astype(self.dtype).tobytes()
+        cut = (np.append(at, len(ids)) * w).tolist()
+        self.cache.update((p, raw[x:y]) for p, x, y in zip(some, cut, cut[1:], strict=False))
 
     def encode(self, text: str) -> bytes:
         if not text:

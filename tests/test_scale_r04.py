@@ -55,3 +55,18 @@ def test_prompts_read_written_chunks(spark, monkeypatch):
     monkeypatch.setattr(R, "written", lambda df, name: names.append(name) or write(df, name))
     assert R.q_rag_prompts(spark, "/root/testdata/sf0.001").count() > 0
     assert names == ["chunks", "hits"]
+
+
+def test_new_words_of_letters_are_not_cut_again():
+    import numpy as np
+    import public_tokenizers
+
+    from orchard.llm.token_store import PieceEncoder
+    enc = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), "<u2")
+    texts = ["plain words été über жук\nnext Line, end.", "don't 12 a1 ﬀ 中文 x y z", "ĠÂł Ġ ǅ ͺ áb", "naïve­ co-op İ ß", " two  spaces"]
+    for text in texts:
+        assert enc.encode(text) == enc._whole(text)
+    whole, ids = [], enc._ids
+    enc._ids = lambda text: whole.append(text) or ids(text)
+    assert enc.encode("first quixotry żółw новое") == np.array(ids("first quixotry żółw новое"), "<u2").tobytes()
+    assert whole == ["\nfirst"]  # the others went through the merges alone
