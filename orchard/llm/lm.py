@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orchard.llm.common import BASE, HashTable, U, blocks, crc_mod, mix, spread, stored, text_buffers, word_hashes
+from orchard.llm.common import BASE, HashTable, U, blocks, crc_mod, discard, mix, spread, stored, text_buffers, word_hashes
 
 END = U(0xE5D0E5D0E5D0E5D1)    # the end token's key
 START = U(0x57A2757A2757A275)  # history before the first token
@@ -288,15 +288,17 @@ class Automaton:
 
 
 class Model:
-    """The tables of a trained model: ``values`` (bucket, key, kind, a, b, low, x, y), where x is a
-    word's count or an arc's log10 probability and y the log10 backoff weight of a history."""
+    """The tables of a trained model: ``values`` (bucket, key, kind, x, y, and, if whole, a, b, low), where x
+    is a word's count or an arc's log10 probability and y the log10 backoff weight of a history."""
 
     def __init__(self, values: DataFrame, bits: int, total: int, vocab: int, least: int):
         self.values, self.bits, self.total, self.vocab, self.least = values, bits, total, vocab, least
 
 
-def fit(docs: DataFrame, min_count: int = 2, dictionary: int = 1 << 20, discount: float = 0.5, theta: float = 0.0) -> Model:
-    """Model of ``docs(text)``; ``theta`` asks for a relative frequency besides ``min_count``."""
+def fit(docs: DataFrame, min_count: int = 2, dictionary: int = 1 << 20, discount: float = 0.5, theta: float = 0.0,
+        whole: bool = False) -> Model:
+    """Model of ``docs(text)``; ``theta`` asks for a relative frequency besides ``min_count``, ``whole`` for
+    the words of every arc, which a block of documents knows itself."""
     docs = spread(docs.select(F.col("text").cast("string").alias("text")))
     words = stored(docs.mapInArrow(_word_runs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     sizes = {r[0]: (r[1], r[2]) for r in
@@ -338,13 +340,16 @@ def fit(docs: DataFrame, min_count: int = 2, dictionary: int = 1 << 20, discount
               .unionByName(weigh(two.select("key", F.lit(2).alias("kind"), "a", "b", none.alias("low"), F.log10("p").alias("x")), bow3).select(cols))
               .unionByName(three.select("key", F.lit(3).alias("kind"), "a", "b", "low", F.log10("p").alias("x"),
                                         F.lit(None).cast("double").alias("y"))))
+    if not whole:
+        values = values.drop("a", "b", "low")
     values = stored(values.withColumn("bucket", _bucket(bits)), "lm-values")
+    discard(words, arcs, two, three)
     return Model(values, bits, total, vocab, least)
 
 
 def train(docs: DataFrame, theta: float = 0.0, min_count: int = 2):
     """(the whole model as one automaton, its word keys, their counts): for models that fit one process."""
-    model = fit(docs, min_count, theta=theta)
+    model = fit(docs, min_count, theta=theta, whole=True)
     t = model.values.toArrow()
     kind, key, x = t["kind"].to_numpy(), _keys(t["key"]), t["x"].to_numpy()
     y = t["y"].to_numpy()

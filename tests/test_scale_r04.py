@@ -70,3 +70,17 @@ def test_new_words_of_letters_are_not_cut_again():
     enc._ids = lambda text: whole.append(text) or ids(text)
     assert enc.encode("first quixotry żółw новое") == np.array(ids("first quixotry żółw новое"), "<u2").tobytes()
     assert whole == ["\nfirst"]  # the others went through the merges alone
+
+
+def test_model_keeps_only_its_values(spark):
+    import glob
+
+    from orchard.llm import lm
+    from orchard.session import scratch_path
+    base = scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    seen = set(glob.glob(f"{base}/lm-*"))
+    docs = spark.createDataFrame([(i, f"a b c w{i % 3} a b c") for i in range(20)], "doc_id long, text string")
+    model = lm.fit(docs)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{base}/lm-*")) - seen}
+    assert left == {"lm-values"} and set(model.values.columns) == {"bucket", "key", "kind", "x", "y"}
+    assert model.values.where("kind = 3").count() > 0
