@@ -267,7 +267,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, pat
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": [name],
                                           "n_docs": pa.array([docs_n], pa.int64()), "n_ids": pa.array([ids_n], pa.int64())})
 
-    return stored(ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), "token-manifest"), path
+    rows = ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long")
+    # one row per token file: one small table file, not one (and its checksum, each with a process for its mode) per task
+    return stored(rows.repartition(1), "token-manifest"), path
 
 
 def read_token_files(manifest: DataFrame, path: str) -> DataFrame:

@@ -84,3 +84,15 @@ def test_model_keeps_only_its_values(spark):
     left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{base}/lm-*")) - seen}
     assert left == {"lm-values"} and set(model.values.columns) == {"bucket", "key", "kind", "x", "y"}
     assert model.values.where("kind = 3").count() > 0
+
+
+def test_token_manifest_is_one_file(spark):
+    """A small file for each task is, on each, a process started to set its mode."""
+    import public_tokenizers
+
+    from orchard.llm.token_store import read_token_files, write_token_files
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)] + [(None, None)], "doc_id long, text string")
+    manifest, folder = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), files=6)
+    assert len(manifest.inputFiles()) == 1
+    assert sorted(r.part for r in manifest.collect()) == list(range(6)) and manifest.groupBy().sum("n_docs").first()[0] == 31
+    assert read_token_files(manifest, folder).count() == 31
