@@ -16,12 +16,13 @@ traversed together, one token each per step, left to right, every document
 carrying its state and its running log10 probability.
 
 Scale.  Counting covers every n-gram of every training document; nothing is
-withheld.  A run of about ``RUN`` tokens sends its distinct n-grams, packed, to
-buckets by key; a bucket (about 2^20 tokens of the corpus, whatever its size) is
-counted exactly by one task.  The arcs lie in a table of the shared folder, in
-the same buckets, and never travel whole: documents are stored in blocks, a block
-sends the keys it holds to the buckets, gets back what the table has of them, and
-builds the part of the automaton it can reach.  Of the words, the ``dictionary``
+withheld.  A run of about ``RUN`` tokens sends its distinct bigrams, then, when those
+are arcs, its distinct trigrams, packed, to buckets by key; a bucket (about 2^20 tokens
+of the corpus, whatever its size) is counted exactly by one task.  The arcs lie in a
+table of the shared folder, in the same buckets, and never travel whole: documents are
+stored in blocks, a block sends the keys it holds to the buckets, gets back which of them the table has with
+their values, and builds the part of the automaton it can reach.  Both go on in passes
+(``PASSES``) over all buckets and all blocks, so that one part is in the shuffle at a time.  Of the words, the ``dictionary``
 commonest at most (by powers of two of the count) go to the executors as a
 broadcast; all others are asked for like n-grams.
 
@@ -33,22 +34,26 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orchard.llm.common import BASE, HashTable, U, blocks, crc_mod, discard, mix, spread, stored, text_buffers, word_hashes
+from orchard.llm.common import BASE, HashTable, U, blocks, crc_mod, discard, mix, release, spread, stored, text_buffers, word_hashes
 
 END = U(0xE5D0E5D0E5D0E5D1)    # the end token's key
 START = U(0x57A2757A2757A275)  # history before the first token
 HISTORY, LAST, FLIP = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, U(0x3333333333333333)
 RUN = 1 << 21  # tokens whose n-grams are combined before they are sent
+BUCKET = 1 << 20  # tokens of the corpus a bucket
 BLOCK = 4 << 20  # bytes of text scored together (a longer document alone)
+PASSES = 3  # bits of a key that say in which pass it is asked for; blocks are scored in two
 
 
 def _pair(a, b):
@@ -97,32 +102,62 @@ def ngram_keys(tok: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _firsts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, a position of each, and how often each occurs."""
-    order = np.argsort(x, kind="stable")
+    order = np.argsort(x)
     s = x[order]
     at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     return s[at], order[at], np.diff(np.concatenate([at, [len(s)]]))
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Byte planes of equally long columns, compressed; the first, sorted uint64, by its steps."""
-    steps = np.diff(columns[0], prepend=U(0))
-    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes()
-              for c in (steps, *columns[1:])]
+def _planes(*columns: np.ndarray) -> bytes:
+    """Byte planes of equally long columns, compressed."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _unpack(raw: bytes, *types) -> list[np.ndarray]:
+def _columns(raw: bytes, *types) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
     widths = [np.dtype(t).itemsize for t in types]
     n, out, at = len(raw) // sum(widths), [], 0
     for t, w in zip(types, widths, strict=True):
         out.append(np.ascontiguousarray(raw[at:at + n * w].reshape(w, n).T).reshape(-1).view(t))
         at += n * w
+    return out
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """As ``_planes``; the first column, sorted uint64, by its steps."""
+    return _planes(np.diff(columns[0], prepend=U(0)), *columns[1:])
+
+
+def _unpack(raw: bytes, *types) -> list[np.ndarray]:
+    out = _columns(raw, *types)
     with np.errstate(over="ignore"):
         out[0] = np.cumsum(out[0], dtype=U)
     return out
 
 
+def _pack_values(x: np.ndarray) -> tuple[bytes, bytes]:
+    """The distinct values and the place of each value among them, or, where most differ, the values alone."""
+    values, place = np.unique(x.view(U), return_inverse=True)
+    return (_planes(x), b"") if 2 * len(values) > len(x) else (_pack(values), _planes(place.astype(np.uint32)))
+
+
+def _values(values: bytes, place: bytes) -> np.ndarray:
+    return _unpack(values, U)[0].view(np.float64)[_columns(place, np.uint32)[0]] if place else _columns(values, np.float64)[0]
+
+
+def _marks(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Positions in a sorted table, or -1."""
+    at = np.searchsorted(table, keys)
+    hit = at < len(table)
+    hit[hit] = table[at[hit]] == keys[hit]
+    return np.where(hit, at, -1)
+
+
 def _bucket(bits: int, key: str = "key") -> Column:
     """The first ``bits`` bits of a key."""
     return F.shiftrightunsigned(F.shiftrightunsigned(key, 63 - bits), 1)
@@ -130,8 +165,10 @@ def _bucket(bits: int, key: str = "key") -> Column:
 
 def _cuts(keys: np.ndarray, bits: int):
     """(bucket, from, to) of the buckets of sorted keys."""
+    if not len(keys):
+        return ()
     number = (keys >> U(63 - bits)) >> U(1)
-    at = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
     return zip(number[at].astype(np.int64).tolist(), at.tolist(), [*at[1:].tolist(), len(keys)], strict=True)
 
 
@@ -165,45 +202,39 @@ def _word_runs(batches):
         yield pa.RecordBatch.from_arrays([_long(key), pa.array(n)], ["key", "n"])
 
 
-def _gram_runs(bits: int):
-    """Rows (bucket, grams, lasts): packed key, order, place of the last word in ``lasts``, count."""
+def _gram_runs(bits: int, order: int):
+    """Rows (bucket, grams, lasts) of the bigrams or trigrams: packed key, place of the last word in ``lasts``, count."""
     def run(batches):
         for tok, off in _runs(batches):
-            two, three = ngram_keys(tok, off)
-            parts = []
-            for order, x in ((2, two), (3, three)):
-                key, at, n = _firsts(x)
-                some = key != 0
-                parts.append((key[some], np.full(int(some.sum()), order, np.uint8), tok[at[some]], n[some].astype(np.uint32)))
-            key, order, last, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-            o = np.argsort(key)
-            key, order, last, n = key[o], order[o], last[o], n[o]
+            key, at, n = _firsts(ngram_keys(tok, off)[order - 2])
+            some = key != 0
+            key, last, n = key[some], tok[at[some]], n[some].astype(np.uint32)
             for b, i, j in _cuts(key, bits):
                 lasts, place = np.unique(last[i:j], return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int64()), pa.array([_pack(key[i:j], order[i:j], place.astype(np.uint32), n[i:j])], pa.binary()),
+                    [pa.array([b], pa.int64()), pa.array([_pack(key[i:j], place.astype(np.uint32), n[i:j])], pa.binary()),
                      pa.array([_pack(lasts)], pa.binary())], ["bucket", "grams", "lasts"])
     return run
 
 
-def _count_bucket(least: int):
+def _count_bucket(least: int, order: int):
     """Exact counts of a bucket's n-grams; those of ``least`` or more."""
     def run(table: pa.Table) -> pa.Table:
         parts = []
         for raw, words in zip(table["grams"].to_pylist(), table["lasts"].to_pylist(), strict=True):
-            key, order, place, n = _unpack(raw, U, np.uint8, np.uint32, np.uint32)
-            parts.append((key, order, _unpack(words, U)[0][place], n))
-        key, order, last, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        o = np.argsort(key, kind="stable")
+            key, place, n = _unpack(raw, U, np.uint32, np.uint32)
+            parts.append((key, _unpack(words, U)[0][place], n))
+        key, last, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        o = np.argsort(key)
         key, n = key[o], n[o].astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.add.reduceat(n, at)
         at, n = at[n >= least], n[n >= least]
-        key, order, last = key[at], order[o][at], last[o][at]
+        key, last = key[at], last[o[at]]
         a = _history(key, last)
-        a[order == 3] ^= FLIP
-        return pa.table([pa.array(order.astype(np.int32)), _long(key), _long(a), _long(last), pa.array(n)],
-                        names=["kind", "key", "a", "b", "n"])
+        if order == 3:
+            a ^= FLIP
+        return pa.table([_long(key), _long(a), _long(last), pa.array(n)], names=["key", "a", "b", "n"])
     return run
 
 
@@ -312,25 +343,34 @@ def fit(docs: DataFrame, min_count: int = 2, dictionary: int = 1 << 20, discount
             break
     end = F.lit(int(END.view(np.int64)))
     start = F.lit(int(START.view(np.int64)))
-    bits = max(0, math.ceil(math.log2(max(1, total) / (1 << 20))))
-    grams = docs.mapInArrow(_gram_runs(bits), "bucket long, grams binary, lasts binary")
-    arcs = stored(grams.groupBy("bucket").applyInArrow(_count_bucket(max(min_count, math.ceil(theta * total))),
-                                                       "kind int, key long, a long, b long, n long"), "lm-arcs")
+    bits = max(0, math.ceil(math.log2(max(1, total) / BUCKET)))
+    count = max(min_count, math.ceil(theta * total))
+
+    def arcs(order: int) -> DataFrame:
+        grams = docs.mapInArrow(_gram_runs(bits, order), "bucket long, grams binary, lasts binary")
+        out = stored(grams.groupBy("bucket").applyInArrow(_count_bucket(count, order), "key long, a long, b long, n long"), "lm-arcs")
+        release(docs.sparkSession)  # the n-grams, the largest shuffle, are gone before the next one
+        return out
+
     left = lambda p: F.greatest(1 - F.sum(p), F.lit(1e-12))
     p = (F.col("n") - discount) / F.col("c")
     # START stands as often as the end mark
     before = words.unionByName(words.where(F.col("key") == end).select(start.alias("key"), "n"))
-    two = arcs.where("kind = 2").select("key", "a", "b", "n")
-    two = two.join(before.select(F.col("key").alias("a"), F.col("n").alias("c")), "a").select("key", "a", "b", "n", p.alias("p"))
+    counted = arcs(2)
+    two = counted.join(before.select(F.col("key").alias("a"), F.col("n").alias("c")), "a").select("key", "a", "b", "n", p.alias("p"))
     two = two.join(words.select(F.col("key").alias("b"), ((F.col("n") + 0.5) / F.lit(total + 0.5 * (vocab + 1))).alias("u")), "b")
     two = stored(two, "lm-two")
+    discard(counted)
+    release(docs.sparkSession)
     bow2 = two.groupBy("a").agg(F.log10(left("p") / left("u")).alias("y"))
     # an n-gram's shorter ones occur as often at least, so they are arcs themselves
-    three = arcs.where("kind = 3").select("key", "a", "b", "n")
-    three = three.join(two.select(F.col("key").alias("a"), F.col("n").alias("c"), F.col("b").alias("v")), "a").select(
+    counted = arcs(3)
+    three = counted.join(two.select(F.col("key").alias("a"), F.col("n").alias("c"), F.col("b").alias("v")), "a").select(
         "key", "a", "b", "v", p.alias("p"))
     three = three.mapInArrow(_lower, "key long, a long, b long, v long, p double, low long").drop("v")
     three = stored(three.join(two.select(F.col("key").alias("low"), F.col("p").alias("q")), "low"), "lm-three")
+    discard(counted)
+    release(docs.sparkSession)
     bow3 = three.groupBy("a").agg(F.log10(left("p") / left("q")).alias("y"))
     none = F.lit(0).cast("long")
     weigh = lambda t, bow: t.join(bow.select(F.col("a").alias("key"), "y"), "key", "left")
@@ -343,7 +383,7 @@ def fit(docs: DataFrame, min_count: int = 2, dictionary: int = 1 << 20, discount
     if not whole:
         values = values.drop("a", "b", "low")
     values = stored(values.withColumn("bucket", _bucket(bits)), "lm-values")
-    discard(words, arcs, two, three)
+    discard(words, two, three)
     return Model(values, bits, total, vocab, least)
 
 
@@ -361,38 +401,45 @@ def train(docs: DataFrame, theta: float = 0.0, min_count: int = 2):
 
 
 class _Block:
-    """Tokens of a block's documents and the distinct keys it asks for, sorted."""
-
-    def __init__(self, words: np.ndarray, place: np.ndarray, off: np.ndarray):
-        self.tok, self.off = words[place], off
-        self.two, self.three = ngram_keys(self.tok, off)
-        self.words = words
-        self.keys2, self.at2, _ = _firsts(self.two)
-        keys3, at3, _ = _firsts(self.three)
+    """Tokens of a block's documents and the distinct keys it asks for, all or those of a pass:
+    words that are not ``known``, bigrams, trigrams."""
+
+    def __init__(self, words: bytes, place: bytes, off: list[int], known: np.ndarray, bits: int = 0, turn: int = 0):
+        words, self.off = _unpack(words, U)[0], np.array(off)
+        self.tok = words[_columns(place, np.uint32)[0]]
+        self.words = np.append(words, START)
+        self.two, self.three = ngram_keys(self.tok, self.off)
+        now = lambda keys: keys[keys >> U(64 - bits) == turn] if bits else keys
+        some = now(self.words)
+        self.common = _find(known, some)
+        self.rare = some[self.common < 0]
+        self.keys2, self.at2, _ = _firsts(now(self.two))
+        keys3, at3, _ = _firsts(now(self.three))
         self.keys3, self.at3 = keys3[keys3 != 0], at3[keys3 != 0]
 
-    def asked(self, known: HashTable) -> np.ndarray:
-        rare = np.append(self.words, START)
-        return np.sort(np.concatenate([rare[known.find(rare) < 0], self.keys2, self.keys3]))
-
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys, sorted, and where each stands among words, bigrams and trigrams."""
+        keys = np.concatenate([self.rare, self.keys2, self.keys3])
+        order = np.argsort(keys)
+        return keys[order], order
 
-def _read_block(words: bytes, place: bytes, off: list[int]) -> _Block:
-    return _Block(_unpack(words, U)[0], np.frombuffer(zstandard.ZstdDecompressor().decompress(place), np.uint32), np.array(off))
 
-
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns plus n_tokens, n_known, train_tokens, base_score, score per row of ``docs``."""
+def score(docs: DataFrame, model: Model, keep: list[str], last: bool = False) -> DataFrame:
+    """``keep`` columns plus n_tokens, n_known, train_tokens, base_score, score per row of ``docs``;
+    ``last``: the model scores nothing else, and its table goes when it has answered."""
     spark, bits, denominator = docs.sparkSession, model.bits, model.total + 0.5 * (model.vocab + 1)
     total, vocab = model.total, model.vocab
     top = model.values.where((F.col("kind") == 1) & (F.col("x") >= model.least)).select("key", "x", "y").toArrow()
-    known = (HashTable(_keys(top["key"])), top["x"].to_numpy(), top["y"].to_numpy())
-    sent = spark.sparkContext.broadcast(known)
+    order = np.argsort(_keys(top["key"]))
+    sent = spark.sparkContext.broadcast((_keys(top["key"])[order], top["x"].to_numpy()[order], top["y"].to_numpy()[order]))
     work = spread(docs.select(*keep, F.col("text").cast("string").alias("text")))
     types = {f.name: f.dataType.simpleString() for f in work.schema.fields if f.name != "text"}
 
     def cut(batches):
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
+            # documents of like length together: a block takes as many steps as its longest has tokens
+            batch = batch.take(pc.sort_indices(pc.fill_null(pc.binary_length(batch.column("text")), 0)))
             data, off = text_buffers(batch.column("text"))
             for i, j in blocks(off, BLOCK):
                 tok, at = token_block(data[off[i]:off[j]], off[i:j + 1] - off[i])
@@ -400,7 +447,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(c).slice(i, j - i)) for c in keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.array([_pack(words)], pa.binary()),
-                     pa.array([zstandard.ZstdCompressor(level=1).compress(place.astype(np.uint32).tobytes())], pa.binary()),
+                     pa.array([_planes(place.astype(np.uint32))], pa.binary()),
                      pa.array([at.tolist()], pa.list_(pa.int64())), *lists], ["block", "words", "place", "off", *keep])
                 number += 1
 
@@ -408,55 +455,64 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     # the block's number only has to be the same on every later read, and the blocks are stored
     parts = stored(work.mapInArrow(cut, f"block long, words binary, place binary, off array<long>, {lists}"), "lm-blocks")
 
-    def ask(batches):
-        for batch in batches:
-            rows = (batch.column(c).to_pylist() for c in ("block", "words", "place", "off"))
-            for number, words, place, off in zip(*rows, strict=True):
-                keys = _read_block(words, place, off).asked(sent.value[0])
-                for b, i, j in _cuts(keys, bits):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([number], pa.int64()),
-                                                      pa.array([_pack(keys[i:j])], pa.binary())], ["bucket", "block", "keys"])
+    turns = min(bits, PASSES)
+
+    def ask(turn: int):
+        def run(batches):
+            for batch in batches:
+                rows = (batch.column(c).to_pylist() for c in ("block", "words", "place", "off"))
+                for number, words, place, off in zip(*rows, strict=True):
+                    keys, _ = _Block(words, place, off, sent.value[0], turns, turn).asked()
+                    for b, i, j in _cuts(keys, bits):
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([number], pa.int64()),
+                                                          pa.array([_pack(keys[i:j])], pa.binary())], ["bucket", "block", "keys"])
+        return run
 
     def answer(asked: pa.Table, have: pa.Table) -> pa.Table:
+        """Per block that has any: marks of the asked keys found, in their order, the values x and, marked in turn, y of these."""
         index, x, y = HashTable(_keys(have["key"])), have["x"].to_numpy(), have["y"].to_numpy()
-        numbers, found = [], []
-        for number, raw in zip(asked["block"].to_pylist(), asked["keys"].to_pylist(), strict=True):
-            keys = _unpack(raw, U)[0]
-            at = index.find(keys)
+        out = []
+        for bucket, number, raw in zip(*(asked[c].to_pylist() for c in ("bucket", "block", "keys")), strict=True):
+            at = index.find(_unpack(raw, U)[0])
             hit = at >= 0
             if hit.any():
-                numbers.append(number), found.append(_pack(keys[hit], x[at[hit]], y[at[hit]]))
-        return pa.table([pa.array(numbers, pa.int64()), pa.array(found, pa.binary())], names=["block", "found"])
-
-    asked = parts.select("block", "words", "place", "off").mapInArrow(ask, "bucket long, block long, keys binary")
-    have = model.values.select("bucket", "key", "x", "y")
-    answers = asked.groupBy("bucket").cogroup(have.groupBy("bucket")).applyInArrow(answer, "block long, found binary")
+                hx, hy = x[at[hit]], y[at[hit]]
+                some = ~np.isnan(hy)
+                out.append((number, bucket, np.packbits(hit).tobytes(), *_pack_values(hx), np.packbits(some).tobytes(), *_pack_values(hy[some])))
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(found.types)], schema=found)
+
+    found = pa.schema([("block", pa.int64()), ("bucket", pa.int64()),
+                       *((c, pa.binary()) for c in ("hit", "x", "x_at", "some", "y", "y_at"))])
+    answers = []
+    for turn in range(1 << turns):
+        asked = parts.select("block", "words", "place", "off").mapInArrow(ask(turn), "bucket long, block long, keys binary")
+        have = model.values.where(F.shiftright("bucket", bits - turns) == turn).select("bucket", "key", "x", "y")
+        got = asked.groupBy("bucket").cogroup(have.groupBy("bucket")).applyInArrow(
+            answer, "block long, bucket long, hit binary, x binary, x_at binary, some binary, y binary, y_at binary")
+        answers.append(stored(got, "lm-answers"))
 
     def finish(block: pa.Table, got: pa.Table) -> pa.Table:
         out = []
         top, top_x, top_y = sent.value
-        got = [_unpack(raw, U, np.float64, np.float64) for raw in got["found"].to_pylist()]
-        key, x, y = (np.concatenate(c) for c in zip((np.zeros(0, U), np.zeros(0), np.zeros(0)), *got, strict=True))
-        index = HashTable(key)
-
-        def look(keys, common=False):
-            at = index.find(keys)
-            vx, vy = np.full(len(keys), np.nan), np.full(len(keys), np.nan)
-            vx[at >= 0], vy[at >= 0] = x[at[at >= 0]], y[at[at >= 0]]
-            if common:
-                at = top.find(keys)
-                vx[at >= 0], vy[at >= 0] = top_x[at[at >= 0]], top_y[at[at >= 0]]
-            return vx, vy
-
         for row in range(block.num_rows):
-            part = _read_block(*(block[c][row].as_py() for c in ("words", "place", "off")))
+            part = _Block(*(block[c][row].as_py() for c in ("words", "place", "off")), top)
             tok, off = part.tok, part.off
-            words = np.append(part.words, START)
-            n, wy = look(words, True)
-            x2, y2 = look(part.keys2)
-            x3, _ = look(part.keys3)
-            seen = ~np.isnan(n[:-1])
-            here = part.words[seen]
+            keys, order = part.asked()
+            cut = {b: (i, j) for b, i, j in _cuts(keys, bits)}
+            x, y = np.full(len(keys), np.nan), np.full(len(keys), np.nan)
+            for bucket, hit, *vx, some, vy, vy_at in zip(*(got[c].to_pylist() for c in found.names[1:]), strict=True):
+                i, j = cut[bucket]
+                at = order[i:j][_marks(hit, j - i)]
+                x[at] = _values(*vx)
+                y[at[_marks(some, len(at))]] = _values(vy, vy_at)
+            ends = [len(part.rare), len(part.rare) + len(part.keys2)]
+            (n1, x2, x3), (y1, y2, _) = np.split(x, ends), np.split(y, ends)
+            rare = part.common < 0
+            n, wy = np.full(len(rare), np.nan), np.full(len(rare), np.nan)
+            n[rare], wy[rare] = n1, y1
+            n[~rare], wy[~rare] = top_x[part.common[~rare]], top_y[part.common[~rare]]
+            words, seen = part.words, ~np.isnan(n[:-1])
+            here = words[:-1][seen]
             h2, h3 = part.at2[~np.isnan(x2)], part.at3[~np.isnan(x3)]
             prev = np.concatenate([[START], tok[:-1]])
             prev[off[:-1]] = START
@@ -480,12 +536,19 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + \
         ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    answers = stored(answers, "lm-answers")
-    return parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+    scores, every = [], functools.reduce(DataFrame.union, answers)
+    passes = 1 << min(1, turns)
+    if last:
+        discard(model.values)
+    for turn in range(passes):
+        now, got = (t.where(F.pmod(F.hash("block"), F.lit(passes)) == turn).groupBy("block") for t in (parts, every))
+        scores.append(stored(now.cogroup(got).applyInArrow(finish, schema), "lm-scores"))
+    discard(parts, *answers)
+    return functools.reduce(DataFrame.union, scores)
 
 
 def lm_scores(docs: DataFrame, mod: int = 5, held: int = 1, min_count: int = 2, dictionary: int = 1 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), (crc_mod("doc_id", mod) == held).alias("held_out"))
     model = fit(rows.where(~F.col("held_out")), min_count, dictionary)
-    return score(rows, model, ["doc_id", "held_out"])
+    return score(rows, model, ["doc_id", "held_out"], last=True)

@@ -96,3 +96,25 @@ def test_token_manifest_is_one_file(spark):
     assert len(manifest.inputFiles()) == 1
     assert sorted(r.part for r in manifest.collect()) == list(range(6)) and manifest.groupBy().sum("n_docs").first()[0] == 31
     assert read_token_files(manifest, folder).count() == 31
+
+
+def test_scoring_in_passes_leaves_only_scores(spark, monkeypatch):
+    """Passes over buckets and blocks give the rows of one pass; the tables of model, blocks and answers go."""
+    import glob
+
+    from orchard.llm import lm
+    from orchard.session import scratch_path
+    base = scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    docs = spark.createDataFrame([(i, None if i == 7 else f"a b c w{i % 9} a b {'c d ' * (i % 5)}") for i in range(90)],
+                                 "doc_id long, text string").repartition(4).cache()
+    one = sorted(map(tuple, lm.lm_scores(docs, dictionary=4).collect()), key=str)
+    monkeypatch.setattr(lm, "BUCKET", 64)
+    monkeypatch.setattr(lm, "BLOCK", 200)
+    names, write = [], lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, name: names.append(name) or write(df, name))
+    seen = set(glob.glob(f"{base}/lm-*"))
+    many = sorted(map(tuple, lm.lm_scores(docs, dictionary=4).collect()), key=str)
+    assert [x[:4] for x in many] == [x[:4] for x in one]
+    assert all(abs(x - y) < 1e-9 for a, b in zip(one, many, strict=True) for x, y in zip(a[4:], b[4:], strict=True))
+    assert names.count("lm-arcs") == 2 and names.count("lm-answers") == 8 and names.count("lm-scores") == 2
+    assert {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{base}/lm-*")) - seen} == {"lm-scores"}
