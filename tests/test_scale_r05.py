@@ -57,3 +57,20 @@ def test_texts_are_not_moved_to_meet_their_labels(spark, tmp_path, monkeypatch):
     want = scores(reviews, "id", "text", R.V.lexicon(spark, d))  # labels repeat the texts
     want = reviews.select("id").join(want, "id", "left").na.fill(0.0, ["neg", "neu", "pos", "compound"])
     assert got == rows(want) and len(got) == 4 * 4 + 6 + 2 * 2 + 2
+
+
+def test_extreme_reviews_are_picked_without_texts(spark, tmp_path, monkeypatch):
+    """Texts meet only the two picks; they are in no other join."""
+    docs = [(0, "good bad"), (5, "good good cow"), (10, "good good cow"), (20, "cow"), (4, "bad cow"), (9, "bad bad"), (9, "bad bad"),
+            (14, "bad bad"), (1, "bad"), (2, "good"), (None, "good"), (25, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, "q", False), (5, "q", True)], "doc_id long, quality string, toxic boolean").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(R.V, "lexicon", lambda *_: spark.createDataFrame(list(LEXICON.items()), "word string, valence double"))
+    picks = R.q_reviews_extreme_text(spark, str(tmp_path))
+    assert picks.columns == ["pick", "id", "text"]
+    assert [tuple(r) for r in picks.collect()] == [("most positive 1-star", 5, "good good cow"), ("most negative 5-star", 9, "bad bad")]
+    scans = [x for x in picks._jdf.queryExecution().sparkPlan().toString().split("\n") if "FileScan" in x]
+    assert len(scans) > 3 and sum("text:string" in x for x in scans) == 1
+    spark.createDataFrame([(1, "bad"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "other" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality string, toxic boolean").write.parquet(str(tmp_path / "other" / "labels.parquet"))
+    assert R.q_reviews_extreme_text(spark, str(tmp_path / "other")).collect() == []
